@@ -209,3 +209,76 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+
+
+# ---- rows that carry arrays between tasks -------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def _codec():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An integer array as bytes: byte planes, compressed, so that shared high bytes cost nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return _codec()[0].compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(packed: bytes, dtype) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(_codec()[1].decompress(packed), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+
+
+def unpack_all(column, dtype) -> np.ndarray:
+    parts = [unpack(b, dtype) for b in column if b]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def scattered(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[list[bytes]]]:
+    """Entries dealt out by bucket: the buckets, and for each column its packed values in each of them."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    ends = [*cut[1:].tolist(), len(b)]
+    moved = [c[order] for c in columns]
+    return b[cut].tolist(), [[pack(c[i:j]) for i, j in zip(cut.tolist(), ends, strict=True)] for c in moved]
+
+
+def numbered(docs: DataFrame, columns: list[str] = ("doc_id", "text")) -> DataFrame:
+    """docs(doc_id, text), or those columns, with row_id: doc_id itself where it is unique, else a number in
+    (doc_id, text) order."""
+    own = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    docs = docs.select(*(own.get(c, F.col(c)).alias(c) for c in columns if c != "row_id"))
+    ids = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"] and not docs.groupBy("doc_id").count().filter("count > 1").head(1):
+        return docs.withColumn("row_id", F.col("doc_id"))
+    return stage(docs.sort("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every end of edges(a, b), component being the smallest id connected with it.
+
+    Alternating large and small stars: every round is joins and minima by vertex, and the edges of a
+    round are a table in the shared folder."""
+    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    edges = stage(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = state(edges)
+    while before[0]:
+        near = both(edges)
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = near.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = stage(large.distinct(), "edges")
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
+        edges = stage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("b").alias("id")).distinct()
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(roots.join(edges.select(F.col("a").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component")))

@@ -1,7 +1,7 @@
-"""Token-ID / binary output: flat unsigned 32-bit files with 64-bit document offsets.
+"""Token-ID / binary output: flat unsigned integer files with 64-bit document offsets.
 
-Format of a folder: for each shard, `NNNNN.tokens` (little-endian uint32, the ids of its documents one
-after another), `NNNNN.docs` (int64 doc_id), `NNNNN.sizes` (uint64 ids a document) and `NNNNN.offsets`
+Format of a folder: for each shard, `NNNNN.tokens` (little-endian uint16 where all ids are below 65,536,
+else uint32: the ids of its documents one after another), `NNNNN.docs` (int64 doc_id), `NNNNN.sizes` (uint64 ids a document) and `NNNNN.offsets`
 (uint64, documents + 1; they count ids from the beginning of the whole output). Shards hold ascending
 ranges of doc_id.
 
@@ -18,17 +18,30 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridwise.llm.common import filesystem, new_folder, read, stage, strings
+from gridwise.llm.common import Words, filesystem, new_folder, passes, read, stage, strings
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
+
+
+#: A run of letters below U+0180 that normalise to themselves and lower-case one by one, then ASCII marks.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)")
+
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else U+0100 onwards."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in prints else next(others)) for b in range(256))
 
 
 class Encoder:
@@ -36,69 +49,91 @@ class Encoder:
 
     Valid where the vocabulary drops white space and no rule looks across it (the word_bpe_49k file: its
     normaliser maps white space to one space, and its pre-tokens hold none), so that a text's ids are its
-    pieces' ids in order.
+    pieces' ids in order. A piece of plain letters and marks after them is two pre-tokens at most; its letters
+    go to the library's model directly.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, letters = self.tokenizer.model, byte_letters()
+        self.letters = {i: letters[i] for i in range(256)}
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            k, need = len(self.code), self.used + len(new)
-            while need > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            while k + len(part) > len(self.at):
-                self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.length))
-            self.flat[self.used : need] = new
-            self.at[k : k + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.length[k : k + len(part)] = sizes
-            self.code.update(zip(part, range(k, k + len(part)), strict=True))
-            self.used = need
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another with end_id after each text, and the number of each text's ids."""
-        if len(self.code) > REMEMBERED:
-            self.forget()
-        split = [pieces(t) for t in texts]
-        words = [w for s in split for w in s]
-        new = [w for w in dict.fromkeys(words) if w not in self.code]
-        self.learn(new)
-        code = self.code
-        codes = np.fromiter((code[w] for w in words), np.int64, len(words))
+        self.known = np.zeros(0, np.uint64)  # hashes of pieces, ascending, with the place of their ids in flat
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.cores: dict[str, bytes] = {}  # ids as bytes, which the garbage collector need not visit
+
+    def core(self, letters: str) -> bytes:
+        ids = self.cores.get(letters)
+        if ids is None:
+            seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+            ids = self.cores[letters] = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return ids
+
+    def marks(self, text: str) -> bytes:
+        ids = self.cores.get(text)
+        if ids is None:
+            ids = self.cores[text] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return ids
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        out, odd = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                out.append(self.core(m[1].lower()) + self.marks(m[2]) if m[2] else self.core(m[1].lower()))
+            else:
+                odd.append(len(out))
+                out.append(w)
+        for lo in range(0, len(odd), 10_000):
+            part = odd[lo : lo + 10_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([out[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remembers pieces by 64-bit hash."""
+        if len(self.cores) > REMEMBERED // 2:
+            self.cores.clear()
+        ids = self.ids_of(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
+        order = np.argsort(known := np.concatenate((self.known, hashes)), kind="stable")
+        self.known, self.at, self.length = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.length, sizes))[order]
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, given as bytes and offsets, with end_id after each text, and the number of each text's ids."""
+        words = Words(data, off)
+        n = len(off) - 1
+        hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        new[at < len(self.known)] = self.known[at[at < len(self.known)]] != hashes[at < len(self.known)]
+        if new.any():
+            raw, w = data.tobytes(), first[new]
+            if len(self.known) + len(w) > REMEMBERED:  # all of them anew
+                self.forget()
+                new[:], w = True, first
+            self.learn(hashes[new], [raw[i:j].decode() for i, j in zip(words.start[w].tolist(), words.end[w].tolist(), strict=True)])
+            at = np.searchsorted(self.known, hashes)
+        codes = at[which]
         length = self.length[codes]
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.concatenate(([0], np.cumsum(length)))
-        last = np.cumsum(per_text)
-        counts = ends[last] - ends[last - per_text] + 1
-        out = np.full(int(ends[-1]) + len(texts), end_id, np.uint32)
-        shift = np.repeat(np.arange(len(texts)), per_text)  # end ids before each word
-        to = np.repeat(ends[:-1] + shift - (begin := np.concatenate(([0], np.cumsum(length)))[:-1]), length) + np.arange(int(ends[-1]))
-        out[to] = self.flat[np.repeat(self.at[codes] - begin, length) + np.arange(int(ends[-1]))]
+        counts = np.diff(ends[words.first]) + 1
+        gathered = self.flat[np.repeat(self.at[codes] - ends[:-1], length) + np.arange(int(ends[-1]))]
+        out = np.full(int(ends[-1]) + n, end_id, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(counts) - 1] = False  # the end ids
+        out[keep] = gathered
         return out, counts
 
 
-#: str.split() also ends pieces at 0x1C-0x1F, which are no white space for the normaliser.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_PIECE = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def pieces(text: str) -> list[str]:
-    return _PIECE.findall(text) if _SEPARATORS.search(text) else text.split()
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -110,13 +145,14 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes the ids of docs(doc_id, text) to folder and returns its shards:
-    (shard, n_docs, n_tokens, base), base being the ids of all shards before."""
+    (shard, n_docs, n_tokens, width, base), base being the ids of all shards before."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         own, store, base = encoder(tokenizer_path), *filesystem(folder)
+        width = 2 if max(own.size - 1, end_id) < 1 << 16 else 4
         store.create_dir(base, recursive=True)
         part = f"{base}/.{shard:05d}-{uuid.uuid4().hex}"
         n_docs = n_tokens = 0
@@ -124,9 +160,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             for batch in batches:
                 keys = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
                 texts = strings(batch.column(1))
-                for lo in range(0, len(texts), 256):
-                    ids, counts = own.encode(texts.slice(lo, 256).to_pylist(), end_id)
-                    ids_to.write(ids.astype("<u4", copy=False).tobytes())
+                for _, _, data, off in passes(texts, AT_ONCE):
+                    ids, counts = own.encode(data, off, end_id)
+                    ids_to.write(ids.astype(f"<u{width}").tobytes())
                     sizes_to.write(counts.astype("<u8").tobytes())
                     n_tokens += len(ids)
                 docs_to.write(keys.astype("<i8", copy=False).tobytes())
@@ -137,18 +173,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             else:
                 store.delete_file(f"{part}.{kind}")
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens], "width": pa.array([width], pa.int32())})
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = text.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = stage(ranged.mapInArrow(encode, "shard int, n_docs long, n_tokens long"), "token-shards")
+    shards = stage(ranged.mapInArrow(encode, "shard int, n_docs long, n_tokens long, width int"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     shards = stage(shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "token-bases")
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
         for batch in batches:
-            for shard, first in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for shard, first in zip(batch.column(0).to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{shard:05d}.sizes") as f:
                     sizes = np.frombuffer(f.read(), "<u8")
                 part = f"{base}/.{shard:05d}-{uuid.uuid4().hex}.offsets"
@@ -177,14 +213,15 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                tokens, docs, offsets = (_open(store, f"{base}/{shard:05d}.{k}", t) for k, t in (("tokens", "<u4"), ("docs", "<i8"), ("offsets", "<u8")))
+            for shard, width in zip(batch.column("shard").to_pylist(), batch.column("width").to_pylist(), strict=True):
+                tokens, docs, offsets = (_open(store, f"{base}/{shard:05d}.{k}", t) for k, t in (("tokens", f"<u{width}"), ("docs", "<i8"), ("offsets", "<u8")))
                 local = (offsets - offsets[0]).astype(np.int64)
-                for lo in range(0, len(docs), 20_000):
-                    hi = min(lo + 20_000, len(docs))
-                    crc = [zlib.crc32(tokens[local[i] : local[i + 1]]) for i in range(lo, hi)]
-                    ids = pa.array(docs[lo:hi], pa.int64(), mask=np.asarray(docs[lo:hi] == NO_ID))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(offsets[lo:hi].astype(np.int64)), pa.array(np.diff(local[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for lo in range(0, len(docs), 2_000):
+                    hi = min(lo + 2_000, len(docs))
+                    ids = tokens[local[lo] : local[hi]].astype("<u4")
+                    crc = [zlib.crc32(ids[local[i] - local[lo] : local[i + 1] - local[lo]]) for i in range(lo, hi)]
+                    keys = pa.array(docs[lo:hi], pa.int64(), mask=np.asarray(docs[lo:hi] == NO_ID))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(offsets[lo:hi].astype(np.int64)), pa.array(np.diff(local[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.repartition(n, "shard").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
