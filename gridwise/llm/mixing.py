@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridwise.llm.common import WORD, read, stage
+from gridwise.llm.common import WORD, Words, read, stage
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, SHARD_BLOCKS, SEED = 512, 256, 20
@@ -208,7 +208,7 @@ def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
@@ -240,5 +240,37 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of rows (..., text, pieces): texts cut at word borders, what stands between words kept."""
+    for batch in batches:
+        rows = batch.num_rows
+        names = batch.schema.names[:-1]
+        at = names.index("text")
+        for lo in range(0, rows, 200):
+            part = batch.slice(lo, 200)
+            which, texts = [], []
+            for i, (text, pieces) in enumerate(zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)):
+                raw = (text or "").encode()
+                words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                for p in pieces:
+                    a, b = p["from_word"], p["from_word"] + p["n_words"]
+                    begin = 0 if a == 0 else words.start[a]
+                    end = len(raw) if b == len(words) else words.end[b - 1]
+                    which.append(i)
+                    texts.append(raw[begin:end].decode())
+            out = part.select(names).take(pa.array(which, pa.int64()))
+            sizes = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([sizes.get(n, out.column(i)).cast(out.schema.field(i).type) for i, n in enumerate(names)], names)
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows like docs: one for each piece that a slot reads of a document, its text and n_chars cut to the piece."""
+    _, pieces = mix(docs, **how)
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), "text_hash"]
+    pieces = pieces.select(*key, "from_word", "n_words").groupBy("_key", "text_hash").agg(F.collect_list(F.struct("from_word", "n_words")).alias("_pieces"))
+    texts = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *key).dropDuplicates(["_key", "text_hash"])
+    return texts.join(pieces, ["_key", "text_hash"]).select(*docs.columns, "_pieces").mapInArrow(_cut, docs.schema)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from gridwise.llm import chat_format, mixing, quality_rules, token_output, url_filter
+from gridwise.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_pii": pii.op4_pii,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_source_mixing": mixing.op9_source_mixing,
