@@ -28,16 +28,17 @@ from gridwise.llm.common import read
 KEY = "change-me"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
-_DIGIT_BEFORE, _DIGIT_AFTER = r"(?<![\d.])", r"(?![\d]|\.\d)"
-_PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<card>(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]))"
-    rf"|(?P<ip>{_DIGIT_BEFORE}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_DIGIT_AFTER})"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
-)
+_FORMS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+}
+_EACH = {kind: re.compile(_FORMS[kind]) for kind in KINDS}
+_PATTERN = re.compile("|".join(f"(?:{_FORMS[kind]})" for kind in KINDS))
 
 
 # ---- the permutation -----------------------------------------------------------------------------
@@ -183,13 +184,16 @@ def pseudonymise(text: str, key: str = KEY, back: bool = False) -> tuple[str, di
         return text, counts
     secret, out, at, pos = key.encode(), [], 0, 0
     while m := _PATTERN.search(text, pos):
-        new = _pseudonym(m.lastgroup, m[0], secret, back)
-        if new is None:  # not valid: look again right after its first character run
+        for kind in KINDS:
+            found = _EACH[kind].match(text, m.start())
+            new = found and _pseudonym(kind, found[0], secret, back)
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [text[at : m.start()], new]
+                at = pos = found.end()
+                break
+        else:  # valid as none: look again after its first run of letters and digits
             pos = m.start() + max(1, len(re.match(r"[\w+]*", m[0])[0]))
-            continue
-        counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-        out += [text[at : m.start()], new]
-        at = pos = m.end()
     return "".join([*out, text[at:]]), counts
 
 

@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
         group = group.assign(order=mix(group["doc_id"].to_numpy().astype(np.uint64))).sort_values("order")
         return pd.DataFrame({"model": [train([t or "" for t in group["text"]], group["label"].to_numpy()).tobytes()]})
 
-    made = texts.groupBy(F.lit(1)).applyInPandas(lambda g: learn(g), "model binary").head(1)  # at most rows texts
+    made = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").head(1)  # at most rows texts
     return np.frombuffer(made[0]["model"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 

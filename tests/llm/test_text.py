@@ -130,7 +130,7 @@ def test_mixed_documents_are_the_words_taken(spark):
 
 
 def test_targets_reshare_excess():
-    assert mixing.targets(np.array([100, 100, 100])).tolist() == [200.0, 200 * 1.25 / 1.5, 250 - 200 * 1.25 / 1.5]
+    assert mixing.targets(np.array([100, 100, 100])).tolist() == pytest.approx([200.0, 500 / 3, 250 / 3])
     assert mixing.targets(np.array([0, 0])).tolist() == [0.0, 0.0] and mixing.targets(np.array([])).tolist() == []
     assert mixing.targets(np.array([10])).tolist() == [15.0]
 
