@@ -1 +1,4 @@
-"""Spark-native spatial sample analytics."""
+"""Queries of the spatial engine; importing this package registers them."""
+
+from gridwise.plans import aggregates, joins, scalars  # noqa: F401
+from gridwise.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
