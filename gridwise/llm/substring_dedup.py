@@ -62,7 +62,7 @@ def _anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), strings(batch.column(1))
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), strings(batch.column(1))
             for lo, hi, data, off in passes(texts):
                 words = Words(data, off)
                 at, grams = words.ngrams(words.hashes(), ANCHOR)
@@ -94,15 +94,15 @@ def _twice(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _windows(buckets: int):
-    """Windows around repeated anchors, of rows (row_id, text, anchors)."""
+    """Windows around repeated anchors, of rows (doc_id, row_id, text, anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
+            batch = batch.filter(batch.column(3).is_valid())
             if not batch.num_rows:
                 continue
-            ids, texts, anchors = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), strings(batch.column(1)), batch.column(2)
+            ids, texts, anchors = batch.column(1).to_numpy(zero_copy_only=False), strings(batch.column(2)), batch.column(3)
             sizes = anchors.value_lengths().to_numpy(zero_copy_only=False)
             where = anchors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             before = np.concatenate(([0], np.cumsum(sizes)))
@@ -176,7 +176,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows = numbered(docs).withColumn("row_id", F.coalesce("row_id", F.lit(int(np.iinfo(np.int64).min))))
     twice = rows.select("row_id", "text").mapInArrow(_anchors(buckets), _ENTRIES).groupBy("bucket").applyInPandas(_twice, "row_id long, at int")
     anchors = twice.groupBy("row_id").agg(F.collect_list("at").alias("anchors"))
-    near = rows.join(anchors, "row_id", "left").select("row_id", "text", "anchors")
+    # both joins take the same columns of the documents, so that their texts are shuffled once
+    near = rows.join(anchors, "row_id", "left").select("doc_id", "row_id", "text", "anchors")
     later = near.mapInArrow(_windows(buckets), _ENTRIES).groupBy("bucket").applyInPandas(_later, "row_id long, start int, n int")
     runs = later.groupBy("row_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return rows.join(runs, "row_id", "left").select("doc_id", "row_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
