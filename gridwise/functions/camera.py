@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gridwise.functions.numeric import c, finite
 from gridwise.functions.vector import Vec
@@ -23,7 +24,7 @@ def times(m: Column, p: tuple[Column, Column, Column], w=1.0) -> tuple[Column, C
     return tuple(element(m, r) * p[0] + element(m, r + 4) * p[1] + element(m, r + 8) * p[2] + element(m, r + 12) * c(w) for r in range(4))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def inverted(m: pd.Series) -> pd.Series:
     """Inverse of each matrix (one a frame); null where it is singular or incomplete."""
 
