@@ -15,8 +15,8 @@ signatures. This count is used twice, without loss:
 
 So a passage that many documents share drops out before any pair is formed. Copies of one set are one class
 with one representative. What is left is verified exactly: first each member of a signature against its
-smallest member, then, where a signature still spans several components, the pairs across them. Groups
-are never expanded into all pairs within a component.
+smallest member; then, where the members of such stars still lie in several components, pairs across these
+that share rare differences from the first one's root (see across()). Groups are never expanded into all pairs.
 
 A document with m - k <= 0 by chance of hashing ("weak"; for the cells used here less than one in 10**9)
 is compared with all documents that share a shingle with it.
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridwise.llm.common import Words, bucket_count, components, mix, numbered, passes, read, scattered, shingle_sets, stage, strings, unpack_all
 
 SHINGLE, PERCENT = 5, 75
-GATHER = 2_000_000
+GATHER = 800_000
 _ROWS = "kind int, row_id long, a long, b long, n int, m0 int, m1 int"
 
 
@@ -169,9 +169,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    right = pairs.join(sets.select(F.col("row_id").alias("b"), F.col("grams").alias("right")), "b")
-    both = right.join(sets.select(F.col("row_id").alias("a"), F.col("grams").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
+    return _both_sets(pairs, sets).mapInArrow(_verified, "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +181,73 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["row_id", "grams"])
 
 
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            part, linked, sizes, deltas = b.slice(lo, 1000), [], [], []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                delta = np.setxor1d(x, y, assume_unique=True)
+                linked.append(7 * len(delta) <= len(x) + len(y))
+                sizes.append((len(x), len(y)))
+                deltas.append(delta.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array([i for i, _ in sizes], pa.int32()), pa.array([j for _, j in sizes], pa.int32()), pa.array(list(map(len, deltas)), pa.int32()), pa.array(deltas, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "na", "nb", "e", "delta"],
+            )
+
+
+def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    right = pairs.join(sets.select(F.col("row_id").alias("b"), F.col("grams").alias("right")), "b")
+    return right.join(sets.select(F.col("row_id").alias("a"), F.col("grams").alias("left")), "a").select("a", "b", "left", "right")
+
+
+def judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with linked, both sizes, and delta, what is in one of the sets only (e: how many)."""
+    return _both_sets(pairs, sets).mapInArrow(_judged, "a long, b long, linked boolean, na int, nb int, e int, delta array<long>")
+
+
+def across(judged: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) between components, of members b of the same centre a.
+
+    Members x and y of a centre differ from each other by the symmetric difference of their deltas from it, so
+    linked members have deltas of which at least (e + f - (s + t) / 7) / 2 elements agree (e and f being the
+    deltas' sizes, s and t the sets'). That is at least 1 unless both are linked with the centre, when nothing is
+    left to find. For every band of f, a member keeps the rarest of its delta's elements, all but as many as must
+    agree less one; linked members keep a common one. Near copies of one text thus meet where they share rare
+    edits, not because they share the text."""
+    label = found.select(F.col("id").alias("b"), "component")
+    members = judged.drop("delta").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    spread = members.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a")
+    members = members.join(spread, "a", "left_semi").withColumn("band", F.floor(F.log2("e") * 3 + 1e-9).cast("int"))
+    bands = members.groupBy("a").agg(F.collect_set("band").alias("all"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("loose"))  # some dozens a centre
+
+    def partner(band: Column) -> Column:
+        low, high = F.floor(F.pow(F.lit(2.0), band / 3) - 1e-6), F.ceil(F.pow(F.lit(2.0), (band + 1) / 3) + 1e-6)
+        largest = F.least(F.expr(f"nb * 100 div {PERCENT}"), F.col("na") + high)
+        agree = F.greatest(F.lit(1), F.ceil((F.col("e") + low - (F.col("nb") + largest) / 7) / 2 - 1e-9))
+        keep = F.when(agree <= F.least(F.col("e"), high), F.col("e") - agree + 1).otherwise(0)
+        return F.struct(F.least("band", band).alias("low"), F.greatest("band", band).alias("high"), keep.cast("int").alias("keep"))
+
+    wanted = F.filter(F.transform(F.when(F.col("linked"), F.col("loose")).otherwise(F.col("all")), partner), lambda p: p["keep"] > 0)
+    members = stage(members.join(bands, "a").withColumn("partners", wanted).filter(F.size("partners") > 0).drop("all", "loose"), "members")
+    each = judged.select("a", "b", "delta").join(members.select("a", "b"), ["a", "b"], "left_semi").select("b", F.explode("delta").alias("element"), "a")
+    each = each.select("b", F.xxhash64("a", "element").alias("element"), "a")
+    often = each.groupBy("element").agg(F.count("*").alias("often")).filter("often > 1")
+    own = Window.partitionBy("a", "b")  # what nobody else has comes first and needs no row
+    each = each.join(often, "element").withColumn("place", F.row_number().over(own.orderBy("often", "element"))).withColumn("common", F.count("*").over(own))
+    each = each.join(members, ["a", "b"]).withColumn("rank", F.col("e") - F.col("common") + F.col("place"))
+    each = each.withColumn("p", F.explode("partners")).filter("rank <= p.keep").select("a", "p.low", "p.high", "element", "b", "component", "linked", "band", "nb", "e", "rank")
+    each = stage(each, "edits")
+    key = ["a", "low", "high", "element"]
+    other = each.select(*key, *(F.col(c).alias(f"{c}_") for c in ("b", "component", "linked", "band", "nb", "e", "rank")))
+    pairs = each.join(other, key).filter("b < b_ and component != component_ and not (linked and linked_) and band + band_ = low + high")
+    # of elements in this order, a pair's rarest common one leaves no more than what follows it to agree on
+    pairs = pairs.filter("1 + least(e - rank, e_ - rank_) >= (e + e_ - (nb + nb_) / 7) / 2 - 1e-9")
+    pairs = pairs.filter(F.least("nb", "nb_") * 100 >= F.greatest("nb", "nb_") * PERCENT)
+    return pairs.select(F.col("b").alias("a"), F.col("b_").alias("b")).distinct()
+
+
 def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", "text").mapInArrow(_sets, "row_id long, grams binary")
 
@@ -194,7 +259,7 @@ def _each_shingle(sets: DataFrame) -> DataFrame:
 
 def link_classes(rows: DataFrame) -> DataFrame:
     """rows(row_id, text) of unique row_id: row_id, n_shingles and component (a row_id) of each."""
-    buckets = bucket_count(rows)
+    buckets = bucket_count(rows, 4_000_000)
     both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(_shared, _ROWS), "signatures")
     facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "m0", "m1")
     classes = facts.filter("n > 0").groupBy("a", "b", "n").agg(F.min("row_id").alias("rep"))
@@ -208,22 +273,16 @@ def link_classes(rows: DataFrame) -> DataFrame:
     kept = stage(prune(members), "members")
     survivors = kept.select("row_id").distinct()
     sets = stage(_with_shingles(rows.join(survivors, "row_id", "left_semi")), "sets")
-    near = lambda x, y: (F.least(x, y) * 100 >= PERCENT * F.greatest(x, y))
-    lead = kept.groupBy("sig").agg(F.min(F.struct("row_id", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    stars = (
-        kept.join(lead, "sig").filter(F.col("row_id") != F.col("lead.row_id")).filter(near(F.col("n"), F.col("lead.n")))
-        .select(F.col("lead.row_id").alias("a"), F.col("row_id").alias("b")).distinct()
-    )
-    stars = stage(stars, "pairs")
+    lead = kept.groupBy("sig").agg(F.min("row_id").alias("a"), F.count("*").alias("c")).filter("c > 1")
+    stars = stage(kept.join(lead, "sig").filter("row_id != a").select("a", F.col("row_id").alias("b")).distinct(), "pairs")
     links = stage(verify(stars, sets), "links")
     found = components(links)
-    label = members.join(survivors, "row_id", "left_semi").join(found.withColumnRenamed("id", "row_id"), "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
-    label = stage(label, "labels")
-    spread = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    left = prune(label.join(spread, "sig", "left_semi"))
-    cross = left.select("sig", F.col("row_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(left.select("sig", F.col("row_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")), "sig")
-    cross = cross.filter("ca < cb").filter(near(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stage(verify(stage(cross, "pairs"), sets), "links")
+    root = found.select(F.col("id").alias("a"), F.col("component").alias("root"))
+    centres = kept.join(lead, "sig").select("a", "row_id").distinct().join(root, "a", "left").select(F.coalesce("root", "a").alias("a"), F.col("row_id").alias("b")).filter("a != b").distinct()
+    label = found.select(F.col("id").alias("b"), "component")
+    apart = centres.join(label, "b", "left").filter(F.coalesce("component", "b") != F.col("a")).select("a").distinct()
+    judged = stage(judge(centres.join(apart, "a", "left_semi"), sets), "centres")
+    more = stage(judged.filter("linked").select("a", "b").union(verify(stage(across(judged, found), "pairs"), sets)), "links")
     weak = heads.withColumn("next_band", F.lit(0)).filter(_least_shared(F.lit(0)) < 1).select("row_id")
     if weak.head(1):
         every = _each_shingle(_with_shingles(rows))
@@ -254,3 +313,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+    sh AS (SELECT DISTINCT doc_id, s FROM g), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    reach AS (SELECT DISTINCT a AS root, a AS node FROM e UNION SELECT r.root, e.b FROM reach r JOIN e ON e.a = r.node),
+    m AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.node = d.doc_id
+"""
