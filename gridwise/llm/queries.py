@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
