@@ -79,26 +79,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; base is odd."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 12, 1 << (int(n) - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.ones(size, U64)
-            k = 1
-            while k < size:
-                p[k : 2 * k] = p[:k] * U64(pow(b, k, 1 << 64))
-                k *= 2
-            both.append(p)
-        have = (both[0], both[1])
-        if size <= 1 << 22:
-            _POWERS[base] = have
-    return have
+#: Factors of the bytes of a word, by place; longer words are hashed whole.
+_PLACES = np.array([pow(_WORD_BASE, i, 1 << 64) for i in range(257)], U64)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -150,11 +132,14 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         data = _LOWER[self.data] if lower else self.data
-        up, down = powers(_WORD_BASE, len(data) + 1)
-        total = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-        h = mix((total[self.end] - total[self.start]) * down[self.start])
-        for i in np.flatnonzero(self.end - self.start > 256):  # polynomials modulo 2**64 are weak for long strings
+        if not len(self):
+            return np.zeros(0, U64)
+        size = self.end - self.start
+        begin = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(begin, size)
+        value = (data[place + np.repeat(self.start, size)].astype(U64) + U64(1)) * _PLACES[np.minimum(place, 256)]
+        h = mix(np.add.reduceat(value, begin))
+        for i in np.flatnonzero(size > 256):  # polynomials modulo 2**64 are weak for long strings
             h[i] = int.from_bytes(hashlib.blake2b(data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
         return h
 
@@ -163,10 +148,15 @@ class Words:
         if len(h) < n:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero(self.doc[: len(h) - n + 1] == self.doc[n - 1 :])
-        up, down = powers(base, len(h) + 1)
-        total = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * up[: len(h)], out=total[1:])
-        return at, mix((total[at + n] - total[at]) * down[at])
+        total, done, run, size = None, 0, h, 1  # run: hashes of size words from each place, size doubling
+        while True:
+            if n & size:
+                part = run[done:]
+                total = part if total is None else total[: len(part)] + part[: len(total)] * U64(pow(base, done, 1 << 64))
+                done += size
+            if done == n:
+                return at, mix(total[at])
+            run, size = run[:-size] + run[size:] * U64(pow(base, size, 1 << 64)), 2 * size
 
 
 def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -29,9 +29,9 @@ from gridwise.llm.common import Words, filesystem, new_folder, passes, read, sta
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 #: Bytes of text that are encoded at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 
 #: A run of letters below U+0180 that normalise to themselves and lower-case one by one, then ASCII marks.
@@ -98,7 +98,7 @@ class Encoder:
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Remembers pieces by 64-bit hash."""
-        if len(self.cores) > REMEMBERED // 2:
+        if len(self.cores) > REMEMBERED // 3:
             self.cores.clear()
         ids = self.ids_of(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
