@@ -1,13 +1,17 @@
 """Fusion of repeated measurements into samples.
 
-fused() is an ordered fold for each scan: a measurement updates the established sample that fits it best or begins a
-provisional one, and positions move as they are matched, so the order matters and a scan is one task. Scans are
-independent. layered() is the set-based part: layers within cells, each cell on its own.
+outcomes() is an ordered fold for each scan: a measurement updates the established sample that fits it best, is
+rejected as an outlier of a promoted one, or begins a provisional one. Positions move as they are matched, and
+promotion and outlier rejection depend on neighbours as they stand then, so the order matters and a scan is one task.
+Scans are independent. After the last measurement of a scan, provisional samples are promoted or expire with a reason,
+and of parallel layers close together the weaker, undefended one is a duplicate. Every measurement is in a sample or
+has a row with the reason of its rejection. layered() is the set-based part: layers within cells, each cell on its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -17,46 +21,145 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Largest tangent and plane distance, least agreement of normals, update limits, promotion.
 TANGENT, PLANE, DOT = 0.018, 0.022, math.cos(math.radians(43))
-STEP, SHARE, LAYERS, MOST = 0.003, 0.22, 4, 60_000
+STEP, SHARE, LAYERS = 0.003, 0.22, 4
 PROMOTE_SEEN, PROMOTE_VIEWS, PROMOTE_SPAN = 3, 2, 220.0
-CELL = math.hypot(TANGENT, PLANE)
-FUSED = "scan long, sample long, x double, y double, z double, nx double, ny double, nz double, seen int, views int, first_ms double, last_ms double, promoted boolean"
+#: Samples seen once are recycled after RECYCLE_MS where a cell or the scan is full; outliers of promoted samples.
+RECYCLE_MS, OUTLIER_SEEN, OUTLIER_LEAST, OUTLIER_RMS = 1_200.0, 5, 0.010, 3.5
+#: Coherent neighbours, in the fold and after it; parallel layers.
+NEAR, NEAR_DOT, NEAR_PLANE, SURFACE_DOT, SIDE_DOT = 0.065, 0.90, 0.018, 0.78, 0.62
+PARALLEL_LEAST, PARALLEL_MOST, PARALLEL_DOT, PARALLEL_TANGENT = 0.028, 0.105, 0.94, 0.05
+CELL, LAYER_CELL, TOPOLOGY = math.hypot(TANGENT, PLANE), 0.025, 0.08
+FUSED = "scan long, sample long, x double, y double, z double, nx double, ny double, nz double, seen int, views int, first_ms double, last_ms double, promoted boolean, reason string"
+OUTCOMES = FUSED + ", id long"
+SEND = 20_000
+
+
+def _cell(p: np.ndarray, width: float) -> tuple[int, int, int]:
+    return tuple(math.floor(v / width) for v in p)
+
+
+def _around(grid: dict, at: tuple[int, int, int], reach: int) -> Iterator[int]:
+    for a in range(at[0] - reach, at[0] + reach + 1):
+        for b in range(at[1] - reach, at[1] + reach + 1):
+            for c in range(at[2] - reach, at[2] + reach + 1):
+                yield from grid.get((a, b, c), ())
 
 
 class Fusion:
-    """The samples of one scan. Rows have id, ms, camera cx, cy, cz, position and normal."""
+    """The samples of one scan. Rows have id, ms, camera cx, cy, cz, position and normal.
+
+    most limits the samples of a scan, layers those of a cell; None is no limit. Where one is reached, the sample
+    that was seen once only and waits longest (RECYCLE_MS at least) makes room; without one the measurement is
+    rejected. What is settled before the end (rejected measurements, recycled samples) goes to self.out."""
+
+    def __init__(self, most: int | None = None, layers: int | None = LAYERS):
+        self.samples: dict[int, dict] = {}
+        self.grids = {CELL: {}, LAYER_CELL: {}, NEAR: {}}
+        self.most, self.layers, self.made, self.rejected = most, layers, 0, 0
+        self.waiting: deque[int] = deque()
+        self.out: list[tuple] = []
 
-    def __init__(self, most: int = MOST):
-        self.samples, self.cells, self.most, self.rejected = [], {}, most, 0
+    def place(self, i: int) -> None:
+        q = self.samples[i]
+        q["cells"] = {w: _cell(q["p"], w) for w in self.grids}
+        for w, key in q["cells"].items():
+            self.grids[w].setdefault(key, []).append(i)
+
+    def lift(self, i: int) -> None:
+        for w, key in self.samples[i]["cells"].items():
+            here = self.grids[w][key]
+            here.remove(i)
+            if not here:
+                del self.grids[w][key]
+
+    def support(self, i: int) -> tuple[int, int]:
+        """Neighbours on the same surface seen twice or more, and those of them that are promoted."""
+        q, coherent, canonical = self.samples[i], 0, 0
+        for j in _around(self.grids[NEAR], q["cells"][NEAR], 1):
+            t = self.samples[j]
+            if j == i or t["reason"] or t["seen"] < 2:
+                continue
+            d = q["p"] - t["p"]
+            if float(d @ d) <= NEAR * NEAR and abs(float(q["n"] @ t["n"])) >= NEAR_DOT and abs(float(d @ t["n"])) <= NEAR_PLANE:
+                coherent += 1
+                canonical += t["promoted"]
+        return coherent, canonical
+
+    def promote(self, i: int) -> None:
+        q = self.samples[i]
+        if q["promoted"] or q["seen"] < 2 or q["last"] - q["first"] < PROMOTE_SPAN:
+            return
+        if q["seen"] >= PROMOTE_SEEN and q["views"] >= PROMOTE_VIEWS:
+            q["promoted"] = True
+            return
+        coherent, canonical = self.support(i)
+        q["promoted"] = (q["seen"] >= PROMOTE_SEEN and coherent >= 2) or canonical >= 3
 
-    def near(self, p: np.ndarray) -> Iterator[int]:
-        i, j, k = (math.floor(v / CELL) for v in p)
-        for a in (i - 1, i, i + 1):
-            for b in (j - 1, j, j + 1):
-                for c in (k - 1, k, k + 1):
-                    yield from self.cells.get((a, b, c), ())
+    def reject(self, r: dict, reason: str) -> None:
+        self.rejected += 1
+        self.out.append((None, *(float(r[c]) for c in ("x", "y", "z", "nx", "ny", "nz")), 1, 1, float(r["ms"]), float(r["ms"]), False, reason, int(r["id"])))
+
+    def row(self, i: int) -> tuple:
+        q = self.samples[i]
+        return (i, *map(float, q["p"]), *map(float, q["n"]), q["seen"], q["views"], float(q["first"]), float(q["last"]), q["promoted"], q["reason"], None)
+
+    def weak(self, i: int, ms: float) -> bool:
+        q = self.samples[i]
+        return not q["promoted"] and q["seen"] == 1 and ms - q["last"] >= RECYCLE_MS
+
+    def recycle(self, i: int) -> None:
+        self.samples[i]["reason"] = "recycled"
+        self.out.append(self.row(i))
+        self.lift(i)
+        del self.samples[i]
+
+    def room(self, key: tuple[int, int, int], ms: float) -> str | None:
+        """Makes room for a sample, or says why there is none."""
+        here = self.grids[LAYER_CELL].get(key, ())
+        if self.layers is not None and len(here) >= self.layers:
+            old = [i for i in here if self.weak(i, ms)]
+            if not old:
+                return "layer-capacity"
+            self.recycle(min(old, key=lambda i: self.samples[i]["last"]))
+        if self.most is not None and len(self.samples) >= self.most:
+            while self.waiting:  # in the order they were made
+                i = self.waiting[0]
+                if i in self.samples and self.samples[i]["seen"] == 1 and not self.weak(i, ms):
+                    break
+                self.waiting.popleft()
+                if i in self.samples and self.samples[i]["seen"] == 1:
+                    self.recycle(i)
+                    return None
+            return "scan-capacity"
+        return None
 
     def step(self, r: dict) -> None:
         p, n = np.array((r["x"], r["y"], r["z"])), np.array((r["nx"], r["ny"], r["nz"]))
-        best, score = None, math.inf
-        for s in self.near(p):
+        best, score, plane = None, (math.inf, 0), 0.0
+        for s in _around(self.grids[CELL], _cell(p, CELL), 1):
             q = self.samples[s]
             d = p - q["p"]
             off, dot = abs(float(d @ q["n"])), float(n @ q["n"])
             along = math.sqrt(max(0.0, float(d @ d) - off * off))
             if off <= PLANE and along <= TANGENT and dot >= DOT:
-                value = 1.6 * off / PLANE + along / TANGENT + (1 - dot)
+                value = (1.6 * off / PLANE + along / TANGENT + (1 - dot), s)
                 if value < score:
-                    best, score = q, value
+                    best, score, plane = q, value, off
         camera = np.array((r["cx"], r["cy"], r["cz"]))
         if best is None:
-            key = tuple(math.floor(v / CELL) for v in p)
-            here = self.cells.setdefault(key, [])
-            if len(here) >= LAYERS or len(self.samples) >= self.most:
-                self.rejected += 1
+            full = self.room(_cell(p, LAYER_CELL), r["ms"])
+            if full:
+                self.reject(r, full)
                 return
-            here.append(len(self.samples))
-            self.samples.append({"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "cell": key})
+            i, self.made = self.made, self.made + 1
+            self.samples[i] = {"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "depth2": 0.0, "promoted": False, "reason": None}
+            self.place(i)
+            if self.most is not None:
+                self.waiting.append(i)
+            return
+        rms = math.sqrt(best["depth2"] / max(1, best["seen"] - 1))
+        if best["promoted"] and best["seen"] >= OUTLIER_SEEN and plane > max(OUTLIER_LEAST, OUTLIER_RMS * rms):
+            self.reject(r, "outlier")
             return
         w = min(SHARE, 1 / min(16, best["seen"] + 1))
         move = (p - best["p"]) * w
@@ -64,6 +167,7 @@ class Fusion:
         best["p"] = best["p"] + (move * (STEP / size) if size > STEP else move)
         turned = best["n"] * (1 - w) + n * w
         best["n"] = turned / (np.linalg.norm(turned) or 1.0)
+        best["depth2"] += plane * plane
         best["seen"] += 1
         best["last"] = max(best["last"], r["ms"])
         a, b = best["camera"] - best["p"], camera - best["p"]
@@ -71,30 +175,91 @@ class Fusion:
         cos = float(a @ b) / (float(np.linalg.norm(a) * np.linalg.norm(b)) or 1.0)
         angle = math.degrees(math.acos(max(-1.0, min(1.0, cos))))
         best["views"] = max(best["views"], 3 if base >= 0.3 and angle >= 5 else 2 if base >= 0.08 or angle >= 3 else 1)
-        key = tuple(math.floor(v / CELL) for v in best["p"])
-        if key != best["cell"]:
-            i = next(i for i in self.cells[best["cell"]] if self.samples[i] is best)
-            self.cells[best["cell"]].remove(i)
-            self.cells.setdefault(key, []).append(i)
-            best["cell"] = key
+        if any(_cell(best["p"], w) != key for w, key in best["cells"].items()):
+            self.lift(score[1])
+            self.place(score[1])
+        self.promote(score[1])
 
-    def rows(self, scan: int) -> pd.DataFrame:
-        out = [(scan, i, *q["p"], *q["n"], q["seen"], q["views"], q["first"], q["last"], q["seen"] >= PROMOTE_SEEN and q["views"] >= PROMOTE_VIEWS and q["last"] - q["first"] >= PROMOTE_SPAN) for i, q in enumerate(self.samples)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FUSED.split(", ")])
+    def finish(self) -> None:
+        """Promotes, expires and resolves parallel layers, once all measurements are in."""
+        topology: dict = {}
+        for i, q in self.samples.items():
+            q["at"] = _cell(q["p"], TOPOLOGY)
+            topology.setdefault(q["at"], []).append(i)
+        for i, q in self.samples.items():
+            near = side = 0
+            for j in _around(topology, q["at"], 1):
+                t = self.samples[j]
+                if j == i or t["reason"] or t["seen"] < 2:
+                    continue
+                d = q["p"] - t["p"]
+                if float(d @ d) <= NEAR * NEAR:
+                    dot = abs(float(q["n"] @ t["n"]))
+                    near, side = near + (dot >= SURFACE_DOT), side + (dot <= SIDE_DOT)
+            q["near"], q["side"] = near, side >= 2 and near >= 2
+            if q["promoted"]:
+                continue
+            span = q["last"] - q["first"]
+            q["promoted"] = span >= PROMOTE_SPAN and ((q["seen"] >= PROMOTE_SEEN and (near >= 2 or q["views"] >= PROMOTE_VIEWS)) or (q["seen"] >= 2 and self.support(i)[1] >= 3))
+            if not q["promoted"]:
+                q["reason"] = "insufficient-temporal-support" if q["seen"] < PROMOTE_SEEN or span < PROMOTE_SPAN else "isolated-or-noisy" if near == 0 and q["views"] < PROMOTE_VIEWS else "insufficient-multi-view-support" if q["views"] < PROMOTE_VIEWS else "other"
+        for i, q in self.samples.items():
+            for j in _around(topology, q["at"], 2):
+                if q["reason"]:
+                    break
+                t = self.samples[j]
+                if j <= i or t["reason"]:
+                    continue
+                d = t["p"] - q["p"]
+                d2, apart = float(d @ d), abs(float(d @ q["n"]))
+                if d2 > PARALLEL_MOST**2 or abs(float(q["n"] @ t["n"])) < PARALLEL_DOT or not PARALLEL_LEAST <= apart <= PARALLEL_MOST or math.sqrt(max(0.0, d2 - apart * apart)) > PARALLEL_TANGENT:
+                    continue
+                strength = lambda x: x["seen"] + 2 * x["views"] + (4 if x["side"] else 0)
+                weaker = q if strength(q) < strength(t) else t
+                seen, views = weaker["seen"], weaker["views"]
+                topological = weaker["side"] and seen >= 3 and views >= 2
+                layer = 0.035 <= apart < 0.09 and views >= 2 and seen >= 3 and weaker["near"] >= 3
+                wall = apart >= 0.09 and views >= 3 and seen >= 5 and weaker["near"] >= 3
+                if not (topological or layer or wall):
+                    weaker["reason"] = "duplicate-parallel-layer"
 
+    def take(self) -> list[tuple]:
+        """What is settled since the last call."""
+        out, self.out = self.out, []
+        return out
 
-def fused(measurements: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
-    """Samples of measurements(scan, id, ms, camera cx cy cz, position, normal), fused scan by scan in order."""
+
+def _frame(scan: int, rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in OUTCOMES.split(", ")]
+    out = pd.DataFrame([(scan, *r) for r in rows], columns=names, dtype=object)
+    return out.astype({c: t for c, t in (("x", float), ("y", float), ("z", float), ("nx", float), ("ny", float), ("nz", float), ("first_ms", float), ("last_ms", float), ("sample", "Int64"), ("id", "Int64"))})
+
+
+def outcomes(measurements: DataFrame, order: list[str], most: int | None = None, layers: int | None = LAYERS) -> DataFrame:
+    """Rows of OUTCOMES of measurements(scan, id, ms, camera cx cy cz, position, normal), fused scan by scan in order:
+    samples (reason is null for those that last, else why they went), and rejected measurements (sample is null, id set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = (r for pdf in batches for r in pdf.to_dict("records"))
         for scan, group in groupby(stream, key=lambda r: r["scan"]):
-            state = Fusion(most)
+            state = Fusion(most, layers)
             for r in group:
                 state.step(r)
-            yield state.rows(scan)
+                if len(state.out) >= SEND:
+                    yield _frame(scan, state.take())
+            state.finish()
+            if state.out:
+                yield _frame(scan, state.take())
+            keys = list(state.samples)
+            for lo in range(0, len(keys), SEND):
+                yield _frame(scan, [state.row(i) for i in keys[lo : lo + SEND]])
+
+    return measurements.repartition("scan").sortWithinPartitions("scan", *order).mapInPandas(run, OUTCOMES)
+
 
-    return measurements.repartition("scan").sortWithinPartitions("scan", *order).mapInPandas(run, FUSED)
+def fused(measurements: DataFrame, order: list[str], most: int | None = None, layers: int | None = LAYERS) -> DataFrame:
+    """The samples of outcomes(), also those that went, as rows of FUSED."""
+    return outcomes(measurements, order, most, layers).filter("sample is not null").drop("id")
 
 
 def layered(samples: DataFrame, size: float = 0.05, plane: float = 0.022, dot: float = 0.9, layers: int = 4) -> DataFrame:

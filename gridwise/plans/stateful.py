@@ -77,8 +77,8 @@ def _measurements(spark, sf):
 
 @query("fus1_fusion")
 def fus1(spark, sf):
-    out = fusion.fused(_measurements(spark, sf), ["ms", "id"])
-    return out.select("scan", "sample", r("x", 6).alias("x"), r("y", 6).alias("y"), r("z", 6).alias("z"), "seen", "views", "promoted")
+    out = fusion.outcomes(_measurements(spark, sf), ["ms", "id"])
+    return out.select("scan", "sample", r("x", 6).alias("x"), r("y", 6).alias("y"), r("z", 6).alias("z"), "seen", "views", "promoted", "reason", "id")
 
 
 @query("fus6_layered_field")
