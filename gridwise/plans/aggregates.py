@@ -216,7 +216,16 @@ def agg20(spark, sf):
 
 @query("agg21_mean_colour", f"""WITH {SAMPLES} SELECT frame, round(avg(red), 6) AS red, round(avg(green), 6) AS green, round(avg(blue), 6) AS blue FROM s WHERE id % 2 = 0 GROUP BY frame""")
 def agg21(spark, sf):
-    return samples(spark, sf).filter("id % 2 = 0").groupBy("frame").agg(*(r(F.avg(k)).alias(k) for k in ("red", "green", "blue")))
+    return _mean_colour(samples(spark, sf).filter("id % 2 = 0"))
+
+
+@query("agg21_mean_colour_whole", f"""WITH {SAMPLES} SELECT frame, round(avg(red), 6) AS red, round(avg(green), 6) AS green, round(avg(blue), 6) AS blue FROM s GROUP BY frame""")
+def agg21_whole(spark, sf):
+    return _mean_colour(samples(spark, sf))
+
+
+def _mean_colour(s):
+    return s.groupBy("frame").agg(*(r(F.avg(k)).alias(k) for k in ("red", "green", "blue")))
 
 
 @query("agg22_spacing_histogram", f"""

@@ -188,3 +188,10 @@ def cls7(spark, sf):
 def grp9(spark, sf):
     e = lines(spark, sf).filter("l_quantity > 49 and l_tax < 0.005 and l_discount > 0.045").select((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 40 + 100).alias("b")).distinct()
     return graph.components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
+
+
+@query("grp9_structural_graph_whole")
+def grp9_whole(spark, sf):
+    """The graph of every line: suppliers have even ids, parts odd ones. Recursive SQL is too slow for it."""
+    e = lines(spark, sf).select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+    return graph.components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
