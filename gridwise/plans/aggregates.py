@@ -297,6 +297,13 @@ def agg25(spark, sf):
     return read(spark, sf, "events").select("event_id", "user_id", r(F.sum("value").over(w), 2).alias("total"), F.max("value").over(w).alias("top"), F.count_if(F.col("value") > 16.7).over(w).alias("over_16"), F.count_if(F.col("value") > 33).over(w).alias("over_33"))
 
 
+def _partners(pairs, key, partner, u, v):
+    """Of pairs, those that can be in a best triad of their key: the score grows with u and v, so a partner with another
+    of no less v and more u is out. The margin keeps what the rounding of scores to 9 places could make equal."""
+    top = F.max(u).over(Window.partitionBy(key).orderBy(F.desc(v)))  # peers of equal v included
+    return pairs.withColumn("top", top).filter(F.col(u) > F.col("top") - 1e-8).groupBy(key, u, v).agg(F.min(partner).alias(partner))
+
+
 @query("agg27_best_triad", f"""
     WITH {SAMPLES}, t AS (SELECT a.id AS wall, b.id AS other, c.id AS horizontal, round(.46 * abs(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz) + .24 * cbrt(a.red*b.red*c.red) + .3 * (1 - abs(a.nx*c.nx+a.ny*c.ny+a.nz*c.nz)), 9) AS coherence
       FROM s a JOIN s b ON a.frame = b.frame AND a.id <> b.id JOIN s c ON c.frame = a.frame AND c.id NOT IN (a.id, b.id) WHERE a.id % 10 < 4 AND b.id % 10 BETWEEN 4 AND 6 AND c.id % 10 > 6)
@@ -305,7 +312,12 @@ def agg27(spark, sf):
     s = samples(spark, sf)
     part = lambda lo, hi, p: s.filter((F.col("id") % 10).between(lo, hi)).select("frame", *(F.col(c).alias(p + c) for c in ("id", "nx", "ny", "nz", "red")))
     d = lambda p, q: sum((F.col(f"{p}n{x}") * F.col(f"{q}n{x}") for x in "xyz"), F.lit(0.0))
-    t = part(0, 3, "a").join(part(4, 6, "b"), "frame").join(part(7, 9, "c"), "frame")
+    root = lambda p: F.cbrt(F.col(p + "red"))
+    walls = part(0, 3, "a")
+    others = _partners(walls.join(part(4, 6, "b"), "frame").select("aid", "bid", F.abs(d("a", "b")).alias("u"), root("b").alias("v")), "aid", "bid", "u", "v")
+    flats = _partners(walls.join(part(7, 9, "c"), "frame").select("aid", "cid", (F.lit(1) - F.abs(d("a", "c"))).alias("w"), root("c").alias("z")), "aid", "cid", "w", "z")
+    # the partners' numbers come back with them, so that scores are those of the plain formula
+    t = others.select("aid", "bid").join(flats.select("aid", "cid"), "aid").join(walls, "aid").join(part(4, 6, "b").drop("frame"), "bid").join(part(7, 9, "c").drop("frame"), "cid")
     score = F.abs(d("a", "b")) * 0.46 + F.cbrt(F.col("ared") * F.col("bred") * F.col("cred")) * 0.24 + (F.lit(1) - F.abs(d("a", "c"))) * 0.3
     t = t.withColumn("coherence", r(score, 9))
     best = t.groupBy("aid").agg(F.min(F.struct((-F.col("coherence")).alias("k"), "bid", "cid", "coherence")).alias("m"))
