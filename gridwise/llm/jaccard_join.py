@@ -257,8 +257,9 @@ def _each_shingle(sets: DataFrame) -> DataFrame:
     return sets.select("row_id", F.explode(F.transform(F.sequence(F.lit(1), size - 7, F.lit(8)), lambda i: F.substring("grams", i, F.lit(8)))).alias("gram"))
 
 
-def link_classes(rows: DataFrame) -> DataFrame:
-    """rows(row_id, text) of unique row_id: row_id, n_shingles and component (a row_id) of each."""
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows(row_id, text): all documents' facts, classes of equal sets, their representatives, and the signatures of
+    these that can bring a partner."""
     buckets = bucket_count(rows, 4_000_000)
     both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(_shared, _ROWS), "signatures")
     facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "m0", "m1")
@@ -271,6 +272,25 @@ def link_classes(rows: DataFrame) -> DataFrame:
         .select("sig", "row_id", "next_band", "count", "least", "n")
     )
     kept = stage(prune(members), "members")
+    return facts, classes, heads, kept
+
+
+def _weak(heads: DataFrame) -> DataFrame:
+    return heads.withColumn("next_band", F.lit(0)).filter(_least_shared(F.lit(0)) < 1).select("row_id")
+
+
+def _weak_links(rows: DataFrame, weak: DataFrame) -> DataFrame:
+    """The links (a, b) of weak documents, compared with all that share a shingle with them."""
+    every = _each_shingle(_with_shingles(rows))
+    mine = _each_shingle(_with_shingles(rows.join(weak, "row_id", "left_semi"))).withColumnRenamed("row_id", "w")
+    touched = stage(every.join(mine, "gram").filter("row_id != w").select(F.least("row_id", "w").alias("a"), F.greatest("row_id", "w").alias("b")).distinct(), "pairs")
+    ends = touched.select(F.col("a").alias("row_id")).union(touched.select(F.col("b").alias("row_id"))).distinct()
+    return verify(touched, stage(_with_shingles(rows.join(ends, "row_id", "left_semi")), "sets"))
+
+
+def link_classes(rows: DataFrame) -> DataFrame:
+    """rows(row_id, text) of unique row_id: row_id, n_shingles and component (a row_id) of each."""
+    facts, classes, heads, kept = _candidates(rows)
     survivors = kept.select("row_id").distinct()
     sets = stage(_with_shingles(rows.join(survivors, "row_id", "left_semi")), "sets")
     lead = kept.groupBy("sig").agg(F.min("row_id").alias("a"), F.count("*").alias("c")).filter("c > 1")
@@ -283,19 +303,48 @@ def link_classes(rows: DataFrame) -> DataFrame:
     apart = centres.join(label, "b", "left").filter(F.coalesce("component", "b") != F.col("a")).select("a").distinct()
     judged = stage(judge(centres.join(apart, "a", "left_semi"), sets), "centres")
     more = stage(judged.filter("linked").select("a", "b").union(verify(stage(across(judged, found), "pairs"), sets)), "links")
-    weak = heads.withColumn("next_band", F.lit(0)).filter(_least_shared(F.lit(0)) < 1).select("row_id")
+    weak = _weak(heads)
     if weak.head(1):
-        every = _each_shingle(_with_shingles(rows))
-        mine = _each_shingle(_with_shingles(rows.join(weak, "row_id", "left_semi"))).withColumnRenamed("row_id", "w")
-        touched = stage(every.join(mine, "gram").filter("row_id != w").select(F.least("row_id", "w").alias("a"), F.greatest("row_id", "w").alias("b")).distinct(), "pairs")
-        ends = touched.select(F.col("a").alias("row_id")).union(touched.select(F.col("b").alias("row_id"))).distinct()
-        more = stage(more.union(verify(touched, stage(_with_shingles(rows.join(ends, "row_id", "left_semi")), "sets"))), "links")
+        more = stage(more.union(_weak_links(rows, weak)), "links")
     if more.head(1):
         found = components(links.union(more))
     whole = facts.join(classes, ["a", "b", "n"], "left").withColumn("rep", F.coalesce("rep", "row_id")).select("row_id", "n", "rep")
     return whole.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("row_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
 
 
+def link_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(row_id, text) of unique row_id: (row_id, rep, size), each document's class of equal sets (rep null for empty
+    sets), and all linked pairs (a, b), a < b, of representatives. Every member of a document's class is linked with it and
+    with every member of the classes linked with its own. Members of a signature meet in pairs here, so the work grows
+    with the square of a group of near copies, as its links do."""
+    facts, classes, heads, kept = _candidates(rows)
+    sets = stage(_with_shingles(rows.join(kept.select("row_id").distinct(), "row_id", "left_semi")), "sets")
+    left, right = kept.select("sig", F.col("row_id").alias("a"), F.col("n").alias("na")), kept.select("sig", F.col("row_id").alias("b"), F.col("n").alias("nb"))
+    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+    links = verify(left.join(right, "sig").filter("a < b").filter(close).select("a", "b").distinct(), sets)
+    weak = _weak(heads)
+    if weak.head(1):
+        own = heads.select("row_id")
+        found = _weak_links(rows, weak)
+        found = found.join(own.withColumnRenamed("row_id", "a"), "a", "left_semi").join(own.withColumnRenamed("row_id", "b"), "b", "left_semi")
+        links = links.union(found.select("a", "b")).distinct()
+    sizes = facts.filter("n > 0").groupBy("a", "b", "n").agg(F.count("*").alias("size"))
+    members = facts.join(classes, ["a", "b", "n"], "left").join(sizes, ["a", "b", "n"], "left").select("row_id", "rep", "size")
+    return members, stage(links, "links")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text): doc_id and n_links, how many other rows its row is linked with directly."""
+    rows = numbered(docs)
+    members, links = link_pairs(rows.select("row_id", "text"))
+    members = stage(members, "members")
+    size = members.filter("row_id = rep").select(F.col("rep").alias("b"), F.col("size").alias("others"))
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    counted = members.join(near, "rep", "left").select("row_id", (F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "row_id").join(counted, "row_id").select("doc_id", "n_links")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those linked, directly or not, with a smaller doc_id."""
     rows = numbered(docs, docs.columns)
