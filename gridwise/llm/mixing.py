@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from gridwise.llm.common import WORD, Words, read, stage
 
@@ -213,7 +214,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """The documents, (doc_id, source, size, text_hash, start, source_size, target), and the pieces that
-    the slots read of them, (doc_id, text_hash, start, shard, slot, from_word, n_words)."""
+    the slots read of them, (doc_id, source_no, source, text_hash, start, shard, slot, from_word, n_words)."""
     spark = docs.sparkSession
     sizes = stage(measured(docs), "mix-sizes")
     sources = sources_of(sizes, weights, share, most)
@@ -227,7 +228,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEI
     pieces = (
         blocks.join(slots(spark, sources, block, seed), ["source_no", "block"])
         .filter(hi > lo)
-        .select("doc_id", "text_hash", "start", "shard", "slot", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
+        .join(F.broadcast(table.select("source_no", "source")), "source_no")  # one row a source
+        .select("doc_id", "source_no", "source", "text_hash", "start", "shard", "slot", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
     )
     return placed.join(table, "source_no"), pieces
 
@@ -235,20 +237,22 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEI
 def taken(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each document."""
     placed, pieces = mix(docs, **how)
-    words = pieces.groupBy("doc_id", "start").agg(F.sum("n_words").alias("taken"))
-    out = placed.join(words.withColumnsRenamed({"doc_id": "d", "start": "s"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("size") > 0), "left")
+    words = pieces.groupBy("source_no", "doc_id", "start").agg(F.sum("n_words").alias("taken"))
+    same = (F.col("source_no") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("size") > 0)
+    out = placed.join(words.withColumnsRenamed({"source_no": "n", "doc_id": "d", "start": "s"}), same, "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of rows (..., text, pieces): texts cut at word borders, what stands between words kept."""
+    """The pieces of rows (..., text, pieces): texts cut at word borders, what stands between words kept; then shard, slot
+    and position, the piece's first word in its source."""
     for batch in batches:
         rows = batch.num_rows
         names = batch.schema.names[:-1]
         at = names.index("text")
         for lo in range(0, rows, 200):
             part = batch.slice(lo, 200)
-            which, texts = [], []
+            which, texts, places = [], [], []
             for i, (text, pieces) in enumerate(zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True)):
                 raw = (text or "").encode()
                 words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
@@ -258,18 +262,37 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = len(raw) if b == len(words) else words.end[b - 1]
                     which.append(i)
                     texts.append(raw[begin:end].decode())
+                    places.append((p["shard"], p["slot"], p["start"] + a))
             out = part.select(names).take(pa.array(which, pa.int64()))
             sizes = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([sizes.get(n, out.column(i)).cast(out.schema.field(i).type) for i, n in enumerate(names)], names)
+            columns = [sizes.get(n, out.column(i)).cast(out.schema.field(i).type) for i, n in enumerate(names)]
+            at_place = [pa.array([x[k] for x in places], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *at_place], [*names, "shard", "slot", "position"])
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as rows like docs: one for each piece that a slot reads of a document, its text and n_chars cut to the piece."""
+def _mixed(docs: DataFrame, **how) -> DataFrame:
+    """One row for each piece that a slot reads of a document: docs' columns, text and n_chars cut to the piece, and its place."""
     _, pieces = mix(docs, **how)
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), "text_hash"]
-    pieces = pieces.select(*key, "from_word", "n_words").groupBy("_key", "text_hash").agg(F.collect_list(F.struct("from_word", "n_words")).alias("_pieces"))
-    texts = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *key).dropDuplicates(["_key", "text_hash"])
-    return texts.join(pieces, ["_key", "text_hash"]).select(*docs.columns, "_pieces").mapInArrow(_cut, docs.schema)
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null apart from ''
+    keys = ["_key", "_source", "text_hash"]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), source.alias("_source"), "text_hash"]
+    piece = ["from_word", "n_words", "start", "shard", "slot"]
+    pieces = pieces.select(*key, *piece).groupBy(*keys).agg(F.collect_list(F.struct(*piece)).alias("_pieces"))
+    texts = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *key).dropDuplicates(keys)
+    place = StructType().add("shard", IntegerType()).add("slot", LongType()).add("position", LongType())
+    return texts.join(pieces, keys).select(*docs.columns, "_pieces").mapInArrow(_cut, StructType(docs.schema.fields + place.fields))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows like docs, in no order."""
+    return _mixed(docs, **how).select(*docs.columns)
+
+
+def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
+    """The mix in its order: docs' columns with shard, source, slot and position. A shard is in one partition, its slots
+    are shuffled by a keyed hash, and a slot's pieces follow one another as in the source."""
+    order = [F.xxhash64("shard", F.col("source").cast("string"), "slot"), F.col("source").cast("string"), F.col("slot"), F.col("position")]
+    return _mixed(docs, **how).repartition("shard").sortWithinPartitions("shard", *order)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
