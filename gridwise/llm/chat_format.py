@@ -3,8 +3,10 @@
 A conversation's turns follow one another by (turn, role, text). Their token counts are summed up; a new
 window begins where the tokens of its new turns would pass the budget. Each window holds the system turn
 (a first turn of role `system`), then turns repeated from just before it as history, up to a limit, then
-its new turns. Loss spans cover the new assistant texts only, so every assistant text is learnt once and
-repeated ones are masked. A single turn above the budget is a window of its own.
+its new turns. Of the history, the oldest turns are left out where the first new turn would pass the budget
+with them. Loss spans cover the new assistant texts only, so every assistant text is learnt once and
+repeated ones are masked. Only a turn that is above the budget alone, or with the system turn, makes a
+window above it, with no other turn.
 
 The template marks turns with control strings; a control string inside a role or text gets a backslash
 after its first character, and one that already has backslashes there gets one more, which is undone by
@@ -95,6 +97,8 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int, coun
                 keep.append(t)
             past, new, first_new, number = keep[::-1], [], seen, number + 1
             used = (system[2] if system is not None else 0) + sum(t[2] for t in past)
+            while past and used + turn[2] > budget:
+                used -= past.pop(0)[2]
         if seen == 0 and role == "system":
             system = turn
         new.append(turn)
