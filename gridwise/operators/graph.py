@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -50,8 +50,21 @@ def grow(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataF
     return reached
 
 
+def placed(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with name, their place (from 1) in a total order: ranges are numbered each on its own, from the count before."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    bases, seen = [], 0
+    for part, count in sorted(map(tuple, ranged.groupBy("_range").count().collect())):  # one row a range
+        bases.append((part, seen))
+        seen += count
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    bases = F.broadcast(spark.createDataFrame(bases, "_range int, _base long"))
+    return ranged.withColumn(name, local).join(bases, "_range").withColumn(name, F.col("_base") + F.col(name)).drop("_range", "_base")
+
+
 def stable_ids(groups: DataFrame, key: str, *order: Column, prefix: str) -> DataFrame:
     """groups with name, prefix-1, prefix-2, ... in the given order (one row a group)."""
-    from pyspark.sql import Window
-
-    return groups.withColumn("name", F.concat(F.lit(prefix + "-"), F.row_number().over(Window.orderBy(*order, F.col(key))).cast("string")))
+    out = placed(groups, "name", *order, F.col(key).asc())
+    return out.withColumn("name", F.concat(F.lit(prefix + "-"), F.col("name").cast("string")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from gridwise.functions import camera, colour, numeric as num, rules, vector as vm
+from gridwise.operators import graph
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINE_ORDER, LINES, POSES, SAMPLES, lines, poses, read, samples
 
@@ -311,7 +312,7 @@ def win8(spark, sf):
 
 @query("srt1_total_sort", "SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
 def srt1(spark, sf):
-    return read(spark, sf, "supplier").withColumn("place", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))).select("s_suppkey", "s_name", "place")
+    return graph.placed(read(spark, sf, "supplier"), "place", F.desc("s_acctbal"), F.col("s_suppkey").asc()).select("s_suppkey", "s_name", "place")
 
 
 @query("srt2_top_k_per_key", "SELECT o_custkey, o_orderkey, k FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
