@@ -3,14 +3,24 @@
 A document's set is its distinct five-word shingles (A-Z lower-cased). Two documents link when
 100 * intersection >= 75 * union, which bounds their symmetric difference: (s + t) // 7 for sizes s and t.
 
-Sizes fall into bands [2**j, 2**(j+1)). A band has a fixed partition of the shingle domain into cells, more of
-them than the largest difference breaks, and a document's signatures are the contents of its non-empty cells
-(its own band's, and the next band's where a partner may be that large). Of m non-empty cells a linked
-partner of difference k leaves at least m - k untouched, so linked documents share at least that many
+Sizes fall into bands [2**j, 2**(j+1)). A band has a fixed partition of the shingle domain into parts, and of every
+part into CELLS cells. Of each part a document's signatures are the contents of the subsets of CELLS - 1 cells:
+every subset is enumerated, empty contents and repeated ones left out (its own band's, and the next band's where a
+partner may be that large). Two documents that differ by one shingle in a part still agree on the subset that leaves its
+cell out; only a second difference in the part can cost the last one. There are more parts than half the largest
+difference of the band breaks, so linked documents share a signature.
+
+How many they share at least follows from a document's own parts. Let a of its parts have several non-empty cells
+(CELLS signatures each) and b one (a single signature). The first difference in a part of the former kind costs at
+most CELLS - 1 signatures, the second one more; in one of the latter kind the only one. So a linked partner of
+difference k shares at least
+
+    least = CELLS a + b - (CELLS - 1) min(k, a) - min(max(k - a, 0), a + b)
+
 signatures. This count is used twice, without loss:
 
-* a document with fewer than m - k signatures that anyone else has can have no partner;
-* every document leaves out its m - k - 1 commonest signatures (by count, then hash, an order that all
+* a document with fewer than least signatures that anyone else has can have no partner;
+* every document leaves out its least - 1 commonest signatures (by count, then hash, an order that all
   documents agree on): the rarest one that a pair shares stays in both.
 
 So a passage that many documents share drops out before any pair is formed. Copies of one set are one class
@@ -18,8 +28,8 @@ with one representative. What is left is verified exactly: first each member of
 smallest member; then, where the members of such stars still lie in several components, pairs across these
 that share rare differences from the first one's root (see across()). Groups are never expanded into all pairs.
 
-A document with m - k <= 0 by chance of hashing ("weak"; for the cells used here less than one in 10**9)
-is compared with all documents that share a shingle with it.
+A document with least <= 0 by chance of hashing ("weak"; with the parts used here its mean is eight or more deviations
+above, at every size) is compared with all documents that share a shingle with it.
 
 Texts without words (and null ones) have an empty set, link with nothing and are their own component;
 shorter texts than five words have their whole sequence as one shingle; repeated doc_ids are separate rows;
@@ -38,30 +48,55 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from gridwise.llm.common import Words, bucket_count, components, mix, numbered, passes, read, scattered, shingle_sets, stage, strings, unpack_all
 
 SHINGLE, PERCENT = 5, 75
+#: Cells of a part; subsets of all but one of them are signatures. (With more cells, a part of few filled cells would have
+#: fewer distinct subsets than least_shared() counts.)
+CELLS = 3
 GATHER = 800_000
-_ROWS = "kind int, row_id long, a long, b long, n int, m0 int, m1 int"
+_ROWS = "kind int, row_id long, a long, b long, n int, least0 int, least1 int"
 
 
-def cells(band: np.ndarray) -> np.ndarray:
-    """Cells of the domain's partition for sizes from 2**band."""
+def parts(band: np.ndarray) -> np.ndarray:
+    """Parts of the domain for sizes from 2**band."""
     low = np.left_shift(np.int64(1), band)
-    return np.where(band < 4, 1024, np.where(band < 6, 8 * low, np.where(band < 8, 2 * low, (9 * low + 9) // 10)))
+    return np.where(band < 4, 256, np.where(band < 6, 4 * low, np.where(band < 8, (7 * low + 9) // 10, (9 * low + 19) // 20)))
+
 
+def least_shared(several: np.ndarray, single: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Signatures that a partner of difference k shares at least with a document of these parts."""
+    return CELLS * several + single - (CELLS - 1) * np.minimum(k, several) - np.minimum(np.maximum(k - several, 0), several + single)
 
-def _signatures(doc: np.ndarray, grams: np.ndarray, band: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The non-empty cells of each document under its band's partition: document, signature, cells a document."""
-    width = cells(band)
+
+def _signatures(doc: np.ndarray, grams: np.ndarray, band: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct contents of each document's subsets of CELLS - 1 cells of a part, under its band's partition:
+    document, signature, and for each document the number that a partner of difference k shares at least."""
+    docs = len(band)
+    width = parts(band)
     base = np.concatenate(([0], np.cumsum(width)))
-    cell = (mix(grams + band[doc].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(11)) % width[doc].astype(np.uint64)
-    at = base[doc] + cell.astype(np.int64)
-    content, filled = np.zeros(int(base[-1]), np.uint64), np.zeros(int(base[-1]), bool)
+    cell = (mix(grams + band[doc].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(11)) % (width[doc] * CELLS).astype(np.uint64)
+    at = base[doc] * CELLS + cell.astype(np.int64)
+    content, filled = np.zeros(int(base[-1]) * CELLS, np.uint64), np.zeros(int(base[-1]) * CELLS, bool)
     np.add.at(content, at, mix(grams ^ np.uint64(0x9FB21C651E98DF25)))
     filled[at] = True
-    on = np.flatnonzero(filled)
-    owner = np.searchsorted(base, on, side="right") - 1
-    number = (on - base[owner]).astype(np.uint64)
-    sig = mix(content[on] + mix(number * np.uint64(64) + band[owner].astype(np.uint64)))
-    return owner, sig, np.bincount(owner, minlength=docs)
+    used = np.flatnonzero(filled.reshape(-1, CELLS).any(axis=1))
+    content, filled = content.reshape(-1, CELLS)[used], filled.reshape(-1, CELLS)[used]
+    several = filled.sum(axis=1) > 1
+    kept = np.ones(filled.shape, bool)  # by the cell left out: with one cell filled, all other subsets are the same
+    kept[~several] = False
+    kept[np.flatnonzero(~several), (filled[~several].argmax(axis=1) + 1) % CELLS] = True
+    which, left_out = np.nonzero(kept)
+    whole = content.sum(axis=1)
+    owner = np.searchsorted(base, used, side="right") - 1
+    number = (used - base[owner]).astype(np.uint64)
+    place = mix(number * np.uint64(64) + band[owner].astype(np.uint64))
+    sig = mix(whole[which] - content[which, left_out] + place[which])
+    count = lambda on: np.bincount(owner[on], minlength=docs)
+    return owner[which], sig, least_shared(count(several), count(~several), k)
+
+
+def differences(size: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest difference from a linked partner of the same band, and of any size."""
+    top = size * 100 // PERCENT
+    return (size + np.minimum(top, np.left_shift(np.int64(2), band) - 1)) // 7, (size + top) // 7
 
 
 def bands(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +109,8 @@ def _deal(buckets: int):
     """Per task: (bucket, packed signatures and documents) and (bucket, packed facts of documents)."""
 
     def send(held: list, facts: list) -> pa.RecordBatch:
-        names = ["bucket", "sig", "doc", "next", "f_doc", "f_one", "f_two", "f_n", "f_m0", "f_m1"]
-        doc, one, two, size, m0, m1 = map(np.concatenate, zip(*facts, strict=True))
+        names = ["bucket", "sig", "doc", "next", "f_doc", "f_one", "f_two", "f_n", "f_least0", "f_least1"]
+        doc, one, two, size, least0, least1 = map(np.concatenate, zip(*facts, strict=True))
         order = np.lexsort((doc, two, one))  # of equal sets in this task, the smallest document speaks for all
         same = np.zeros(len(doc), bool)
         same[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
@@ -83,7 +118,7 @@ def _deal(buckets: int):
         on = ~same[owner]
         owner, sig, nxt = owner[on], sig[on], nxt[on]
         b1, (s, d, x) = scattered((sig >> np.uint64(32)).astype(np.int64) % buckets, [sig.astype(np.uint32), doc[owner], nxt])
-        b2, f = scattered((mix(one) % np.uint64(buckets)).astype(np.int64), [doc, one, two, size.astype(np.int32), m0.astype(np.int32), m1.astype(np.int32)])
+        b2, f = scattered((mix(one) % np.uint64(buckets)).astype(np.int64), [doc, one, two, size.astype(np.int32), least0.astype(np.int32), least1.astype(np.int32)])
         none1, none2 = [None] * len(b1), [None] * len(b2)
         return pa.RecordBatch.from_arrays([pa.array(b1 + b2, pa.int32()), *(pa.array(c + none2, pa.binary()) for c in (s, d, x)), *(pa.array(none1 + c, pa.binary()) for c in f)], names)
 
@@ -100,12 +135,13 @@ def _deal(buckets: int):
                 np.add.at(two, doc, mix(grams ^ np.uint64(0xC2B2AE3D27D4EB4F)))
                 one, two = mix(one + size.astype(np.uint64)), mix(two)
                 band, wide = bands(size)
-                owner, sig, m0 = _signatures(doc, grams, band, docs)
+                k0, k1 = differences(size, band)
+                owner, sig, least0 = _signatures(doc, grams, band, k0)
                 held.append((owner + seen, sig, np.zeros(len(sig), np.uint8)))
                 big = wide[doc]
-                owner, sig, m1 = _signatures(doc[big], grams[big], np.where(wide, band + 1, 0), docs)
+                owner, sig, least1 = _signatures(doc[big], grams[big], np.where(wide, band + 1, 0), k1)
                 held.append((owner + seen, sig, np.ones(len(sig), np.uint8)))
-                facts.append((ids[lo:hi], one, two, size, m0, m1))
+                facts.append((ids[lo:hi], one, two, size, least0, least1))
                 n, seen = n + len(held[-1][1]) + len(held[-2][1]), seen + docs
                 if n >= GATHER:
                     yield send(held, facts)
@@ -116,7 +152,7 @@ def _deal(buckets: int):
     return run
 
 
-_DEALT = "bucket int, sig binary, doc binary, next binary, f_doc binary, f_one binary, f_two binary, f_n binary, f_m0 binary, f_m1 binary"
+_DEALT = "bucket int, sig binary, doc binary, next binary, f_doc binary, f_one binary, f_two binary, f_n binary, f_least0 binary, f_least1 binary"
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,26 +166,18 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     count = np.repeat(np.diff(np.concatenate((cut, [len(s)]))), np.diff(np.concatenate((cut, [len(s)]))))
     on = count > 1
     at, zero = order[on], np.zeros(int(on.sum()), np.int32)
-    facts = {c: unpack_all(group["f_" + c], t) for c, t in (("doc", np.int64), ("one", np.uint64), ("two", np.uint64), ("n", np.int32), ("m0", np.int32), ("m1", np.int32))}
+    facts = {c: unpack_all(group["f_" + c], t) for c, t in (("doc", np.int64), ("one", np.uint64), ("two", np.uint64), ("n", np.int32), ("least0", np.int32), ("least1", np.int32))}
     return pd.DataFrame({
         "kind": np.concatenate((zero, np.ones(len(facts["doc"]), np.int32))),
         "row_id": np.concatenate((doc[at], facts["doc"])),
         "a": np.concatenate(((np.int64(bucket) << 32) | sig[at].astype(np.int64), facts["one"].view(np.int64))),
         "b": np.concatenate((count[on].astype(np.int64), facts["two"].view(np.int64))),
         "n": np.concatenate((nxt[at].astype(np.int32), facts["n"])),
-        "m0": np.concatenate((zero, facts["m0"])),
-        "m1": np.concatenate((zero, facts["m1"])),
+        "least0": np.concatenate((zero, facts["least0"])),
+        "least1": np.concatenate((zero, facts["least1"])),
     })
 
 
-def _least_shared(next_band: Column) -> Column:
-    """m - k: the signatures that a linked partner shares at least."""
-    top = F.expr(f"n * 100 div {PERCENT}")
-    own_top = F.least(top, F.expr("shiftleft(1L, length(bin(n))) - 1"))
-    k = lambda partner: F.floor((F.col("n") + partner) / 7).cast("int")
-    return F.when(next_band == 1, F.col("m1") - k(top)).otherwise(F.col("m0") - k(own_top))
-
-
 def prune(members: DataFrame) -> DataFrame:
     """members(sig, row_id, next_band, count, least) that can still bring a partner."""
     own = Window.partitionBy("row_id", "next_band")
@@ -218,9 +246,13 @@ def across(judged: DataFrame, found: DataFrame) -> DataFrame:
     edits, not because they share the text."""
     label = found.select(F.col("id").alias("b"), "component")
     members = judged.drop("delta").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
-    spread = members.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("a")
-    members = members.join(spread, "a", "left_semi").withColumn("band", F.floor(F.log2("e") * 3 + 1e-9).cast("int"))
-    bands = members.groupBy("a").agg(F.collect_set("band").alias("all"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("loose"))  # some dozens a centre
+    members = stage(members.withColumn("band", F.floor(F.log2("e") * 3 + 1e-9).cast("int")), "members")
+    bands = members.groupBy("a").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.collect_set("band").alias("all"), F.collect_set(F.when(~F.col("linked"), F.col("band"))).alias("loose"),  # some dozens a centre
+    ).filter("lo < hi").drop("lo", "hi")
+    # a table of its own: the members of a large centre then only meet a row each, and may be split
+    bands = stage(bands, "bands")
 
     def partner(band: Column) -> Column:
         low, high = F.floor(F.pow(F.lit(2.0), band / 3) - 1e-6), F.ceil(F.pow(F.lit(2.0), (band + 1) / 3) + 1e-6)
@@ -240,6 +272,9 @@ def across(judged: DataFrame, found: DataFrame) -> DataFrame:
     each = each.withColumn("p", F.explode("partners")).filter("rank <= p.keep").select("a", "p.low", "p.high", "element", "b", "component", "linked", "band", "nb", "e", "rank")
     each = stage(each, "edits")
     key = ["a", "low", "high", "element"]
+    # members that all lie in one component have nothing left to find
+    mixed = each.groupBy(*key).agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last").select(*key)
+    each = stage(each.join(mixed, key, "left_semi"), "edits")
     other = each.select(*key, *(F.col(c).alias(f"{c}_") for c in ("b", "component", "linked", "band", "nb", "e", "rank")))
     pairs = each.join(other, key).filter("b < b_ and component != component_ and not (linked and linked_) and band + band_ = low + high")
     # of elements in this order, a pair's rarest common one leaves no more than what follows it to agree on
@@ -262,13 +297,13 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     these that can bring a partner."""
     buckets = bucket_count(rows, 4_000_000)
     both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(_shared, _ROWS), "signatures")
-    facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "m0", "m1")
+    facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "least0", "least1")
     classes = facts.filter("n > 0").groupBy("a", "b", "n").agg(F.min("row_id").alias("rep"))
-    heads = facts.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", "m0", "m1")
+    heads = facts.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", "least0", "least1")
     members = (
         both.filter("kind = 0").select("row_id", F.col("a").alias("sig"), F.col("b").alias("count"), F.col("n").alias("next_band"))
         .join(heads, "row_id")
-        .withColumn("least", F.greatest(_least_shared(F.col("next_band")), F.lit(1)))
+        .withColumn("least", F.greatest(F.when(F.col("next_band") == 1, F.col("least1")).otherwise(F.col("least0")), F.lit(1)))
         .select("sig", "row_id", "next_band", "count", "least", "n")
     )
     kept = stage(prune(members), "members")
@@ -276,7 +311,7 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
 
 
 def _weak(heads: DataFrame) -> DataFrame:
-    return heads.withColumn("next_band", F.lit(0)).filter(_least_shared(F.lit(0)) < 1).select("row_id")
+    return heads.filter("least0 < 1").select("row_id")
 
 
 def _weak_links(rows: DataFrame, weak: DataFrame) -> DataFrame:
