@@ -233,7 +233,7 @@ def scattered(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int],
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
-    ends = [*cut[1:].tolist(), len(b)]
+    ends = [*cut[1:].tolist(), len(b)][: len(cut)]
     moved = [c[order] for c in columns]
     return b[cut].tolist(), [[pack(c[i:j]) for i, j in zip(cut.tolist(), ends, strict=True)] for c in moved]
 
