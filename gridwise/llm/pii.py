@@ -5,11 +5,15 @@ addresses and calendar dates are found, validated and replaced by another value
 value's index among all values of that format goes through a keyed Feistel permutation (walked back into range).
 The same value gets the same pseudonym in every document, a valid number stays valid, and restore() with the
 key undoes it. Separators, country codes, e-mail domains and letter case stay. Digits that are
-not valid as any of these stay as they are.
+not valid as any of these stay as they are. The key is an argument without a default.
 
-Where matches of several kinds overlap, the first to begin wins, then the kind's order in KINDS. Null texts
-stay null, empty texts empty; repeated rows are treated alike; empty tables give an empty result; other
-columns are ignored.
+Where matches of several kinds overlap, the first to begin wins, then the kind's order in KINDS. A card number or
+an IBAN may be followed by groups that look like more of it (an expiry date, a security code, a short word): its
+groups are tried from the fewest on, and the first valid ones are taken. Pseudonyms of longer ones are walked on
+until no fewer groups of them are valid, so that restore() finds the same ones.
+
+Null texts stay null, empty texts empty; a text of any length is read whole, as one string; repeated rows are treated
+alike and each keep a row; empty tables give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridwise.llm.common import read
 
-KEY = "change-me"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "date", "ip", "phone")
 _FORMS = {
@@ -35,10 +39,13 @@ _FORMS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w.+-])(?:1[.-])?[2-9]\d{2}(?P<{sep}>[.-])[2-9]\d{2}(?P={sep})\d{4}(?![\w-]|\.\d)",
 }
-_EACH = {kind: re.compile(_FORMS[kind]) for kind in KINDS}
-_PATTERN = re.compile("|".join(f"(?:{_FORMS[kind]})" for kind in KINDS))
+_EACH = {kind: re.compile(_FORMS[kind].replace("{sep}", "sep")) for kind in KINDS}
+_PATTERN = re.compile("|".join(f"(?:{_FORMS[kind]})" for kind in KINDS).replace("{sep}", "sep"))
+#: Letters and digits of the kinds whose groups are tried from the fewest on.
+_GROUPED = {"card": (13, 19), "iban": (15, 34)}
 
 
 # ---- the permutation -----------------------------------------------------------------------------
@@ -111,12 +118,31 @@ def _email(value: str, key: bytes, back: bool) -> str | None:
     return _refill(local, _mixed(plain, key, "email/" + domain.lower(), back)) + "@" + domain
 
 
+def ends(kind: str, value: str) -> list[int]:
+    """Where a match may end: after each of its groups that makes it long enough, else at its own end."""
+    if kind not in _GROUPED:
+        return [len(value)]
+    least, most = _GROUPED[kind]
+    stops = [m.start() for m in re.finditer(r"[ -]", value)] + [len(value)]
+    return [e for e in stops if least <= sum(c not in " -" for c in value[:e]) <= most]
+
+
+def _is_card(value: str) -> bool:
+    digits = re.sub(r"[ -]", "", value)
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
 def _card(value: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", value)
-    if luhn_digit(digits[:-1]) != digits[-1]:
+    if not _is_card(value):
         return None
-    body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, 'card', back):0{len(digits) - 1}d}"
-    return _refill(value, body + luhn_digit(body))
+    digits = re.sub(r"[ -]", "", value)
+    n = len(digits) - 1
+    while True:
+        body = f"{permute(int(digits[:-1]), 10**n, key, 'card', back):0{n}d}"
+        digits = body + luhn_digit(body)
+        new = _refill(value, digits)
+        if not any(_is_card(new[:e]) for e in ends("card", new)[:-1]):
+            return new
 
 
 def _ssn(value: str, key: bytes, back: bool) -> str | None:
@@ -152,15 +178,30 @@ def _ip(value: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _iban(value: str, key: bytes, back: bool) -> str | None:
+def _is_iban(value: str) -> bool:
     plain = value.replace(" ", "")
-    if not 15 <= len(plain) <= 34 or iban_check(plain[:2], plain[4:]) != plain[2:4]:
+    return iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def _iban(value: str, key: bytes, back: bool) -> str | None:
+    if not _is_iban(value):
         return None
-    rest = _mixed(plain[4:], key, "iban/" + plain[:2], back)
-    return _refill(value, plain[:2] + iban_check(plain[:2], rest) + rest)
+    plain = value.replace(" ", "")
+    country, rest = plain[:2], plain[4:]
+    while True:
+        rest = _mixed(rest, key, "iban/" + country, back)
+        new = _refill(value, country + iban_check(country, rest) + rest)
+        if not any(_is_iban(new[:e]) for e in ends("iban", new)[:-1]):
+            return new
 
 
 def _phone(value: str, key: bytes, back: bool) -> str | None:
+    if value[0] not in "+(":  # area code and exchange do not begin with 0 or 1
+        digits = re.sub(r"\D", "", value)[-10:]
+        x = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
+        x, line = divmod(permute(x, 800 * 800 * 10_000, key, "phone", back), 10_000)
+        area, exchange = divmod(x, 800)
+        return value[:-12] + _refill(value[-12:], f"{area + 200}{exchange + 200}{line:04d}")
     head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
     keep = head[0] if head else ""
     digits = re.sub(r"\D", "", value[len(keep) :])
@@ -177,32 +218,33 @@ def _pseudonym(kind: str, value: str, key: bytes, back: bool) -> str | None:
     return _REPLACE[kind](value, key, back)
 
 
-def pseudonymise(text: str, key: str = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts: dict[str, int] = {}
     if not re.search("[0-9@]", text):
         return text, counts
-    secret, out, at, pos = key.encode(), [], 0, 0
+    secret, out, at, pos = hashlib.sha256(key.encode()).digest(), [], 0, 0
     while m := _PATTERN.search(text, pos):
         for kind in KINDS:
             found = _EACH[kind].match(text, m.start())
-            new = found and _pseudonym(kind, found[0], secret, back)
+            tried = ((e, _pseudonym(kind, found[0][:e], secret, back)) for e in (ends(kind, found[0]) if found else ()))
+            end, new = next((x for x in tried if x[1] is not None), (0, None))
             if new is not None:
                 counts[kind] = counts.get(kind, 0) + 1
                 out += [text[at : m.start()], new]
-                at = pos = found.end()
+                at = pos = m.start() + end
                 break
         else:  # valid as none: look again after its first run of letters and digits
             pos = m.start() + max(1, len(re.match(r"[\w+]*", m[0])[0]))
     return "".join([*out, text[at:]]), counts
 
 
-def restore(text: str, key: str = KEY) -> str:
+def restore(text: str, key: str) -> str:
     """The text before pseudonymise() with the same key."""
     return pseudonymise(text, key, back=True)[0]
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """Each row of docs(doc_id, text): doc_id, text with pseudonyms, n_replaced, and a count of each kind."""
     names = ["doc_id", "text", "n_replaced", *(f"n_{k}" for k in KINDS)]
 
@@ -218,5 +260,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     return text.mapInArrow(run, "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS))
 
 
+@lru_cache(maxsize=1)
+def _drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read(spark, sf_dir, "documents"))
+    """With the key of spark.gridwise.pii.key; where that is unset, with one drawn for this driver."""
+    return pseudonymised(read(spark, sf_dir, "documents"), spark.conf.get("spark.gridwise.pii.key", None) or _drawn_key())

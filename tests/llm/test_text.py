@@ -49,9 +49,9 @@ def test_permutations_are_permutations(size):
 
 def test_pii_rows(spark):
     rows = spark.createDataFrame([(1, None, 1), (1, "", 1), (2, "8.8.8.8", 1)], SCHEMA + ", n_card int")
-    got = sorted((r["doc_id"], r["text"] or "", r["n_replaced"]) for r in pii.pseudonymised(rows).collect())
-    assert [g[2] for g in got] == [0, 0, 1] and pii.restore(got[2][1]) == "8.8.8.8"
-    assert pii.pseudonymised(spark.createDataFrame([], SCHEMA)).collect() == []
+    got = sorted((r["doc_id"], r["text"] or "", r["n_replaced"]) for r in pii.pseudonymised(rows, "k").collect())
+    assert [g[2] for g in got] == [0, 0, 1] and pii.restore(got[2][1], "k") == "8.8.8.8"
+    assert pii.pseudonymised(spark.createDataFrame([], SCHEMA), "k").collect() == []
 
 
 def test_rules_equal_brute_force(spark):
