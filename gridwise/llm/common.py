@@ -41,8 +41,19 @@ def _own_scratch() -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder where it is unset (tests on one machine)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_scratch()).rstrip("/")
+    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary folder, on one machine only."""
+    folder, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a shared folder for tables between steps")
+    return (folder or _own_scratch()).rstrip("/")
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, with underscores before it as long as one of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:

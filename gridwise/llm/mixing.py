@@ -6,15 +6,18 @@ ascending doc_id order, are one stream of words cut into blocks. A source's targ
 passes over its blocks, then a last pass that ends at the target (its last slot is cut short). Each output
 shard draws how many of its slots every source fills, from a multinomial conditioned on the sources' totals.
 Slot k of a source reads block perm(k mod blocks), perm being a keyed permutation of the source's block
-numbers, so that slots and blocks meet in a join by (source, block).
+numbers, so that slots and blocks meet in a join by (source, block). The draws of a shard depend on the seed and on
+the sources' totals alone, and are made in the tasks that list its slots.
 
 Prefix sums over documents use range partitions of (source, doc_id) and one base a partition and source,
-so a source of any size is spread out. What reaches the driver is one row a source and one a partition
-and source.
+so a source of any size is spread out. What reaches the driver is one row a source (sources are a list that people
+write weights for) and one a partition and source that has rows there.
 
 Null and empty texts have size 0 and take nothing; a null source is a source of its own, after the others;
-equal doc_ids each keep a row; empty tables and tables without words give targets of 0; other columns are
-ignored. The same rows give the same mix, whatever their partitions.
+equal doc_ids each keep a row, in each source; a text of any length is cut across blocks; empty tables and tables
+without words give targets of 0. Other columns are ignored by taken(), whatever their names, and kept by
+mixed_documents(); mixed_blocks() replaces columns named shard, slot and position by its own. The same rows give the
+same mix, whatever their partitions.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from gridwise.llm.common import WORD, Words, read, stage
+from gridwise.llm.common import WORD, Words, free, read, stage
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, SHARD_BLOCKS, SEED = 512, 256, 20
+#: Counts from which a draw uses the normal form of its distribution.
+MANY = 100_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -178,34 +184,67 @@ def slots(spark: SparkSession, sources: pd.DataFrame, block: int, seed: int, sha
         n, last = slots_for(int(r.source_size), int(np.floor(r.target + 0.5)), block, f"{seed}/{r.source}")
         plan.append((int(r.source_no), f"{seed}/{r.source}", -(-int(r.source_size) // block), n, last))
     total = sum(p[3] for p in plan)
-    shards = max(1, -(-total // shard_blocks))
-    rng = np.random.default_rng(seed)
-    left = np.array([p[3] for p in plan], np.int64)
-    draws = []  # (shard, first slot of each source there)
-    for shard in range(shards):
-        n = total // shards + (shard < total % shards)
-        drawn = _draw(rng, left, n)
-        taken = np.array([p[3] for p in plan], np.int64) - left
-        draws += [(shard, no, int(taken[no]), int(drawn[no])) for no in np.flatnonzero(drawn).tolist()]
-        left = left - drawn
-    table = {p[0]: p for p in plan}
+    shards = -(-total // shard_blocks)
+    counts = [p[3] for p in plan]
 
     def read_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, no, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                _, key, blocks, slots_in_all, last = table[no]
-                k = np.arange(first, first + n)
-                words = np.full(n, block, np.int64)
-                words[k == slots_in_all - 1] = last
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard, np.int32)), "slot": pa.array(k), "source_no": pa.array(np.full(n, no, np.int32)), "block": pa.array(Permutation(blocks, key).of(k % blocks)), "n_words": pa.array(words)})
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            for shard, before, drawn in shard_draws(counts, shards, int(ids[0]), int(ids[-1]) + 1, seed):
+                for (no, key, blocks, slots_in_all, last), first, n in zip(plan, before, drawn, strict=True):
+                    if not n:
+                        continue
+                    k = np.arange(first, first + n)
+                    words = np.full(n, block, np.int64)
+                    words[k == slots_in_all - 1] = last
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(n, shard, np.int32)), "slot": pa.array(k), "source_no": pa.array(np.full(n, no, np.int32)), "block": pa.array(Permutation(blocks, key).of(k % blocks)), "n_words": pa.array(words)})
+
+    each = spark.range(0, shards, 1, max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return each.mapInArrow(read_slots, "shard int, slot long, source_no int, block long, n_words long")
+
+
+def _share(rng, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good ones; by the normal form where the counts are large."""
+    if not bad or not good:
+        return n if good else 0
+    if good < MANY and bad < MANY:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    deviation = (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    return min(max(round(n * good / total) + round(rng.normal(0, deviation)), n - bad, 0), good, n)
+
+
+def _split(rng, left: list[int], n: int) -> list[int]:
+    """n slots from what the sources have left: a multinomial without replacement."""
+    out, rest = [], sum(left)
+    for count in left:
+        rest -= count
+        out.append(_share(rng, count, rest, n))
+        n -= out[-1]
+    return out
 
-    draws = spark.createDataFrame(pd.DataFrame(draws, columns=["shard", "source_no", "first", "n"]).astype({"shard": "int32", "source_no": "int32"}) if draws else [], "shard int, source_no int, first long, n long")
-    return draws.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(read_slots, "shard int, slot long, source_no int, block long, n_words long")
 
+def shard_draws(counts: list[int], shards: int, first: int, end: int, seed: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, slots of each source in the shards before it, its own slots of each) for the shards first to end - 1.
 
-def _draw(rng, left: np.ndarray, n: int) -> np.ndarray:
-    """n slots from what the sources have left: a multinomial without replacement."""
-    return rng.multivariate_hypergeometric(left, n, method="marginals") if len(left) else np.zeros(0, np.int64)
+    A range of shards is split in halves; how many of its slots of each source go to the first half is drawn with a
+    seed of the range's own. So any task draws the same for a shard, and only what lies above its shards."""
+    each, more = divmod(sum(counts), max(1, shards))
+    size = lambda lo, hi: (hi - lo) * each + max(0, min(hi, more) - min(lo, more))
+    todo = [(0, shards, list(counts), [0] * len(counts))]
+    while todo:
+        lo, hi, mine, before = todo.pop()
+        if hi <= first or lo >= end or lo >= hi:
+            continue
+        if hi - lo == 1:
+            yield lo, before, mine
+            continue
+        mid = (lo + hi) // 2
+        here = _split(np.random.default_rng([seed, lo, hi]), mine, size(lo, mid))
+        todo.append((mid, hi, [a - b for a, b in zip(mine, here, strict=True)], [a + b for a, b in zip(before, here, strict=True)]))
+        todo.append((lo, mid, here, before))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -243,7 +282,7 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], place=("shard", "slot", "position")) -> Iterator[pa.RecordBatch]:
     """The pieces of rows (..., text, pieces): texts cut at word borders, what stands between words kept; then shard, slot
     and position, the piece's first word in its source."""
     for batch in batches:
@@ -267,32 +306,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             columns = [sizes.get(n, out.column(i)).cast(out.schema.field(i).type) for i, n in enumerate(names)]
             at_place = [pa.array([x[k] for x in places], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *at_place], [*names, "shard", "slot", "position"])
+            yield pa.RecordBatch.from_arrays([*columns, *at_place], [*names, *place])
 
 
-def _mixed(docs: DataFrame, **how) -> DataFrame:
-    """One row for each piece that a slot reads of a document: docs' columns, text and n_chars cut to the piece, and its place."""
+def _mixed(docs: DataFrame, names: list[str], **how) -> DataFrame:
+    """One row for each piece that a slot reads of a document: docs' columns, text and n_chars cut to the piece, and its
+    place under these names."""
     _, pieces = mix(docs, **how)
-    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null apart from ''
-    keys = ["_key", "_source", "text_hash"]
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), source.alias("_source"), "text_hash"]
+    key = lambda row: [F.coalesce(F.col(row + "doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(row + "source").cast("string")), F.lit("")).alias("source_key")]  # noqa: E731  null apart from ''
+    keys = ["key", "source_key", "text_hash"]
     piece = ["from_word", "n_words", "start", "shard", "slot"]
-    pieces = pieces.select(*key, *piece).groupBy(*keys).agg(F.collect_list(F.struct(*piece)).alias("_pieces"))
-    texts = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string"))).select(*docs.columns, *key).dropDuplicates(keys)
-    place = StructType().add("shard", IntegerType()).add("slot", LongType()).add("position", LongType())
-    return texts.join(pieces, keys).select(*docs.columns, "_pieces").mapInArrow(_cut, StructType(docs.schema.fields + place.fields))
+    pieces = pieces.select(*key(""), "text_hash", *piece).groupBy(*keys).agg(F.collect_list(F.struct(*piece)).alias("pieces"))
+    texts = docs.select(F.struct("*").alias("row")).select("row", *key("row."), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash")).dropDuplicates(keys)
+    rows = texts.join(pieces, keys).select("row.*", F.col("pieces").alias(free(docs.columns, "pieces")))
+    place = StructType().add(names[0], IntegerType()).add(names[1], LongType()).add(names[2], LongType())
+    return rows.mapInArrow(partial(_cut, place=tuple(names)), StructType(docs.schema.fields + place.fields))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows like docs, in no order."""
-    return _mixed(docs, **how).select(*docs.columns)
+    names = [free(docs.columns, c) for c in ("shard", "slot", "position")]
+    return _mixed(docs, names, **how).drop(*names)
 
 
 def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
     """The mix in its order: docs' columns with shard, source, slot and position. A shard is in one partition, its slots
     are shuffled by a keyed hash, and a slot's pieces follow one another as in the source."""
+    names = ["shard", "slot", "position"]
+    docs = docs.drop(*names)
     order = [F.xxhash64("shard", F.col("source").cast("string"), "slot"), F.col("source").cast("string"), F.col("slot"), F.col("position")]
-    return _mixed(docs, **how).repartition("shard").sortWithinPartitions("shard", *order)
+    return _mixed(docs, names, **how).repartition("shard").sortWithinPartitions("shard", *order)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

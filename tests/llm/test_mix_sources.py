@@ -50,3 +50,55 @@ def test_blocks_come_in_order(spark):
     assert all(words == stream[key[1]][at : at + len(words)] and at % 64 == 0 for key, at, words in blocks)
     slots = [(k[1], k[2]) for k, _, _ in blocks]
     assert slots != sorted(slots, key=str)
+
+
+def test_taken_equals_reading_every_slot(spark):
+    """Brute force: each slot of the plan reads its block of the source's words, one word at a time."""
+    rows = [(d % 37, "w " * (3 + 11 * d % 97), None, SOURCES[d % 5], 0) for d in range(90)] + [(7, None, None, "a", 0), (8, "", None, None, 0), (9, "x " * 3000, None, "b", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    order = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(brute.words(r[1])) for r in rows if r[3] == s) for s in order]
+    words = {i: [(d, len(t)) for d, t in sorted((r[0], brute.words(r[1])) for r in rows if r[3] == s) for _ in t] for i, s in enumerate(order)}
+    plan = mixing.pd.DataFrame({"source": mixing.pd.Series(order, dtype=object), "source_no": range(5), "source_size": sizes, "target": mixing.targets(mixing.np.array(sizes))})
+    want = Counter()
+    for r in mixing.slots(spark, plan, 32, mixing.SEED, 4).collect():
+        for word in words[r["source_no"]][r["block"] * 32 :][: min(32, r["n_words"])]:
+            want[r["source_no"], *word] += 1
+    got = Counter()
+    numbers = {s: i for i, s in enumerate(sizes)}
+    for r in mixing.taken(df, block=32).collect():
+        got[numbers[r["source_size"]], r["doc_id"], r["size"]] += r["taken"]
+    assert len(numbers) == 5 and got == want
+
+
+def test_draws_agree_wherever_they_are_made():
+    counts = [1000, 0, 37, 512]
+    whole = list(mixing.shard_draws(counts, 9, 0, 9, 20))
+    assert [s for s, _, _ in whole] == list(range(9))
+    assert [sum(d) for _, _, d in whole] == [173] + [172] * 8 and sum(counts) == 173 + 172 * 8
+    assert [sum(x) for x in zip(*(d for _, _, d in whole), strict=True)] == counts
+    before = [0] * 4
+    for _, first, drawn in whole:
+        assert first == before and min(drawn) >= 0
+        before = [a + b for a, b in zip(before, drawn, strict=True)]
+    for i in range(9):
+        assert list(mixing.shard_draws(counts, 9, i, i + 1, 20)) == [whole[i]]
+    assert list(mixing.shard_draws(counts, 9, 0, 9, 21)) != whole
+    big = [3 * 10**12, 10**12, 5]
+    shards = sum(big) // 256
+    for shard, first, drawn in mixing.shard_draws(big, shards, shards // 2, shards // 2 + 3, 20):
+        assert sum(drawn) in (256, 257) and 150 < drawn[0] < 235 and first[0] / sum(first) > 0.74
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(1, "a b c", "s", 7, 8, 9, 10, 11), (1, "a b c", "s", 7, 8, 9, 10, 11), (None, None, None, None, None, None, None, None)]
+    names = "doc_id long, text string, source string, text_hash long, key long, pieces long, shard long, _shard long"
+    df = spark.createDataFrame(rows, names)
+    out = mixing.mixed_documents(df, block=2)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sum(len(r["text"].split()) for r in got) == 9 and {tuple(r)[2:] for r in got} == {("s", 7, 8, 9, 10, 11)}
+    blocks = mixing.mixed_blocks(df, block=2)
+    assert blocks.columns == ["doc_id", "text", "source", "text_hash", "key", "pieces", "_shard", "shard", "slot", "position"] and blocks.count() == len(got)
+    assert sorted(r["taken"] for r in mixing.taken(df, block=2).collect())[0] == 0
+    assert mixing.mixed_documents(df.limit(0)).collect() == []
