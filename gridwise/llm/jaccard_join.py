@@ -32,8 +32,9 @@ A document with least <= 0 by chance of hashing ("weak"; with the parts used her
 above, at every size) is compared with all documents that share a shingle with it.
 
 Texts without words (and null ones) have an empty set, link with nothing and are their own component;
-shorter texts than five words have their whole sequence as one shingle; repeated doc_ids are separate rows;
-empty tables give empty results; other columns are ignored.
+shorter texts than five words have their whole sequence as one shingle; a text of any length is one set, in memory
+once; repeated doc_ids are separate rows, also with equal texts; empty tables give empty results; other columns are
+ignored, whatever their names, and kept by one_of_each().
 """
 
 from __future__ import annotations
@@ -381,10 +382,11 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those linked, directly or not, with a smaller doc_id."""
-    rows = numbered(docs, docs.columns)
+    """The rows of docs, with all their columns, without those linked, directly or not, with a smaller doc_id (of equal
+    ones, the first in order of the text)."""
+    rows = numbered(docs.select("doc_id", "text", F.struct("*").alias("row")), ["doc_id", "text", "row"])
     heads = link_classes(rows.select("row_id", "text")).filter("row_id = component").select("row_id")
-    return rows.join(heads, "row_id", "left_semi").select(*docs.columns)
+    return rows.join(heads, "row_id", "left_semi").select("row.*")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

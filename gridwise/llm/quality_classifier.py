@@ -10,8 +10,9 @@ whose crc32(doc_id as text) mod 3 is not 1. The sample goes to one task; the mod
 broadcast. Scoring reads every text once, without a shuffle.
 
 A doc_id with several labels counts once, by the mean of its labels (1 from one half). Null and empty texts
-get the score of the bias; without any usable label all scores are 0.5; repeated rows are scored alike; empty
-tables give an empty result; a null doc_id is not held out; labels, lang, source and doc_id never enter a score.
+get the score of the bias; a text of any length is scored whole; without any usable label all scores are 0.5; repeated
+rows are scored alike; empty tables give an empty result; a null doc_id is not held out; labels, lang, source and doc_id
+never enter a score. Other columns, also one named score, are ignored by classify() and kept as they are by accepted().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridwise.llm.common import Words, mix, passes, read, strings
+from gridwise.llm.common import Words, free, mix, passes, read, strings
 
 BITS, TRAIN_ROWS, EPOCHS = 18, 6_000, 3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 1e-5, 1e-6
@@ -97,8 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     return np.frombuffer(made[0]["model"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """Every row of docs with score, 0 to 1."""
+def score(docs: DataFrame, model: np.ndarray, name: str = "score") -> DataFrame:
+    """Every row of docs with its score, 0 to 1, in a new column."""
     spark, at = docs.sparkSession, docs.columns.index("text")
     shared = spark.sparkContext.broadcast(model)
 
@@ -112,11 +113,11 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
                     first = np.searchsorted(doc, np.arange(hi - lo + 1))
                     total = np.concatenate(([0.0], np.cumsum(w[place], dtype=np.float64)))
                     out[lo:hi] += weight * (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -128,7 +129,8 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 def accepted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that the classifier predicts to be good."""
-    return score(docs, fit(docs, labels, rows)).filter("score >= 0.5").select(*docs.columns)
+    name = free(docs.columns, "score")
+    return score(docs, fit(docs, labels, rows), name).filter(F.col(name) >= 0.5).drop(name)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
