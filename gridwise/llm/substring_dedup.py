@@ -8,14 +8,14 @@ Anchors are ANCHOR-word hashes at the positions that COVER holds modulo PERIOD.
 some shift below PERIOD brings both onto the cover, so two equal windows share an anchor at the same
 place inside them (WIDTH = ANCHOR + PERIOD - 1). Only windows around an anchor that occurs twice can
 repeat; these are extended to the whole window and compared by its hash: one shuffle of anchors, one of
-windows. Each pass first merges equal values within a task, so a passage that many documents share
+windows (64 bits, with 32 bits of a second hash beside them; anchors need only be candidates). Each pass first merges equal values within a task, so a passage that many documents share
 sends one entry a task, and the entries travel as packed arrays in buckets whose number follows
 the size of the corpus. A window travels with the smallest of its inner anchors, as its neighbours mostly
 do, so repeats come back as runs.
 
 Null and empty texts, and texts of fewer than WIDTH words, lose nothing; repeated doc_ids are told apart
-by text (equal rows one after another), a null doc_id comes first; an empty table gives an empty result;
-other columns are ignored.
+by text (equal rows one after another), a null doc_id comes first; a text of any length is one pass; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,25 +36,36 @@ GATHER = 1_500_000
 
 _COVERED = np.zeros(PERIOD, bool)
 _COVERED[list(COVER)] = True
-_ENTRIES = "bucket int, key binary, doc binary, at binary, known_doc binary, known_at binary"
+_ENTRIES = "bucket int, key binary, check binary, doc binary, at binary, known_doc binary, known_at binary"
 
 
-def _sent(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, home: np.ndarray, buckets: int, mark_first: bool) -> pa.RecordBatch:
-    """One entry for each distinct key, the earliest; the others go, already known to repeat, with their
-    document. mark_first: the earliest of several is known to repeat too."""
-    order = np.lexsort((at, docs, keys))
+def _new(keys: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    """Where another key begins, of keys in order."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    if check is not None:
+        new[1:] |= check[1:] != check[:-1]
+    return new
+
+
+def _sent(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, home: np.ndarray, buckets: int, mark_first: bool, check: np.ndarray | None = None) -> pa.RecordBatch:
+    """One entry for each distinct key (with its check), the earliest; the others go, already known to repeat, with
+    their document. mark_first: the earliest of several is known to repeat too."""
+    order = np.lexsort((at, docs, keys) if check is None else (at, docs, check, keys))
     keys, docs, at, home = keys[order], docs[order], at[order], home[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    check = None if check is None else check[order]
+    first = _new(keys, check)
     known = ~first
     if mark_first and len(keys):
-        known = known | np.concatenate((keys[1:] == keys[:-1], [False]))
-    b1, (k, d, a) = scattered((home[first] % np.uint64(buckets)).astype(np.int64), [keys[first], docs[first], at[first]])
+        known = known | np.append(known[1:], False)
+    sent = [keys[first], docs[first], at[first]] + ([] if check is None else [check[first]])
+    b1, (k, d, a, *c) = scattered((home[first] % np.uint64(buckets)).astype(np.int64), sent)
     kb = (mix(docs[known].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     b2, (kd, ka) = scattered(kb, [docs[known], at[known]])
     none = [None] * len(b2)
     return pa.RecordBatch.from_arrays(
-        [pa.array(b1 + b2, pa.int32()), *(pa.array(x, pa.binary()) for x in (k + none, d + none, a + none, [None] * len(b1) + kd, [None] * len(b1) + ka))],
-        ["bucket", "key", "doc", "at", "known_doc", "known_at"],
+        [pa.array(b1 + b2, pa.int32()), *(pa.array(x, pa.binary()) for x in (k + none, (c[0] if c else [None] * len(b1)) + none, d + none, a + none, [None] * len(b1) + kd, [None] * len(b1) + ka))],
+        ["bucket", "key", "check", "doc", "at", "known_doc", "known_at"],
     )
 
 
@@ -113,6 +124,7 @@ def _windows(buckets: int):
                 starts, keys = words.ngrams(h, WIDTH, base=0x8CB92BA72F3D8DD7)
                 if not len(starts):
                     continue
+                check = (words.ngrams(mix(h + np.uint64(0x2545F4914F6CDD1D)), WIDTH)[1] >> np.uint64(32)).astype(np.uint32)
                 marked = np.repeat(words.first[np.arange(hi - lo)], sizes[lo:hi]) + where[before[lo] : before[hi]]
                 near = np.zeros(len(words) + PERIOD, np.int32)  # windows that hold a repeated anchor begin up to PERIOD - 1 words before it
                 np.add.at(near, marked + 1, -1)
@@ -124,25 +136,24 @@ def _windows(buckets: int):
                     smallest[: len(smallest) - step] = np.minimum(smallest[: len(smallest) - step], smallest[step:])
                 starts, keys = starts[on], keys[on]
                 doc = words.doc[starts]
-                held.append((keys, ids[lo:hi][doc], (starts - words.first[doc]).astype(np.int32), smallest[starts]))
+                held.append((keys, ids[lo:hi][doc], (starts - words.first[doc]).astype(np.int32), smallest[starts], check[on]))
                 n += len(starts)
                 if n >= GATHER:
-                    yield _sent(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+                    *found, check = map(np.concatenate, zip(*held, strict=True))
+                    yield _sent(*found, buckets, False, check)
                     held, n = [], 0
         if n:
-            yield _sent(*map(np.concatenate, zip(*held, strict=True)), buckets, False)
+            *found, check = map(np.concatenate, zip(*held, strict=True))
+            yield _sent(*found, buckets, False, check)
 
     return run
 
 
 def _later(group: pd.DataFrame) -> pd.DataFrame:
     """Runs of windows of a bucket that have an equal, earlier one."""
-    keys, docs, at = (unpack_all(group[c], t) for c, t in (("key", np.uint64), ("doc", np.int64), ("at", np.int32)))
-    order = np.lexsort((at, docs, keys))
-    k = keys[order]
-    again = np.zeros(len(k), bool)
-    again[1:] = k[1:] == k[:-1]
-    on = order[again]
+    keys, check, docs, at = (unpack_all(group[c], t) for c, t in (("key", np.uint64), ("check", np.uint32), ("doc", np.int64), ("at", np.int32)))
+    order = np.lexsort((at, docs, check, keys))
+    on = order[~_new(keys[order], check[order])]
     docs = np.concatenate((docs[on], unpack_all(group["known_doc"], np.int64)))
     at = np.concatenate((at[on], unpack_all(group["known_at"], np.int32))).astype(np.int64)
     order = np.lexsort((at, docs))
