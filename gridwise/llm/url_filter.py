@@ -7,7 +7,7 @@ then the whole digests must agree. The longest rule that fits wins; of equal rul
 rule the verdict is allow.
 
 Null URLs and those without `://` have an empty host and path and fit no rule; repeated rows are judged
-alike, once; empty tables (of pages or of rules) give an empty result or allow all; other columns of pages
+alike, once, and each keep a row; a URL of any length is judged whole; empty tables (of pages or of rules) give an empty result or allow all; other columns of pages
 stay out of the way and are not returned.
 """
 
@@ -54,9 +54,11 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best"))
     )
-    return judged.join(found, ["host", "path"], "left").select(
+    with_host = judged.filter("host != ''").join(found, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit("allow")).alias("verdict")
-    )
+    )
+    # all that have no host, however many, are one key: they need no join
+    return with_host.unionByName(judged.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
