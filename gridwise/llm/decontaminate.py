@@ -9,14 +9,17 @@ similarity if enough of its shingles are items' shingles of that length, so only
 fingerprinted: 64 bits, the signs of the weighted sum of shingle hash bits. Fingerprints are cut into BLOCKS
 of 8 bits, each indexed with all values within RADIUS // BLOCKS bits: if two fingerprints differ in at most
 RADIUS bits, some block differs in no more than that. What the blocks find within the radius is verified
-exactly. (At the similarity threshold fingerprints differ in 11 bits on average, deviation 3; the
-radius is four deviations above.)
+exactly. Of 405,000 random windows as far from an item as the threshold lets them be, of 1 to 196 shingles, the
+furthest differed in 25 bits (9 in more than 23); tests/llm/test_radius.py repeats a part of that and measures what
+the whole search finds.
 
 Items are the stated query set; they are compared in blocks of ITEMS_AT_ONCE, a bounded index that goes
-along with the task. Documents are read without a shuffle.
+along with the task. Documents are read without a shuffle, once a block; with several blocks each one's result is a
+table in the shared folder, so the driver holds one block at a time.
 
-Null and empty texts and items leak nothing; repeated rows of documents and items each give rows; of equally
-similar windows the first is reported; empty tables give an empty result; other columns are ignored.
+Null and empty texts and items leak nothing; a text of any length is searched whole; repeated rows of documents and
+items each give rows; of equally similar windows the first is reported; empty tables give an empty result; other
+columns are ignored by leaks(), whatever their names, and kept by without_leaks().
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm.common import Words, passes, read, strings
+from gridwise.llm.common import Words, passes, read, stage, strings
 
 SHINGLE, SIMILARITY = 5, 0.75
-RADIUS, BLOCKS = 23, 8
+RADIUS, BLOCKS = 31, 8
 ITEMS_AT_ONCE = 20_000
 _FOUND = "doc_id long, item_id long, similarity double, first_word long, window_words long, n_windows long"
 _FILTER_BITS = 22
@@ -71,7 +74,7 @@ class Index:
                 continue
             mine = grams[cut[i] : cut[i + 1]]
             if size < SHINGLE:
-                self.short.setdefault(size, []).append((item_id, h[words.first[i] : words.first[i + 1]]))
+                self.short.setdefault(size, []).append((_one_gram(h[words.first[i] : words.first[i + 1]]), item_id))
                 continue
             k = len(self.items)
             self.items.append((item_id, Counter(mine.tolist()), int(_fingerprints(_bits(mine).sum(0, keepdims=True))[0])))
@@ -91,6 +94,7 @@ class Index:
             mine = prints.view(np.uint8).reshape(-1, BLOCKS)
             tables = [[np.flatnonzero(close[v][mine[:, b]]) for v in range(256)] for b in range(BLOCKS)]
             self.blocks[size] = (np.array(members), prints, tables)
+        self.short = {size: _by_hash(members) for size, members in self.short.items()}
 
     def near(self, size: int, fingerprint: np.uint64) -> list[int]:
         """Items of a size whose fingerprint is within RADIUS, by their blocks."""
@@ -158,14 +162,15 @@ def _search(index: Index):
                     i, j, a, b = cut[d], cut[d + 1], first[d], first[d + 1]
                     for item, found in index.leaks(grams[a:b], hit[i:j] - a, k[i:j], int(words.count[d])).items():
                         rows.append((ids[lo + d].as_py(), index.items[item][0], *found))
-                for size, items in index.short.items():
+                for size, (known, items) in index.short.items():
                     at, grams = words.ngrams(h, size)
-                    for item_id, own in items:
-                        one = _one_gram(own)
-                        on = np.flatnonzero(grams == one)
-                        for d, n in Counter(words.doc[at[on]].tolist()).items():
-                            start = at[on][words.doc[at[on]] == d][0] - words.first[d]
-                            rows.append((ids[lo + d].as_py(), item_id, 1.0, int(start), size, n))
+                    k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    on = np.flatnonzero(known[k] == grams)
+                    seen: dict[tuple[int, int], list[int]] = {}
+                    for d, item, start in zip(words.doc[at[on]].tolist(), k[on].tolist(), at[on].tolist(), strict=True):
+                        seen.setdefault((d, item), [start, 0])[1] += 1
+                    for (d, item), (start, n) in seen.items():
+                        rows += [(ids[lo + d].as_py(), item_id, 1.0, int(start - words.first[d]), size, n) for item_id in items[item]]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
@@ -188,6 +193,14 @@ def _clean(index: Index, at: int):
     return run
 
 
+def _by_hash(members: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, list[list[int]]]:
+    """The distinct hashes in order, and the items of each."""
+    items: dict[int, list[int]] = {}
+    for h, item_id in members:
+        items.setdefault(int(h), []).append(item_id)
+    return np.array(sorted(items), np.uint64), [items[h] for h in sorted(items)]
+
+
 def _one_gram(h: np.ndarray) -> np.uint64:
     """The hash that Words.ngrams gives a run of these words."""
     w = Words(np.zeros(0, np.uint8), np.zeros(1, np.int64))
@@ -195,26 +208,30 @@ def _one_gram(h: np.ndarray) -> np.uint64:
     return w.ngrams(h, len(h))[1][0]
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The items of benchmark(item_id, text), ITEMS_AT_ONCE in an index; one block is on the driver at a time."""
+def indexes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """The items of benchmark(item_id, text), ITEMS_AT_ONCE in an index, and whether it is the last one."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
-    while block := [(r[0], r[1]) for r in islice(rows, ITEMS_AT_ONCE)]:
-        yield Index(block)
+    block = list(islice(rows, ITEMS_AT_ONCE))
+    while block:
+        following = list(islice(rows, ITEMS_AT_ONCE))
+        yield Index([(r[0], r[1]) for r in block]), not following
+        block = following
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, window_words, n_windows) of every leak of
     benchmark(item_id, text) in docs(doc_id, text): the most similar window and the number of windows."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [text.mapInArrow(_search(index), _FOUND) for index in indexes(benchmark)]
+    found = [text.mapInArrow(_search(index), _FOUND) if last else stage(text.mapInArrow(_search(index), _FOUND), "leaks") for index, last in indexes(benchmark)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], _FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item of the benchmark."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index, last in indexes(benchmark):
         docs = docs.mapInArrow(_clean(index, at), docs.schema)
+        docs = docs if last else stage(docs, "without-leaks")
     return docs
 
 
