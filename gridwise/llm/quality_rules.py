@@ -8,8 +8,9 @@ judge. The bands and the share are parameters. The least ratios lie above what w
 letters and random printable ASCII reach at that length, and below prose; under 75 bytes the two do not
 differ in their ratios, and only the largest ratio counts.
 
-Null and empty texts have no words and fail the base rules; equal rows are judged alike; an empty table
-gives an empty result; other columns are ignored.
+Null and empty texts have no words and fail the base rules; a text of any length is judged whole and compressed
+chunk by chunk; equal rows are judged alike; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

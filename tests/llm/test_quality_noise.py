@@ -61,3 +61,35 @@ def test_prose_is_kept(spark):
     assert len(docs) > 100 and not low
     assert verdict(b"we do not go to it as it is up to me or him if he is in or on it")[2]
     assert verdict(b"the cat sat on a mat and I saw it go in to the tub at ten by an oak")[2]
+
+
+def test_verdicts_equal_brute_force(spark):
+    """The verdict over again, from the parameters: base rules, the band of the whole text, bands of its chunks."""
+    import brute
+    import zstandard
+    from data import documents
+
+    def ratio(raw):
+        return len(raw) / len(zstandard.ZstdCompressor(level=3).compress(raw))
+
+    def inside(raw):
+        for below, least, most in q.WHOLE_BANDS:
+            if below is None or len(raw) < below:
+                return least <= ratio(raw) <= most
+
+    rng = random.Random(12)
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) if rng.random() < 0.9 else " " for _ in range(n))
+    docs = documents(6, 90) + [(1000 + i, noise(rng.randrange(100, 9_000))) for i in range(20)]
+    docs += [(2000 + i, (docs[14][1] or "")[: 3_000 + 500 * i] + " " + noise(300 + 700 * i)) for i in range(14)]
+    got = {r["doc_id"]: r for r in q.quality_rules(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    verdicts = set()
+    for doc, text in docs:
+        raw = (text or "").encode()
+        parts = [raw[i : i + 4_096] for i in range(0, len(raw), 4_096)]
+        if parts and len(parts[-1]) < 1_024:
+            parts[-1] = raw[-1_024:]
+        bad = sum(not inside(p) for p in parts)
+        want = not brute.quality_base(text)[-1] and inside(raw) and 2 * bad <= len(parts)
+        assert (got[doc]["kept"], got[doc]["n_chunks"], got[doc]["n_bad_chunks"]) == (want, len(parts), bad), doc
+        verdicts.add((want, brute.quality_base(text)[-1], bad > 0, bool(raw) and inside(raw)))
+    assert len(verdicts) >= 5
