@@ -13,9 +13,10 @@ after its first character, and one that already has backslashes there gets one m
 taking one away.
 
 Null texts and roles are empty; repeated rows are separate turns; rows with null conv_id or turn form the
-null conversation or come first; an empty table gives no windows; other columns are ignored. Rows are
-sorted within partitions and read as a stream, so a conversation of any length needs no more memory than
-one window.
+null conversation or come first; a text of any length is a turn, in memory once; an empty table gives no windows;
+other columns are ignored, whatever their names. Rows are sorted within partitions and read as a stream, so a
+conversation of any length needs no more memory than one window. (It is one task all the same: where a window
+begins depends on all turns before it.)
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -48,10 +51,34 @@ def unescape(text: str) -> str:
 
 
 def words_and_marks(text: str) -> int:
-    """The default count of a turn's tokens: its words and two marks."""
+    """A count of a turn's tokens without a tokenizer: its words and two marks."""
     return len(text.split()) + 2
 
 
+@dataclass(frozen=True)
+class TokensAndMarks:
+    """A turn's tokens by a tokenizer file of the tokenizers library, and two marks."""
+
+    path: str
+
+    def __call__(self, text: str) -> int:
+        return len(_tokenizer(self.path).encode(text, add_special_tokens=False).ids) + 2
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def given_tokens() -> TokensAndMarks:
+    """The default count: the tokens that op1 writes."""
+    import public_tokenizers
+
+    return TokensAndMarks(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def marked(role: str, text: str) -> tuple[str, int, int]:
     """A turn in the template, and where its text begins and ends there."""
     before, after = _MARKS.get(role) or (f"[ROLE]{escape(role)}[/ROLE]", "[/TURN]")
@@ -116,8 +143,9 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[d
     return groupby(rows, key=lambda r: r["conv_id"])
 
 
-def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] = words_and_marks) -> DataFrame:
-    """The windows of turns(conv_id, turn, role, text), as WINDOWS."""
+def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: Callable[[str], int] | None = None) -> DataFrame:
+    """The windows of turns(conv_id, turn, role, text), as WINDOWS. count gives a text's tokens (given_tokens())."""
+    count = count or given_tokens()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("first_new", pa.int64()), ("n_new", pa.int64()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])

@@ -87,7 +87,7 @@ ROWS += [(4, i, ("user", "assistant")[i % 2], f"turn {i} " * 40) for i in range(
 
 def test_chat_round_trip(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").repartition(5)
-    windows = chat_format.format_conversations(df, budget=200, history=90)
+    windows = chat_format.format_conversations(df, budget=200, history=90, count=chat_format.words_and_marks)
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.digests(windows).collect()}
     want = defaultdict(list)
     for conv, _, role, text in ROWS:
