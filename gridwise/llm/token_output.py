@@ -10,11 +10,13 @@ through a prefix sum that gives the shard's base; a second pass writes the offse
 Files appear under their names by a rename, so a repeated task only replaces equal bytes.
 
 Empty tables give no shards; null and empty texts give the end id alone; equal doc_ids are ordered by
-text; a null doc_id comes first and is stored as the smallest int64; other columns are ignored.
+text, each with a place of its own; a null doc_id comes first and is stored as the smallest int64; a text of any
+length is encoded whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -44,13 +46,38 @@ def byte_letters() -> str:
     return "".join(chr(b if b in prints else next(others)) for b in range(256))
 
 
+#: Normaliser and pre-tokenizer of a file whose ids of a text are its space-separated pieces' ids in order: white space
+#: is dropped and no rule looks across it. (Fixed values of that file.)
+BY_PIECES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
+def goes_by_pieces(tokenizer) -> bool:
+    """Whether the tokenizer is known to give a text the ids of its space-separated pieces, in order."""
+    file = json.loads(tokenizer.to_str())
+    added = [t["content"] for t in file["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]]
+    return (file["normalizer"], file["pre_tokenizer"]) == BY_PIECES and not added and file["post_processor"] is None and not file["truncation"] and not file["padding"] and file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+
+
+def _equal(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> bool:
+    """Whether all of data[start:start+size] are other's bytes from other_start."""
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    return bool((data[place + np.repeat(start, size)] == other[place + np.repeat(other_start, size)]).all())
+
+
 class Encoder:
-    """Ids of whole texts, by the tokenizers library, one distinct space-separated piece at a time.
+    """Ids of whole texts, by the tokenizers library.
 
-    Valid where the vocabulary drops white space and no rule looks across it (the word_bpe_49k file: its
-    normaliser maps white space to one space, and its pre-tokens hold none), so that a text's ids are its
-    pieces' ids in order. A piece of plain letters and marks after them is two pre-tokens at most; its letters
-    go to the library's model directly.
+    Where goes_by_pieces(), one distinct space-separated piece at a time: pieces are told apart by a 64-bit hash and
+    compared with the one remembered under it, and a text of which one differs is encoded whole. A piece of
+    plain letters and marks after them is two pre-tokens at most; its letters go to the library's model directly.
+    With any other file, every text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,12 +87,14 @@ class Encoder:
         self.model, letters = self.tokenizer.model, byte_letters()
         self.letters = {i: letters[i] for i in range(256)}
         self.size = max(self.tokenizer.get_vocab().values()) + 1
+        self.by_pieces = goes_by_pieces(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of pieces, ascending, with the place of their ids in flat
         self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.bytes, self.begin, self.wide = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the pieces
         self.cores: dict[str, bytes] = {}  # ids as bytes, which the garbage collector need not visit
 
     def core(self, letters: str) -> bytes:
@@ -97,18 +126,32 @@ class Encoder:
         return out
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Remembers pieces by 64-bit hash."""
+        """Remembers pieces, and their ids, by 64-bit hash."""
         if len(self.cores) > REMEMBERED // 3:
             self.cores.clear()
         ids = self.ids_of(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
+        raw = [w.encode() for w in words]
+        wide = np.fromiter(map(len, raw), np.int64, len(raw))
+        begin = len(self.bytes) + np.cumsum(wide) - wide
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(raw), np.uint8)))
         order = np.argsort(known := np.concatenate((self.known, hashes)), kind="stable")
         self.known, self.at, self.length = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.length, sizes))[order]
+        self.begin, self.wide = np.concatenate((self.begin, begin))[order], np.concatenate((self.wide, wide))[order]
+
+    def whole(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of each text as it is."""
+        raw = data.tobytes()
+        texts = [raw[i:j].decode() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        ids = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, given as bytes and offsets, with end_id after each text, and the number of each text's ids."""
+        if not self.by_pieces:
+            return self.whole(data, off, end_id)
         words = Words(data, off)
         n = len(off) - 1
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
@@ -123,6 +166,9 @@ class Encoder:
             self.learn(hashes[new], [raw[i:j].decode() for i, j in zip(words.start[w].tolist(), words.end[w].tolist(), strict=True)])
             at = np.searchsorted(self.known, hashes)
         codes = at[which]
+        size = words.end - words.start
+        if not np.array_equal(size, self.wide[codes]) or not _equal(data, words.start, self.bytes, self.begin[codes], size):
+            return self.whole(data, off, end_id)  # two pieces have one hash
         length = self.length[codes]
         ends = np.concatenate(([0], np.cumsum(length)))
         counts = np.diff(ends[words.first]) + 1
