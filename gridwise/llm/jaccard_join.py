@@ -52,7 +52,8 @@ SHINGLE, PERCENT = 5, 75
 #: Cells of a part; subsets of all but one of them are signatures. (With more cells, a part of few filled cells would have
 #: fewer distinct subsets than least_shared() counts.)
 CELLS = 3
-GATHER = 800_000
+#: Signatures that a task gathers before it sends them, bytes of text in a pass, and of sets in a batch that goes out.
+GATHER, PASS, SENT = 500_000, 1 << 19, 4 << 20
 _ROWS = "kind int, row_id long, a long, b long, n int, least0 int, least1 int"
 
 
@@ -127,7 +128,7 @@ def _deal(buckets: int):
         held, facts, n, seen = [], [], 0, 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), strings(batch.column(1))
-            for lo, hi, data, off in passes(texts):
+            for lo, hi, data, off in passes(texts, PASS):
                 doc, grams = shingle_sets(Words(data, off), SHINGLE)
                 docs = hi - lo
                 size = np.bincount(doc, minlength=docs)
@@ -160,20 +161,25 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket: kind 1, documents' facts (set hashes a, b); kind 0, signatures a that several documents
     have, with their number b, for each of them (n: 1 in the next band's partition)."""
     bucket = int(group["bucket"].iloc[0]) if len(group) else 0
-    sig, doc, nxt = (unpack_all(group[c], t) for c, t in (("sig", np.uint32), ("doc", np.int64), ("next", np.uint8)))
+    sig = unpack_all(group["sig"], np.uint32)
     order = np.argsort(sig, kind="stable")
-    s = sig[order]
-    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    count = np.repeat(np.diff(np.concatenate((cut, [len(s)]))), np.diff(np.concatenate((cut, [len(s)]))))
-    on = count > 1
-    at, zero = order[on], np.zeros(int(on.sum()), np.int32)
+    sig = sig[order]
+    on, same = np.zeros(len(sig), bool), sig[1:] == sig[:-1]
+    on[1:] |= same
+    on[:-1] |= same
+    at, sig = order[on], sig[on]
+    del order, same, on
+    cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate((cut, [len(sig)])))
+    count, zero = np.repeat(size, size), np.zeros(len(sig), np.int32)
+    doc, nxt = unpack_all(group["doc"], np.int64)[at], unpack_all(group["next"], np.uint8)[at]
     facts = {c: unpack_all(group["f_" + c], t) for c, t in (("doc", np.int64), ("one", np.uint64), ("two", np.uint64), ("n", np.int32), ("least0", np.int32), ("least1", np.int32))}
     return pd.DataFrame({
         "kind": np.concatenate((zero, np.ones(len(facts["doc"]), np.int32))),
-        "row_id": np.concatenate((doc[at], facts["doc"])),
-        "a": np.concatenate(((np.int64(bucket) << 32) | sig[at].astype(np.int64), facts["one"].view(np.int64))),
-        "b": np.concatenate((count[on].astype(np.int64), facts["two"].view(np.int64))),
-        "n": np.concatenate((nxt[at].astype(np.int32), facts["n"])),
+        "row_id": np.concatenate((doc, facts["doc"])),
+        "a": np.concatenate(((np.int64(bucket) << 32) | sig.astype(np.int64), facts["one"].view(np.int64))),
+        "b": np.concatenate((count, facts["two"].view(np.int64))),
+        "n": np.concatenate((nxt.astype(np.int32), facts["n"])),
         "least0": np.concatenate((zero, facts["least0"])),
         "least1": np.concatenate((zero, facts["least1"])),
     })
@@ -186,11 +192,15 @@ def prune(members: DataFrame) -> DataFrame:
     return ranked.filter("held >= least and rank > least - 1").drop("held", "rank")
 
 
+def _set(column: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), np.uint64)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for i in range(b.num_rows):
+            x, y = _set(b.column(2), i), _set(b.column(3), i)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -204,26 +214,29 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = strings(batch.column(1))
-        for lo, hi, data, off in passes(texts):
+        for lo, hi, data, off in passes(texts, PASS):
             doc, grams = shingle_sets(Words(data, off), SHINGLE)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["row_id", "grams"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["a", "b", "linked", "na", "nb", "e", "delta"]
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part, linked, sizes, deltas = b.slice(lo, 1000), [], [], []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                delta = np.setxor1d(x, y, assume_unique=True)
-                linked.append(7 * len(delta) <= len(x) + len(y))
-                sizes.append((len(x), len(y)))
-                deltas.append(delta.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(linked, pa.bool_()), pa.array([i for i, _ in sizes], pa.int32()), pa.array([j for _, j in sizes], pa.int32()), pa.array(list(map(len, deltas)), pa.int32()), pa.array(deltas, pa.list_(pa.int64()))],
-                ["a", "b", "linked", "na", "nb", "e", "delta"],
-            )
+        first, linked, na, nb, deltas, size = 0, [], [], [], [], 0
+        for i in range(b.num_rows):
+            x, y = _set(b.column(2), i), _set(b.column(3), i)
+            delta = np.setxor1d(x, y, assume_unique=True)
+            linked.append(7 * len(delta) <= len(x) + len(y))
+            na.append(len(x))
+            nb.append(len(y))
+            deltas.append(delta.view(np.int64))
+            size += delta.nbytes
+            if size >= SENT or i == b.num_rows - 1:
+                part = b.slice(first, i + 1 - first)
+                counts = (pa.array(c, pa.int32()) for c in (na, nb, list(map(len, deltas))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_()), *counts, pa.array(deltas, pa.list_(pa.int64()))], names)
+                first, linked, na, nb, deltas, size = i + 1, [], [], [], [], 0
 
 
 def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
