@@ -46,7 +46,9 @@ def _around(grid: dict, at: tuple[int, int, int], reach: int) -> Iterator[int]:
 
 
 class Fusion:
-    """The samples of one scan. Rows have id, ms, camera cx, cy, cz, position and normal.
+    """The samples of one scan. Rows have id, ms, camera cx, cy, cz, position, normal and, where measurements come in
+    frames, frame: a sample takes one measurement of a frame, others of it go to the next best or begin their own.
+    Normals agree regardless of their sign; a sample's normal keeps its side.
 
     most limits the samples of a scan, layers those of a cell; None is no limit. Where one is reached, the sample
     that was seen once only and waits longest (RECYCLE_MS at least) makes room; without one the measurement is
@@ -135,11 +137,13 @@ class Fusion:
 
     def step(self, r: dict) -> None:
         p, n = np.array((r["x"], r["y"], r["z"])), np.array((r["nx"], r["ny"], r["nz"]))
-        best, score, plane = None, (math.inf, 0), 0.0
+        best, score, plane, frame = None, (math.inf, 0), 0.0, r.get("frame")
         for s in _around(self.grids[CELL], _cell(p, CELL), 1):
             q = self.samples[s]
+            if frame is not None and q["frame"] == frame:
+                continue
             d = p - q["p"]
-            off, dot = abs(float(d @ q["n"])), float(n @ q["n"])
+            off, dot = abs(float(d @ q["n"])), abs(float(n @ q["n"]))
             along = math.sqrt(max(0.0, float(d @ d) - off * off))
             if off <= PLANE and along <= TANGENT and dot >= DOT:
                 value = (1.6 * off / PLANE + along / TANGENT + (1 - dot), s)
@@ -152,7 +156,7 @@ class Fusion:
                 self.reject(r, full)
                 return
             i, self.made = self.made, self.made + 1
-            self.samples[i] = {"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "depth2": 0.0, "promoted": False, "reason": None}
+            self.samples[i] = {"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "depth2": 0.0, "promoted": False, "reason": None, "frame": frame, "view": (camera - p) / (np.linalg.norm(camera - p) or 1.0)}
             self.place(i)
             if self.most is not None:
                 self.waiting.append(i)
@@ -161,18 +165,18 @@ class Fusion:
         if best["promoted"] and best["seen"] >= OUTLIER_SEEN and plane > max(OUTLIER_LEAST, OUTLIER_RMS * rms):
             self.reject(r, "outlier")
             return
-        w = min(SHARE, 1 / min(16, best["seen"] + 1))
+        w = min(SHARE, 1 / (best["seen"] + 1))
         move = (p - best["p"]) * w
         size = float(np.linalg.norm(move))
         best["p"] = best["p"] + (move * (STEP / size) if size > STEP else move)
-        turned = best["n"] * (1 - w) + n * w
+        turned = best["n"] * (1 - w) + (n if float(n @ best["n"]) >= 0 else -n) * w
         best["n"] = turned / (np.linalg.norm(turned) or 1.0)
         best["depth2"] += plane * plane
         best["seen"] += 1
-        best["last"] = max(best["last"], r["ms"])
-        a, b = best["camera"] - best["p"], camera - best["p"]
+        best["last"], best["frame"] = max(best["last"], r["ms"]), frame
+        a, b = best["view"], camera - best["p"]
         base = float(np.linalg.norm(best["camera"] - camera))
-        cos = float(a @ b) / (float(np.linalg.norm(a) * np.linalg.norm(b)) or 1.0)
+        cos = float(a @ b) / (float(np.linalg.norm(b)) or 1.0)
         angle = math.degrees(math.acos(max(-1.0, min(1.0, cos))))
         best["views"] = max(best["views"], 3 if base >= 0.3 and angle >= 5 else 2 if base >= 0.08 or angle >= 3 else 1)
         if any(_cell(best["p"], w) != key for w, key in best["cells"].items()):
@@ -236,7 +240,7 @@ def _frame(scan: int, rows: list[tuple]) -> pd.DataFrame:
 
 
 def outcomes(measurements: DataFrame, order: list[str], most: int | None = None, layers: int | None = LAYERS) -> DataFrame:
-    """Rows of OUTCOMES of measurements(scan, id, ms, camera cx cy cz, position, normal), fused scan by scan in order:
+    """Rows of OUTCOMES of measurements(scan, id, ms, camera cx cy cz, position, normal[, frame]), fused scan by scan in order:
     samples (reason is null for those that last, else why they went), and rejected measurements (sample is null, id set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,7 +87,7 @@ class FrameGate:
             self.invalid = self.jumps >= self.JUMPS
         elif beyond(self.MOTION):
             reason = "motion"
-        elif r["valid"] < self.VALID or r["valid_ratio"] < self.RATIO or not r["median"] > 0 or r["p95"] > self.FAR or r["outliers"] > self.OUTLIERS or r["steps"] > self.STEPS:
+        elif r["valid"] < self.VALID or r["valid_ratio"] < self.RATIO or not 0 < r["median"] < math.inf or r["p95"] > self.FAR or r["outliers"] > self.OUTLIERS or r["steps"] > self.STEPS:
             reason = "depth"
         elif self.quarantine:
             self.steady = self.steady + 1 if move < self.STEADY_MOVE and turn < self.STEADY_TURN else 0
@@ -122,22 +122,25 @@ class StationaryThrottle:
 
 
 class Trajectory:
-    """Keeps a pose when 250 ms have passed and it moved 4 cm or turned; distance walked so far."""
+    """Keeps a pose when 250 ms have passed and it moved 4 cm or turned; distance walked so far, and the points of the
+    trail, every second of which goes when there are more than `most`."""
 
-    SCHEMA = "kept boolean, walked double"
+    SCHEMA = "kept boolean, walked double, trail int"
 
-    def __init__(self, ms: float = 250, move: float = 0.04, turn: float = 7.25):
-        self.last, self.walked, self.limits = None, 0.0, (ms, move, turn)
+    def __init__(self, ms: float = 250, move: float = 0.04, turn: float = 7.25, most: int = 1024):
+        self.points, self.walked, self.limits, self.most = [], 0.0, (ms, move, turn), most
 
     def step(self, r: dict) -> dict:
         ms, move, turn = self.limits
-        if self.last:
-            d = _moved(r, self.last)
-            if r["ms"] - self.last["ms"] < ms or (d < move and _turned(r, self.last) < turn):
-                return {"kept": False, "walked": self.walked}
+        last = self.points[-1] if self.points else None
+        d = _moved(r, last) if last else 0.0
+        kept = last is None or (r["ms"] - last["ms"] >= ms and (d >= move or _turned(r, last) >= turn))
+        if kept:
             self.walked += d
-        self.last = r
-        return {"kept": True, "walked": self.walked}
+            self.points.append(r)
+            if len(self.points) > self.most:
+                self.points = self.points[::2]
+        return {"kept": kept, "walked": self.walked, "trail": len(self.points)}
 
 
 class TierControl:
@@ -180,29 +183,58 @@ class Novelty:
 
 
 class Retention:
-    """Keeps at most `most` frames of a scan: a full store drops the frame of least value, which is 100 for each cell
-    that no other kept frame has, 20 for a viewpoint of its own, and up to 20 for its distance in time. Rows have
-    sequence, ms, cells (array) and viewpoint. The verdict of a row is what was dropped on its arrival (null: none)."""
+    """Keeps at most `most` frames of a scan. Rows have sequence, ms, position, yaw, phase, cells (array), viewpoint and,
+    where tracking has epochs, epoch.
 
-    SCHEMA = "dropped long, stored int"
+    A frame of another epoch than the first is refused, and one that is redundant: close in time, place and turn to a
+    kept frame of its phase, with no cell of its own. A full store gives up its least valuable frame between the first
+    and the last, the earliest of equal ones, unless the new one is worth less. A frame is worth 100 for each cell
+    that no other kept frame has, 20 for a viewpoint of its own, and up to 20 for its distance in time from its
+    neighbours (the new one: from the last). outcome is kept, redundant, refused or less-useful; dropped is what gave way."""
 
-    def __init__(self, most: int = 96):
-        self.most, self.kept = most, []
+    SCHEMA = "outcome string, dropped long, stored int"
 
-    def value(self, f: dict) -> float:
-        others = [g for g in self.kept if g is not f]
-        unique = len(set(f["cells"]) - {c for g in others for c in g["cells"]})
-        gap = min((abs(g["ms"] - f["ms"]) for g in others), default=math.inf)
-        return 100 * unique + 20 * all(g["viewpoint"] != f["viewpoint"] for g in others) + min(20, gap / 100)
+    def __init__(self, most: int = 96, ms: float = 140.0, move: float = 0.025, turn: float = 2.0):
+        self.most, self.limits, self.kept, self.epoch = most, (ms, move, turn), [], None
+        self.held: dict = {}  # cell -> how many kept frames have it
+        self.views: dict = {}
+
+    def _count(self, r: dict, by: int) -> None:
+        for counts, keys in ((self.held, set(r["cells"])), (self.views, {r["viewpoint"]})):
+            for k in keys:
+                counts[k] = counts.get(k, 0) + by
+                if not counts[k]:
+                    del counts[k]
+
+    def _worth(self, own_cells: int, own_view: bool, gap: float) -> float:
+        return 100 * own_cells + 20 * own_view + min(20.0, max(0.0, gap) / 100)
+
+    def value(self, i: int) -> float:
+        f = self.kept[i]
+        gap = min(f["ms"] - self.kept[i - 1]["ms"], self.kept[i + 1]["ms"] - f["ms"])
+        return self._worth(sum(self.held[c] == 1 for c in set(f["cells"])), self.views[f["viewpoint"]] == 1, gap)
 
     def step(self, r: dict) -> dict:
-        self.kept.append(r)
+        said = lambda outcome, dropped=None: {"outcome": outcome, "dropped": dropped, "stored": len(self.kept)}
+        self.epoch = r.get("epoch") if self.epoch is None else self.epoch
+        if r.get("epoch") != self.epoch:
+            return said("refused")
+        ms, move, turn = self.limits
+        gain = sum(c not in self.held for c in set(r["cells"]))
+        if not gain and any(abs(r["ms"] - f["ms"]) < ms and _moved(r, f) < move and _turned(r, f) < turn and r["phase"] == f["phase"] for f in self.kept):
+            return said("redundant")
         dropped = None
-        if len(self.kept) > self.most:
-            worst = min(self.kept, key=lambda f: (self.value(f), f["sequence"]))
-            self.kept.remove(worst)
-            dropped = worst["sequence"]
-        return {"dropped": dropped, "stored": len(self.kept)}
+        if len(self.kept) >= self.most:
+            worst = min(range(1, max(2, len(self.kept) - 1)), key=lambda i: (self.value(i), i)) if len(self.kept) > 2 else None
+            mine = self._worth(gain, r["viewpoint"] not in self.views, r["ms"] - self.kept[-1]["ms"])
+            if worst is None or mine < self.value(worst):
+                return said("less-useful")
+            gone = self.kept.pop(worst)
+            self._count(gone, -1)
+            dropped = gone["sequence"]
+        self.kept.append(r)
+        self._count(r, 1)
+        return said("kept", dropped)
 
 
 class LatestOnly:

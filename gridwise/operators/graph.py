@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df behind a cut of its lineage, in the folder of spark.checkpoint.dir or, where it is unset, one of our own."""
+    """df behind a cut of its lineage, in the folder of spark.checkpoint.dir; where it is unset, one of our own, on one
+    machine only."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridwise-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridwise-"))
     return df.checkpoint()
 
 

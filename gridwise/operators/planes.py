@@ -75,19 +75,27 @@ def fitted(moments: DataFrame, *keys: str) -> DataFrame:
     return moments.mapInPandas(fit, fields + ", nx double, ny double, nz double, k double, rms double")
 
 
-def robust_fit(points: DataFrame, key: str, passes: int = 3, floor: float = 0.005, cap: float = 0.06, spread: float = 3.0) -> DataFrame:
-    """A plane for each key, refitted to the points within max(floor, median + spread * MAD) of it (at most cap)."""
+def robust_fit(points: DataFrame, key: str, passes: int = 3, error: float = 0.045, tolerance: float = 0.05, least: float = 0.005, spread: float = 3.0) -> DataFrame:
+    """A plane for each key. Each pass keeps, of the points still held, those within
+    min(tolerance, max(error, median + max(least, spread * MAD))) of the plane so far, and fits again; a key whose
+    points all stay has the same plane in the next pass, and one with fewer than three has none."""
     from gridwise.operators.aggregate import covariance, moments
+    from gridwise.operators.graph import settled
 
-    planes = fitted(covariance(moments(points, key)))
+    held = points.select(key, "x", "y", "z", "w")
+    planes = fitted(covariance(moments(held, key)))
     for _ in range(passes):
-        off = points.join(planes.select(key, "nx", "ny", "nz", "k").withColumnsRenamed({"nx": "pn_x", "ny": "pn_y", "nz": "pn_z", "k": "pk"}), key)
+        off = held.join(planes.select(key, "nx", "ny", "nz", "k").withColumnsRenamed({"nx": "pn_x", "ny": "pn_y", "nz": "pn_z", "k": "pk"}), key)
         off = off.withColumn("off", F.abs(F.col("x") * F.col("pn_x") + F.col("y") * F.col("pn_y") + F.col("z") * F.col("pn_z") - F.col("pk")))
+        off = settled(off.select(key, "x", "y", "z", "w", "off"))
         median = off.groupBy(key).agg(F.expr("percentile(off, 0.5)").alias("med"))
         dev = off.join(median, key).withColumn("dev", F.abs(F.col("off") - F.col("med"))).groupBy(key, "med").agg(F.expr("percentile(dev, 0.5)").alias("mad"))
-        limit = dev.select(key, F.least(F.lit(cap), F.greatest(F.lit(floor), F.col("med") + F.col("mad") * spread)).alias("limit"))
-        kept = off.join(limit, key).filter("off <= limit").select(key, "x", "y", "z", "w")
-        planes = fitted(covariance(moments(kept, key)))
+        adaptive = F.col("med") + F.greatest(F.lit(least), F.col("mad") * spread)
+        limit = dev.select(key, F.least(F.lit(tolerance), F.greatest(F.lit(error), adaptive)).alias("limit"))
+        held = off.join(limit, key).filter("off <= limit").select(key, "x", "y", "z", "w")
+        enough = held.groupBy(key).count().filter("count >= 3").select(key)
+        held = settled(held.join(enough, key, "left_semi"))
+        planes = fitted(covariance(moments(held, key)))
     return planes
 
 
@@ -100,42 +108,74 @@ def xorshift(state: int):
         yield state / 4294967296
 
 
-def dominant_planes(points: DataFrame, planes: int = 12, hypotheses: int = 320, inlier: float = 0.04, enough: float = 0.7, seed: int = 0x9E3779B9, sample: int = 2_000, least_points: int = 24) -> DataFrame:
-    """Planes of points (id, x, y, z, w), largest score first: hypotheses from triples of a bounded, evenly spaced
-    sample of what is left, each scored over all of it by weight and closeness; the best takes its inliers away."""
+def hypothesis_scores(points: DataFrame, tries: np.ndarray, inlier: float, least_area: float) -> DataFrame:
+    """For each row (nx, ny, nz, k) of tries, by its number h: inliers, and its score, the inliers' weight times qualities of
+    their bounds' area and of their weighted RMS distance. One pass over the points, with sums for each task."""
+    normals, offsets = tries[:, :3], tries[:, 3]
+    helper = np.where(np.abs(normals[:, 1:2]) < 0.9, [[0.0, 1.0, 0.0]], [[1.0, 0.0, 0.0]])
+    u = np.cross(helper, normals)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    v = np.cross(normals, u)
+
+    def sums(batches):
+        n, w, w2 = np.zeros(len(tries), np.int64), np.zeros(len(tries)), np.zeros(len(tries))
+        low, high = np.full((2, len(tries)), np.inf), np.full((2, len(tries)), -np.inf)
+        for pdf in batches:
+            p, weight = pdf[["x", "y", "z"]].to_numpy(float), pdf["w"].to_numpy(float)
+            for lo in range(0, len(p), 2_000):
+                part, pw = p[lo : lo + 2_000], weight[lo : lo + 2_000, None]
+                off = np.abs(part @ normals.T - offsets)
+                on = off <= inlier
+                n += on.sum(axis=0)
+                w += (on * pw).sum(axis=0)
+                w2 += (on * pw * off * off).sum(axis=0)
+                for i, axis in enumerate((u, v)):
+                    at = part @ axis.T
+                    low[i] = np.minimum(low[i], np.where(on, at, np.inf).min(axis=0))
+                    high[i] = np.maximum(high[i], np.where(on, at, -np.inf).max(axis=0))
+        yield pd.DataFrame({"h": np.arange(len(tries), dtype=np.int32), "n": n, "w": w, "w2": w2, "u0": low[0], "u1": high[0], "v0": low[1], "v1": high[1]})[n > 0]
+
+    each = points.select("x", "y", "z", "w").mapInPandas(sums, "h int, n long, w double, w2 double, u0 double, u1 double, v0 double, v1 double")
+    total = each.groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "w", "w2")), F.min("u0").alias("u0"), F.max("u1").alias("u1"), F.min("v0").alias("v0"), F.max("v1").alias("v1"))
+    rms = F.when(F.col("w") > 0, F.sqrt(F.col("w2") / F.col("w"))).otherwise(inlier)
+    clamped = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    area = 0.5 + 0.5 * clamped((F.col("u1") - F.col("u0")) * (F.col("v1") - F.col("v0")) / max(2 * least_area, 1.0))
+    return total.select("h", F.col("n").alias("inliers"), (F.col("w") * area * (0.5 + 0.5 * (1 - clamped(rms / inlier)))).alias("score"))
+
+
+def dominant_planes(points: DataFrame, planes: int = 12, hypotheses: int = 320, inlier: float = 0.04, enough: float = 0.7, seed: int = 0x6D2B79F5, sample: int = 2_000, least_points: int = 24, least_area: float = 0.2) -> DataFrame:
+    """Planes of points (id, x, y, z, w), as they are found: hypotheses are triples of `sample` points drawn from what is
+    left (which points are tried is a sample by nature; `sample` bounds what the driver holds), each scored over all
+    of what is left; the best takes its inliers away. Ends when `enough` of the points are taken."""
     from gridwise.operators.aggregate import covariance, moments
     from gridwise.operators.graph import settled
 
     spark, left, found = points.sparkSession, settled(points.select("id", "x", "y", "z", "w")), None
-    total = left.count()
-    taken = 0
+    n = total = left.count()
     random = xorshift(seed)
     for number in range(1, planes + 1):
-        n = left.count()
-        if n < least_points or taken >= enough * total:
+        if n < least_points or total - n >= enough * total:
             break
         step = max(1, n // sample)
         some = np.array([[r.x, r.y, r.z] for r in left.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(sample).collect()])
         if len(some) < 3:
             break
         tries = []
-        for h in range(hypotheses):
+        for _ in range(hypotheses):
             a, b, c = some[[int(next(random) * len(some)) for _ in range(3)]]
             normal = np.cross(b - a, c - a)
             size = np.linalg.norm(normal)
             if size > 1e-9:
-                tries.append((h, *(normal / size).tolist(), float(normal @ a / size)))
+                tries.append((*(normal / size), normal @ a / size))
         if not tries:
             break
-        table = spark.createDataFrame(tries, "h int, hx double, hy double, hz double, hk double")
-        off = F.abs(F.col("x") * F.col("hx") + F.col("y") * F.col("hy") + F.col("z") * F.col("hz") - F.col("hk"))
-        score = left.join(F.broadcast(table), off <= inlier).groupBy("h", "hx", "hy", "hz", "hk").agg(F.sum(F.col("w") * (F.lit(1.0) - off / (2 * inlier))).alias("score"), F.count("*").alias("inliers"))
-        top = score.orderBy(F.desc(F.round("score", 6)), "h").first()
-        if top is None or top["inliers"] < least_points:
+        tries = np.array(tries)
+        top = hypothesis_scores(left, tries, inlier, least_area).filter(F.col("inliers") >= least_points).orderBy(F.desc(F.round("score", 6)), "h").first()
+        if top is None:
             break
-        near = F.abs(F.col("x") * top["hx"] + F.col("y") * top["hy"] + F.col("z") * top["hz"] - F.lit(top["hk"])) <= inlier
+        hx, hy, hz, hk = map(float, tries[top["h"]])
+        near = F.abs(F.col("x") * hx + F.col("y") * hy + F.col("z") * hz - F.lit(hk)) <= inlier
         plane = fitted(covariance(moments(left.filter(near).withColumn("plane", F.lit(number)), "plane"))).select("plane", "n", "nx", "ny", "nz", "k", "rms")
         found = plane if found is None else found.unionByName(plane)
-        taken += top["inliers"]
-        left = settled(left.filter(~near))
+        left, n = settled(left.filter(~near)), n - top["inliers"]
     return found if found is not None else spark.createDataFrame([], "plane int, n long, nx double, ny double, nz double, k double, rms double")

@@ -38,19 +38,57 @@ def fil16(spark, sf):
     return gates.folded(p, ["user_id"], ["ms", "event_id"], lambda: gates.Novelty(0.9, 400.0), gates.Novelty.SCHEMA).select("event_id", "novel")
 
 
-@query("fil4_stationary_throttle")
+_TURNS = "(sqrt((o.px-f.px)**2+(o.py-f.py)**2+(o.pz-f.pz)**2) >= .03 OR least(abs(o.yaw-f.yaw) % 360, 360 - abs(o.yaw-f.yaw) % 360) >= 10)"
+_SLOW = """SELECT user_id, event_id, event_id * 50.0::DOUBLE AS ms, px / 100 AS px, py / 50 AS py, pz / 100 AS pz, event_id % 5 * 0.3::DOUBLE + event_id % 97 // 96 * 30 AS yaw FROM p"""
+
+
+def _slow(spark, sf):
+    """The poses in slow motion, so that the workload's own limits divide them."""
+    k = F.col("event_id")
+    return poses(spark, sf).select("user_id", "event_id", (k * 50.0).alias("ms"), (F.col("px") / 100).alias("px"), (F.col("py") / 50).alias("py"), (F.col("pz") / 100).alias("pz"), (k % 5 * F.lit(0.3) + F.floor(k % 97 / 96) * 30).alias("yaw"))
+
+
+_SLOWLY = f"WITH RECURSIVE {POSES}, w AS ({_SLOW}), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM w)"
+_STEP = "sqrt((o.px-f.px)**2+(o.py-f.py)**2+(o.pz-f.pz)**2) AS move, least(abs(o.yaw-f.yaw) % 360, 360 - abs(o.yaw-f.yaw) % 360) AS turn, o.ms - f.ms AS gone"
+_NEXT = "o.user_id, o.k, o.event_id, o.px AS npx, o.py AS npy, o.pz AS npz, o.yaw AS nyaw, o.ms AS nms, f.px, f.py, f.pz, f.yaw, f.ms"
+_TAKE = ", ".join(f"CASE WHEN ok THEN n{c} ELSE {c} END" for c in ("px", "py", "pz", "yaw", "ms"))
+
+
+@query("fil4_stationary_throttle", f"""{_SLOWLY},
+    f AS (SELECT user_id, k, event_id, true AS processed, px, py, pz, yaw, ms, 1 AS ticks FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, ok, {_TAKE}, ticks + ok::INT FROM (SELECT *, NOT (ticks >= 8 AND move < .012 AND turn < 1 AND gone < 700) AS ok FROM (SELECT {_NEXT}, f.ticks, {_STEP} FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)))
+    SELECT event_id, processed FROM f""")
 def fil4(spark, sf):
-    p = poses(spark, sf).select("user_id", "event_id", "ms", "px", "py", "pz", "yaw")
-    return gates.folded(p, ["user_id"], ["ms", "event_id"], lambda: gates.StationaryThrottle(2, 0.9, 200.0, 4e7), gates.StationaryThrottle.SCHEMA).select("event_id", "processed")
+    return gates.folded(_slow(spark, sf), ["user_id"], ["ms", "event_id"], gates.StationaryThrottle, gates.StationaryThrottle.SCHEMA).select("event_id", "processed")
 
 
-@query("fil5_trajectory")
+@query("fil5_trajectory", f"""{_SLOWLY},
+    f AS (SELECT user_id, k, event_id, true AS kept, px, py, pz, yaw, ms, 0::DOUBLE AS walked, 1 AS trail FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, ok, {_TAKE}, walked + CASE WHEN ok THEN move ELSE 0 END, CASE WHEN NOT ok THEN trail WHEN trail + 1 > 1024 THEN 513 ELSE trail + 1 END
+      FROM (SELECT *, gone >= 250 AND (move >= .04 OR turn >= 7.25) AS ok FROM (SELECT {_NEXT}, f.walked, f.trail, {_STEP} FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)))
+    SELECT event_id, kept, round(walked, 6) AS walked, trail FROM f""")
 def fil5(spark, sf):
-    p = poses(spark, sf).select("user_id", "event_id", "ms", "px", "py", "pz", "yaw")
-    return gates.folded(p, ["user_id"], ["ms", "event_id"], lambda: gates.Trajectory(1e7, 0.5, 90.0), gates.Trajectory.SCHEMA).select("event_id", "kept", r("walked", 6).alias("walked"))
+    return gates.folded(_slow(spark, sf), ["user_id"], ["ms", "event_id"], gates.Trajectory, gates.Trajectory.SCHEMA).select("event_id", "kept", r("walked", 6).alias("walked"), "trail")
 
 
-@query("fil6_tier_control")
+@query("fil16_viewpoint_turns", f"""{_SLOWLY},
+    f AS (SELECT user_id, k, event_id, true AS novel, px, py, pz, yaw, ms FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, ok, {_TAKE} FROM (SELECT {_NEXT}, {_TURNS} AS ok FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))
+    SELECT event_id, novel FROM f""")
+def fil16_turns(spark, sf):
+    """Novelty with its own limits of distance and turn."""
+    return gates.folded(_slow(spark, sf), ["user_id"], ["ms", "event_id"], gates.Novelty, gates.Novelty.SCHEMA).select("event_id", "novel")
+
+
+_TICKS = f"WITH RECURSIVE {POSES}, o AS (SELECT user_id, event_id, ms, value / 3 AS work, event_id % 40 + 5.0::DOUBLE AS dt, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM p)"
+_TIER = "SELECT *, CASE WHEN mean > 38 THEN greatest(0, tier - 1) ELSE tier END AS t1, CASE WHEN work < 12 AND mean < 26 THEN CASE WHEN mean > 38 THEN 0 ELSE fast END + 1 ELSE 0 END AS f1, CASE WHEN work > 26 THEN slow + 1 ELSE 0 END AS s1"
+
+
+@query("fil6_tier_control", f"""{_TICKS},
+    f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 0 AS tier, NULL::DOUBLE AS mean, 0 AS fast, 0 AS slow FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, CASE WHEN f1 >= 24 THEN least(2, t2 + 1) ELSE t2 END, mean, CASE WHEN f1 >= 24 THEN 0 ELSE f1 END, CASE WHEN s1 >= 2 THEN 0 ELSE s1 END
+      FROM (SELECT *, CASE WHEN s1 >= 2 THEN greatest(0, t1 - 1) ELSE t1 END AS t2 FROM ({_TIER} FROM (SELECT o.user_id, o.k, o.event_id, o.work, f.tier, f.fast, f.slow, coalesce(f.mean, o.dt) * .9 + least(200.0, o.dt) * .1 AS mean FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))))
+    SELECT event_id, tier, round(mean, 6) AS interval_mean FROM f WHERE k > 0""")
 def fil6(spark, sf):
     p = poses(spark, sf).select("user_id", "event_id", "ms", (F.col("value") / 3).alias("work_ms"), (F.col("event_id") % 40 + 5.0).alias("interval_ms"))
     return gates.folded(p, ["user_id"], ["ms", "event_id"], gates.TierControl, gates.TierControl.SCHEMA).select("event_id", "tier", r("interval_mean", 6).alias("interval_mean"))
@@ -58,13 +96,19 @@ def fil6(spark, sf):
 
 @query("fus7_frame_retention")
 def fus7(spark, sf):
-    p = poses(spark, sf).select("user_id", F.col("event_id").alias("sequence"), "ms", F.array(F.col("event_id") % 13, F.col("event_id") % 29).alias("cells"), (F.col("event_id") % 8).alias("viewpoint"))
-    return gates.folded(p, ["user_id"], ["ms", "sequence"], lambda: gates.Retention(12), gates.Retention.SCHEMA).select("user_id", "sequence", "dropped", "stored")
+    """Sixteen users' events are a scan."""
+    k = F.col("event_id")
+    p = poses(spark, sf).select(F.floor(F.col("user_id") / 16).alias("scan"), k.alias("sequence"), (k * 50.0).alias("ms"), (F.col("px") / 100).alias("px"), (F.col("py") / 50).alias("py"), (F.col("pz") / 100).alias("pz"), (k % 5 * F.lit(0.3)).alias("yaw"), (k % 2).alias("phase"), F.array(k % 13, k % 29, k % 211).alias("cells"), (k % 40).alias("viewpoint"))
+    return gates.folded(p, ["scan"], ["ms", "sequence"], gates.Retention, gates.Retention.SCHEMA).select("scan", "sequence", "outcome", "dropped", "stored")
 
 
-@query("fus9_latest_only")
+@query("fus9_latest_only", f"""WITH RECURSIVE {POSES}, o AS (SELECT user_id, event_id, ms::DOUBLE AS ms, value * 60000 AS work, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM p),
+    f AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, false AS replaced, '-infinity'::DOUBLE AS free_at, NULL::DOUBLE AS waiting FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, NOT idle AND waits IS NOT NULL, CASE WHEN idle THEN ms + work ELSE free END, CASE WHEN idle THEN waits ELSE work END
+      FROM (SELECT *, free <= ms AS idle FROM (SELECT o.user_id, o.k, o.event_id, o.ms, o.work, CASE WHEN f.waiting IS NOT NULL AND f.free_at <= o.ms THEN f.free_at + f.waiting ELSE f.free_at END AS free, CASE WHEN f.waiting IS NOT NULL AND f.free_at <= o.ms THEN NULL ELSE f.waiting END AS waits FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)))
+    SELECT event_id, replaced FROM f WHERE k > 0""")
 def fus9(spark, sf):
-    p = poses(spark, sf).select("user_id", "event_id", "ms", (F.col("value") * 60000).alias("work_ms"))
+    p = poses(spark, sf).select("user_id", "event_id", F.col("ms").cast("double").alias("ms"), (F.col("value") * 60000).alias("work_ms"))
     return gates.folded(p, ["user_id"], ["ms", "event_id"], gates.LatestOnly, gates.LatestOnly.SCHEMA).select("event_id", "replaced")
 
 
@@ -72,7 +116,7 @@ def _measurements(spark, sf):
     """Each sample seen four times, slightly displaced, from cameras in a row."""
     s = samples(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
     near = lambda a: (F.col(a) + (F.col("k") - 1.5) * 0.002).alias(a)
-    return s.select(F.col("frame").cast("long").alias("scan"), (F.col("id") * 4 + F.col("k")).alias("id"), (F.col("k") * 150.0 + F.col("id") % 7).alias("ms"), (F.col("k") * 0.2).alias("cx"), F.lit(0.0).alias("cy"), F.lit(2.0).alias("cz"), near("x"), near("y"), near("z"), "nx", "ny", "nz")
+    return s.select(F.col("frame").cast("long").alias("scan"), (F.col("id") * 4 + F.col("k")).alias("id"), (F.col("k") * 150.0 + F.col("id") % 7).alias("ms"), (F.col("k") * 0.2).alias("cx"), F.lit(0.0).alias("cy"), F.lit(2.0).alias("cz"), near("x"), near("y"), near("z"), "nx", "ny", "nz", F.col("k").alias("frame"))
 
 
 @query("fus1_fusion")
@@ -83,8 +127,7 @@ def fus1(spark, sf):
 
 @query("fus6_layered_field")
 def fus6(spark, sf):
-    m = _measurements(spark, sf).withColumn("frame", F.col("id") % 4)
-    return fusion.layered(m)
+    return fusion.layered(_measurements(spark, sf))
 
 
 @query("fil9_confidence_filter", f"""
@@ -104,7 +147,7 @@ def fil9(spark, sf):
 @query("geo2_dominant_planes")
 def geo2(spark, sf):
     p = lines(spark, sf).select(F.xxhash64(*[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]).alias("id"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"), F.lit(1.0).alias("w"))
-    out = planes.dominant_planes(p, planes=3, hypotheses=64)
+    out = planes.dominant_planes(p)
     return out.select("plane", "n", *(r(c, 5).alias(c) for c in ("nx", "ny", "nz", "k", "rms")))
 
 
