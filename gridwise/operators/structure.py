@@ -205,6 +205,93 @@ def with_graph(judged: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("final", clamp(F.col("envelope") * 0.62 + F.col("graph") * 0.38))
 
 
+#: Status factors and weights of an intersection's confidence; lengths, gaps and bins in metres.
+STATUS = {"supported": 1.0, "partial": 0.68, "rejected": 0.25}
+LEAST_POINTS, LONG, SHORT, EVEN, SOME, GAP, BIN, TRIM, PLANE_RMS = 2, 0.12, 0.03, 0.5, 0.12, 0.2, 0.1, 0.1, 0.12
+
+
+def typed_pairs(judged: DataFrame) -> DataFrame:
+    """(scan, a, b, kind) of walls with walls (a < b), ceilings and floors."""
+    of = lambda role, name: judged.filter(F.col("role") == role).select("scan", F.col("plane").alias(name))
+    walls = of("wall", "a").join(of("wall", "b"), "scan").filter("a < b").withColumn("kind", F.lit("wall-wall"))
+    for role in ("ceiling", "floor"):
+        walls = walls.unionByName(of("wall", "a").join(of(role, "b"), "scan").withColumn("kind", F.lit(f"wall-{role}")))
+    return walls
+
+
+def intersections(planes: DataFrame, judged: DataFrame, points: DataFrame, near_line: float = 0.15) -> DataFrame:
+    """For each typed pair of planes their line's finite piece: where the supports of both, trimmed, overlap along it, how
+    evenly they fill it, and status, reason and confidence made of that."""
+    side = lambda p: planes.select("scan", F.col("plane").alias(p), *(F.col(x).alias(f"{p}_{x}") for x in ("nx", "ny", "nz", "k", "support", "rms"))).join(
+        judged.select("scan", F.col("plane").alias(p), F.col("confidence").alias(f"{p}_confidence")), ["scan", p])
+    pairs = typed_pairs(judged).join(side("a"), ["scan", "a"]).join(side("b"), ["scan", "b"])
+    na, nb = vm.v("a_n"), vm.v("b_n")
+    pairs = pairs.select("*", *vm.columns(vm.cross(na, nb), "g"), F.degrees(F.acos(F.least(F.lit(1.0), F.abs(vm.dot(na, nb))))).alias("angle")).withColumn("g2", vm.dot(vm.v("g"), vm.v("g")))
+    g, crossing = vm.v("g"), F.sqrt("g2") > 0.001
+    towards = vm.add(vm.scale(vm.cross(nb, g), F.col("a_k")), vm.scale(vm.cross(g, na), F.col("b_k")))
+    of = lambda x, size, name: F.when(crossing, x / size).alias(name)
+    facts = ["scan", "a", "b", "kind", "angle", *(f"{p}_{x}" for p in "ab" for x in ("support", "rms", "confidence"))]
+    pairs = settled(pairs.select(*facts, *(of(x, F.col("g2"), f"o{n}") for x, n in zip(towards, "xyz", strict=True)), *(of(x, F.sqrt("g2"), f"d{n}") for x, n in zip(g, "xyz", strict=True))))
+    ends = pairs.filter("dx is not null").select("scan", "a", "b", "ox", "oy", "oz", "dx", "dy", "dz", F.explode(F.array("a", "b")).alias("plane"))
+    at, off = vm.dot(vm.sub(vm.v(), vm.v("o")), vm.v("d")), vm.point_line_distance(vm.v(), vm.v("o"), vm.v("d"))
+    near = points.select("scan", "plane", "x", "y", "z").join(ends, ["scan", "plane"]).withColumn("off", off).filter(F.col("off") <= near_line)
+    near = settled(near.select("scan", "a", "b", (F.col("plane") == F.col("a")).alias("first"), "off", at.alias("t")))
+    few = F.count("*") < 5
+    spans = near.groupBy("scan", "a", "b", "first").agg(
+        F.count("*").alias("n"), F.min("off").alias("off"), F.when(few, F.min("t")).otherwise(F.expr(f"percentile(t, {TRIM})")).alias("lo"), F.when(few, F.max("t")).otherwise(F.expr(f"percentile(t, {1 - TRIM})")).alias("hi")
+    )
+    pick = lambda c, first: F.max(F.when(F.col("first") == first, F.col(c)))
+    both = spans.groupBy("scan", "a", "b").agg(*(pick(c, p == "a").alias(f"{p}_{c}") for p in "ab" for c in ("n", "off", "lo", "hi")))
+    both = both.withColumns({"lo": F.greatest("a_lo", "b_lo"), "hi": F.least("a_hi", "b_hi")}).withColumn("met", F.col("a_lo").isNotNull() & F.col("b_lo").isNotNull())
+    both = settled(both.withColumn("length", F.when(F.col("met"), F.greatest(F.lit(0.0), F.col("hi") - F.col("lo"))).otherwise(0.0)))
+    cut = both.filter("length > 0").select("scan", "a", "b", "lo", "hi", "length", F.greatest(F.lit(1), F.ceil(F.col("length") / BIN)).alias("bins"))
+    inside = near.join(cut, ["scan", "a", "b"]).filter("t between lo and hi")
+    filled = inside.groupBy("scan", "a", "b", "bins", "first").agg(F.count_distinct(F.least(F.col("bins") - 1, F.floor((F.col("t") - F.col("lo")) / F.col("length") * F.col("bins")))).alias("used"))
+    even = filled.groupBy("scan", "a", "b").agg((F.coalesce(pick("used", True), F.lit(0)) / F.max("bins")).alias("ea"), (F.coalesce(pick("used", False), F.lit(0)) / F.max("bins")).alias("eb"))
+    c = F.col
+    out = pairs.join(both.drop("lo", "hi"), ["scan", "a", "b"], "left").join(even, ["scan", "a", "b"], "left")
+    out = out.fillna({"a_n": 0, "b_n": 0, "length": 0.0}).withColumn("continuity", F.coalesce(F.least("ea", "eb"), F.lit(0.0)))
+    gap = F.when(c("met"), F.greatest(F.lit(0.0), F.greatest("a_lo", "b_lo") - F.least("a_hi", "b_hi")))  # null: no gap to speak of
+    out = out.withColumn("close", F.coalesce(gap <= GAP, F.lit(False))).withColumn("near", (c("a_n") > 0) & (c("b_n") > 0)).withColumn("enough", (c("a_n") >= LEAST_POINTS) & (c("b_n") >= LEAST_POINTS))
+    partly = c("near") & c("enough") & ((c("length") >= SHORT) | c("close")) & ((c("continuity") >= SOME) | c("close"))
+    status = F.when(c("enough") & (c("length") >= LONG) & (c("continuity") >= EVEN), "supported").when(partly, "partial").otherwise("rejected")
+    reason = F.when(c("dx").isNull(), "parallel").when(~c("near"), "no-support").when(~c("enough"), "too-few-points").when((c("length") < SHORT) & ~c("close"), "no-overlap").otherwise("below-threshold")
+    out = out.withColumn("status", F.when(c("dx").isNull(), "rejected").otherwise(status)).withColumn("reason", F.when(c("status") == "rejected", reason))
+    quality = (
+        F.sqrt(clamp(c("a_confidence")) * clamp(c("b_confidence"))) * 0.25 + clamp(1 - F.abs(90 - c("angle")) / 90) * 0.15 + F.least(clamp(c("a_support") / 12), clamp(c("b_support") / 12)) * 0.15
+        + c("continuity") * 0.2 + F.when(c("near"), clamp(1 - F.greatest("a_off", "b_off") / near_line)).otherwise(0.0) * 0.1 + clamp(c("length") / 0.5) * 0.05
+        + F.sqrt(clamp(1 - c("a_rms") / PLANE_RMS) * clamp(1 - c("b_rms") / PLANE_RMS)) * 0.1
+    )
+    factor = F.when(c("status") == "supported", STATUS["supported"]).when(c("status") == "partial", STATUS["partial"]).otherwise(STATUS["rejected"])
+    confidence = F.when(c("dx").isNull(), 0.0).otherwise(clamp(factor * quality))
+    return out.select("scan", "a", "b", "kind", "angle", c("a_n").alias("na"), c("b_n").alias("nb"), "length", "continuity", "status", "reason", confidence.alias("confidence"))
+
+
+def support_warnings(related: DataFrame, met: DataFrame) -> DataFrame:
+    """(scan, a, b, na, nb): pairs that were said to have support on both sides of their line and of which an
+    intersection finds none on one."""
+    claimed = related.filter("supported").select("scan", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    found = met.select("scan", "a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "na", "nb")
+    return found.join(claimed, ["scan", "p", "q"], "left_semi").filter("na = 0 or nb = 0").select("scan", "a", "b", "na", "nb")
+
+
+def grouping_verdicts(planes: DataFrame, judged: DataFrame) -> DataFrame:
+    """Every pair of a scan's planes, and why they are not one surface, or compatible. Floors and ceilings may differ by 15
+    degrees, others by 18; opposite normals never agree."""
+    p = planes.join(judged.select("scan", "plane", "role"), ["scan", "plane"])
+    side = lambda n: p.select("scan", F.col("plane").alias(n), *(F.col(x).alias(f"{n}_{x}") for x in ("role", *_PLANE)))
+    pairs = side("a").join(side("b"), "scan").filter("a < b")
+    dot = vm.dot(vm.v("a_n"), vm.v("b_n"))
+    angle = F.degrees(F.acos(F.least(F.lit(1.0), dot)))
+    most = F.when(F.col("a_role").isin("floor", "ceiling"), 15.0).otherwise(18.0)
+    far = lambda x, y: F.abs(vm.plane_residual(vm.v(f"{x}_c"), vm.v(f"{y}_n"), F.col(f"{y}_k")))
+    reason = (
+        F.when(F.col("a_role") != F.col("b_role"), "role").when(dot <= 0, "opposite").when(angle > most, "angle").when(F.abs(F.col("a_k") - F.col("b_k")) > 0.16, "offset")
+        .when(F.greatest(far("a", "b"), far("b", "a")) > 0.18, "residual").when(support_gap("a_", "b_") > 1.2, "apart").otherwise("compatible")
+    )
+    return pairs.select("scan", "a", "b", reason.alias("verdict"))
+
+
 def _grouped(planes: list[dict], limits: Limits) -> list[tuple[int, int]]:
     """(direction, lane) of one role's planes, best first. A plane joins the groups with a member of a similar direction that
     stay narrow with it, which then are one; and in its group the first lane with a member close to it."""

@@ -127,3 +127,53 @@ def cls3c(spark, sf):
 def grp22(spark, sf):
     planes, related, judged = _judged(spark, sf)
     return structure.orientation_groups(planes, structure.with_graph(judged, structure.graph_edges(planes, judged, related)))
+
+
+_SIDES = "e.scan, e.a, e.b, e.kind, x.nx AS ax, x.ny AS ay, x.nz AS az, x.k AS ak, y.nx AS bx, y.ny AS b_y, y.nz AS bz, y.k AS bk, x.support AS a_support, y.support AS b_support, x.rms AS a_rms, y.rms AS b_rms, j.confidence AS a_conf, i.confidence AS b_conf"
+_TYPED = """typed AS (SELECT x.scan, x.plane AS a, y.plane AS b, 'wall-' || y.role AS kind FROM judged x JOIN judged y ON x.scan = y.scan AND x.role = 'wall' AND ((y.role = 'wall' AND x.plane < y.plane) OR y.role IN ('ceiling', 'floor')))"""
+
+
+def _met(near):
+    return f"""{_ROLE}, {_TYPED}, tp AS (SELECT {_SIDES}, x.ny*y.nz-x.nz*y.ny AS dx, x.nz*y.nx-x.nx*y.nz AS dy, x.nx*y.ny-x.ny*y.nx AS dz, degrees(acos(least(1.0, abs(x.nx*y.nx+x.ny*y.ny+x.nz*y.nz)))) AS angle
+        FROM typed e JOIN planes x ON x.scan = e.scan AND x.plane = e.a JOIN planes y ON y.scan = e.scan AND y.plane = e.b JOIN judged j ON j.scan = e.scan AND j.plane = e.a JOIN judged i ON i.scan = e.scan AND i.plane = e.b),
+    tl AS (SELECT *, dx*dx+dy*dy+dz*dz AS d2 FROM tp), to_ AS (SELECT *, sqrt(d2) > .001 AS crossing, (ak*(b_y*dz-bz*dy) + bk*(dy*az-dz*ay)) / d2 AS ox, (ak*(bz*dx-bx*dz) + bk*(dz*ax-dx*az)) / d2 AS oy, (ak*(bx*dy-b_y*dx) + bk*(dx*ay-dy*ax)) / d2 AS oz FROM tl),
+    tn AS (SELECT * FROM (SELECT m.scan, m.a, m.b, p.plane = m.a AS mine, ((x-ox)*dx+(y-oy)*dy+(z-oz)*dz) / sqrt(d2) AS t, sqrt(((y-oy)*dz-(z-oz)*dy)**2 + ((z-oz)*dx-(x-ox)*dz)**2 + ((x-ox)*dy-(y-oy)*dx)**2) / sqrt(d2) AS far
+        FROM to_ m JOIN points p ON p.scan = m.scan AND (p.plane = m.a OR p.plane = m.b) WHERE crossing) WHERE far <= {near}),
+    ts AS (SELECT scan, a, b, mine, count(*) AS n, min(far) AS far, CASE WHEN count(*) < 5 THEN min(t) ELSE quantile_cont(t, .1) END AS lo, CASE WHEN count(*) < 5 THEN max(t) ELSE quantile_cont(t, .9) END AS hi FROM tn GROUP BY ALL),
+    tb AS (SELECT scan, a, b, max(n) FILTER (mine) AS na, max(n) FILTER (NOT mine) AS nb, max(far) AS far, count(*) = 2 AS met, max(lo) AS lo, min(hi) AS hi FROM ts GROUP BY ALL),
+    tc AS (SELECT *, CASE WHEN met THEN greatest(0, hi - lo) ELSE 0 END AS len, greatest(1, ceil(greatest(0, hi - lo) / .1)) AS bins FROM tb),
+    tu AS (SELECT n.scan, n.a, n.b, mine, count(DISTINCT least(bins - 1, floor((t - lo) / len * bins))) / max(bins) AS used FROM tn n JOIN tc c ON c.scan = n.scan AND c.a = n.a AND c.b = n.b AND len > 0 AND t BETWEEN lo AND hi GROUP BY ALL),
+    te AS (SELECT scan, a, b, CASE WHEN count(*) = 2 THEN min(used) ELSE 0 END AS even FROM tu GROUP BY ALL),
+    tf AS (SELECT o.*, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(len, 0) AS len, coalesce(even, 0) AS even, coalesce(met AND greatest(0, lo - hi) <= .2, false) AS close, coalesce(na > 0 AND nb > 0, false) AS near, coalesce(na >= 2 AND nb >= 2, false) AS enough, far FROM to_ o LEFT JOIN tc USING (scan, a, b) LEFT JOIN te USING (scan, a, b)),
+    tg AS (SELECT *, CASE WHEN NOT crossing THEN 'rejected' WHEN enough AND len >= .12 AND even >= .5 THEN 'supported' WHEN near AND enough AND (len >= .03 OR close) AND (even >= .12 OR close) THEN 'partial' ELSE 'rejected' END AS status FROM tf),
+    crossed AS (SELECT scan, a, b, kind, angle, na, nb, len AS length, even AS continuity, status,
+        CASE WHEN status <> 'rejected' THEN NULL WHEN NOT crossing THEN 'parallel' WHEN NOT near THEN 'no-support' WHEN NOT enough THEN 'too-few-points' WHEN len < .03 AND NOT close THEN 'no-overlap' ELSE 'below-threshold' END AS reason,
+        CASE WHEN NOT crossing THEN 0 ELSE {_C("CASE status WHEN 'supported' THEN 1 WHEN 'partial' THEN .68 ELSE .25 END * (sqrt(a_conf * b_conf) * .25 + " + _C("1 - abs(90 - angle) / 90") + " * .15 + least(" + _C("a_support / 12") + ", " + _C("b_support / 12") + ") * .15 + even * .2 + CASE WHEN near THEN " + _C(f"1 - far / {near}") + " ELSE 0 END * .1 + " + _C("len / .5") + " * .05 + sqrt(" + _C("1 - a_rms / .12") + " * " + _C("1 - b_rms / .12") + ") * .1)")} END AS confidence FROM tg)"""
+
+
+@query("geo4_intersections", f"WITH {_met(0.15)} SELECT scan, a, b, kind, na, nb, round(length, 6) AS length, round(continuity, 6) AS continuity, status, reason, round(confidence, 6) AS confidence FROM crossed")
+def geo4(spark, sf):
+    planes, _, judged = _judged(spark, sf)
+    out = structure.intersections(planes, judged, _tables(spark, sf)[1])
+    return out.select("scan", "a", "b", "kind", "na", "nb", r("length", 6).alias("length"), r("continuity", 6).alias("continuity"), "status", "reason", r("confidence", 6).alias("confidence"))
+
+
+@query("set5_typed_pair_lists", f"WITH {_ROLE}, {_TYPED} SELECT kind, scan, count(*) AS pairs FROM typed GROUP BY ALL")
+def set5(spark, sf):
+    return structure.typed_pairs(_judged(spark, sf)[2]).groupBy("kind", "scan").agg(F.count("*").alias("pairs"))
+
+
+@query("cls9_support_warnings", f"WITH {_met(0.05)} SELECT c.scan, c.a, c.b, c.na, c.nb FROM crossed c JOIN related r ON r.scan = c.scan AND r.a = least(c.a, c.b) AND r.b = greatest(c.a, c.b) WHERE r.supported AND (c.na = 0 OR c.nb = 0)")
+def cls9(spark, sf):
+    """Relations look for support within 15 cm of a line, these intersections within 5."""
+    planes, related, judged = _judged(spark, sf)
+    return structure.support_warnings(related, structure.intersections(planes, judged, _tables(spark, sf)[1], near_line=0.05))
+
+
+@query("grp6b_grouping_verdicts", f"""WITH {_ROLE}, g AS (SELECT a.scan, a.plane AS a, b.plane AS b, i.role AS ra, j.role AS rb, a.nx*b.nx+a.ny*b.ny+a.nz*b.nz AS dot, abs(a.k - b.k) AS off, greatest(abs(a.cx*b.nx+a.cy*b.ny+a.cz*b.nz-b.k), abs(b.cx*a.nx+b.cy*a.ny+b.cz*a.nz-a.k)) AS far,
+        sqrt(greatest(0, a.x0-b.x1, b.x0-a.x1)**2 + greatest(0, a.y0-b.y1, b.y0-a.y1)**2 + greatest(0, a.z0-b.z1, b.z0-a.z1)**2) AS gap
+        FROM planes a JOIN planes b ON a.scan = b.scan AND a.plane < b.plane JOIN judged i ON i.scan = a.scan AND i.plane = a.plane JOIN judged j ON j.scan = b.scan AND j.plane = b.plane)
+    SELECT scan, a, b, CASE WHEN ra <> rb THEN 'role' WHEN dot <= 0 THEN 'opposite' WHEN degrees(acos(least(1.0, dot))) > CASE WHEN ra IN ('floor', 'ceiling') THEN 15 ELSE 18 END THEN 'angle' WHEN off > .16 THEN 'offset' WHEN far > .18 THEN 'residual' WHEN gap > 1.2 THEN 'apart' ELSE 'compatible' END AS verdict FROM g""")
+def grp6b(spark, sf):
+    planes, _, judged = _judged(spark, sf)
+    return structure.grouping_verdicts(planes, judged)
