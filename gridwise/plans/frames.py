@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwise.operators import frames
+from gridwise.operators.graph import settled
 from gridwise.plans.registry import query
 from gridwise.plans.tables import SAMPLES, read, samples
+from gridwise.sources import scan_files
 
 r = F.round
 #: A frame a customer's last digits: 24 rows and 30 columns of depths.
@@ -114,3 +116,56 @@ def fil12(spark, sf):
     t = read(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("triangle")).agg(F.max("l_orderkey").alias("a"), F.max("l_partkey").alias("b"), F.max("l_suppkey").alias("c"))
     ids = t.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
     return frames.barred(t, ids.select("id", (F.col("id") % 7 == 0).alias("foreground"), (F.col("id") % 5).alias("class"))).select("triangle", "barrier")
+
+
+@query("src1_json_exports", f"""WITH {SAMPLES} SELECT 'scan-' || frame AS scan_id, id, round(x, 6) AS x, round(nz, 6) AS nz, radius, round(least(1.0, red), 6) AS r, 0.0::DOUBLE AS b, round(green, 6) AS geometry_confidence, seen, greatest(1, views - 1) AS views
+    FROM (SELECT *, .01 + id % 5 / 1000::DOUBLE AS radius FROM s)""")
+def src1(spark, sf):
+    """JSON exports of all scans, written and read again; colours and confidences are clamped, counts at least one."""
+    s, folder = samples(spark, sf), scan_files.new_folder(spark, "exports")
+    scan_files.write_exports(s.select(
+        F.concat(F.lit("scan-"), F.col("frame").cast("string")).alias("scan_id"), "id", "x", "y", "z", "nx", "ny", "nz", (F.lit(0.01) + F.col("id") % 5 / 1000).alias("radius"),
+        F.col("red").alias("r"), F.col("green").alias("g"), (-F.col("blue")).alias("b"), F.col("green").alias("geometry_confidence"), (F.col("blue") + 1).alias("color_confidence"),
+        F.lit(3).alias("color_seen"), "seen", (F.col("views") - 1).alias("views"), F.lit(0.0).alias("first_ms"), F.lit(9.0).alias("last_ms")), folder)
+    out = scan_files.read_exports(spark, folder)
+    return out.select("scan_id", "id", r("x", 6).alias("x"), r("nz", 6).alias("nz"), "radius", r("r", 6).alias("r"), "b", r("geometry_confidence", 6).alias("geometry_confidence"), "seen", "views")
+
+
+@query("src5_captures", f"""WITH {_GRID} SELECT f.frame AS sequence, i AS grid_index, f.frame * 250.0::DOUBLE AS ms, coalesce(valid, false) AS valid, round(coalesce(depth::FLOAT, 0)::DOUBLE, 5) AS depth FROM (SELECT DISTINCT frame FROM g) f CROSS JOIN range(720) t(i) LEFT JOIN g ON g.frame = f.frame AND g.row * 30 + g.col = i""")
+def src5(spark, sf):
+    """Binary captures of all frames, written and decoded again."""
+    folder = scan_files.new_folder(spark, "captures")
+    settled(scan_files.write_captures(_grid(spark, sf), 30, 24, folder))
+    return scan_files.read_captures(spark, folder).select("sequence", "grid_index", "ms", "valid", r("depth", 5).alias("depth"))
+
+
+_CHUNKS = f"""{SAMPLES}, o AS (SELECT *, (row_number() OVER (PARTITION BY frame ORDER BY id) - 1) AS k FROM s)"""
+_FLOATS = ", ".join(f"round({c}::FLOAT::DOUBLE, 6) AS {c}" for c in ("x", "y", "z", "nx", "ny", "nz"))
+
+
+@query("snk5_packed_surface", f"WITH {_CHUNKS} SELECT frame, k // 16 AS chunk, k % 16 AS place, {_FLOATS} FROM o")
+def snk5(spark, sf):
+    back = scan_files.unpacked_surface(scan_files.packed_surface(samples(spark, sf), "frame", 16), "frame")
+    return back.select("frame", "chunk", "place", *(r(c, 6).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")))
+
+
+@query("snk3_prepared_surface", f"WITH {_CHUNKS} SELECT frame || '-' || lpad((k // 16)::VARCHAR, 6, '0') || '.surface' AS file, k % 16 AS place, {_FLOATS} FROM o")
+def snk3(spark, sf):
+    folder = scan_files.new_folder(spark, "prepared")
+    settled(scan_files.write_prepared(scan_files.packed_surface(samples(spark, sf), "frame", 16), "frame", folder))
+    return scan_files.read_prepared(spark, folder).select("file", "place", *(r(c, 6).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")))
+
+
+@query("snk4_finalized_counts", f"WITH {SAMPLES} SELECT frame, count(*) AS cells, count(*) FILTER (seen >= 3) AS captured, count(*) FILTER (seen = 2) AS partial, count(*) FILTER (seen >= 2) AS fused FROM s GROUP BY frame")
+def snk4(spark, sf):
+    return scan_files.finalized_counts(samples(spark, sf), "frame")
+
+
+@query("sig1_snapshot_signature", "SELECT count(*) AS rows, true AS same, false AS changed FROM embeddings")
+def sig1(spark, sf):
+    """Whether the signature is the same for the same rows in another order, and for one changed row."""
+    s = samples(spark, sf).select("id", "x", "y", "z")
+    one = scan_files.snapshot_signature(s, "id", "x", "y", "z")
+    turned = scan_files.snapshot_signature(s.repartition(5, "x"), "id", "x", "y", "z").select(F.col("signature").alias("turned"))
+    other = scan_files.snapshot_signature(s.withColumn("x", F.when(F.col("id") == 1, F.col("x") + 1e-9).otherwise(F.col("x"))), "id", "x", "y", "z").select(F.col("signature").alias("other"))
+    return one.join(F.broadcast(turned), F.lit(True)).join(F.broadcast(other), F.lit(True)).select("rows", (F.col("signature") == F.col("turned")).alias("same"), (F.col("signature") == F.col("other")).alias("changed"))

@@ -10,8 +10,12 @@ Binary capture: 8 bytes `SSCAN001`, a little-endian u32 length, that many bytes
 from __future__ import annotations
 
 import json
+import os
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,97 @@ SAMPLE = f"struct<id: bigint, position: {_POINT}, normal: {_POINT}, radius: doub
 EXPORT = f"version int, reconstruction struct<scanId: string, referenceSpaceType: string, surfels: array<{SAMPLE}>>"
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="gridwise-")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A folder of its own in that of spark.checkpoint.dir; where it is unset, in a temporary one, on one machine only."""
+    root, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+    return f"{(root or 'file://' + _own_folder()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """A file in a folder of the shared store; it appears whole, and again when a task is repeated."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder))
+    store.create_dir(base, recursive=True)
+    part = f"{base}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, f"{base}/{name}")
+
+
+def write_exports(samples: DataFrame, folder: str) -> None:
+    """One JSON export for each scan_id of samples(scan_id, id, position, normal, radius, r, g, b, geometry_confidence,
+    color_confidence, color_seen, seen, views, first_ms, last_ms). A scan's export is one row, as the format has it."""
+    point = lambda names: F.struct(*(F.col(n).alias(k) for n, k in zip(names, "xyz", strict=True)))
+    surfel = F.struct(
+        "id", point(["x", "y", "z"]).alias("position"), point(["nx", "ny", "nz"]).alias("normal"), "radius", F.struct("r", "g", "b").alias("color"),
+        *(F.col(a).alias(b) for a, b in (("geometry_confidence", "geometryConfidence"), ("color_confidence", "colorConfidence"), ("color_seen", "colorObservationCount"), ("seen", "geometryObservationCount"), ("views", "viewObservationCount"), ("first_ms", "firstObservedAt"), ("last_ms", "lastObservedAt"))),
+    )
+    scans = samples.groupBy("scan_id").agg(F.sort_array(F.collect_list(surfel)).alias("surfels"))
+    body = F.struct(F.lit(1).alias("version"), F.struct(F.col("scan_id").alias("scanId"), F.lit("local-floor").alias("referenceSpaceType"), "surfels").alias("reconstruction"))
+    scans.select(F.to_json(body).alias("value"), F.col("scan_id").alias("scan")).write.partitionBy("scan").text(folder)
+
+
+def write_captures(grid: DataFrame, columns: int, rows: int, folder: str) -> DataFrame:
+    """One capture file for each frame of grid(frame, row, col, depth, valid), missing cells invalid; returns (frame, bytes)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = int(pdf["frame"].iloc[0])
+        depth, valid = np.zeros(columns * rows, np.float32), np.zeros(columns * rows, np.uint8)
+        at = (pdf["row"] * columns + pdf["col"]).to_numpy()
+        depth[at], valid[at] = pdf["depth"], pdf["valid"]
+        data = encode_capture({"sequence": frame, "ms": 250 * frame, "epoch": 0, "columns": columns, "rows": rows}, {"depth": depth, "valid": valid})
+        _put(folder, f"{frame}.bin", data)
+        return pd.DataFrame({"frame": [frame], "bytes": [len(data)]})
+
+    return grid.select(F.col("frame").cast("long").alias("frame"), "row", "col", "depth", "valid").groupBy("frame").applyInPandas(run, "frame long, bytes long")
+
+
+def write_prepared(packed: DataFrame, key: str, folder: str) -> DataFrame:
+    """One binary file for each chunk of packed_surface(): its positions, then its normals, as little-endian float32;
+    returns (file, key, chunk, samples)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, chunk, positions, normals in zip(pdf[key], pdf["chunk"], pdf["positions"], pdf["normals"], strict=True):
+                name = f"{k}-{chunk:06d}.surface"
+                _put(folder, name, np.concatenate((positions, normals)).astype("<f4").tobytes())
+                out.append((name, k, chunk, len(positions) // 3))
+            yield pd.DataFrame(out, columns=["file", "key", "chunk", "samples"])
+
+    kind = dict(packed.dtypes)[key]
+    return packed.select(key, "chunk", "positions", "normals").mapInPandas(run, f"file string, key {kind}, chunk long, samples long")
+
+
+def read_prepared(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, place, position, normal) of the samples in files of write_prepared()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                values = np.frombuffer(content, "<f4").astype(float).reshape(2, -1, 3)
+                yield pd.DataFrame({"file": path.rsplit("/", 1)[-1], "place": np.arange(values.shape[1], dtype=np.int32), **{n: values[0, :, i] for i, n in enumerate("xyz")}, **{"n" + n: values[1, :, i] for i, n in enumerate("xyz")}})
+
+    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, "file string, place int, x double, y double, z double, nx double, ny double, nz double")
+
+
+def finalized_counts(samples: DataFrame, key: str) -> DataFrame:
+    """What a finished scan holds of samples(seen): how many of each coverage state, and those seen twice or more, which
+    alone go on as fused rows."""
+    from gridwise.functions.rules import coverage_state
+
+    state = samples.withColumn("state", coverage_state(F.col("seen")))
+    return state.groupBy(key).agg(F.count("*").alias("cells"), *(F.count_if(F.col("state") == k).alias(k) for k in ("captured", "partial")), F.count_if(F.col("seen") >= 2).alias("fused"))
+
+
 def normalized_samples(exported: DataFrame, most: int | None = MOST_SAMPLES) -> DataFrame:
     """Samples of exports (EXPORT columns, and file): required fields are checked, colours and confidences clamped,
     counts default to one, missing ids are places in the list. A bad row, version or size fails the query."""
