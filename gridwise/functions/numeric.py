@@ -56,13 +56,3 @@ def quantile_index(x, f: float) -> Column:
     """D: sorted[floor(n*f)]; as B, for bounded groups."""
     values = F.sort_array(F.collect_list(c(x)))
     return F.get(values, F.floor(F.size(values) * F.lit(f)).cast("int"))
-
-
-def ranked_quantile(df, keys: list[str], x: str, f: float, how: str):
-    """B or D over groups of any size: ranks by window, one row a group."""
-    from pyspark.sql import Window
-
-    place = F.floor((F.col("n_") - 1) * F.lit(f)) if how == "B" else F.floor(F.col("n_") * F.lit(f))
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("n_", F.count(x).over(w)).withColumn("k_", F.row_number().over(w.orderBy(x)) - 1)
-    return ranked.filter(F.col("k_") == place).select(*keys, F.col(x).alias("value"))

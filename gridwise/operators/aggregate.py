@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwise.functions.numeric import cell, cells, quantile_nearest, round_half_up
+from gridwise.operators.graph import settled
+from gridwise.operators.ranks import medians, quantiles, running
 
 XYZ = ["x", "y", "z"]
 CELL = ["cx", "cy", "cz"]
 
 
 def consolidate(samples: DataFrame, size: float, keys: list[str], order: list[str], colours: tuple = ()) -> DataFrame:
-    """First sample of each cell of a frame (keys) under a total order; colours are means over the whole cell."""
-    placed = samples.select("*", *cells(size))
-    w = Window.partitionBy(*keys, *CELL)
-    for k in colours:
-        placed = placed.withColumn(k, F.avg(k).over(w))
-    placed = placed.withColumn("samples", F.count("*").over(w))
-    return placed.withColumn("_r", F.row_number().over(w.orderBy(*order))).filter("_r = 1").drop("_r")
+    """First sample of each cell of a frame (keys) under a total order; colours are means over the whole cell. Sums and
+    firsts are combined before the shuffle."""
+    placed, own = samples.select("*", *cells(size)), [*keys, *CELL]
+    rest = [c for c in samples.columns if c not in own and c not in colours]
+    out = placed.groupBy(*own).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"), *(F.avg(k).alias(k) for k in colours), F.count("*").alias("samples"))
+    return out.select(*own, "_first.*", *colours, "samples")
 
 
 def phase_subset(df: DataFrame, keys: list[str], order: list[str], most: int, phase: Column) -> DataFrame:
     """At most about `most` rows a key: every stride-th, begun at a place that the phase rotates."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
-    stride = F.ceil(F.col("_n") / most)
-    return out.filter((F.col("_i") + phase) % stride == 0).drop("_n", "_i")
+    out = running(df, keys, order)
+    return out.filter((F.col("before") + phase) % F.ceil(F.col("total") / most) == 0).drop("before", "total")
 
 
 def medoids(samples: DataFrame, size: float, keys: list[str], most: int = 64) -> DataFrame:
@@ -123,15 +122,16 @@ def histogram_mode(values: DataFrame, key: str, x: str, width: float, reach: int
     spread = counts.withColumn("bin", F.explode(F.sequence(F.col("bin") - reach, F.col("bin") + reach)))
     support = spread.groupBy(key, "bin").agg(F.sum("n").alias("support")).join(counts.select(key, "bin"), [key, "bin"])
     mode = support.groupBy(key).agg(F.max(F.struct("support", (-F.col("bin")).alias("b"))).alias("top")).select(key, (-F.col("top.b")).alias("mode"), F.col("top.support").alias("support"))
-    near = binned.join(mode, key).filter(F.abs(F.col("bin") - F.col("mode")) <= reach)
-    median = near.groupBy(key, "mode", "support").agg(F.expr("percentile(value, 0.5)").alias("median"))
-    off = near.join(median.select(key, "median"), key).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    return median.join(off.groupBy(key).agg(F.expr("percentile(off, 0.5)").alias("mad")), key)
+    near = settled(binned.join(mode, key).filter(F.abs(F.col("bin") - F.col("mode")) <= reach).select(key, "value"))
+    median = settled(medians(near, [key], "value", "median"))
+    off = near.join(median, key).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    return mode.join(median, key).join(medians(off, [key], "off", "mad"), key)
 
 
 def distribution(values: DataFrame, x: str, *keys: str, at: tuple = (0.5, 0.9, 0.95)) -> DataFrame:
     """Count, mean, extremes and nearest-rank quantiles."""
-    return values.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), *(quantile_nearest(x, f).alias(f"p{round(f * 100)}") for f in at))
+    facts = values.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return facts.join(quantiles(values, list(keys), x, {f"p{round(f * 100)}": f for f in at}), list(keys))
 
 
 def stage_completeness(stages: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from gridwise.functions import numeric as num
-from gridwise.operators import aggregate as agg
+from gridwise.operators import aggregate as agg, ranks
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINE_ORDER, LINES, SAMPLES, lines, read, samples
 
@@ -254,12 +254,13 @@ def agg24(spark, sf):
 def agg26(spark, sf):
     d = F.col("l_discount") * 100
     t = read(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey", "l_linenumber").agg((F.max(d) - F.min(d)).alias("t"))
-    return t.groupBy("l_returnflag").agg(num.quantile_nearest("t", 0.5).alias("p50"), num.quantile_nearest("t", 0.95).alias("p95"), r(F.count_if(F.col("t") > 5) * 100.0 / F.count("*"), 5).alias("thick_percent"))
+    thick = t.groupBy("l_returnflag").agg(r(F.count_if(F.col("t") > 5) * 100.0 / F.count("*"), 5).alias("thick_percent"))
+    return ranks.quantiles(t, ["l_returnflag"], "t", {"p50": 0.5, "p95": 0.95}).join(thick, "l_returnflag")
 
 
 @query("quantile_a_nearest", "SELECT l_returnflag, quantile_disc(l_extendedprice, .05) AS p5, quantile_disc(l_extendedprice, .5) AS p50, quantile_disc(l_extendedprice, .9) AS p90 FROM lineitem GROUP BY l_returnflag")
 def quantile_a(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(*(num.quantile_nearest("l_extendedprice", f).alias(n) for n, f in (("p5", 0.05), ("p50", 0.5), ("p90", 0.9))))
+    return ranks.quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p90": 0.9})
 
 
 def _ranked(place: str) -> str:
@@ -269,7 +270,7 @@ def _ranked(place: str) -> str:
 
 @query("quantile_b_floor", _ranked("floor((n - 1) * .9)"))
 def quantile_b(spark, sf):
-    return num.ranked_quantile(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9, "B")
+    return ranks.quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"value": 0.9}, "B")
 
 
 @query("quantile_c_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, .1), 6) AS p10, round(quantile_cont(l_extendedprice, .75), 6) AS p75 FROM lineitem GROUP BY l_returnflag")
@@ -279,7 +280,7 @@ def quantile_c(spark, sf):
 
 @query("quantile_d_index", _ranked("floor(n * .1)"))
 def quantile_d(spark, sf):
-    return num.ranked_quantile(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.1, "D")
+    return ranks.quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"value": 0.1}, "D")
 
 
 @query("quantile_bd_small_groups", """

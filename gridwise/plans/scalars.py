@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from gridwise.functions import camera, colour, numeric as num, rules, vector as vm
 from gridwise.operators import graph
+from gridwise.operators.ranks import running
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINE_ORDER, LINES, POSES, SAMPLES, lines, poses, read, samples
 
@@ -330,8 +331,8 @@ _NTH = f"WITH {LINES}, n AS (SELECT frame, l_orderkey, l_linenumber, l_partkey,
 
 
 def _nth(spark, sf):
-    w = Window.partitionBy("frame")
-    return lines(spark, sf).withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(*LINE_ORDER)) - 1).select("frame", "l_orderkey", "l_linenumber", "l_partkey", "n", "i")
+    placed = running(lines(spark, sf).select("frame", *LINE_ORDER), ["frame"], LINE_ORDER)
+    return placed.select("frame", "l_orderkey", "l_linenumber", "l_partkey", F.col("total").alias("n"), F.col("before").alias("i"))
 
 
 @query("smp1_stride", f"{_NTH} SELECT frame, l_orderkey, l_linenumber, l_partkey FROM n WHERE i % ceil(n / 256.0)::BIGINT = 0")
