@@ -34,15 +34,32 @@ OUTCOMES = FUSED + ", id long"
 SEND = 20_000
 
 
-def _cell(p: np.ndarray, width: float) -> tuple[int, int, int]:
-    return tuple(math.floor(v / width) for v in p)
+Vector = tuple[float, float, float]  # plain numbers: the fold handles one measurement at a time
 
 
-def _around(grid: dict, at: tuple[int, int, int], reach: int) -> Iterator[int]:
-    for a in range(at[0] - reach, at[0] + reach + 1):
-        for b in range(at[1] - reach, at[1] + reach + 1):
-            for c in range(at[2] - reach, at[2] + reach + 1):
-                yield from grid.get((a, b, c), ())
+def _cell(p: Vector, width: float) -> tuple[int, int, int]:
+    return math.floor(p[0] / width), math.floor(p[1] / width), math.floor(p[2] / width)
+
+
+def _dot(a: Vector, b: Vector) -> float:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _less(a: Vector, b: Vector) -> Vector:
+    return a[0] - b[0], a[1] - b[1], a[2] - b[2]
+
+
+def _unit(a: Vector) -> Vector:
+    size = math.hypot(*a) or 1.0
+    return a[0] / size, a[1] / size, a[2] / size
+
+
+_STEPS = {reach: [(a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1)] for reach in (1, 2)}
+
+
+def _around(grid: dict, at: tuple[int, int, int], reach: int) -> list[int]:
+    x, y, z = at
+    return [i for a, b, c in _STEPS[reach] if (here := grid.get((x + a, y + b, z + c))) for i in here]
 
 
 class Fusion:
@@ -81,8 +98,8 @@ class Fusion:
             t = self.samples[j]
             if j == i or t["reason"] or t["seen"] < 2:
                 continue
-            d = q["p"] - t["p"]
-            if float(d @ d) <= NEAR * NEAR and abs(float(q["n"] @ t["n"])) >= NEAR_DOT and abs(float(d @ t["n"])) <= NEAR_PLANE:
+            d = _less(q["p"], t["p"])
+            if _dot(d, d) <= NEAR * NEAR and abs(_dot(q["n"], t["n"])) >= NEAR_DOT and abs(_dot(d, t["n"])) <= NEAR_PLANE:
                 coherent += 1
                 canonical += t["promoted"]
         return coherent, canonical
@@ -103,7 +120,7 @@ class Fusion:
 
     def row(self, i: int) -> tuple:
         q = self.samples[i]
-        return (i, *map(float, q["p"]), *map(float, q["n"]), q["seen"], q["views"], float(q["first"]), float(q["last"]), q["promoted"], q["reason"], None)
+        return (i, *q["p"], *q["n"], q["seen"], q["views"], float(q["first"]), float(q["last"]), q["promoted"], q["reason"], None)
 
     def weak(self, i: int, ms: float) -> bool:
         q = self.samples[i]
@@ -136,27 +153,29 @@ class Fusion:
         return None
 
     def step(self, r: dict) -> None:
-        p, n = np.array((r["x"], r["y"], r["z"])), np.array((r["nx"], r["ny"], r["nz"]))
+        p, n = (r["x"], r["y"], r["z"]), (r["nx"], r["ny"], r["nz"])
         best, score, plane, frame = None, (math.inf, 0), 0.0, r.get("frame")
         for s in _around(self.grids[CELL], _cell(p, CELL), 1):
             q = self.samples[s]
             if frame is not None and q["frame"] == frame:
                 continue
-            d = p - q["p"]
-            off, dot = abs(float(d @ q["n"])), abs(float(n @ q["n"]))
-            along = math.sqrt(max(0.0, float(d @ d) - off * off))
-            if off <= PLANE and along <= TANGENT and dot >= DOT:
+            d = _less(p, q["p"])
+            off, dot = abs(_dot(d, q["n"])), abs(_dot(n, q["n"]))
+            if off > PLANE or dot < DOT:
+                continue
+            along = math.sqrt(max(0.0, _dot(d, d) - off * off))
+            if along <= TANGENT:
                 value = (1.6 * off / PLANE + along / TANGENT + (1 - dot), s)
                 if value < score:
                     best, score, plane = q, value, off
-        camera = np.array((r["cx"], r["cy"], r["cz"]))
+        camera = (r["cx"], r["cy"], r["cz"])
         if best is None:
             full = self.room(_cell(p, LAYER_CELL), r["ms"])
             if full:
                 self.reject(r, full)
                 return
             i, self.made = self.made, self.made + 1
-            self.samples[i] = {"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "depth2": 0.0, "promoted": False, "reason": None, "frame": frame, "view": (camera - p) / (np.linalg.norm(camera - p) or 1.0)}
+            self.samples[i] = {"p": p, "n": n, "seen": 1, "views": 1, "camera": camera, "first": r["ms"], "last": r["ms"], "depth2": 0.0, "promoted": False, "reason": None, "frame": frame, "view": _unit(_less(camera, p))}
             self.place(i)
             if self.most is not None:
                 self.waiting.append(i)
@@ -166,17 +185,17 @@ class Fusion:
             self.reject(r, "outlier")
             return
         w = min(SHARE, 1 / (best["seen"] + 1))
-        move = (p - best["p"]) * w
-        size = float(np.linalg.norm(move))
-        best["p"] = best["p"] + (move * (STEP / size) if size > STEP else move)
-        turned = best["n"] * (1 - w) + (n if float(n @ best["n"]) >= 0 else -n) * w
-        best["n"] = turned / (np.linalg.norm(turned) or 1.0)
+        move = _less(p, best["p"])
+        size = math.hypot(*move) * w
+        step = w * (STEP / size if size > STEP else 1.0)
+        here, old, side = best["p"], best["n"], w if _dot(n, best["n"]) >= 0 else -w
+        best["p"] = (here[0] + move[0] * step, here[1] + move[1] * step, here[2] + move[2] * step)
+        best["n"] = _unit((old[0] * (1 - w) + n[0] * side, old[1] * (1 - w) + n[1] * side, old[2] * (1 - w) + n[2] * side))
         best["depth2"] += plane * plane
         best["seen"] += 1
         best["last"], best["frame"] = max(best["last"], r["ms"]), frame
-        a, b = best["view"], camera - best["p"]
-        base = float(np.linalg.norm(best["camera"] - camera))
-        cos = float(a @ b) / (float(np.linalg.norm(b)) or 1.0)
+        base = math.dist(best["camera"], camera)
+        cos = _dot(best["view"], _unit(_less(camera, best["p"])))
         angle = math.degrees(math.acos(max(-1.0, min(1.0, cos))))
         best["views"] = max(best["views"], 3 if base >= 0.3 and angle >= 5 else 2 if base >= 0.08 or angle >= 3 else 1)
         if any(_cell(best["p"], w) != key for w, key in best["cells"].items()):
@@ -196,9 +215,9 @@ class Fusion:
                 t = self.samples[j]
                 if j == i or t["reason"] or t["seen"] < 2:
                     continue
-                d = q["p"] - t["p"]
-                if float(d @ d) <= NEAR * NEAR:
-                    dot = abs(float(q["n"] @ t["n"]))
+                d = _less(q["p"], t["p"])
+                if _dot(d, d) <= NEAR * NEAR:
+                    dot = abs(_dot(q["n"], t["n"]))
                     near, side = near + (dot >= SURFACE_DOT), side + (dot <= SIDE_DOT)
             q["near"], q["side"] = near, side >= 2 and near >= 2
             if q["promoted"]:
@@ -214,9 +233,9 @@ class Fusion:
                 t = self.samples[j]
                 if j <= i or t["reason"]:
                     continue
-                d = t["p"] - q["p"]
-                d2, apart = float(d @ d), abs(float(d @ q["n"]))
-                if d2 > PARALLEL_MOST**2 or abs(float(q["n"] @ t["n"])) < PARALLEL_DOT or not PARALLEL_LEAST <= apart <= PARALLEL_MOST or math.sqrt(max(0.0, d2 - apart * apart)) > PARALLEL_TANGENT:
+                d = _less(t["p"], q["p"])
+                d2, apart = _dot(d, d), abs(_dot(d, q["n"]))
+                if d2 > PARALLEL_MOST**2 or abs(_dot(q["n"], t["n"])) < PARALLEL_DOT or not PARALLEL_LEAST <= apart <= PARALLEL_MOST or math.sqrt(max(0.0, d2 - apart * apart)) > PARALLEL_TANGENT:
                     continue
                 strength = lambda x: x["seen"] + 2 * x["views"] + (4 if x["side"] else 0)
                 weaker = q if strength(q) < strength(t) else t

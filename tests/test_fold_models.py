@@ -126,7 +126,7 @@ def test_fusion_takes_normals_of_either_sign_once_a_frame():
     state = fusion.Fusion()
     for k in range(20):
         state.step(row | {"id": k, "ms": k * 100.0, "frame": k, "nz": (-1.0) ** k, "z": 0.001 * (k % 2)})
-    assert len(state.samples) == 1 and state.samples[0]["seen"] == 20 and state.samples[0]["n"].tolist() == [0.0, 0.0, 1.0]
+    assert len(state.samples) == 1 and state.samples[0]["seen"] == 20 and state.samples[0]["n"] == (0.0, 0.0, 1.0)
     state.step(row | {"id": 99, "ms": 2_000.0, "frame": 19})
     assert len(state.samples) == 2 and state.samples[0]["seen"] == 20  # the sample has this frame's measurement already
     blend = fusion.Fusion()
