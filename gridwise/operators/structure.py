@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwise.functions import vector as vm
 from gridwise.functions.numeric import clamp
-from gridwise.operators.graph import settled
+from gridwise.operators.graph import components, settled
 
 
 @dataclass(frozen=True)
@@ -292,6 +292,72 @@ def grouping_verdicts(planes: DataFrame, judged: DataFrame) -> DataFrame:
     return pairs.select("scan", "a", "b", reason.alias("verdict"))
 
 
+def eligible(judged: DataFrame) -> DataFrame:
+    """Planes that may bound the room: upright walls with relations or of size, sure floors and ceilings."""
+    c = F.col
+    wall = (c("upright") >= 0.68) & ((c("relation") >= 0.32) | large_wall())
+    flat = (c("level") >= LIMITS.horizontal_orientation) & (c("confidence") >= LIMITS.horizontal)
+    return judged.filter(F.when(c("role") == "wall", wall).when(c("role").isin("floor", "ceiling"), flat).otherwise(False))
+
+
+def large_wall() -> Column:
+    """Enough of a wall without relations to others."""
+    return (F.col("size") >= 0.7) & (F.col("mass") >= 0.7) & (F.col("extent") >= 0.55)
+
+
+def node_quality(judged: DataFrame) -> DataFrame:
+    """judged, with final scores, and the quality of each plane as a node of a triad."""
+    c = F.col
+    fit = 1 - clamp(c("rms") / LIMITS.worst_rms)
+    orientation = F.when(c("role") == "wall", c("upright")).otherwise(c("level"))
+    return judged.withColumn("quality", clamp(c("final") * 0.25 + c("envelope") * 0.15 + c("confidence") * 0.2 + orientation * 0.15 + c("size") * 0.1 + c("mass") * 0.1 + fit * 0.05))
+
+
+def best_triads(planes: DataFrame, final: DataFrame, related: DataFrame, points: DataFrame, selected: DataFrame) -> DataFrame:
+    """For each eligible wall that selected(scan, plane) walls do not make redundant, its best triad with one of them and a
+    floor or ceiling: coherence, the three planes' point and the support around it, the first gate that fails, or none.
+
+    Two walls 18 degrees apart at most are redundant, unless the new one stands apart in parallel with evidence of its own.
+    Triads begin with two supported wall-horizontal relations, so the third join meets few rows."""
+    c = F.col
+    nodes = settled(node_quality(eligible(final)).select("scan", "plane", "role", "quality", "envelope", ((c("relation") >= 0.32) | large_wall()).alias("evident")))
+    ends = settled(both_ends(related).select("scan", "plane", "other", "angle", "offset", "gap", "kind", "supported", "line_score"))
+    chosen = selected.join(nodes.filter("role = 'wall'"), ["scan", "plane"], "left_semi").select("scan", c("plane").alias("other"))
+    walls = nodes.filter("role = 'wall'").join(ends, ["scan", "plane"]).join(chosen, ["scan", "other"])
+    apart = (c("offset") >= LIMITS.apart_offset) & (c("gap") >= LIMITS.apart_gap) & (c("envelope") >= 0.72) & c("evident")
+    redundant = walls.filter((c("angle") <= 18) & ~apart).select("scan", "plane").union(selected.select("scan", "plane")).distinct()
+    pairs = walls.filter(c("angle") >= 45).join(redundant, ["scan", "plane"], "left_anti")
+    pairs = pairs.select("scan", c("plane").alias("a"), c("other").alias("b"), "angle", c("quality").alias("a_quality"), F.when(c("supported"), c("line_score")).otherwise(0.0).alias("ab"), c("supported").alias("ab_supported"))
+    upon = ends.filter("kind = 'perpendicular' and supported").join(nodes.filter("role <> 'wall'").select("scan", c("plane").alias("other"), c("quality").alias("h_quality")), ["scan", "other"])
+    on = lambda p: upon.select("scan", c("plane").alias(p), c("other").alias("h"), c("line_score").alias(f"{p}h"), *(["h_quality"] if p == "a" else []))
+    triads = pairs.join(on("a"), ["scan", "a"]).join(on("b"), ["scan", "b", "h"]).join(nodes.select("scan", c("plane").alias("b"), c("quality").alias("b_quality")), ["scan", "b"])
+    side = lambda p: planes.select("scan", c("plane").alias(p), *(c(x).alias(f"{p}_{x}") for x in ("nx", "ny", "nz", "k")))
+    for p in "abh":
+        triads = triads.join(side(p), ["scan", p])
+    point = vm.three_plane_point(vm.v("a_n"), c("a_k"), vm.v("b_n"), c("b_k"), vm.v("h_n"), c("h_k"), 0.2)
+    triads = settled(triads.select("scan", "a", "b", "h", "angle", "a_quality", "b_quality", "h_quality", "ab", "ab_supported", "ah", "bh", *vm.columns(point, "p")))
+    near = triads.filter("px is not null").select("scan", "a", "b", "h", "px", "py", "pz", F.explode(F.array("a", "b", "h")).alias("plane")).join(points.select("scan", "plane", "x", "y", "z"), ["scan", "plane"])
+    near = near.filter(vm.distance(vm.v(), vm.v("p")) <= 0.2).groupBy("scan", "a", "b", "h").agg(*(F.count_if(c("plane") == c(p)).alias(f"n{p}") for p in "abh"))
+    out = triads.join(near, ["scan", "a", "b", "h"], "left").fillna({f"n{p}": 0 for p in "abh"})
+    around = F.cbrt(clamp(c("na") / 4) * clamp(c("nb") / 4) * clamp(c("nh") / 4))
+    novelty = clamp((c("angle") - 18) / 72)
+    out = out.withColumn("around", around).withColumn("coherence", clamp((c("ab") * 0.4 + c("ah") * 0.3 + c("bh") * 0.3) * 0.46 + F.cbrt(c("a_quality") * c("b_quality") * c("h_quality")) * 0.24 + novelty * 0.12 + c("around") * 0.18))
+    gate = (
+        F.when(c("px").isNull(), "unstable-point").when(~c("ab_supported"), "wall-wall-support").when((c("around") < 0.35) | (F.least("na", "nb", "nh") < 2), "point-support")
+        .when(c("coherence") < 0.62, "coherence").otherwise("none")
+    )
+    best = Window.partitionBy("scan", "a").orderBy(F.desc(F.round("coherence", 9)), "b", "h")
+    out = out.withColumn("failed", gate).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return out.select("scan", c("a").alias("plane"), c("b").alias("wall"), c("h").alias("horizontal"), "coherence", "around", "failed")
+
+
+def boundary_components(met: DataFrame) -> DataFrame:
+    """(scan, plane, component) of planes that supported or partial intersections connect; plane ids are one space."""
+    edges = met.filter(F.col("status") != "rejected")
+    nodes = edges.select(F.col("a").alias("id"), "scan").union(edges.select("b", "scan")).distinct()
+    return components(nodes.select("id"), edges.select("a", "b")).join(nodes, "id").select("scan", F.col("id").alias("plane"), "component")
+
+
 def _grouped(planes: list[dict], limits: Limits) -> list[tuple[int, int]]:
     """(direction, lane) of one role's planes, best first. A plane joins the groups with a member of a similar direction that
     stay narrow with it, which then are one; and in its group the first lane with a member close to it."""

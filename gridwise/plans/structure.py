@@ -177,3 +177,45 @@ def cls9(spark, sf):
 def grp6b(spark, sf):
     planes, _, judged = _judged(spark, sf)
     return structure.grouping_verdicts(planes, judged)
+
+
+_LARGE = "(size >= .7 AND mass >= .7 AND extent >= .55)"
+_TRIAD = f"""{_GRAPH}, nodes2 AS (SELECT scan, plane, role, envelope, final, relation >= .32 OR {_LARGE} AS evident,
+        {_C("final*.25 + envelope*.15 + confidence*.2 + CASE WHEN role = 'wall' THEN upright ELSE level END*.15 + size*.1 + mass*.1 + (1 - " + _C('rms / .05') + ")*.05")} AS quality
+        FROM final WHERE (role = 'wall' AND upright >= .68 AND (relation >= .32 OR {_LARGE})) OR (role IN ('floor', 'ceiling') AND level >= .85 AND confidence >= .56)),
+    first AS (SELECT scan, arg_max(plane, (round(final, 9), -plane)) AS plane FROM nodes2 WHERE role = 'wall' GROUP BY scan),
+    ww AS (SELECT n.*, e.other, e.angle, e.off, e.gap, e.supported, e.line_score FROM nodes2 n JOIN ends e USING (scan, plane) JOIN first f ON f.scan = n.scan AND f.plane = e.other WHERE n.role = 'wall'),
+    gone AS (SELECT scan, plane FROM ww WHERE angle <= 18 AND NOT (off >= .75 AND gap >= .8 AND envelope >= .72 AND evident) UNION SELECT scan, plane FROM first),
+    tr AS (SELECT w.scan, w.plane AS a, w.other AS b, h.plane AS h, w.angle, w.quality AS qa, o.quality AS qb, h.quality AS qh, CASE WHEN w.supported THEN w.line_score ELSE 0 END AS ab, w.supported AS abs_, x.line_score AS ah, y.line_score AS bh
+        FROM ww w JOIN ends x ON x.scan = w.scan AND x.plane = w.plane AND x.kind = 'perpendicular' AND x.supported JOIN nodes2 h ON h.scan = w.scan AND h.plane = x.other AND h.role <> 'wall'
+        JOIN ends y ON y.scan = w.scan AND y.plane = w.other AND y.other = h.plane AND y.kind = 'perpendicular' AND y.supported JOIN nodes2 o ON o.scan = w.scan AND o.plane = w.other
+        WHERE w.angle >= 45 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.scan = w.scan AND g.plane = w.plane)),
+    cr AS (SELECT t.*, i.nx AS ix, i.ny AS iy, i.nz AS iz, i.k AS ik, j.nx AS jx, j.ny AS jy, j.nz AS jz, j.k AS jk, l.nx AS lx, l.ny AS ly, l.nz AS lz, l.k AS lk FROM tr t JOIN planes i ON i.plane = t.a JOIN planes j ON j.plane = t.b JOIN planes l ON l.plane = t.h),
+    dt AS (SELECT *, ix*(jy*lz-jz*ly) + iy*(jz*lx-jx*lz) + iz*(jx*ly-jy*lx) AS det FROM cr),
+    pp AS (SELECT *, abs(det) > .2 AS stable, (ik*(jy*lz-jz*ly) + jk*(ly*iz-lz*iy) + lk*(iy*jz-iz*jy)) / det AS px, (ik*(jz*lx-jx*lz) + jk*(lz*ix-lx*iz) + lk*(iz*jx-ix*jz)) / det AS py, (ik*(jx*ly-jy*lx) + jk*(lx*iy-ly*ix) + lk*(ix*jy-iy*jx)) / det AS pz FROM dt),
+    nr AS (SELECT t.scan, t.a, t.b, t.h, count(*) FILTER (p.plane = t.a) AS na, count(*) FILTER (p.plane = t.b) AS nb, count(*) FILTER (p.plane = t.h) AS nh FROM pp t JOIN points p ON p.scan = t.scan AND p.plane IN (t.a, t.b, t.h) AND stable AND sqrt((x-px)**2+(y-py)**2+(z-pz)**2) <= .2 GROUP BY ALL),
+    nn AS (SELECT t.*, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(nh, 0) AS nh, cbrt(least(1, coalesce(na, 0) / 4) * least(1, coalesce(nb, 0) / 4) * least(1, coalesce(nh, 0) / 4)) AS around FROM pp t LEFT JOIN nr USING (scan, a, b, h)),
+    co AS (SELECT *, {_C('(ab*.4 + ah*.3 + bh*.3)*.46 + cbrt(qa*qb*qh)*.24 + ' + _C('(angle - 18) / 72') + '*.12 + around*.18')} AS coherence FROM nn),
+    ga AS (SELECT *, CASE WHEN NOT stable THEN 'unstable-point' WHEN NOT abs_ THEN 'wall-wall-support' WHEN around < .35 OR least(na, nb, nh) < 2 THEN 'point-support' WHEN coherence < .62 THEN 'coherence' ELSE 'none' END AS failed FROM co)"""
+
+
+def _final(spark, sf):
+    planes, related, judged = _judged(spark, sf)
+    return planes, related, settled(structure.with_graph(judged, structure.graph_edges(planes, judged, related)))
+
+
+@query("agg27_coherent_triads", f"WITH {_TRIAD} SELECT scan, a AS plane, b AS wall, h AS horizontal, round(coherence, 6) AS coherence, round(around, 6) AS around, failed FROM (SELECT *, row_number() OVER (PARTITION BY scan, a ORDER BY round(coherence, 9) DESC, b, h) AS k FROM ga) WHERE k = 1")
+def agg27_triads(spark, sf):
+    """The selected wall of a room is its best by the final score."""
+    planes, related, final = _final(spark, sf)
+    walls = structure.eligible(final).filter("role = 'wall'")
+    first = walls.groupBy("scan").agg(F.max_by("plane", F.struct(F.round("final", 9), -F.col("plane"))).alias("plane"))
+    out = structure.best_triads(planes, final, related, _tables(spark, sf)[1], first)
+    return out.select("scan", "plane", "wall", "horizontal", r("coherence", 6).alias("coherence"), r("around", 6).alias("around"), "failed")
+
+
+@query("grp8_boundary_components", f"""WITH RECURSIVE {_met(0.15)}, be AS (SELECT scan, a, b FROM crossed WHERE status <> 'rejected' UNION SELECT scan, b, a FROM crossed WHERE status <> 'rejected'),
+    reach AS (SELECT DISTINCT scan, a AS root, a AS node FROM be UNION SELECT reach.scan, root, be.b FROM reach JOIN be ON be.a = reach.node) SELECT scan, node AS plane, min(root) AS component FROM reach GROUP BY ALL""")
+def grp8(spark, sf):
+    planes, _, judged = _judged(spark, sf)
+    return structure.boundary_components(structure.intersections(planes, judged, _tables(spark, sf)[1]))
