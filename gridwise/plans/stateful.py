@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import fusion, gates, graph, mesh, planes, spatial
+from gridwise.operators import dense, fusion, gates, graph, mesh, planes, spatial
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINES, POSES, SAMPLES, lines, poses, read, samples
 
@@ -125,6 +125,15 @@ def fus1(spark, sf):
     return out.select("scan", "sample", r("x", 6).alias("x"), r("y", 6).alias("y"), r("z", 6).alias("z"), "seen", "views", "promoted", "reason", "id")
 
 
+@query("fus2_dense_fusion")
+def fus2(spark, sf):
+    """Dense samples, those of a finished scan marked, with their confidence."""
+    m = _measurements(spark, sf).withColumns({"r": (F.col("id") % 5) / 5, "g": F.lit(0.5), "b": F.when(F.col("id") % 9 > 0, 0.25), "tracking": F.lit(0.9)})
+    m = m.withColumns({k: F.when(F.col("id") % 9 > 0, F.col(k)) for k in "rg"})
+    out = dense.dense_snapshot(dense.dense(m, ["ms", "id"]))
+    return out.select("scan", "sample", *(r(c, 6).alias(c) for c in ("x", "y", "z")), "seen", "views", "coloured", "stable", "duplicate", "final", r("confidence", 6).alias("confidence"))
+
+
 @query("fus6_layered_field")
 def fus6(spark, sf):
     return fusion.layered(_measurements(spark, sf))
