@@ -265,7 +265,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEI
     lo = F.greatest(F.col("start"), begin)
     hi = F.least(F.col("start") + F.col("size"), begin + F.col("n_words"))
     pieces = (
-        blocks.join(slots(spark, sources, block, seed), ["source_no", "block"])
+        # the planner takes the slots for as few as the shards they come from: both sides are shuffled, whatever it thinks
+        blocks.join(slots(spark, sources, block, seed).hint("merge"), ["source_no", "block"])
         .filter(hi > lo)
         .join(F.broadcast(table.select("source_no", "source")), "source_no")  # one row a source
         .select("doc_id", "source_no", "source", "text_hash", "start", "shard", "slot", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
