@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass handles; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
+#: Bytes of rows in a batch for a Python worker, in what stage() writes.
+BATCH, _BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U64 = np.uint64
 _WORD_BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,9 +63,15 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back: a cut of the lineage that outlives executors."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    """df written to the shared folder and read back: a cut of the lineage that outlives executors. While it is written,
+    batches of rows go to Python workers in BATCH bytes at most, so that wide rows need little memory on either side."""
+    path, conf = new_folder(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(_BATCH_SETTING, None)
+    conf.set(_BATCH_SETTING, BATCH)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_BATCH_SETTING, before) if before else conf.unset(_BATCH_SETTING)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
