@@ -312,7 +312,8 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     buckets = bucket_count(rows, 4_000_000)
     both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(_shared, _ROWS), "signatures")
     facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "least0", "least1")
-    classes = facts.filter("n > 0").groupBy("a", "b", "n").agg(F.min("row_id").alias("rep"))
+    # a table of its own: the copies in a large class then only meet a row each, and may be split
+    classes = stage(facts.filter("n > 0").groupBy("a", "b", "n").agg(F.min("row_id").alias("rep"), F.count("*").alias("size")), "classes")
     heads = facts.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", "least0", "least1")
     members = (
         both.filter("kind = 0").select("row_id", F.col("a").alias("sig"), F.col("b").alias("count"), F.col("n").alias("next_band"))
@@ -377,8 +378,7 @@ def link_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = _weak_links(rows, weak)
         found = found.join(own.withColumnRenamed("row_id", "a"), "a", "left_semi").join(own.withColumnRenamed("row_id", "b"), "b", "left_semi")
         links = links.union(found.select("a", "b")).distinct()
-    sizes = facts.filter("n > 0").groupBy("a", "b", "n").agg(F.count("*").alias("size"))
-    members = facts.join(classes, ["a", "b", "n"], "left").join(sizes, ["a", "b", "n"], "left").select("row_id", "rep", "size")
+    members = facts.join(classes, ["a", "b", "n"], "left").select("row_id", "rep", "size")
     return members, stage(links, "links")
 
 
