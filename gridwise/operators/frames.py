@@ -92,7 +92,8 @@ def trimmed_support(points: DataFrame, key: str, trim: float = 0.05, least: int
     would stay, keeps all."""
     q = lambda c, f: F.expr(f"percentile({c}, {f})")
     ranges = points.groupBy(key).agg(F.count("*").alias("_n"), q("u", trim).alias("_u0"), q("u", 1 - trim).alias("_u1"), q("v", trim).alias("_v0"), q("v", 1 - trim).alias("_v1"))
-    inside = F.col("u").between(F.col("_u0"), F.col("_u1")) & F.col("v").between(F.col("_v0"), F.col("_v1"))
+    within = lambda c: F.col(c).between(F.col(f"_{c}0") - 1e-9, F.col(f"_{c}1") + 1e-9)  # noqa: E731  an end counts, however it was rounded
+    inside = within("u") & within("v")
     marked = points.join(ranges, key).withColumn("_in", inside)
     left = marked.groupBy(key).agg(F.count_if("_in").alias("_left"))
     return marked.join(left, key).filter((F.col("_n") < least) | (F.col("_left") < 3) | F.col("_in")).select(*points.columns)

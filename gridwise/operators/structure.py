@@ -245,8 +245,8 @@ def intersections(planes: DataFrame, judged: DataFrame, points: DataFrame, near_
     both = both.withColumns({"lo": F.greatest("a_lo", "b_lo"), "hi": F.least("a_hi", "b_hi")}).withColumn("met", F.col("a_lo").isNotNull() & F.col("b_lo").isNotNull())
     both = settled(both.withColumn("length", F.when(F.col("met"), F.greatest(F.lit(0.0), F.col("hi") - F.col("lo"))).otherwise(0.0)))
     cut = both.filter("length > 0").select("scan", "a", "b", "lo", "hi", "length", F.greatest(F.lit(1), F.ceil(F.col("length") / BIN)).alias("bins"))
-    inside = near.join(cut, ["scan", "a", "b"]).filter("t between lo and hi")
-    filled = inside.groupBy("scan", "a", "b", "bins", "first").agg(F.count_distinct(F.least(F.col("bins") - 1, F.floor((F.col("t") - F.col("lo")) / F.col("length") * F.col("bins")))).alias("used"))
+    inside = near.join(cut, ["scan", "a", "b"]).filter("t between lo - 1e-9 and hi + 1e-9")  # what lies on an end counts, however it was rounded
+    filled = inside.groupBy("scan", "a", "b", "bins", "first").agg(F.count_distinct(F.least(F.col("bins") - 1, F.floor((F.col("t") - F.col("lo")) / F.col("length") * F.col("bins") + 1e-9))).alias("used"))
     even = filled.groupBy("scan", "a", "b").agg((F.coalesce(pick("used", True), F.lit(0)) / F.max("bins")).alias("ea"), (F.coalesce(pick("used", False), F.lit(0)) / F.max("bins")).alias("eb"))
     c = F.col
     out = pairs.join(both.drop("lo", "hi"), ["scan", "a", "b"], "left").join(even, ["scan", "a", "b"], "left")

@@ -24,10 +24,10 @@ _SIDES = """n AS (SELECT g.*, l.depth AS ld, l.valid AS lv, r.depth AS rd, r.val
     LEFT JOIN g r ON r.frame = g.frame AND r.row = g.row AND r.col = g.col + 1 LEFT JOIN g u ON u.frame = g.frame AND u.col = g.col AND u.row = g.row - 1 LEFT JOIN g d ON d.frame = g.frame AND d.col = g.col AND d.row = g.row + 1)"""
 
 
-@query("win2_grid_neighbours", f"WITH {_GRID}, {_SIDES} SELECT frame, row, col, round(ld, 6) AS l, round(rd, 6) AS r, round(ud, 6) AS u, round(dd, 6) AS d FROM n")
+@query("win2_grid_neighbours", f"WITH {_GRID}, {_SIDES} SELECT frame, row, col, round(ld, 7) AS l, round(rd, 7) AS r, round(ud, 7) AS u, round(dd, 7) AS d FROM n")
 def win2(spark, sf):
     g = frames.grid_neighbours(_grid(spark, sf), "depth")
-    return g.select("frame", "row", "col", *(r(f"{s}_depth", 6).alias(s[0]) for s in ("left", "right", "up", "down")))
+    return g.select("frame", "row", "col", *(r(f"{s}_depth", 7).alias(s[0]) for s in ("left", "right", "up", "down")))
 
 
 _JUMP = lambda s: f"coalesce(({s}v AND abs(depth - {s}d) > greatest(.12, least(depth, {s}d) * .08))::INT, 0)"
@@ -92,7 +92,7 @@ def _uv(spark, sf):
 
 
 @query("geo6_trimmed_support", f"""WITH {_UV}, q AS (SELECT patch, count(*) AS n, quantile_cont(u, .05) AS u0, quantile_cont(u, .95) AS u1, quantile_cont(v, .05) AS v0, quantile_cont(v, .95) AS v1 FROM p GROUP BY patch),
-    m AS (SELECT p.*, n, u BETWEEN u0 AND u1 AND v BETWEEN v0 AND v1 AS inside FROM p JOIN q USING (patch)), l AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY patch) AS kept FROM m)
+    m AS (SELECT p.*, n, u BETWEEN u0 - 1e-9 AND u1 + 1e-9 AND v BETWEEN v0 - 1e-9 AND v1 + 1e-9 AS inside FROM p JOIN q USING (patch)), l AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY patch) AS kept FROM m)
     SELECT patch, id FROM l WHERE n < 8 OR kept < 3 OR inside""")
 def geo6(spark, sf):
     return frames.trimmed_support(_uv(spark, sf), "patch").select("patch", "id")

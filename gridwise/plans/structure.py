@@ -142,7 +142,7 @@ def _met(near):
     ts AS (SELECT scan, a, b, mine, count(*) AS n, min(far) AS far, CASE WHEN count(*) < 5 THEN min(t) ELSE quantile_cont(t, .1) END AS lo, CASE WHEN count(*) < 5 THEN max(t) ELSE quantile_cont(t, .9) END AS hi FROM tn GROUP BY ALL),
     tb AS (SELECT scan, a, b, max(n) FILTER (mine) AS na, max(n) FILTER (NOT mine) AS nb, max(far) AS far, count(*) = 2 AS met, max(lo) AS lo, min(hi) AS hi FROM ts GROUP BY ALL),
     tc AS (SELECT *, CASE WHEN met THEN greatest(0, hi - lo) ELSE 0 END AS len, greatest(1, ceil(greatest(0, hi - lo) / .1)) AS bins FROM tb),
-    tu AS (SELECT n.scan, n.a, n.b, mine, count(DISTINCT least(bins - 1, floor((t - lo) / len * bins))) / max(bins) AS used FROM tn n JOIN tc c ON c.scan = n.scan AND c.a = n.a AND c.b = n.b AND len > 0 AND t BETWEEN lo AND hi GROUP BY ALL),
+    tu AS (SELECT n.scan, n.a, n.b, mine, count(DISTINCT least(bins - 1, floor((t - lo) / len * bins + 1e-9))) / max(bins) AS used FROM tn n JOIN tc c ON c.scan = n.scan AND c.a = n.a AND c.b = n.b AND len > 0 AND t BETWEEN lo - 1e-9 AND hi + 1e-9 GROUP BY ALL),
     te AS (SELECT scan, a, b, CASE WHEN count(*) = 2 THEN min(used) ELSE 0 END AS even FROM tu GROUP BY ALL),
     tf AS (SELECT o.*, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, coalesce(len, 0) AS len, coalesce(even, 0) AS even, coalesce(met AND greatest(0, lo - hi) <= .2, false) AS close, coalesce(na > 0 AND nb > 0, false) AS near, coalesce(na >= 2 AND nb >= 2, false) AS enough, far FROM to_ o LEFT JOIN tc USING (scan, a, b) LEFT JOIN te USING (scan, a, b)),
     tg AS (SELECT *, CASE WHEN NOT crossing THEN 'rejected' WHEN enough AND len >= .12 AND even >= .5 THEN 'supported' WHEN near AND enough AND (len >= .03 OR close) AND (even >= .12 OR close) THEN 'partial' ELSE 'rejected' END AS status FROM tf),
