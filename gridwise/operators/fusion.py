@@ -15,7 +15,6 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import groupby
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -285,23 +284,35 @@ def fused(measurements: DataFrame, order: list[str], most: int | None = None, la
     return outcomes(measurements, order, most, layers).filter("sample is not null").drop("id")
 
 
-def layered(samples: DataFrame, size: float = 0.05, plane: float = 0.022, dot: float = 0.9, layers: int = 4) -> DataFrame:
-    """Layers of each (scan, cell): a sample joins the layer whose first sample it fits best, or begins one, of at most
-    `layers`. Rows (scan, cell, layer, samples, frames)."""
+def layered(samples: DataFrame, size: float = 0.05, plane: float = 0.022, tangent: float = 0.046, dot: float = 0.9, layers: int | None = LAYERS) -> DataFrame:
+    """Layers of each (scan, cell): a sample joins the layer whose first sample it fits best (off its plane, along it and in
+    direction, regardless of sign), or begins one. Rows (scan, cell, layer, samples, frames); where a cell has `layers`
+    already, what fits none of them is counted in a row of its own, whose layer is null."""
     from gridwise.functions.numeric import cells
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, members = [], []
+        heads: list[tuple[Vector, Vector]] = []
+        members: list[list[int]] = []
+        rejected: list[int] = []
         for r in pdf.sort_values("id").itertuples():
-            p, n = np.array((r.x, r.y, r.z)), np.array((r.nx, r.ny, r.nz))
-            fits = [(abs(float((p - q) @ m)) / plane + (1 - float(n @ m)), i) for i, (q, m) in enumerate(heads) if abs(float((p - q) @ m)) <= plane and float(n @ m) >= dot]
-            if fits:
-                members[min(fits)[1]].append(r.frame)
-            elif len(heads) < layers:
+            p, n, best = (r.x, r.y, r.z), (r.nx, r.ny, r.nz), None
+            for i, (q, m) in enumerate(heads):
+                d = _less(p, q)
+                off, agree = abs(_dot(d, m)), abs(_dot(n, m))
+                along = math.sqrt(max(0.0, _dot(d, d) - off * off))
+                if off <= plane and along <= tangent and agree >= dot:
+                    score = (off / plane + along / tangent + (1 - agree), i)
+                    best = score if best is None else min(best, score)
+            if best is not None:
+                members[best[1]].append(r.frame)
+            elif layers is None or len(heads) < layers:
                 heads.append((p, n))
                 members.append([r.frame])
-        first = pdf.iloc[0]
-        return pd.DataFrame({"scan": first["scan"], "cx": first["cx"], "cy": first["cy"], "cz": first["cz"], "layer": range(len(members)), "samples": [len(m) for m in members], "frames": [len(set(m)) for m in members]})
+            else:
+                rejected.append(r.frame)
+        first, groups = pdf.iloc[0], members + ([rejected] if rejected else [])
+        number = pd.array([*range(len(members)), *([None] if rejected else [])], "Int32")
+        return pd.DataFrame({"scan": first["scan"], "cx": first["cx"], "cy": first["cy"], "cz": first["cz"], "layer": number, "samples": [len(m) for m in groups], "frames": [len(set(m)) for m in groups]})
 
     placed = samples.select("scan", "id", "frame", "x", "y", "z", "nx", "ny", "nz", *cells(size))
     return placed.groupBy("scan", "cx", "cy", "cz").applyInPandas(run, "scan long, cx long, cy long, cz long, layer int, samples int, frames int")

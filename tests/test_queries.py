@@ -20,5 +20,6 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_runs(spark, name):
-    df = plans.QUERIES[name](spark, SF)
-    assert len(df.collect()) >= 0 and df.columns
+    """These have no SQL; what they compute is tested against plain versions elsewhere."""
+    rows = plans.QUERIES[name](spark, SF).collect()
+    assert rows and any(len({row[i] for row in map(tuple, rows) if not isinstance(row[i], list)}) > 1 for i in range(len(rows[0])))
