@@ -197,11 +197,11 @@ _TYPED = "CASE WHEN p_size % 4 = 0 THEN 'floor' WHEN p_size % 4 = 1 THEN 'ceilin
 def jn16(spark, sf):
     role = F.when(F.col("p_size") % 4 == 0, "floor").when(F.col("p_size") % 4 == 1, "ceiling").otherwise("wall")
     t = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("room"), role.alias("role"))
-    a = t.filter("role = 'wall'").select("room", F.col("id").alias("a"))
-    other = lambda kind: t.filter(F.col("role") == kind).select("room", F.col("id").alias("b"))
-    walls = a.join(other("wall"), "room").filter("a < b").withColumn("kind", F.lit("wall-wall"))
-    rest = [a.join(other(k), "room").withColumn("kind", F.lit(f"wall-{k}")) for k in ("ceiling", "floor")]
-    return walls.unionByName(rest[0]).unionByName(rest[1]).groupBy("room", "kind").agg(F.count("*").alias("pairs"))
+    # only their number is asked for, which the numbers of surfaces tell; structure.typed_pairs() lists them room by room
+    n = t.groupBy("room").agg(*(F.count_if(F.col("role") == k).alias(k) for k in ("wall", "ceiling", "floor")))
+    number = {"wall": F.expr("wall * (wall - 1) div 2"), **{k: F.col("wall") * F.col(k) for k in ("ceiling", "floor")}}
+    pairs = F.explode(F.array(*(F.struct(F.lit(f"wall-{k}").alias("kind"), x.cast("long").alias("pairs")) for k, x in number.items())))
+    return n.select("room", pairs.alias("p")).select("room", "p.kind", "p.pairs").filter("pairs > 0")
 
 
 @query("jn17_point_in_polygon", f"""
