@@ -204,8 +204,10 @@ def geo7(spark, sf):
 
 @query("geo11_patches")
 def geo11(spark, sf):
-    hulls = mesh.hulls(samples(spark, sf).select("frame", F.col("x").alias("u"), F.col("y").alias("v")), "frame")
-    cuts = samples(spark, sf).filter("id % 50 < 2").select("frame", F.col("red").alias("confidence"), F.col("nx").alias("a"), F.col("ny").alias("b"), F.lit(0.2).alias("c"))
+    """Fifty samples are a patch, and each of them is one of its constraints."""
+    s = samples(spark, sf).withColumn("frame", F.floor(F.col("id") / 50))
+    hulls = mesh.hulls(s.select("frame", F.col("x").alias("u"), F.col("y").alias("v")), "frame")
+    cuts = s.select("frame", F.col("red").alias("confidence"), F.col("nx").alias("a"), F.col("ny").alias("b"), F.lit(0.2).alias("c"))
     return mesh.patches(hulls, cuts, "frame").select("frame", "used", r("area", 5).alias("area"), "triangles")
 
 
