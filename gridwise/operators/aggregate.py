@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridwise.functions.numeric import cell, cells, quantile_nearest, round_half_up
+from gridwise.functions.numeric import cell, cells, round_half_up
 from gridwise.operators.graph import settled
 from gridwise.operators.ranks import medians, quantiles, running
 
