@@ -123,16 +123,21 @@ def hypothesis_scores(points: DataFrame, tries: np.ndarray, inlier: float, least
         for pdf in batches:
             p, weight = pdf[["x", "y", "z"]].to_numpy(float), pdf["w"].to_numpy(float)
             for lo in range(0, len(p), 2_000):
-                part, pw = p[lo : lo + 2_000], weight[lo : lo + 2_000, None]
+                part, pw = p[lo : lo + 2_000], weight[lo : lo + 2_000]
                 off = np.abs(part @ normals.T - offsets)
                 on = off <= inlier
-                n += on.sum(axis=0)
-                w += (on * pw).sum(axis=0)
-                w2 += (on * pw * off * off).sum(axis=0)
+                h, row = np.nonzero(on.T)  # the inliers, hypothesis by hypothesis: few of all pairs
+                if not len(h):
+                    continue
+                near, pw_ = off[row, h], pw[row]
+                n += np.bincount(h, minlength=len(tries))
+                w += np.bincount(h, pw_, len(tries))
+                w2 += np.bincount(h, pw_ * near * near, len(tries))
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
                 for i, axis in enumerate((u, v)):
-                    at = part @ axis.T
-                    low[i] = np.minimum(low[i], np.where(on, at, np.inf).min(axis=0))
-                    high[i] = np.maximum(high[i], np.where(on, at, -np.inf).max(axis=0))
+                    at = np.einsum("ij,ij->i", part[row], axis[h])
+                    low[i][h[first]] = np.minimum(low[i][h[first]], np.minimum.reduceat(at, first))
+                    high[i][h[first]] = np.maximum(high[i][h[first]], np.maximum.reduceat(at, first))
         yield pd.DataFrame({"h": np.arange(len(tries), dtype=np.int32), "n": n, "w": w, "w2": w2, "u0": low[0], "u1": high[0], "v0": low[1], "v1": high[1]})[n > 0]
 
     each = points.select("x", "y", "z", "w").mapInPandas(sums, "h int, n long, w double, w2 double, u0 double, u1 double, v0 double, v1 double")

@@ -34,21 +34,23 @@ def running(rows: DataFrame, keys: list[str], order: list[str], weight: Column |
 PLACES = {"A": lambda n, f: F.ceil(n * F.lit(f)) - 1, "B": lambda n, f: F.floor((n - 1) * F.lit(f)), "D": lambda n, f: F.floor(n * F.lit(f))}
 
 
+def _counted(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """The distinct values of x of each key, with their number and place."""
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    return running(counts, keys, [x], F.col("_n"))
+
+
+def _at(x: str, how: str, f: float) -> Column:
+    """The value of x at a quantile's place, of rows of _counted()."""
+    place = F.greatest(F.lit(0), PLACES[how](F.col("total"), f))
+    return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("_n")), F.col(x)))
+
+
 def quantiles(rows: DataFrame, keys: list[str], x: str, at: dict[str, float], how: str = "A") -> DataFrame:
     """For each of keys the quantiles of x, as columns named by at. Equal values are counted first."""
-    counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
-    placed = running(counts, keys, [x], F.col("_n"))
-    place = lambda f: F.greatest(F.lit(0), PLACES[how](F.col("total"), f))
-    holds = lambda f: (F.col("before") <= place(f)) & (place(f) < F.col("before") + F.col("_n"))
-    return placed.groupBy(*keys).agg(*(F.max(F.when(holds(f), F.col(x))).alias(name) for name, f in at.items()))
+    return _counted(rows, keys, x).groupBy(*keys).agg(*(_at(x, how, f).alias(name) for name, f in at.items()))
 
 
 def medians(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """The median of x for each of keys: the mean of the two middle values where their number is even."""
-    low = quantiles(rows, keys, x, {"_low": 0.5}, "B")
-    high = quantiles(rows, keys, x, {"_high": 0.5}, "D")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("h_" + k))
-    high = high.select(*(F.col(k).alias("h_" + k) for k in keys), "_high")
-    return low.join(high, same).select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+    return _counted(rows, keys, x).groupBy(*keys).agg(((_at(x, "B", 0.5) + _at(x, "D", 0.5)) / 2).alias(name))
