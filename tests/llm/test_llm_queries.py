@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9_source_mixing": "doc_id size source_size target taken",
     "op10_url_filter": "page_id host path rule verdict",
+    "op11_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op13_importance_resampling": "doc_id n_features weight score rank",
 }
 
 
