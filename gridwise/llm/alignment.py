@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,7 @@ class Transducer:
         self.next: dict[int, int] = {}
         self.node = [(0, b"", -1, ROOT, ROOT, -1)]  # who leads, residual, its last token; from which node, by which token, its link
         self.group: list[bytes] = [b""]
+        self.group_a: list[int] = [0]  # its tokens of A
         self.group_links: list[tuple[int, ...]] = [()]
         if len(self.steps) > PIECES:
             self.steps = {}
@@ -114,6 +116,7 @@ class Transducer:
             links.append(link)
             at = before
         self.group.append("|".join(",".join(reversed(side)) for side in ids).encode())
+        self.group_a.append(len(ids[0]))
         self.group_links.append(tuple(x for x in reversed(links) if x >= 0))
         return len(self.group) - 1
 
@@ -157,6 +160,25 @@ def cuts_hold(tokenizer, pieces) -> bool:
     return bool(by_words) and file["post_processor"] is None and not any(SPACE_MARK in name.lstrip(SPACE_MARK) for name in names)
 
 
+class Lists:
+    """Lists of numbers one after another: flat[first[i]:first[i + 1]]."""
+
+    def __init__(self):
+        self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
+
+    def add(self, flat, size) -> None:
+        self.flat = np.concatenate((self.flat, np.array(flat, np.int64)))
+        self.size = np.concatenate((self.size, np.array(size, np.int64)))
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of some lists one after another, and how many each has."""
+        size = self.size[which]
+        begin = np.cumsum(size) - size
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.first[which] - begin, size)], size
+
+
 class Aligner:
     """Pieces of texts as token ids and groups, each distinct piece of a part once."""
 
@@ -177,9 +199,11 @@ class Aligner:
         self.transducer.forget()
         self.known: dict[str, int] = {}
         self.link_at: dict[int, int] = {}
-        self.text: list[bytes | None] = []  # a piece's groups as text; None where the bytes differ
-        self.figures: list[tuple[int, int, int, int]] = []  # tokens of A and B, groups, links
-        self.links: list[np.ndarray] = []  # places of the links in link_at, one for each overlap
+        self.text: list[bytes] = []  # a piece's groups as text
+        self.differs = np.zeros(0, bool)  # whether its tokens spell other bytes
+        self.figures = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links
+        self.links = Lists()  # places of a piece's links in link_at, one for each overlap
+        self.group_links = Lists()
 
     def split(self, text: str) -> list[str]:
         if not self.cuts:
@@ -189,37 +213,56 @@ class Aligner:
     def learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 20_000):
             some = words[lo : lo + 20_000]
-            for w, a, b in zip(some, self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True):
-                self.add(w, a.ids, b)
-
-    def add(self, word: str, a: list[int], b: list[int]) -> None:
-        self.known[word] = len(self.text)
-        want = b" " + word.encode()
-        if b"".join(map(self.spell_a.__getitem__, a)) != want or b"".join(map(self.spell_b.__getitem__, b)) != want:
-            self.text.append(None)
-            self.figures.append((0, 0, 0, 0))
-            self.links.append(np.zeros(0, np.int64))
-            return
-        groups = self.transducer.walk(a, b)
-        at, place = self.link_at, self.transducer.group_links
-        links = [at.setdefault(x, len(at)) for g in groups for x in place[g]]
-        self.text.append(b";".join(map(self.transducer.group.__getitem__, groups)))
-        self.figures.append((len(a), len(b), len(groups), len(links)))
-        self.links.append(np.array(links, np.int64))
-
-    def pieces_of(self, texts: list[str]) -> list[list[int]]:
-        """The numbers of each text's pieces, in order; none for a text without tokens."""
+            a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+            self.add(some, a, self.b.encode(some, num_threads=1))
+
+    def spelt_alike(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Which pieces both token sequences spell byte by byte."""
+        same = lambda w, x, y: b"".join(map(self.spell_a.__getitem__, x)) == b"".join(map(self.spell_b.__getitem__, y)) == w
+        return np.array([same(b" " + w.encode(), x, y) for w, x, y in zip(words, a, b, strict=True)], bool)
+
+    def add(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        self.known.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
+        alike = self.spelt_alike(words, a, b)
+        if not alike.all():
+            a, b = ([x if ok else [] for x, ok in zip(side, alike.tolist(), strict=True)] for side in (a, b))
+        walked = self.transducer.walk(list(chain.from_iterable(a)), list(chain.from_iterable(b)))  # a piece ends a group
+        known = len(self.group_links.size)
+        new = self.transducer.group_links[known:]
+        at = self.link_at
+        self.group_links.add([at.setdefault(x, len(at)) for links in new for x in links], list(map(len, new)))
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+        groups = np.array(walked, np.int64)
+        ends = np.cumsum(np.array(self.transducer.group_a, np.int64)[groups])
+        last = np.concatenate(([0], np.searchsorted(ends, np.cumsum(n_a), side="right")))
+        last[1:][n_a == 0] = 0
+        last = np.maximum.accumulate(last)
+        links, size = self.group_links.of(groups)
+        many = segment_sum(size, last)
+        self.links.add(links, many)
+        text = list(map(self.transducer.group.__getitem__, walked))
+        cut = last.tolist()
+        self.text += [b";".join(text[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        self.differs = np.concatenate((self.differs, ~alike))
+        self.figures = np.concatenate((self.figures, np.column_stack((n_a, n_b, np.diff(last), many))))
+
+    def pieces_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' pieces, in order, and how many each text has; none for one without tokens."""
         split = [self.split(t) if t else [] for t in texts]
-        new = {w: None for words in split for w in words if w not in self.known}
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
         if new:
-            self.learn(list(new))
-        out = [list(map(self.known.__getitem__, words)) for words in split]
-        return [[] if any(self.text[p] is None for p in set(ps)) else ps for ps in out]
+            self.learn(new)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        wrong = np.zeros(len(texts), bool)
+        wrong[doc[self.differs[pieces]]] = True
+        return pieces[~wrong[doc]], np.where(wrong, 0, sizes)
 
-    def groups_text(self, pieces: list[int]) -> Iterator[bytes]:
+    def groups_text(self, pieces: np.ndarray) -> Iterator[bytes]:
         """A text's groups, some at a time."""
         for lo in range(0, len(pieces), 100_000):
-            yield b";" * bool(lo) + b";".join(map(self.text.__getitem__, pieces[lo : lo + 100_000]))
+            yield b";" * bool(lo) + b";".join(map(self.text.__getitem__, pieces[lo : lo + 100_000].tolist()))
 
 
 def batches(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -249,40 +292,32 @@ class Part:
 
     def documents(self, aligner: Aligner, ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
         """A row of documents: their figures, digests, and distinct pieces with how often each occurs."""
-        figures, digests, sizes, all_pieces, all_times = np.zeros((len(texts), 4), np.int64), [], [], [], []
-        known = aligner.pieces_of(texts)
-        own = np.array(aligner.figures, np.int64).reshape(-1, 4)
-        for i, pieces in enumerate(known):
-            distinct, times = np.unique(np.array(pieces, np.int64), return_counts=True)
-            figures[i] = times @ own[distinct] if len(distinct) else 0
-            sizes.append(len(distinct))
-            all_pieces.append(distinct)
-            all_times.append(times)
+        pieces, many = aligner.pieces_of(texts)
+        digests, first = [], np.concatenate(([0], np.cumsum(many)))
+        for lo, hi in zip(first.tolist(), first[1:].tolist(), strict=False):
             digest = hashlib.sha256()
-            for some in aligner.groups_text(pieces):
+            for some in aligner.groups_text(pieces[lo:hi]):
                 digest.update(some)
-            digests.append(digest.hexdigest() if pieces else "")
-        sizes = np.array(sizes, np.int64)
-        pieces = np.concatenate([*all_pieces, np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        links = [aligner.links[p] for p in pieces.tolist()]
-        many = np.fromiter(map(len, links), np.int64, len(links))
-        pairs = np.unique(np.repeat(doc, many) * len(aligner.link_at) + np.concatenate([*links, np.zeros(0, np.int64)]))
-        self.held = np.concatenate((self.held, np.zeros(len(aligner.link_at) - len(self.held), np.int64)))
+            digests.append(digest.hexdigest() if hi > lo else "")
+        known, links_known = len(aligner.text), len(aligner.link_at)
+        own, times = np.unique(np.repeat(np.arange(len(texts)), many) * known + pieces, return_counts=True)
+        doc, pieces = own // max(known, 1), own % max(known, 1)
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        figures = np.column_stack([segment_sum(aligner.figures[pieces, k] * times, first) for k in range(4)])
+        links, size = aligner.links.of(pieces)
+        pairs = np.unique(np.repeat(doc, size) * links_known + links)
+        self.held = np.concatenate((self.held, np.zeros(links_known - len(self.held), np.int64)))
         if len(pairs):
-            self.held += np.bincount(pairs % len(aligner.link_at), minlength=len(self.held))
+            self.held += np.bincount(pairs % links_known, minlength=links_known)
         self.size += sum(map(len, texts))
-        times = np.concatenate([*all_times, np.zeros(0, np.int64)])
-        return _row(part=self.number, doc_id=ids, digest=digests, figures=packed(figures.reshape(-1)), sizes=packed(sizes), pieces=packed(pieces.astype(np.uint32)), times=packed(times.astype(np.uint32)))
+        return _row(part=self.number, doc_id=ids, digest=digests, figures=packed(figures.reshape(-1)), sizes=packed(np.diff(first)), pieces=packed(pieces.astype(np.uint32)), times=packed(times.astype(np.uint32)))
 
     def full(self, aligner: Aligner, most: int) -> bool:
         return self.size >= most or len(aligner.text) >= PIECES
 
     def end(self, aligner: Aligner, buckets: int) -> Iterator[pa.RecordBatch]:
         """The links of each piece, then the part's links by bucket of their A id, with the documents that hold them."""
-        sizes = np.fromiter(map(len, aligner.links), np.int64, len(aligner.links))
-        flat = np.concatenate([*aligner.links, np.zeros(0, np.int64)])
-        yield _row(part=self.number, piece_links=packed(flat.astype(np.uint32)), piece_sizes=packed(sizes.astype(np.uint32)))
+        yield _row(part=self.number, piece_links=packed(aligner.links.flat.astype(np.uint32)), piece_sizes=packed(aligner.links.size.astype(np.uint32)))
         links = np.fromiter(aligner.link_at, np.uint32, len(aligner.link_at))
         held = np.concatenate((self.held, np.zeros(len(links) - len(self.held), np.int64)))
         bucket = bucket_of(links, buckets)
@@ -385,7 +420,9 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in rows:
             ids = batch.column(0).to_pylist()
             for lo, texts in batches(batch.column(1)):
-                found = [[g for some in [b"".join(aligner.groups_text(p)).decode()] for g in (some.split(";") if some else [])] for p in aligner.pieces_of(texts)]
+                pieces, many = aligner.pieces_of(texts)
+                spelt = [b"".join(aligner.groups_text(p)).decode() for p in np.split(pieces, np.cumsum(many)[:-1])]
+                found = [groups.split(";") if groups else [] for groups in spelt]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + len(texts)], pa.int64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "groups"])
                 if len(aligner.text) >= PIECES:
                     aligner.begin()
