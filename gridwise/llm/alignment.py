@@ -23,6 +23,8 @@ length; empty tables give an empty result; columns other than doc_id and text ar
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -36,6 +38,8 @@ from gridwise.llm.token_output import byte_letters
 
 #: Text and distinct pieces after which a worker begins a new part; texts that are encoded together.
 PART_BYTES, PIECES, AT_ONCE = 64 << 20, 400_000, 2 << 20
+#: Pieces that are encoded as one text.
+TOGETHER = 5_000
 #: A space where both vocabularies begin a token.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _UNSURE = re.compile(r"\s | \s|^ | $")
@@ -122,16 +126,19 @@ class Transducer:
 
     def walk(self, a: list[int], b: list[int]) -> list[int]:
         """The groups of two sequences, as places in group and group_links."""
-        known, out, at, i, j = self.next, [], ROOT, 0, 0
-        while i < len(a) or at:
-            if at & 1:
-                token, j = b[j], j + 1
-            else:
-                token, i = a[i], i + 1
-            at = known.get(at << B_BITS + 1 | token) or self.grow(at, token)
-            if at < 0:
-                out.append(-at)
-                at = ROOT
+        known, out, rest_a, rest_b = self.next, [], iter(a), iter(b)
+        for token in rest_a:
+            key = token
+            while True:
+                try:
+                    at = known[key]
+                except KeyError:
+                    at = self.grow(key >> B_BITS + 1, token)
+                if at < 0:
+                    break
+                token = next(rest_b) if at & 1 else next(rest_a)
+                key = at << B_BITS + 1 | token
+            out.append(-at)
         return out
 
 
@@ -151,8 +158,6 @@ def token_bytes(tokenizer, pieces) -> tuple[list[bytes], list[bytes]]:
 
 def cuts_hold(tokenizer, pieces) -> bool:
     """Whether both vocabularies begin a token at every CUT."""
-    import json
-
     file = json.loads(tokenizer.to_str())
     before = file["pre_tokenizer"] or {}
     by_words = file["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
@@ -183,6 +188,7 @@ class Aligner:
     """Pieces of texts as token ids and groups, each distinct piece of a part once."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -190,6 +196,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.spell_a, self.spell_b = token_bytes(self.a, self.b)
+        self.size_a, self.size_b = (np.fromiter(map(len, spell), np.int64, len(spell)) for spell in (self.spell_a, self.spell_b))
         self.cuts = cuts_hold(self.a, self.b)
         self.transducer = Transducer(self.spell_a, self.spell_b)
         self.begin()
@@ -211,39 +218,48 @@ class Aligner:
         return CUT.split(text) if _UNSURE.search(text) else text.split(" ")
 
     def learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            some = words[lo : lo + 20_000]
-            a = [x.ids for x in self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
-            self.add(some, a, self.b.encode(some, num_threads=1))
-
-    def spelt_alike(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
-        """Which pieces both token sequences spell byte by byte."""
-        same = lambda w, x, y: b"".join(map(self.spell_a.__getitem__, x)) == b"".join(map(self.spell_b.__getitem__, y)) == w
-        return np.array([same(b" " + w.encode(), x, y) for w, x, y in zip(words, a, b, strict=True)], bool)
+        """Encodes new pieces. Those that no white space begins or ends are encoded as one text of many, where each
+        begins at a cut."""
+        together, alone = [], []
+        for w in words:
+            (alone if not self.cuts or w[:1].isspace() or w[-1:].isspace() or not w else together).append(w)
+        for lo in range(0, len(together), TOGETHER):
+            self.encode(together[lo : lo + TOGETHER])
+        for w in alone:
+            self.encode([w])
+
+    def encode(self, words: list[str]) -> None:
+        """Pieces as one text; where its tokens spell other bytes, in halves."""
+        text = " ".join(words)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join(map(self.spell_a.__getitem__, a)) == b"".join(map(self.spell_b.__getitem__, b)) == b" " + text.encode():
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
+            many = (np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="right"), prepend=0) for size, ids in ((self.size_a, a), (self.size_b, b)))
+            self.add(words, a, b, *many)
+        elif len(words) > 1:
+            self.encode(words[: len(words) // 2])
+            self.encode(words[len(words) // 2 :])
+        else:
+            self.add(words, [], [], np.zeros(1, np.int64), np.zeros(1, np.int64))
 
-    def add(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+    def add(self, words: list[str], a: list[int], b: list[int], n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Pieces with the tokens of all of them, and how many each has; none where they spell other bytes."""
         self.known.update(zip(words, range(len(self.text), len(self.text) + len(words)), strict=True))
-        alike = self.spelt_alike(words, a, b)
-        if not alike.all():
-            a, b = ([x if ok else [] for x, ok in zip(side, alike.tolist(), strict=True)] for side in (a, b))
-        walked = self.transducer.walk(list(chain.from_iterable(a)), list(chain.from_iterable(b)))  # a piece ends a group
+        walked = self.transducer.walk(a, b)  # a piece ends a group
         known = len(self.group_links.size)
         new = self.transducer.group_links[known:]
         at = self.link_at
         self.group_links.add([at.setdefault(x, len(at)) for links in new for x in links], list(map(len, new)))
-        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
         groups = np.array(walked, np.int64)
         ends = np.cumsum(np.array(self.transducer.group_a, np.int64)[groups])
         last = np.concatenate(([0], np.searchsorted(ends, np.cumsum(n_a), side="right")))
-        last[1:][n_a == 0] = 0
-        last = np.maximum.accumulate(last)
         links, size = self.group_links.of(groups)
         many = segment_sum(size, last)
         self.links.add(links, many)
         text = list(map(self.transducer.group.__getitem__, walked))
         cut = last.tolist()
         self.text += [b";".join(text[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-        self.differs = np.concatenate((self.differs, ~alike))
+        self.differs = np.concatenate((self.differs, n_a == 0))
         self.figures = np.concatenate((self.figures, np.column_stack((n_a, n_b, np.diff(last), many))))
 
     def pieces_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
