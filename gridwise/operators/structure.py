@@ -320,25 +320,39 @@ def best_triads(planes: DataFrame, final: DataFrame, related: DataFrame, points:
     Two walls 18 degrees apart at most are redundant, unless the new one stands apart in parallel with evidence of its own.
     Triads begin with two supported wall-horizontal relations, so the third join meets few rows."""
     c = F.col
-    nodes = settled(node_quality(eligible(final)).select("scan", "plane", "role", "quality", "envelope", ((c("relation") >= 0.32) | large_wall()).alias("evident")))
-    ends = settled(both_ends(related).select("scan", "plane", "other", "angle", "offset", "gap", "kind", "supported", "line_score"))
+    nodes = settled(node_quality(eligible(final)).withColumn("evident", (c("relation") >= 0.32) | large_wall()))
+    ends = both_ends(related).select("scan", "plane", "other", "angle", "offset", "gap")
     chosen = selected.join(nodes.filter("role = 'wall'"), ["scan", "plane"], "left_semi").select("scan", c("plane").alias("other"))
     walls = nodes.filter("role = 'wall'").join(ends, ["scan", "plane"]).join(chosen, ["scan", "other"])
     apart = (c("offset") >= LIMITS.apart_offset) & (c("gap") >= LIMITS.apart_gap) & (c("envelope") >= 0.72) & c("evident")
     redundant = walls.filter((c("angle") <= 18) & ~apart).select("scan", "plane").union(selected.select("scan", "plane")).distinct()
-    pairs = walls.filter(c("angle") >= 45).join(redundant, ["scan", "plane"], "left_anti")
+    out = triads(planes, nodes, related, points, chosen.select("scan", c("other").alias("plane"))).join(redundant.withColumnRenamed("plane", "a"), ["scan", "a"], "left_anti")
+    best = Window.partitionBy("scan", "a").orderBy(F.desc(F.round("coherence", 9)), "b", "h")
+    out = out.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return out.select("scan", c("a").alias("plane"), c("b").alias("wall"), c("h").alias("horizontal"), "coherence", "around", "failed")
+
+
+def triads(planes: DataFrame, nodes: DataFrame, related: DataFrame, points: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every (scan, a, b, h) of a wall a, a wall b of anchors(scan, plane) 45 degrees from it at least, and a floor or ceiling,
+    all of node_quality(), with both walls' lines with h supported: coherence, the planes' point (p, null if unstable),
+    the support around it and the first gate that fails, or none."""
+    c = F.col
+    ends = settled(both_ends(related).select("scan", "plane", "other", "angle", "kind", "supported", "line_score"))
+    walls = nodes.filter("role = 'wall'").select("scan", "plane", "quality")
+    pairs = walls.join(ends, ["scan", "plane"]).filter(c("angle") >= 45).join(anchors.select("scan", c("plane").alias("other")), ["scan", "other"])
     pairs = pairs.select("scan", c("plane").alias("a"), c("other").alias("b"), "angle", c("quality").alias("a_quality"), F.when(c("supported"), c("line_score")).otherwise(0.0).alias("ab"), c("supported").alias("ab_supported"))
     upon = ends.filter("kind = 'perpendicular' and supported").join(nodes.filter("role <> 'wall'").select("scan", c("plane").alias("other"), c("quality").alias("h_quality")), ["scan", "other"])
     on = lambda p: upon.select("scan", c("plane").alias(p), c("other").alias("h"), c("line_score").alias(f"{p}h"), *(["h_quality"] if p == "a" else []))
-    triads = pairs.join(on("a"), ["scan", "a"]).join(on("b"), ["scan", "b", "h"]).join(nodes.select("scan", c("plane").alias("b"), c("quality").alias("b_quality")), ["scan", "b"])
+    out = pairs.join(on("a"), ["scan", "a"]).join(on("b"), ["scan", "b", "h"]).join(walls.select("scan", c("plane").alias("b"), c("quality").alias("b_quality")), ["scan", "b"])
     side = lambda p: planes.select("scan", c("plane").alias(p), *(c(x).alias(f"{p}_{x}") for x in ("nx", "ny", "nz", "k")))
     for p in "abh":
-        triads = triads.join(side(p), ["scan", p])
+        out = out.join(side(p), ["scan", p])
     point = vm.three_plane_point(vm.v("a_n"), c("a_k"), vm.v("b_n"), c("b_k"), vm.v("h_n"), c("h_k"), 0.2)
-    triads = settled(triads.select("scan", "a", "b", "h", "angle", "a_quality", "b_quality", "h_quality", "ab", "ab_supported", "ah", "bh", *vm.columns(point, "p")))
-    near = triads.filter("px is not null").select("scan", "a", "b", "h", "px", "py", "pz", F.explode(F.array("a", "b", "h")).alias("plane")).join(points.select("scan", "plane", "x", "y", "z"), ["scan", "plane"])
+    det = vm.dot(vm.v("a_n"), vm.cross(vm.v("b_n"), vm.v("h_n")))
+    out = settled(out.select("scan", "a", "b", "h", "angle", "a_quality", "b_quality", "h_quality", "ab", "ab_supported", "ah", "bh", det.alias("det"), *vm.columns(point, "p")))
+    near = out.filter("px is not null").select("scan", "a", "b", "h", "px", "py", "pz", F.explode(F.array("a", "b", "h")).alias("plane")).join(points.select("scan", "plane", "x", "y", "z"), ["scan", "plane"])
     near = near.filter(vm.distance(vm.v(), vm.v("p")) <= 0.2).groupBy("scan", "a", "b", "h").agg(*(F.count_if(c("plane") == c(p)).alias(f"n{p}") for p in "abh"))
-    out = triads.join(near, ["scan", "a", "b", "h"], "left").fillna({f"n{p}": 0 for p in "abh"})
+    out = out.join(near, ["scan", "a", "b", "h"], "left").fillna({f"n{p}": 0 for p in "abh"})
     around = F.cbrt(clamp(c("na") / 4) * clamp(c("nb") / 4) * clamp(c("nh") / 4))
     novelty = clamp((c("angle") - 18) / 72)
     out = out.withColumn("around", around).withColumn("coherence", clamp((c("ab") * 0.4 + c("ah") * 0.3 + c("bh") * 0.3) * 0.46 + F.cbrt(c("a_quality") * c("b_quality") * c("h_quality")) * 0.24 + novelty * 0.12 + c("around") * 0.18))
@@ -346,9 +360,7 @@ def best_triads(planes: DataFrame, final: DataFrame, related: DataFrame, points:
         F.when(c("px").isNull(), "unstable-point").when(~c("ab_supported"), "wall-wall-support").when((c("around") < 0.35) | (F.least("na", "nb", "nh") < 2), "point-support")
         .when(c("coherence") < 0.62, "coherence").otherwise("none")
     )
-    best = Window.partitionBy("scan", "a").orderBy(F.desc(F.round("coherence", 9)), "b", "h")
-    out = out.withColumn("failed", gate).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return out.select("scan", c("a").alias("plane"), c("b").alias("wall"), c("h").alias("horizontal"), "coherence", "around", "failed")
+    return out.withColumn("failed", gate)
 
 
 def boundary_components(met: DataFrame) -> DataFrame:

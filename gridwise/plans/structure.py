@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import structure
+from gridwise.operators import selection, structure
 from gridwise.operators.graph import settled
 from gridwise.plans.registry import query
 from gridwise.plans.tables import read
@@ -219,3 +219,63 @@ def agg27_triads(spark, sf):
 def grp8(spark, sf):
     planes, _, judged = _judged(spark, sf)
     return structure.boundary_components(structure.intersections(planes, judged, _tables(spark, sf)[1]))
+
+
+def _selected(spark, sf):
+    planes, related, judged = _judged(spark, sf)
+    edges = settled(structure.graph_edges(planes, judged, related))
+    final = settled(structure.with_graph(judged, edges))
+    return selection.selected_walls(planes, final, related, edges, _tables(spark, sf)[1])
+
+
+_LAST = "row_number() OVER (PARTITION BY scan ORDER BY step DESC) = 1"
+_GROW = f"""{_GRAPH}, wn AS (SELECT scan, plane, round(final, 9) AS final, envelope, relation >= .32 OR {_LARGE} AS evident, upright >= .68 AND (relation >= .32 OR {_LARGE}) AS ok, {_C("final*.25 + envelope*.15 + confidence*.2 + upright*.15 + size*.1 + mass*.1 + (1 - " + _C('rms / .05') + ")*.05")} AS quality FROM final WHERE role = 'wall'),
+    hn AS (SELECT scan, plane, {_C("final*.25 + envelope*.15 + confidence*.2 + level*.15 + size*.1 + mass*.1 + (1 - " + _C('rms / .05') + ")*.05")} AS quality FROM final WHERE role IN ('floor', 'ceiling') AND level >= .85 AND confidence >= .56),
+    we AS (SELECT e.scan, e.plane, e.other, e.angle, e.off >= .75 AND e.gap >= .8 AND w.envelope >= .72 AND w.evident AS apart, round(g.score, 9) AS score,
+        CASE WHEN g.strength = 'strong' AND w.ok AND o.ok THEN round({_C('g.score * sqrt(w.quality * o.quality)')}, 9) END AS core
+        FROM ends e JOIN wn w ON w.scan = e.scan AND w.plane = e.plane JOIN wn o ON o.scan = e.scan AND o.plane = e.other LEFT JOIN edges g ON g.scan = e.scan AND g.a = e.a AND g.b = e.b AND g.kind <> 'wall-horizontal'),
+    by_core AS (SELECT scan, first([plane, other] ORDER BY core DESC, score DESC, plane, other) AS chosen FROM we WHERE core IS NOT NULL AND plane < other GROUP BY scan),
+    by_floor AS (SELECT g.scan, first([w.plane] ORDER BY round({_C('g.score * sqrt(w.quality * h.quality)')}, 9) DESC, round(g.score, 9) DESC, g.a, g.b) AS chosen FROM edges g JOIN wn w ON w.scan = g.scan AND w.plane IN (g.a, g.b) AND w.ok JOIN hn h ON h.scan = g.scan AND h.plane IN (g.a, g.b) WHERE g.kind = 'wall-horizontal' AND g.strength = 'strong' GROUP BY g.scan),
+    seeded AS (SELECT scan, coalesce(c.chosen, f.chosen) AS chosen FROM by_core c FULL JOIN by_floor f USING (scan)),
+    grown AS (SELECT scan, chosen, []::BIGINT[] AS alternates, 0 AS step FROM seeded UNION ALL
+        SELECT scan, CASE WHEN repeats THEN chosen ELSE list_append(chosen, x) END, CASE WHEN repeats THEN list_append(alternates, x) ELSE alternates END, step + 1 FROM (
+            SELECT n.scan, n.chosen, n.alternates, n.step, n.x, min(e.angle) <= 18 AND NOT bool_or(e.apart) AS repeats FROM (
+                SELECT g.scan, g.chosen, g.alternates, g.step, first(e.plane ORDER BY e.score DESC, w.final DESC, e.plane) AS x FROM grown g JOIN we e ON e.scan = g.scan AND list_contains(g.chosen, e.other) AND e.score >= .84
+                JOIN wn w ON w.scan = e.scan AND w.plane = e.plane AND w.ok WHERE NOT list_contains(g.chosen, e.plane) AND NOT list_contains(g.alternates, e.plane) GROUP BY ALL) n
+            JOIN we e ON e.scan = n.scan AND e.plane = n.x AND list_contains(n.chosen, e.other) GROUP BY ALL)),
+    settled AS (SELECT scan, chosen, alternates FROM grown QUALIFY {_LAST}),
+    whole AS (SELECT * FROM settled UNION ALL SELECT scan, [first(plane ORDER BY final DESC, plane)], [] FROM wn WHERE ok AND scan NOT IN (SELECT scan FROM settled) GROUP BY scan)"""
+
+
+def _facts(spark, sf):
+    planes, related, judged = _judged(spark, sf)
+    edges = settled(structure.graph_edges(planes, judged, related))
+    return planes, related, edges, settled(structure.with_graph(judged, edges))
+
+
+@query("cls3d_wall_growth", f"WITH RECURSIVE {_GROW.removeprefix('WITH ')} SELECT scan, unnest(chosen) AS plane, 'selected' AS state, unnest(range(len(chosen))) AS place FROM whole UNION ALL SELECT scan, unnest(alternates), 'alternate', unnest(range(len(alternates))) FROM whole")
+def cls3d_growth(spark, sf):
+    """Walls chosen by the seed and along strong edges, in order."""
+    planes, related, edges, final = _facts(spark, sf)
+    nodes = settled(selection.nodes_of(final))
+    rows = selection.first_rounds(nodes, selection.wall_pairs(nodes, related, edges), edges, None)
+    either = lambda state, name: rows.select("scan", F.posexplode(name).alias("place", "x")).select("scan", F.col("x.plane").alias("plane"), F.lit(state).alias("state"), "place")
+    return either("selected", "chosen").union(either("alternate", "alternates"))
+
+
+@query("cls3d_wall_selection")
+def cls3d(spark, sf):
+    planes, related, edges, final = _facts(spark, sf)
+    walls, _ = selection.selected_walls(planes, final, related, edges, _tables(spark, sf)[1])
+    return walls.select("scan", "plane", "state", "place", "reason", r("final", 6).alias("final"))
+
+
+@query("grp5_triad_competition")
+def grp5(spark, sf):
+    """Of every wall its most coherent triad, whatever gate it fails: which of them propose the same corner."""
+    planes, related, _, final = _facts(spark, sf)
+    points = _tables(spark, sf)[1]
+    nodes = settled(selection.nodes_of(final))
+    triads = selection.best_of_each(selection.all_triads(planes, nodes, related, points))
+    out = selection.competition(triads, nodes, planes, points)
+    return out.select("scan", "a", "b", "h", r("score", 6).alias("score"), "anchor", "corner", "selected")
