@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import dense, fusion, gates, graph, mesh, planes, spatial
+from gridwise.operators import coverage, dense, fusion, gates, graph, mesh, planes, spatial
 from gridwise.plans.registry import query
-from gridwise.plans.tables import LINES, POSES, SAMPLES, lines, poses, read, samples
+from gridwise.plans.tables import LINE_ORDER, LINES, POSES, SAMPLES, lines, poses, read, samples
 
 r = F.round
 
@@ -249,3 +249,28 @@ def grp9_whole(spark, sf):
     """The graph of every line: suppliers have even ids, parts odd ones. Recursive SQL is too slow for it."""
     e = lines(spark, sf).select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
     return graph.components(e.select(F.col("a").alias("id")).union(e.select("b")), e)
+
+
+def _ticks(spark, sf):
+    """lineitem as observations: a supplier is a scan, a month a tick of 100 ms, quantity and discount the grid and the place."""
+    li = read(spark, sf, "lineitem")
+    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    at = lambda c, k: (c * k).cast("double")
+    return li.select(
+        F.col("l_suppkey").alias("scan"), at(month, 100).alias("ms"), F.xxhash64(*LINE_ORDER).alias("id"),
+        at(F.col("l_quantity") - 1, 1 / 49).alias("u"), at(F.col("l_discount"), 10).alias("v"), at(1 + F.col("l_tax"), 1).alias("depth"),
+        at(F.col("l_quantity"), 0.02).alias("x"), at(F.col("l_discount"), 4).alias("y"), at(F.col("l_tax"), 0.5).alias("z"),
+        at(month % 9, 0.02).alias("cam_x"), F.lit(0.2).alias("cam_y"), F.lit(1.0).alias("cam_z"),
+        F.sin(month / 4).alias("dir_x"), F.lit(0.0).alias("dir_y"), (-F.cos(month / 4)).alias("dir_z"),
+    )
+
+
+@query("fus3_coverage_mapping")
+def fus3(spark, sf):
+    """What became of every observation, and the transitions of its region."""
+    return coverage.mapped(_ticks(spark, sf), ["id"], 8, 6).select("scan", "ms", "id", "outcome", "region", "seen", "transition")
+
+
+@query("fus3_coverage_regions")
+def fus3_regions(spark, sf):
+    return coverage.regions_of(coverage.mapped(_ticks(spark, sf), ["id"], 8, 6))
