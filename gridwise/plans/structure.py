@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import selection, structure
+from gridwise.operators import merging, selection, structure
 from gridwise.operators.graph import settled
 from gridwise.plans.registry import query
 from gridwise.plans.tables import read
@@ -279,3 +279,18 @@ def grp5(spark, sf):
     triads = selection.best_of_each(selection.all_triads(planes, nodes, related, points))
     out = selection.competition(triads, nodes, planes, points)
     return out.select("scan", "a", "b", "h", r("score", 6).alias("score"), "anchor", "corner", "selected")
+
+
+def _merged(spark, sf):
+    planes, points = _tables(spark, sf)
+    return merging.merged_planes(planes.withColumn("confidence", 1 - F.col("rms") / 0.05), points)
+
+
+@query("grp21_surface_families")
+def grp21(spark, sf):
+    return _merged(spark, sf).select("scan", "plane", "family", "family_plane", r("family_thickness", 6).alias("thickness"))
+
+
+@query("grp21b_surface_consensus")
+def grp21b(spark, sf):
+    return _merged(spark, sf).select("scan", "plane", "surface", "surface_plane", r("surface_thickness", 6).alias("thickness"), r("area", 6).alias("area"))
