@@ -13,6 +13,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridwise.functions.colour import linear_to_srgb, srgb_to_linear
 from gridwise.functions.rules import dense_confidence
 from gridwise.operators.fusion import Vector, _around, _cell, _dot, _less, _unit
 
@@ -32,8 +33,8 @@ def view_bits(bits: int, baseline: float, angle: float) -> int:
 
 
 class DenseFusion:
-    """The samples of one scan. Rows have id, ms, frame, position, normal, colour r, g, b (null: none), camera cx, cy, cz
-    and tracking. A sample takes a measurement of a frame once. most limits the samples; where it is reached, one that was
+    """The samples of one scan. Rows have id, ms, frame, position, normal, linear colour r, g, b (null: none), camera cx, cy,
+    cz and tracking. A sample takes a measurement of a frame once. most limits the samples; where it is reached, one that was
     seen once and idle for RECLAIM_MS makes room, else the measurement is rejected."""
 
     def __init__(self, most: int | None = None):
@@ -145,11 +146,11 @@ class DenseFusion:
                 best, nearest = i, (math.sqrt(d2), i)
         if best is not None:
             q = self.samples[best]
+            self._saw(q, camera)  # from where the sample lies so far, also by a repeated measurement of a frame
             if q["frame"] == r["frame"]:
                 return "same-frame"
             q["frame"] = r["frame"]
             self._fuse(best, nearest[0], p, n, colour, camera, r)
-            self._saw(q, camera)
             return "fused"
         if self.most is not None and len(self.samples) >= self.most:
             idle = next((i for i, q in self.samples.items() if q["seen"] < 2 and r["ms"] - q["last"] > RECLAIM_MS), None)
@@ -174,7 +175,7 @@ class DenseFusion:
 
 def dense(measurements: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
     """The samples (DENSE) of measurements(scan, id, ms, frame, position, normal, r, g, b, cx, cy, cz, tracking), fused scan by
-    scan in order."""
+    scan in order. Colours are sRGB in and out, and compared and blended as linear ones."""
     names = [c.split()[0] for c in DENSE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +192,9 @@ def dense(measurements: DataFrame, order: list[str], most: int | None = None) ->
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return measurements.repartition("scan").sortWithinPartitions("scan", *order).mapInPandas(run, DENSE)
+    linear = measurements.withColumns({c: srgb_to_linear(c) for c in "rgb"})
+    fused = linear.repartition("scan").sortWithinPartitions("scan", *order).mapInPandas(run, DENSE)
+    return fused.withColumns({c: linear_to_srgb(c) for c in "rgb"})
 
 
 def dense_snapshot(samples: DataFrame) -> DataFrame:

@@ -74,3 +74,26 @@ def test_snapshot(spark):
     assert sorted(r["has_colour"] for r in out) == [False] * 2 + [True] * 5
     full = [r for r in out if r["seen"] == 3]
     assert all(r["views"] == 2 and abs(r["confidence"] - min(1, 0.45 * 3 / 5 + 0.25 * 2 / 2 + 0.2 + 0.1 * 400 / 2000)) < 1e-9 for r in full)
+
+
+def test_views_count_before_the_move_and_for_repeats():
+    """A ghost's second view comes with its last measurement, and with a repeated one of a frame: both make it stable."""
+    floor = [row(100 * k + i, x=0.1 * (i % 6), y=0.1 * (i // 6), ms=150.0 * k, frame=k) for k in range(4) for i in range(36)]
+    ghost = [row(900 + k, z=0.06, ms=1_000.0 + 250 * k, frame=50 + k) for k in range(4)]
+    far = (0.6, 0.0, 2.0)
+    _, state = fold([*floor, *ghost, row(904, z=0.06, ms=2_000.0, frame=54, camera=far)])
+    assert state.samples[36]["duplicate"] and state.samples[36]["bits"] == 7 and state.samples[36]["stable"]
+    got, state = fold([*floor, *ghost, row(904, z=0.06, ms=1_760.0, frame=53, camera=far)])
+    assert got[-1] == "same-frame" and state.samples[36]["bits"] == 7 and state.samples[36]["seen"] == 4
+    # a view is measured from where the sample lies before the measurement moves it
+    _, state = fold([row(0, x=0.0, camera=(0.0, 0.0, 0.1)), row(1, x=0.03, camera=(0.07, 0.0, 0.1))])
+    turn = math.acos(sum(a * b for a, b in zip((0.0, 0.0, 1.0), (0.07 / math.hypot(0.07, 0.1), 0.0, 0.1 / math.hypot(0.07, 0.1)), strict=True)))
+    assert state.samples[0]["bits"] == dense.view_bits(1, 0.07, turn)
+
+
+def test_colours_blend_as_linear(spark):
+    rows = [(1, *row(k, colour=c).values()) for k, c in enumerate([(0.2, 0.2, 0.2), (0.9, 0.9, 0.9)])]
+    got = dense.dense(spark.createDataFrame(rows, SCHEMA), ["ms", "id"]).first()
+    linear = lambda v: ((v + 0.055) / 1.055) ** 2.4
+    _, state = fold([row(k, colour=(linear(c),) * 3) for k, c in enumerate([0.2, 0.9])])
+    assert abs(linear(got["r"]) - state.samples[0]["c"][0]) < 1e-9 and abs(got["r"] - 0.55) > 0.02
