@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import coverage, dense, fusion, gates, graph, mesh, planes, spatial
+from gridwise.operators import coverage, dense, fusion, gates, graph, mesh, planes, spatial, triangulation
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINE_ORDER, LINES, POSES, SAMPLES, lines, poses, read, samples
 
@@ -274,3 +274,66 @@ def fus3(spark, sf):
 @query("fus3_coverage_regions")
 def fus3_regions(spark, sf):
     return coverage.regions_of(coverage.mapped(_ticks(spark, sf), ["id"], 8, 6))
+
+
+#: lineitem as a wavy sheet for each part, the sheets ten metres apart; a tenth of the samples are barriers. A line's number
+#: may repeat within an order; such lines of one part are one sample.
+_SHEET = """SELECT CAST(l_partkey AS BIGINT) * 100000000 + l_orderkey * 8 + l_linenumber AS id, CAST(l_partkey AS BIGINT) AS scan, CAST(l_partkey * 10 + l_quantity * 0.02 AS DOUBLE) AS x, CAST(l_discount * 3 + l_tax * 0.2 AS DOUBLE) AS y,
+    CAST(l_tax * 0.3 AS DOUBLE) AS z, CAST((l_quantity - 25) * 0.01 AS DOUBLE) AS a, CAST((l_discount - 0.05) * 4 AS DOUBLE) AS b, 1.0D AS c, l_quantity % 10 = 7 AS barrier FROM (SELECT l_partkey, l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_tax) AS l_tax FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber) AS lines"""
+_SHEET_UNIT = "SELECT id, scan, x, y, z, a / sqrt(a*a + b*b + c*c) AS nx, b / sqrt(a*a + b*b + c*c) AS ny, c / sqrt(a*a + b*b + c*c) AS nz, barrier FROM sheet"
+
+
+def _sheets(spark, sf):
+    sheet = spark.sql(_SHEET.replace("FROM lineitem", "FROM {li}"), li=read(spark, sf, "lineitem"))
+    return spark.sql(_SHEET_UNIT.replace("FROM sheet", "FROM {sheet}"), sheet=sheet)
+
+
+_FIT = lambda p, q: f"d2 > 1e-6 AND d2 <= 0.0144 AND {p}nx*{q}nx + {p}ny*{q}ny + {p}nz*{q}nz >= cos(radians(42)) AND abs({p}nx*dx + {p}ny*dy + {p}nz*dz) <= 0.028 AND abs({q}nx*dx + {q}ny*dy + {q}nz*dz) <= 0.028"
+_SIDE = lambda p, q, o: f"(({q}u - {p}u) * ({o}v - {p}v) - ({q}v - {p}v) * ({o}u - {p}u))"
+_ROW = lambda p: f"row({p}x, {p}y, {p}z)"
+_LOSES = " OR ".join(
+    f"({_SIDE(p, q, r_)} * {_SIDE(p, q, 'o.')} < 0 AND row(least({_ROW(p)}, {_ROW(q)}), greatest({_ROW(p)}, {_ROW(q)})) > row(least({_ROW(r_)}, {_ROW('o.')}), greatest({_ROW(r_)}, {_ROW('o.')})))"
+    for p, q, r_ in (("c.z", "c.p", "c.q"), ("c.p", "c.q", "c.z"), ("c.q", "c.z", "c.p"))
+)
+_TRIANGLES = f"""sheet AS ({_SHEET.replace('1.0D', '1.0::DOUBLE')}), sheets AS ({_SHEET_UNIT}),
+    np AS (SELECT l.id, l.x, l.y, l.z, l.nx, l.ny, l.nz, q.id AS qid, q.x AS qx, q.y AS qy, q.z AS qz, q.nx AS qnx, q.ny AS qny, q.nz AS qnz, q.x - l.x AS dx, q.y - l.y AS dy, q.z - l.z AS dz, (q.x-l.x)**2 + (q.y-l.y)**2 + (q.z-l.z)**2 AS d2
+        FROM sheets l JOIN sheets q ON l.scan = q.scan AND l.id <> q.id AND abs(q.x - l.x) <= 0.12 AND abs(q.y - l.y) <= 0.12),
+    nk AS (SELECT *, min(d2) OVER (PARTITION BY id) AS least FROM (SELECT * FROM np WHERE {_FIT('', 'q')}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, qx, qy, qz, qid) <= 8),
+    nl AS (SELECT *, greatest(0.05, least(0.1, 2.5 * sqrt(least)))**2 AS limit2, -nz / sqrt(ny*ny + nz*nz) AS ty, ny / sqrt(ny*ny + nz*nz) AS tz FROM nk),
+    nu AS (SELECT *, dy*ty + dz*tz AS u, dx*(ny*tz - nz*ty) - dy*nx*tz + dz*nx*ty AS v FROM nl WHERE d2 <= limit2),
+    ce AS (SELECT p.id, p.x AS zx, p.y AS zy, p.z AS zz, 0.0::DOUBLE AS zu, 0.0::DOUBLE AS zv, p.nx, p.ny, p.nz, p.limit2, p.qid AS pid, p.qx AS px, p.qy AS py, p.qz AS pz, p.qnx AS pnx, p.qny AS pny, p.qnz AS pnz, p.u AS pu, p.v AS pv,
+        q.qid, q.qx, q.qy, q.qz, q.qnx, q.qny, q.qnz, q.u AS qu, q.v AS qv, p.u*q.v - p.v*q.u AS det, p.u**2 + p.v**2 AS p2, q.u**2 + q.v**2 AS q2 FROM nu p JOIN nu q ON p.id = q.id AND (p.qid < q.qid)),
+    cw AS (SELECT *, (p2*qv - q2*pv) / (2*det) AS cu, (pu*q2 - qu*p2) / (2*det) AS cv, qx - px AS dx, qy - py AS dy, qz - pz AS dz, (qx-px)**2 + (qy-py)**2 + (qz-pz)**2 AS d2 FROM ce WHERE det*det > p2*q2*0.01 AND p2*q2 > 1e-16 AND pu*qu + pv*qv >= -0.5*sqrt(p2*q2)),
+    cf AS (SELECT *, (py-zy)*(qz-zz) - (pz-zz)*(qy-zy) AS gx, (pz-zz)*(qx-zx) - (px-zx)*(qz-zz) AS gy, (px-zx)*(qy-zy) - (py-zy)*(qx-zx) AS gz, cu*cu + cv*cv AS r2 FROM cw c
+        WHERE {_FIT('p', 'q')} AND d2 <= limit2 AND NOT EXISTS (SELECT 1 FROM nu n, LATERAL (SELECT n.qid AS id, n.qx AS x, n.qy AS y, n.qz AS z, n.u AS u, n.v AS v) o WHERE n.id = c.id AND o.id <> c.pid AND o.id <> c.qid AND (
+            (o.u - cu)**2 + (o.v - cv)**2 - (cu*cu + cv*cv) < -greatest(1e-14, (cu*cu + cv*cv) * 1e-8) OR (abs((o.u - cu)**2 + (o.v - cv)**2 - (cu*cu + cv*cv)) <= greatest(1e-14, (cu*cu + cv*cv) * 1e-8) AND ({_LOSES}))))),
+    found AS (SELECT list_sort([id, pid, qid]) AS ids, arg_min(((gx*nx + gy*ny + gz*nz) < 0) <> (((id > pid)::INT + (id > qid)::INT + (pid > qid)::INT) % 2 = 1), id) AS turned FROM cf
+        WHERE gx*gx + gy*gy + gz*gz > ((px-zx)**2 + (py-zy)**2 + (pz-zz)**2) * ((qx-zx)**2 + (qy-zy)**2 + (qz-zz)**2) * 0.01 GROUP BY 1)"""
+
+
+@query("geo16_local_triangulation", f"WITH {_TRIANGLES} SELECT ids[1] AS a, ids[2] AS b, ids[3] AS c, turned FROM found")
+def geo16(spark, sf):
+    return triangulation.triangles(_sheets(spark, sf))
+
+
+_GROWN = f"""{_TRIANGLES}, tr AS (SELECT p.scan, concat_ws('/', ids[1], ids[2], ids[3]) AS triangle, ids, p.barrier OR q.barrier OR o.barrier AS barrier, greatest(abs(p.z - 0.012), abs(q.z - 0.012), abs(o.z - 0.012)) AS far,
+        (q.y-p.y)*(o.z-p.z) - (q.z-p.z)*(o.y-p.y) AS gx, (q.z-p.z)*(o.x-p.x) - (q.x-p.x)*(o.z-p.z) AS gy, (q.x-p.x)*(o.y-p.y) - (q.y-p.y)*(o.x-p.x) AS gz FROM found JOIN sheets p ON p.id = ids[1] JOIN sheets q ON q.id = ids[2] JOIN sheets o ON o.id = ids[3]),
+    un AS (SELECT *, gx / sqrt(gx*gx+gy*gy+gz*gz) AS nx, gy / sqrt(gx*gx+gy*gy+gz*gz) AS ny, gz / sqrt(gx*gx+gy*gy+gz*gz) AS nz, sqrt(gx*gx+gy*gy+gz*gz) / 2 AS area FROM tr),
+    su AS (SELECT * FROM un WHERE NOT barrier AND far <= 0.12 AND abs(nz) >= 0.55),
+    hit AS (SELECT scan, first(triangle ORDER BY ids) AS triangle FROM un WHERE NOT barrier GROUP BY scan),
+    ed AS (SELECT scan, triangle, nx, ny, nz, unnest([[ids[1], ids[2]], [ids[2], ids[3]], [ids[1], ids[3]]]) AS e FROM su),
+    st AS (SELECT DISTINCT x.triangle AS a, y.triangle AS b FROM ed x JOIN ed y ON x.e = y.e AND x.triangle <> y.triangle WHERE abs(x.nx*y.nx + x.ny*y.ny + x.nz*y.nz) >= cos(radians(58))),
+    go AS (SELECT triangle, 0 AS step FROM hit WHERE triangle IN (SELECT triangle FROM su) UNION SELECT st.b, step + 1 FROM go JOIN st ON st.a = go.triangle WHERE step < 60),
+    re AS (SELECT s.scan, g.triangle, min(step) AS step, any_value(area) AS area FROM go g JOIN su s USING (triangle) GROUP BY ALL)"""
+
+
+@query("grp12_hit_growth", f"WITH RECURSIVE {_GROWN} SELECT scan, triangle, step FROM re WHERE scan IN (SELECT scan FROM re GROUP BY scan HAVING sum(area) >= 0.003)")
+def grp12(spark, sf):
+    """From the first triangle of each sheet without a barrier."""
+    sheets = graph.settled(_sheets(spark, sf))
+    name = F.concat_ws("/", *(F.col(k).cast("string") for k in "abc"))
+    found = graph.settled(triangulation.triangles(sheets).join(sheets.select(F.col("id").alias("a"), "scan"), "a").withColumn("triangle", name))
+    cornered = graph.settled(triangulation.with_corners(found, sheets))
+    hits = cornered.filter("not barrier").groupBy("scan").agg(F.min_by("triangle", F.struct("a", "b", "c")).alias("triangle"))
+    surfaces = sheets.select("scan", F.lit(0.0).alias("snx"), F.lit(0.0).alias("sny"), F.lit(1.0).alias("snz"), F.lit(0.012).alias("sk")).distinct()
+    return triangulation.grown_from_hits(cornered, hits, surfaces)
