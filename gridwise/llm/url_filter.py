@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, joined with rules on short hash prefixes.
 
 A rule is a host and a path; it fits the host itself and its subdomains when the URL's path starts with
-the rule's. Every distinct (host, path) is expanded into each label suffix of the host with each prefix of
-the path whose length some rule has; expressions and rules meet by the first characters of their SHA-256,
+the rule's. Every distinct (host, path) is expanded into the suffixes of the host with as many labels as some rule has,
+each with the prefixes of the path whose length some rule has (both are of the rules' number, whatever the URL's length); expressions and rules meet by the first characters of their SHA-256,
 then the whole digests must agree. The longest rule that fits wins; of equal rules, block wins. Without a
 rule the verdict is allow.
 
@@ -34,17 +34,21 @@ def with_digest(df: DataFrame, expression: Column) -> DataFrame:
     return df.withColumn("digest", F.sha2(expression, 256)).withColumn("prefix", F.substring("digest", 1, PREFIX))
 
 
+def _labels(host: str) -> Column:
+    return F.length(host) - F.length(F.replace(F.col(host), F.lit("."))) + 1
+
+
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages(page_id, url) by rules(verdict, host, path): page_id, host, path, rule, verdict."""
     host, path = host_and_path(F.col("url").cast("string"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rules = with_digest(rules.select(F.col("verdict").alias("rule_verdict"), F.concat("host", "path").alias("rule"), F.concat_ws("\n", "host", "path").alias("expression"), F.length("path").alias("size")), F.col("expression"))
+    rules = with_digest(rules.select(F.col("verdict").alias("rule_verdict"), F.concat("host", "path").alias("rule"), F.concat_ws("\n", "host", "path").alias("expression"), F.length("path").alias("size"), _labels("host").alias("labels")), F.col("expression"))
     sizes = sorted(r[0] for r in rules.select("size").distinct().collect())  # as many as a rule's path has characters
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    labels = sorted(r[0] for r in rules.select("labels").distinct().collect())  # as many as a rule's host has labels
+    suffixes = F.array(*(F.when(_labels("host") >= k, F.substring_index("host", ".", -k)) for k in labels)).cast("array<string>")
     expanded = (
         judged.filter("host != ''").select("host", "path").distinct()
-        .withColumn("suffix", F.explode(F.array_distinct(suffixes)))
+        .withColumn("suffix", F.explode(F.array_compact(suffixes)))
         .withColumn("n", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("path"))))
     )
     expanded = with_digest(expanded, F.concat_ws("\n", "suffix", F.expr("substring(path, 1, n)")))
