@@ -14,7 +14,7 @@ so a source of any size is spread out. What reaches the driver is one row a sour
 write weights for) and one a partition and source that has rows there.
 
 Null and empty texts have size 0 and take nothing; a null source is a source of its own, after the others;
-equal doc_ids each keep a row, in each source; a text of any length is cut across blocks; empty tables and tables
+equal doc_ids each keep a row, in each source, with its own other columns; a text of any length is cut across blocks; empty tables and tables
 without words give targets of 0. Other columns are ignored by taken(), whatever their names, and kept by
 mixed_documents(); mixed_blocks() replaces columns named shard, slot and position by its own. The same rows give the
 same mix, whatever their partitions.
@@ -165,16 +165,16 @@ def positions(sizes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start), pa.array(np.full(len(no), part, np.int32))], [*b.schema.names, "start", "part"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["source_no", "doc_id", "text_hash"]
+    keys = ["source_no", "doc_id", "row_hash"]
     ranged = sizes.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "size")
-    placed = stage(ranged.mapInArrow(local, "doc_id long, source_no int, size long, text_hash long, start long, part int"), "mix-documents")
+    placed = stage(ranged.mapInArrow(local, "doc_id long, source_no int, size long, row_hash long, start long, part int"), "mix-documents")
     parts = sorted(map(tuple, placed.groupBy("part", "source_no").agg(F.sum("size")).collect()))  # one row a partition and source
     bases, seen = [], {}
     for part, no, size in parts:
         bases.append((part, no, seen.get(no, 0)))
         seen[no] = seen.get(no, 0) + size
     bases = spark.createDataFrame(bases, "part int, source_no int, base long")
-    return placed.join(bases, ["part", "source_no"]).select("doc_id", "source_no", "size", "text_hash", (F.col("start") + F.col("base")).alias("start"))
+    return placed.join(bases, ["part", "source_no"]).select("doc_id", "source_no", "size", "row_hash", (F.col("start") + F.col("base")).alias("start"))
 
 
 def slots(spark: SparkSession, sources: pd.DataFrame, block: int, seed: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
@@ -247,18 +247,26 @@ def shard_draws(counts: list[int], shards: int, first: int, end: int, seed: int)
         todo.append((lo, mid, here, before))
 
 
+def row_hash(docs: DataFrame, row: Column | None = None) -> Column:
+    """A hash of all columns of docs, or of those of a struct of them: rows with the same are the same row."""
+    of = lambda f: F.col(f"`{f.name}`") if row is None else row.getField(f.name)
+    plain = lambda f: F.to_json(F.struct(of(f))) if "map<" in f.dataType.simpleString() else of(f)  # noqa: E731  maps have no hash
+    fields = docs.schema.fields
+    return F.xxhash64(*map(plain, fields), *(of(f).isNull() for f in fields))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), row_hash(docs).alias("row_hash"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """The documents, (doc_id, source, size, text_hash, start, source_size, target), and the pieces that
-    the slots read of them, (doc_id, source_no, source, text_hash, start, shard, slot, from_word, n_words)."""
+    """The documents, (doc_id, source, size, row_hash, start, source_size, target), and the pieces that
+    the slots read of them, (doc_id, source_no, source, row_hash, start, shard, slot, from_word, n_words)."""
     spark = docs.sparkSession
     sizes = stage(measured(docs), "mix-sizes")
     sources = sources_of(sizes, weights, share, most)
     table = spark.createDataFrame([(None if r.source is None else str(r.source), int(r.source_no), int(r.source_size), float(r.target)) for r in sources.itertuples()], "source string, source_no int, source_size long, target double")
-    numbered = sizes.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source_no", "size", "text_hash")
+    numbered = sizes.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source_no", "size", "row_hash")
     placed = stage(positions(numbered), "mix-positions")
     blocks = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     begin = F.col("block") * block
@@ -269,7 +277,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights=WEI
         blocks.join(slots(spark, sources, block, seed).hint("merge"), ["source_no", "block"])
         .filter(hi > lo)
         .join(F.broadcast(table.select("source_no", "source")), "source_no")  # one row a source
-        .select("doc_id", "source_no", "source", "text_hash", "start", "shard", "slot", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
+        .select("doc_id", "source_no", "source", "row_hash", "start", "shard", "slot", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
     )
     return placed.join(table, "source_no"), pieces
 
@@ -315,10 +323,10 @@ def _mixed(docs: DataFrame, names: list[str], **how) -> DataFrame:
     place under these names."""
     _, pieces = mix(docs, **how)
     key = lambda row: [F.coalesce(F.col(row + "doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(row + "source").cast("string")), F.lit("")).alias("source_key")]  # noqa: E731  null apart from ''
-    keys = ["key", "source_key", "text_hash"]
+    keys = ["key", "source_key", "row_hash"]
     piece = ["from_word", "n_words", "start", "shard", "slot"]
-    pieces = pieces.select(*key(""), "text_hash", *piece).groupBy(*keys).agg(F.collect_list(F.struct(*piece)).alias("pieces"))
-    texts = docs.select(F.struct("*").alias("row")).select("row", *key("row."), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash")).dropDuplicates(keys)
+    pieces = pieces.select(*key(""), "row_hash", *piece).groupBy(*keys).agg(F.collect_list(F.struct(*piece)).alias("pieces"))
+    texts = docs.select(F.struct("*").alias("row")).select("row", *key("row."), row_hash(docs, F.col("row")).alias("row_hash")).dropDuplicates(keys)  # of equal rows one reads for all
     rows = texts.join(pieces, keys).select("row.*", F.col("pieces").alias(free(docs.columns, "pieces")))
     place = StructType().add(names[0], IntegerType()).add(names[1], LongType()).add(names[2], LongType())
     return rows.mapInArrow(partial(_cut, place=tuple(names)), StructType(docs.schema.fields + place.fields))

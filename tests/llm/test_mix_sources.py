@@ -102,3 +102,20 @@ def test_clashing_columns_and_nulls(spark):
     assert blocks.columns == ["doc_id", "text", "source", "text_hash", "key", "pieces", "_shard", "shard", "slot", "position"] and blocks.count() == len(got)
     assert sorted(r["taken"] for r in mixing.taken(df, block=2).collect())[0] == 0
     assert mixing.mixed_documents(df.limit(0)).collect() == []
+
+
+def test_rows_that_differ_in_another_column_keep_their_own_pieces(spark):
+    """Whatever the partitions: each of the equal texts is read as often as its own place says, with its own columns."""
+    text = " ".join(f"w{i}" for i in range(700))
+    rows = [(1, text, lang, "s", 0, extra) for lang, extra in (("en", {"k": 1}), ("de", {"k": 1}), ("fr", {"k": 1}), (None, None), ("en", {"k": 2}), ("en", {"k": 1}))]
+    df = spark.createDataFrame(rows, SCHEMA + ", row_hash map<string, int>")
+    seen = set()
+    for parts in (1, 3, 6):
+        out = mixing.mixed_documents(df.repartition(parts, *(["lang"] if parts == 3 else [])), block=64)
+        assert out.columns == df.columns
+        words = Counter()
+        for r in out.collect():
+            words[r["lang"], str(r["row_hash"])] += len(brute.words(r["text"]))
+        seen.add(tuple(sorted(words.items(), key=str)))
+    (got,) = seen
+    assert len(got) == 5 and sum(n for _, n in got) == 6 * 700 * 3 // 2 and all(n >= 700 for _, n in got)
