@@ -190,7 +190,12 @@ def geo12(spark, sf):
     return mesh.quad_triangles(mesh.judged_quads(mesh.quads(_grid(spark, sf)), 0.5, 0.25), 30)
 
 
-@query("geo1_grid_normals")
+@query("geo1_grid_normals", f"""WITH {_GRID},
+    n AS (SELECT *, lead(col) OVER h AS nc, lead(depth) OVER h AS nd, lag(col) OVER h AS pc, lag(depth) OVER h AS pd, lead(row) OVER v AS nr, lead(depth) OVER v AS ne, lag(row) OVER v AS pr, lag(depth) OVER v AS pe
+        FROM g WINDOW h AS (PARTITION BY frame, row ORDER BY col), v AS (PARTITION BY frame, col ORDER BY row)),
+    s AS (SELECT frame, row, col, CASE WHEN nc = col + 1 AND abs(nd - depth) <= abs(depth) * .25 THEN nd - depth WHEN pc = col - 1 AND abs(pd - depth) <= abs(depth) * .25 THEN depth - pd END AS across,
+        CASE WHEN nr = row + 1 AND abs(ne - depth) <= abs(depth) * .25 THEN ne - depth WHEN pr = row - 1 AND abs(pe - depth) <= abs(depth) * .25 THEN depth - pe END AS along FROM n)
+    SELECT frame, row, col, round(-across * .05 / size, 6) AS nx, round(-along * .05 / size, 6) AS ny, round(.0025 / size, 6) AS nz FROM (SELECT *, sqrt((across*across + along*along) * .0025 + .0025*.0025) AS size FROM s)""")
 def geo1(spark, sf):
     g = _grid(spark, sf).select("frame", "row", "col", (F.col("col") * 0.05).alias("x"), (F.col("row") * 0.05).alias("y"), F.col("depth").alias("z"))
     return mesh.grid_normals(g).select("frame", "row", "col", *(r(c, 6).alias(c) for c in ("nx", "ny", "nz")))
