@@ -35,10 +35,14 @@ def neighbourhoods(samples: DataFrame) -> DataFrame:
     """A row for each sample with neighbours: its position and normal, its edge limit, and the neighbours within it with
     their place (u, v) on its tangents."""
     columns = ["id", "x", "y", "z", "nx", "ny", "nz"]
-    rows = samples.filter(vm.length(vm.v("n")) > TINY).select("id", "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n"))
-    near = spatial.knn(rows.select(*columns), rows.select(*columns), REACH, REACH, NEIGHBOURS, lambda: compatible(vm.v("l_"), vm.v("l_n"), vm.v("r_"), vm.v("r_n")), self_join=True)
+    # unit normals and tangents are computed once a sample, not in each pair
+    rows = settled(samples.filter(vm.length(vm.v("n")) > TINY).select("id", "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n")))
+    t, s = vm.tangent_basis(vm.v("n"))
+    tangents = settled(rows.select("id", *vm.columns(t, "t"), *vm.columns(s, "s")))
+    near = spatial.knn(rows, rows, REACH, REACH, NEIGHBOURS, lambda: compatible(vm.v("l_"), vm.v("l_n"), vm.v("r_"), vm.v("r_n")), self_join=True)
+    near = near.join(tangents.withColumnRenamed("id", "l_id"), "l_id")
     p = vm.sub(vm.v("r_"), vm.v("l_"))
-    t, s = vm.tangent_basis(vm.v("l_n"))
+    t, s = vm.v("t"), vm.v("s")
     one = F.struct(F.col("r_id").alias("id"), *(F.col(f"r_{c}").alias(c) for c in columns[1:]), F.col("d2").alias("d2"), vm.dot(p, t).alias("u"), vm.dot(p, s).alias("v"))
     own = [F.col(f"l_{c}").alias(c) for c in columns]
     near = near.select(*own, one.alias("one")).groupBy(*columns).agg(F.sort_array(F.collect_list("one")).alias("near"), F.min("one.d2").alias("least"))
@@ -77,7 +81,7 @@ def _occupied(near: Column, a: Column, b: Column, at: Column) -> Column:
 def triangles(samples: DataFrame) -> DataFrame:
     """(a, b, c, turned): triangles of samples(id, position, normal) by ascending id; turned, if their order runs against
     the normal of the smallest sample that makes them."""
-    hoods = neighbourhoods(samples)
+    hoods = settled(neighbourhoods(samples))
     pairs = hoods.select("*", F.posexplode("near").alias("i", "p")).select("*", F.explode(F.expr("slice(near, i + 2, size(near))")).alias("q"))
     p, q = F.col("p"), F.col("q")
     det = p["u"] * q["v"] - p["v"] * q["u"]
