@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from gridwise.functions import camera, colour, numeric as num, rules, vector as vm
+from gridwise.functions import camera, colour, masks, numeric as num, rules, vector as vm
 from gridwise.operators import graph
 from gridwise.operators.ranks import running
 from gridwise.plans.registry import query
@@ -380,6 +380,19 @@ def set6(spark, sf):
     return read(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, l_linenumber % 60)"))).alias("frames"))
 
 
+@query("set6_frame_masks", """
+    WITH f AS (SELECT DISTINCT l_suppkey AS s, l_orderkey % 96 AS f FROM lineitem), n AS (SELECT s, count(*) AS frames FROM f GROUP BY s)
+    SELECT n.s AS l_suppkey, n.frames, o.frames AS next_frames, o.frames - count(a.f) AS only_next, count(a.f) AS shared
+    FROM n JOIN n o ON o.s = n.s + 1 JOIN f b ON b.s = o.s LEFT JOIN f a ON a.s = n.s AND a.f = b.f GROUP BY n.s, n.frames, o.frames""")
+def set6_masks(spark, sf):
+    """Each supplier's set of 96 frames beside the next one's: what the next adds, and what both have."""
+    n = masks.words(95)
+    of = read(spark, sf, "lineitem").groupBy("l_suppkey").agg(*(m.alias(w) for m, w in zip(masks.united(masks.bit(F.col("l_orderkey") % 96, n)), masks.names("m", n), strict=True)))
+    following = of.select((F.col("l_suppkey") - 1).alias("l_suppkey"), *(F.col(w).alias("o_" + w) for w in masks.names("m", n)))
+    a, b = masks.columns("m", n), masks.columns("m", n, "o_")
+    return of.join(following, "l_suppkey").select("l_suppkey", masks.size(a).alias("frames"), masks.size(b).alias("next_frames"), masks.size(masks.less(b, a)).alias("only_next"), masks.size(masks.both(a, b)).alias("shared"))
+
+
 @query("scores", f"""
     WITH {SAMPLES} SELECT id, round(least(1, .35 + .3*least(1, seen/6) + .2*least(1, views/2) + .15*red), 6) AS canonical, round(least(1, greatest(0, .45*seen/5 + .25*least(2, views)/2 + .2*red + .1*least(2000, id)/2000)), 6) AS dense,
       round(.55*least(1, id/3600) + .25*least(1, red/.45) + .2*least(1, green*90/35), 6) AS keyframe, round(least(1, greatest(0, .45*least(1, seen/48) + .35*red + .2*(1-least(1, blue/.035)))), 6) AS plane,

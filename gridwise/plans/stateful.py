@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import coverage, dense, fusion, gates, graph, mesh, planes, spatial, triangulation
+from gridwise.functions import masks, numeric
+from gridwise.operators import coverage, dense, fusion, gates, graph, layers, mesh, planes, spatial, triangulation
 from gridwise.plans.registry import query
 from gridwise.plans.tables import LINE_ORDER, LINES, POSES, SAMPLES, lines, poses, read, samples
 
@@ -139,6 +140,62 @@ def fus6(spark, sf):
     return fusion.layered(_measurements(spark, sf))
 
 
+def _field(spark, sf):
+    """Layers and edges of each sample seen in six frames from cameras in a row, in a room a sixth as large."""
+    s = samples(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter((F.col("id") + F.col("k")) % 4 != 0)
+    near = lambda a: (F.col(a) / 6 + (F.col("k") - 2.5) * 0.002).alias(a)
+    hue = lambda a: F.when(F.col("id") % 9 > 0, F.col(a))
+    m = s.select(F.col("frame").cast("long").alias("scan"), F.col("k").cast("long").alias("frame"), (F.col("k") * (1 << 40) + F.col("id")).alias("id"), F.col("id").alias("pixel"), near("x"), near("y"), near("z"), "nx", "ny", "nz", hue("red").alias("r"), hue("green").alias("g"), hue("blue").alias("b"))
+    k = F.col("frame")
+    frames = m.select("scan", "frame").distinct().select("scan", "frame", (k * 150.0).alias("ms"), (F.lit(1) - k / 10).alias("tracking"), (k * 0.2).alias("px"), F.lit(0.0).alias("py"), F.lit(2.0).alias("pz"), *(F.lit(v).alias(q) for q, v in zip(("qx", "qy", "qz", "qw"), (0.0, 0.0, 0.0, 1.0), strict=True)))
+    return layers.field(m, frames, 64)
+
+
+@query("fus6_measured_field")
+def fus6_field(spark, sf):
+    """Layers with their support and what they are promoted by."""
+    found, edges = _field(spark, sf)
+    out = layers.promoted(found, edges)
+    return out.select("scan", "cx", "cy", "cz", "layer", "id", "rep", "n", "coloured", "continuity", "frames", layers.viewpoints(out).alias("viewpoints"), "neighbours", "cross_frames", "promoted", "stable",
+                      r("confidence", 6).alias("confidence"), r("spread", 9).alias("spread"), r("depth_spread", 9).alias("depth_spread"), r("normal_spread", 9).alias("normal_spread"))
+
+
+@query("fus6_field_surfaces")
+def fus6_surfaces(spark, sf):
+    """Components of layers, with orientation and holes."""
+    found, edges = _field(spark, sf)
+    members, total = layers.surfaces(found, edges)
+    members, total = graph.settled(members), graph.settled(total)
+    holes = layers.coverage(layers.promoted(found, edges), members, total)
+    return total.join(holes, ["scan", "component"]).select("scan", "component", "layers", "cells", "orientation", "observed", "represented", "still_rejected", "unobserved", "conflicting")
+
+
+_AGREE = """least(1.0, abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz)) AS dot, CASE WHEN a.nx*b.nx + a.ny*b.ny + a.nz*b.nz < 0 THEN -1.0 ELSE 1.0 END AS turn"""
+
+
+@query("fus6_layer_promotion", f"""
+    WITH {SAMPLES}, t AS (SELECT *, id % 3 AS continuity, floor(x/.025)::BIGINT AS cx, floor(y/.025)::BIGINT AS cy, floor(z/.025)::BIGINT AS cz FROM s),
+    f AS (SELECT id, (id * 7 + k * 31) % 96 AS f FROM s, unnest(range(1 + id % 2)) AS u(k)),
+    p AS (SELECT a.id AS a, b.id AS b, a.x-b.x AS dx, a.y-b.y AS dy, a.z-b.z AS dz, {_AGREE}, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by_, b.nz AS bz
+          FROM t a JOIN t b ON a.id <> b.id AND abs(a.cx-b.cx) <= 1 AND abs(a.cy-b.cy) <= 1 AND abs(a.cz-b.cz) <= 1),
+    m AS (SELECT *, ax+turn*bx AS mx, ay+turn*by_ AS my, az+turn*bz AS mz FROM p WHERE dot >= .5),
+    o AS (SELECT a, b, abs(dx*mx + dy*my + dz*mz) / sqrt(mx*mx + my*my + mz*mz) AS off, dx*dx + dy*dy + dz*dz AS d2 FROM m),
+    e AS (SELECT a, b FROM o WHERE off <= .018 AND sqrt(greatest(0, d2 - off*off)) <= .065),
+    n AS (SELECT a AS id, count(*) AS neighbours FROM e GROUP BY a),
+    g AS (SELECT e.a AS id, count(DISTINCT f.f) AS near, count(DISTINCT f.f) FILTER (own.f IS NULL) AS crossing FROM e JOIN f ON f.id = e.b LEFT JOIN f own ON own.id = e.a AND own.f = f.f GROUP BY e.a),
+    h AS (SELECT id, count(DISTINCT f) AS frames FROM f GROUP BY id)
+    SELECT id, frames, coalesce(neighbours, 0) AS neighbours, coalesce(crossing, 0) AS cross_frames,
+      frames >= 2 OR (continuity > 0 AND coalesce(neighbours, 0) >= 2 AND coalesce(near, 0) >= 2 AND coalesce(crossing, 0) >= 2) AS promoted
+    FROM t JOIN h USING (id) LEFT JOIN n USING (id) LEFT JOIN g USING (id)""")
+def fus6_promotion(spark, sf):
+    """Each sample as a layer that up to two of 96 frames support."""
+    n = masks.words(95)
+    s = samples(spark, sf)
+    seen = s.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 2)).alias("k")).groupBy("id").agg(*(m.alias(w) for m, w in zip(masks.united(masks.bit((F.col("id") * 7 + F.col("k") * 31) % 96, n)), masks.names("frame", n), strict=True)))
+    found = s.join(seen, "id").select(F.lit(0).cast("long").alias("scan"), "id", F.col("id").alias("layer"), *numeric.cells(layers.SIZE), "x", "y", "z", "nx", "ny", "nz", (F.col("id") % 3).alias("continuity"), F.lit(1.0).alias("tracking"), *masks.names("frame", n))
+    return layers.promoted(found, layers.adjacent(found, least_dot=0.5)).select("id", "frames", "neighbours", "cross_frames", "promoted")
+
+
 @query("fil9_confidence_filter", f"""
     WITH RECURSIVE {SAMPLES}, t AS (SELECT *, seen >= 3 AS stable, id % 6 = 0 AS duplicate, id % 900 AS span_ms, red AS confidence FROM s),
     e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id <> b.id AND (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= .0049),
