@@ -6,12 +6,15 @@ over the sum of larger ones; from SIMILARITY on, a document leaks an item.
 
 Windows have as many words as an item (a shorter document is one window). A window can only reach the
 similarity if enough of its shingles are items' shingles of that length, so only such windows are
-fingerprinted: 64 bits, the signs of the weighted sum of shingle hash bits. Fingerprints are cut into BLOCKS
-of 8 bits, each indexed with all values within RADIUS // BLOCKS bits: if two fingerprints differ in at most
-RADIUS bits, some block differs in no more than that. What the blocks find within the radius is verified
-exactly. Of 405,000 random windows as far from an item as the threshold lets them be, of 1 to 196 shingles, the
-furthest differed in 25 bits (9 in more than 23); tests/llm/test_radius.py repeats a part of that and measures what
-the whole search finds.
+fingerprinted: 64 bits, the signs of the weighted sum of shingle hash bits, a piece of the text at a time. Fingerprints are
+cut into BLOCKS of 8 bits, each indexed with all values within radius // BLOCKS bits: if two fingerprints differ in at most
+radius bits, some block differs in no more than that. What the blocks find within the radius is verified exactly.
+
+The radius follows the numbers of shingles: where no shingle repeats in window or item, a bit of theirs differs at the
+threshold with a probability that follows from how many they share, so the radius is the least that one pair in 1 / MISS
+exceeds (0 bits up to six shingles, where only equal ones are similar; 18 to 23 beyond). A repeated shingle weighs more than one
+and turns more bits, so with any in window or item it is RADIUS. tests/llm/test_radius.py measures what is found at the
+threshold and how many unrelated items are verified.
 
 Items are the stated query set; they are compared in blocks of ITEMS_AT_ONCE, a bounded index that goes
 along with the task. Documents are read without a shuffle, once a block; with several blocks each one's result is a
@@ -26,8 +29,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import islice
+from math import ceil, comb, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,7 @@ from gridwise.llm.common import Words, passes, read, stage, strings
 
 SHINGLE, SIMILARITY = 5, 0.75
 RADIUS, BLOCKS = 31, 8
+MISS, PIECE = 1e-4, 1 << 14
 ITEMS_AT_ONCE = 20_000
 _FOUND = "doc_id long, item_id long, similarity double, first_word long, window_words long, n_windows long"
 _FILTER_BITS = 22
@@ -51,6 +56,57 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(-1)
 
 
+def _prints(grams: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Fingerprints of the windows of width shingles that begin at starts (ascending)."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = int(np.searchsorted(starts, starts[i] + PIECE, "right"))
+        lo = int(starts[i])
+        bits = _bits(grams[lo : int(starts[j - 1]) + width])
+        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+        out[i:j] = _fingerprints(sums[starts[i:j] - lo + width] - sums[starts[i:j] - lo])
+        i = j
+    return out
+
+
+def _needed(width: int, n: int) -> int:
+    """Shingles that a window of width and an item of n have to share: smaller weights >= 3/7 of both sizes."""
+    return max(1, ceil(SIMILARITY / (1 + SIMILARITY) * (width + n) - 1e-9))
+
+
+def _signs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of n signs, and their probabilities."""
+    return 2 * np.arange(n + 1) - n, np.exp([lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2) for k in range(n + 1)])
+
+
+def _differs(common: int, a: int, b: int) -> float:
+    """How likely a bit of two fingerprints differs: sums of common signs, and of a or b more of their own, of which one
+    is positive."""
+    at, weight = _signs(common)
+
+    def positive(n: int) -> np.ndarray:
+        own, p = _signs(n)
+        above = np.concatenate((np.cumsum(p[::-1])[::-1], [0.0]))  # of sums from the i-th on
+        return above[np.searchsorted(own, -at, "right")]
+
+    x, y = positive(a), positive(b)
+    return float((weight * (x * (1 - y) + (1 - x) * y)).sum())
+
+
+@cache
+def radius(width: int, n: int) -> int:
+    """The bits in which a window of width distinct shingles and an item of n at the threshold differ at most, but for MISS."""
+    least, most = _needed(width, n), min(width, n)
+    if least > most:
+        return 0
+    p = max(_differs(c, width - c, n - c) for c in {least, min(least + 1, most)})  # even sums are ties: parity counts
+    tail, r = 1.0, -1
+    while tail > MISS and r < RADIUS:
+        r += 1
+        tail -= comb(64, r) * p**r * (1 - p) ** (64 - r)
+    return r
+
+
 def similarity(a: Counter, b: Counter) -> float:
     """Weighted Jaccard of two multisets."""
     less = sum(min(n, b[x]) for x, n in a.items() if x in b)
@@ -87,21 +143,36 @@ class Index:
         self.sizes = np.array([s for x in sizes for s in x], np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        close = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
         self.blocks = {}
         for size, members in self.by_size.items():
-            prints = np.array([self.items[k][2] for k in members], np.uint64)
-            mine = prints.view(np.uint8).reshape(-1, BLOCKS)
-            tables = [[np.flatnonzero(close[v][mine[:, b]]) for v in range(256)] for b in range(BLOCKS)]
-            self.blocks[size] = (np.array(members), prints, tables)
+            plain = [max(self.items[k][1].values()) == 1 for k in members]
+            for distinct in (True, False):
+                some = [k for k, x in zip(members, plain, strict=True) if x == distinct]
+                if some:
+                    self.blocks.setdefault(size, {})[distinct] = (np.array(some), np.array([self.items[k][2] for k in some], np.uint64))
+        self.tables: dict[tuple, list] = {}
         self.short = {size: _by_hash(members) for size, members in self.short.items()}
 
-    def near(self, size: int, fingerprint: np.uint64) -> list[int]:
-        """Items of a size whose fingerprint is within RADIUS, by their blocks."""
-        members, prints, tables = self.blocks[size]
+    def near(self, size: int, fingerprint: np.uint64, width: int, distinct: bool) -> list[int]:
+        """Items of a size whose fingerprint is within the radius of a window's (of width shingles, without repeated ones if
+        distinct), by their blocks."""
+        out: list[int] = []
         own = np.array([fingerprint], np.uint64).view(np.uint8)
-        found = np.unique(np.concatenate([tables[b][own[b]] for b in range(BLOCKS)]))
-        return members[found[np.bitwise_count(prints[found] ^ fingerprint) <= RADIUS]].tolist()
+        for plain, (members, prints) in self.blocks[size].items():
+            r = radius(width, size - SHINGLE + 1) if plain and distinct else RADIUS
+            tables = self._tables(size, plain, r // BLOCKS)
+            found = np.unique(np.concatenate([tables[b][own[b]] for b in range(BLOCKS)]))
+            out += members[found[np.bitwise_count(prints[found] ^ fingerprint) <= r]].tolist()
+        return out
+
+    def _tables(self, size: int, plain: bool, bits: int) -> list:
+        """For each block and value the items of a size whose block is within bits of it; made where first used."""
+        if (size, plain, bits) not in self.tables:
+            values = np.arange(256, dtype=np.uint8)
+            close = np.bitwise_count(values[:, None] ^ values) <= bits
+            mine = self.blocks[size][plain][1].view(np.uint8).reshape(-1, BLOCKS)
+            self.tables[size, plain, bits] = [[np.flatnonzero(close[v][mine[:, b]]) for v in range(256)] for b in range(BLOCKS)]
+        return self.tables[size, plain, bits]
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of some shingles an item has: their places, and their numbers in known."""
@@ -118,20 +189,23 @@ class Index:
         n = self.size_at[k + 1] - self.size_at[k]
         sizes = self.sizes[np.repeat(self.size_at[k] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(int(n.sum()))]
         places = np.repeat(at, n)
-        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_bits(grams), axis=0, dtype=np.int32)))
+        # A window holds a shingle twice if the latest earlier place of any shingle up to its end lies within it.
+        order = np.argsort(grams, kind="stable")
+        before = np.full(len(grams), -1, np.int64)
+        same = grams[order[1:]] == grams[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        before = np.maximum.accumulate(before)
         for size in np.unique(sizes).tolist():
             width = min(size, n_words) - SHINGLE + 1  # shingles of a window
             hit = np.zeros(len(grams) + 1, np.int32)
             hit[places[sizes == size] + 1] = 1
             hit = np.cumsum(hit)
-            # sum of smaller weights >= 3/7 of both sizes, for a whole window as for a shorter document
-            need = max(1, int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (width + size - SHINGLE + 1) - 1e-9)))
-            starts = np.flatnonzero(hit[width:] - hit[:-width] >= need)
+            starts = np.flatnonzero(hit[width:] - hit[:-width] >= _needed(width, size - SHINGLE + 1))
             if not len(starts):
                 continue
-            prints = _fingerprints(sums[starts + width] - sums[starts])
-            for i, p in zip(starts.tolist(), prints, strict=True):
-                near = self.near(size, p)
+            distinct = before[starts + width - 1] < starts
+            for i, p, single in zip(starts.tolist(), _prints(grams, starts, width), distinct.tolist(), strict=True):
+                near = self.near(size, p, width, single)
                 if not near:
                     continue
                 window = Counter(grams[i : i + width].tolist())
