@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.operators import merging, selection, structure
+from gridwise.functions import vector as vm
+from gridwise.operators import corners, merging, selection, structure
 from gridwise.operators.graph import settled
 from gridwise.plans.registry import query
 from gridwise.plans.tables import read
@@ -294,3 +295,34 @@ def grp21(spark, sf):
 @query("grp21b_surface_consensus")
 def grp21b(spark, sf):
     return _merged(spark, sf).select("scan", "plane", "surface", "surface_plane", r("surface_thickness", 6).alias("thickness"), r("area", 6).alias("area"))
+
+
+def _lines(spark, sf):
+    """Planes of a room and the lines of each two that cross, from the first to the last third plane that cuts them in it."""
+    planes = _tables(spark, sf)[0].select("scan", "plane", "nx", "ny", "nz", "k")
+    side = lambda p: planes.select("scan", *(F.col(c).alias(f"{p}_{c}") for c in ("plane", "nx", "ny", "nz", "k")))
+    n = lambda p: vm.v(f"{p}_n")
+    cut = side("a").join(side("b"), "scan").filter("a_plane < b_plane").join(side("c"), "scan").filter("c_plane not in (a_plane, b_plane)")
+    point = vm.three_plane_point(n("a"), F.col("a_k"), n("b"), F.col("b_k"), n("c"), F.col("c_k"), least=0.1)
+    cut = cut.select("scan", F.col("a_plane").alias("a"), F.col("b_plane").alias("b"), F.col("c_plane").alias("c"), *vm.columns(vm.cross(n("a"), n("b")), "d"), *vm.columns(point, "")).filter("abs(x) <= 2.6 and abs(z) <= 2.6 and y between -0.3 and 2.8")
+    order = F.struct(F.round(vm.dot(vm.v(), vm.v("d")), 9), "c")
+    spot = F.struct("x", "y", "z")
+    spans = cut.groupBy("scan", "a", "b").agg(F.count("*").alias("n"), F.min_by(spot, order).alias("s"), F.max_by(spot, order).alias("e")).filter("n >= 2")
+    sure = (F.lit(0.5) + (F.col("a") + F.col("b")) % 5 / 10).alias("confidence")
+    edges = spans.select("scan", (F.col("a") * 1_000_000_000 + F.col("b")).alias("edge"), "a", "b", *(F.col(f"{p}.{x}").alias(p + x) for p in "se" for x in "xyz"), sure, ((F.col("a") + F.col("b")) % 7 > 0).alias("supported"))
+    return settled(edges), planes
+
+
+@query("geo5_corners")
+def geo5(spark, sf):
+    """A corner, or the reason that there is none, for each cluster of ends of a room's lines."""
+    edges, planes = _lines(spark, sf)
+    out = corners.solve(edges, planes, corners.clusters(edges))
+    return out.select("scan", "corner", "edge_ids", "surfaces", *(r(c, 6).alias(c) for c in ("gap", "x", "y", "z", "confidence", "extension", "residual")), "status", "reason")
+
+
+@query("grp7_canonical_corners")
+def grp7(spark, sf):
+    edges, planes = _lines(spark, sf)
+    out = corners.merged(corners.solve(edges, planes, corners.clusters(edges)))
+    return out.select("scan", "corner", *(r(c, 6).alias(c) for c in ("x", "y", "z", "confidence")), "corners", "surfaces", "edge_ids", "status")
