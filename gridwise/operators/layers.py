@@ -259,7 +259,7 @@ def coverage(kept: DataFrame, members: DataFrame, total: DataFrame) -> DataFrame
     """Per component, its cells on its own tangents: observed, represented (by a promoted layer), still_rejected, unobserved
     (empty with two observed cells beside it) and conflicting (space cells with several layers). A promoted layer counts
     for the largest component of its space cell."""
-    rows = kept.join(members, ["scan", "id"])
+    rows = settled(kept.join(members, ["scan", "id"]).select("scan", "id", *CELL, "component", "promoted", "in_cell", "x", "y", "z"))
     largest = rows.join(total.select("scan", "component", "layers"), ["scan", "component"]).groupBy("scan", *CELL).agg(F.min_by("component", F.struct(-F.col("layers"), "component")).alias("_owner"))
     n = vm.v("_n")
     low = F.abs(n[1]) < 0.9
