@@ -157,8 +157,8 @@ def positions(sizes: DataFrame) -> DataFrame:
             no, size = b.column("source_no").to_numpy(), b.column("size").to_numpy()
             total = np.concatenate(([0], np.cumsum(size)))[:-1]
             new = np.flatnonzero(np.concatenate(([len(no) > 0 and no[0] != source], no[1:] != no[:-1])))
-            start = total + at
-            for i, j in zip(new, [*new[1:], len(no)], strict=True):  # one turn a source in the batch
+            start = total + at  # rows before the batch's first new source, all of them where it has none, go on with the last one
+            for i, j in zip(new, np.append(new[1:], len(no)), strict=False):  # one turn a source that begins in the batch
                 start[i:j] = total[i:j] - total[i]
             if len(no):
                 source, at = int(no[-1]), int(start[-1] + size[-1])

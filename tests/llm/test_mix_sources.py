@@ -119,3 +119,21 @@ def test_rows_that_differ_in_another_column_keep_their_own_pieces(spark):
         seen.add(tuple(sorted(words.items(), key=str)))
     (got,) = seen
     assert len(got) == 5 and sum(n for _, n in got) == 6 * 700 * 3 // 2 and all(n >= 700 for _, n in got)
+
+
+def test_batches_that_begin_no_source(spark):
+    """A partition of several batches for Python, most of which only go on with a source."""
+    rows, df = docs_of(spark, True)
+    whole = sorted(map(tuple, mixing.taken(df, block=64).collect()))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "2")
+    try:
+        assert sorted(map(tuple, mixing.taken(df, block=64).collect())) == whole
+        sizes, at = defaultdict(int), {}
+        for r in sorted(mixing.mix(df, block=64)[0].collect(), key=lambda r: (str(r["source_no"]), r["doc_id"])):
+            at[r["source_no"], r["doc_id"]] = r["start"], sizes[r["source_no"]]
+            sizes[r["source_no"]] += r["size"]
+        assert all(got == want for got, want in at.values())
+    finally:
+        spark.conf.set(setting, before)
