@@ -2,7 +2,7 @@
 
 A sample's neighbours are its nearest compatible ones; on its tangent plane, two of them make a triangle with it where no
 other neighbour lies in their circle. Neighbours are an array of NEIGHBOURS at most, so that the circle's test is an
-expression of a row: the only joins are the grid join for the neighbours and an equi-join of triangles by edge. On a tie,
+expression of a row: neighbours are found cube by cube, and the only join is one of triangles by edge. On a tie,
 four samples on a circle, the diagonal between the smaller positions is kept. A triangle that several of its samples make
 counts once. Samples without neighbours, or without a normal, are in no triangle.
 """
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwise.functions import vector as vm
-from gridwise.operators import spatial
+from gridwise.operators import near
 from gridwise.operators.graph import grow, settled
 
 #: Metres: reach of neighbours, longest and least edge limit; residual of either plane; edge limit in spacings.
@@ -24,11 +25,17 @@ NEIGHBOURS, LEAST_DOT, TINY, SINE2 = 8, math.cos(math.radians(42)), 1e-6, 0.01
 HIT_DOT, SURFACE_DOT, SURFACE_RESIDUAL, LEAST_AREA = math.cos(math.radians(58)), 0.55, 0.12, 0.003
 
 
-def compatible(p: vm.Vec, n: vm.Vec, q: vm.Vec, m: vm.Vec) -> Column:
+def compatible(p: vm.Vec, n: vm.Vec, q: vm.Vec, m: vm.Vec, absolute=F.abs) -> Column:
     """Two samples may share an edge: apart, within reach, of similar normals, each near the other's plane."""
     d = vm.sub(q, p)
     d2 = vm.dot(d, d)
-    return (d2 > TINY) & (d2 <= REACH**2) & (vm.dot(n, m) >= LEAST_DOT) & (F.abs(vm.dot(n, d)) <= RESIDUAL) & (F.abs(vm.dot(m, d)) <= RESIDUAL)
+    return (d2 > TINY) & (d2 <= REACH**2) & (vm.dot(n, m) >= LEAST_DOT) & (absolute(vm.dot(n, d)) <= RESIDUAL) & (absolute(vm.dot(m, d)) <= RESIDUAL)
+
+
+def _fits(left: near.Rows, right: near.Rows) -> np.ndarray:
+    """compatible() of pairs in arrays."""
+    of = lambda rows, n: tuple(rows(n + a) for a in "xyz")
+    return compatible(of(left, ""), of(left, "n"), of(right, ""), of(right, "n"), np.abs)
 
 
 def neighbourhoods(samples: DataFrame) -> DataFrame:
@@ -37,18 +44,19 @@ def neighbourhoods(samples: DataFrame) -> DataFrame:
     columns = ["id", "x", "y", "z", "nx", "ny", "nz"]
     # unit normals and tangents are computed once a sample, not in each pair
     rows = settled(samples.filter(vm.length(vm.v("n")) > TINY).select("id", "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n")))
-    t, s = vm.tangent_basis(vm.v("n"))
-    tangents = settled(rows.select("id", *vm.columns(t, "t"), *vm.columns(s, "s")))
-    near = spatial.knn(rows, rows, REACH, REACH, NEIGHBOURS, lambda: compatible(vm.v("l_"), vm.v("l_n"), vm.v("r_"), vm.v("r_n")), self_join=True)
-    near = near.join(tangents.withColumnRenamed("id", "l_id"), "l_id")
-    p = vm.sub(vm.v("r_"), vm.v("l_"))
-    t, s = vm.v("t"), vm.v("s")
-    one = F.struct(F.col("r_id").alias("id"), *(F.col(f"r_{c}").alias(c) for c in columns[1:]), F.col("d2").alias("d2"), vm.dot(p, t).alias("u"), vm.dot(p, s).alias("v"))
-    own = [F.col(f"l_{c}").alias(c) for c in columns]
-    near = near.select(*own, one.alias("one")).groupBy(*columns).agg(F.sort_array(F.collect_list("one")).alias("near"), F.min("one.d2").alias("least"))
-    limit = F.least(F.lit(LONGEST), F.greatest(F.lit(SHORTEST), F.sqrt("least") * SPACINGS))
-    near = near.withColumn("limit2", limit * limit)
-    return near.withColumn("near", F.filter("near", lambda q: q["d2"] <= F.col("limit2"))).filter(F.size("near") >= 2).drop("least")
+    found = near.nearest(rows, rows, REACH, NEIGHBOURS, _fits).filter(F.size("near") >= 2)
+    t, s = vm.tangent_basis(vm.v("l_n"))
+    found = found.select(*(F.col(f"l_{c}").alias(c) for c in columns), "near", *vm.columns(t, "t"), *vm.columns(s, "s"))
+    t, s, own = vm.v("t"), vm.v("s"), vm.v()
+
+    def placed(q: Column) -> Column:
+        p = vm.sub((q["x"], q["y"], q["z"]), own)
+        return F.struct(*(q[c].alias(c) for c in (*columns, "d2")), vm.dot(p, t).alias("u"), vm.dot(p, s).alias("v"))
+
+    limit = F.least(F.lit(LONGEST), F.greatest(F.lit(SHORTEST), F.sqrt(F.get("near", F.lit(0))["d2"]) * SPACINGS))
+    found = found.withColumn("limit2", limit * limit)
+    within = F.filter("near", lambda q: q["d2"] <= F.col("limit2"))
+    return found.select(*columns, F.sort_array(F.transform(within, placed)).alias("near"), "limit2").filter(F.size("near") >= 2)
 
 
 def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
