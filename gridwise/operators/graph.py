@@ -26,7 +26,8 @@ def settled(df: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of nodes(id) under undirected edges(a, b): the smallest id that is reachable. Labels
     spread to neighbours and then jump to their own label's label, so rounds grow with the logarithm of a path."""
-    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = settled(edges.select(ways.alias("e")).select("e.a", "e.b").distinct())
     labels = settled(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))

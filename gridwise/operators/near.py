@@ -71,9 +71,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield table.combine_chunks(), numbered(table)
 
 
-def _pairs(table: pa.Table, cube: np.ndarray, width: float, radius: float, cells: tuple[float, int] | None, self_join: bool):
-    """(queries, pairs' query, pairs' point, d2): row numbers of some queries, and of all pairs of these within the radius, in
-    the order of the queries."""
+def _pairs(table: pa.Table, cube: np.ndarray, width: float, radius: float, cells: tuple[float, int] | None, self_join: bool, most: float | None = None):
+    """(queries, pairs' query, pairs' point, d2): row numbers of some queries, and of all pairs of these within the radius (or
+    `most`, where the cells of this radius bound them), in the order of the queries."""
     side = table.column(SIDE).to_numpy()
     q, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     xyz = [table.column(a).to_numpy() for a in "xyz"]
@@ -99,7 +99,7 @@ def _pairs(table: pa.Table, cube: np.ndarray, width: float, radius: float, cells
         for x in xyz:
             d = x[other] - x[one]
             d2 += d * d
-        fine = d2 <= radius * radius
+        fine = d2 <= (most or radius) ** 2
         if self_join:
             fine &= ids[one] != ids[other]
         for c in coarse:
@@ -181,3 +181,75 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, fits: Fits
         done = found.filter("_done").drop("_done")
         out = done if out is None else out.unionByName(done)
     return out
+
+
+def best(left: DataFrame, right: DataFrame, radius: float, judge: Callable[[Rows, Rows, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], cells: tuple[float, int] | None = None) -> DataFrame:
+    """(l_id, r_id, score, candidates, flagged): for each left row the right row of lowest score, then id, among those within
+    the radius that judge(l, r, d2) -> (fine, score, flag) finds fine; the number of all within it, and of the flagged."""
+    schema = StructType([StructField("l_id", left.schema["id"].dataType), StructField("r_id", right.schema["id"].dataType), *(StructField(n, k) for n, k in (("score", DoubleType()), ("candidates", LongType()), ("flagged", LongType())))])
+
+    # cells that far apart bound the margin; rows that have to share a cell need none
+    margin = min(radius, cells[0] * (cells[1] + 1)) if cells else radius
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cube in _groups(batches):
+            n = table.num_rows
+            for queries, a, b, d2 in _pairs(table, cube, margin, margin, cells, False, radius):
+                fine, score, flag = judge(_reader(table, a), _reader(table, b), d2)
+                candidates, flagged = np.bincount(a, minlength=n)[queries], np.bincount(a[flag], minlength=n)[queries]
+                a, b, score = a[fine], b[fine], score[fine]
+                least = np.full(n, np.inf)
+                np.minimum.at(least, a, score)
+                top = score == least[a]
+                a, b, score = a[top], b[top], score[top]
+                order = np.lexsort((table.column("id").to_numpy()[b], a))
+                order = order[_firsts(a[order]) == 0]
+                where = np.full(n, -1)
+                where[a[order]] = b[order]
+                at, none = where[queries], where[queries] < 0
+                ids, others = _columns(table, ["id"], queries)[0], _columns(table, ["id"], np.maximum(at, 0))[0]
+                others = pa.array(others.to_numpy(zero_copy_only=False), mask=none)
+                yield pa.RecordBatch.from_arrays([ids, others, pa.array(np.where(none, 0.0, least[queries]), mask=none), pa.array(candidates, pa.int64()), pa.array(flagged, pa.int64())], schema.names)
+
+    return _blocked(left, right, margin, 0.0 if cells and not cells[1] else margin).mapInArrow(run, schema)
+
+
+def links(rows: DataFrame, radius: float, fits: Fits | None = None, counted: str | None = None) -> DataFrame:
+    """(a, b, n): pairs of rows within the radius that fit (fits is symmetric), as many as it takes to connect within each
+    cube whatever all such pairs connect; and, for each row of the cube, (id, null, the number of its linked rows whose
+    column `counted` is true), if there is one."""
+    kind = rows.schema["id"].dataType
+    schema = StructType([StructField("a", kind), StructField("b", kind), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cube in _groups(batches):
+            ids, side = table.column("id").to_numpy(), table.column(SIDE).to_numpy()
+            n = table.num_rows
+            _, spot = np.unique(np.stack([cube, ids]), axis=1, return_inverse=True)  # a row of a cube, as query and as point
+            spot = spot.ravel()
+            label = np.arange(n)
+            mark = table.column(counted).to_numpy(zero_copy_only=False).astype(bool) if counted else None
+            for queries, a, b, _ in _pairs(table, cube, radius, radius, None, True):
+                if fits is not None and len(a):
+                    fine = fits(_reader(table, a), _reader(table, b))
+                    a, b = a[fine], b[fine]
+                if counted:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[queries]).cast(schema_arrow), pa.nulls(len(queries), schema_arrow), pa.array(np.bincount(a[mark[b]], minlength=n)[queries], pa.int64())], schema.names)
+                u, v = spot[a], spot[b]
+                while True:
+                    x, y = label[u], label[v]
+                    apart = x != y
+                    if not apart.any():
+                        break
+                    u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+                    np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                    while (label[label] != label).any():
+                        label = label[label]
+            first = np.zeros(n, ids.dtype)
+            first[spot] = ids
+            tied = np.flatnonzero((label[spot] != spot))
+            ends = np.unique(np.stack([ids[tied], first[label[spot[tied]]]]), axis=1) if len(tied) else np.zeros((2, 0), ids.dtype)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]).cast(schema_arrow), pa.array(ends[1]).cast(schema_arrow), pa.nulls(ends.shape[1], pa.int64())], schema.names)
+
+    schema_arrow = pa.int64() if kind == LongType() else pa.int32()
+    return _blocked(rows, rows, radius, radius).mapInArrow(run, schema)

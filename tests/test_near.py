@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwise.operators import near, spatial
 from gridwise.plans import QUERIES
@@ -53,3 +54,45 @@ def test_ranks_are_places(spark):
     for r in out:
         places.setdefault(r["l_id"], []).append((r["rank"], r["d2"]))
     assert all([k for k, _ in sorted(v)] == list(range(1, len(v) + 1)) and sorted(v) == sorted(v, key=lambda x: (x[1], x[0])) for v in places.values())
+
+
+def test_best(spark, monkeypatch):
+    for name, value in (("ROWS", 50), ("PAIRS", 200)):
+        monkeypatch.setattr(near, name, value)
+    rows = rows_of(3, 200)[:-2]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    judge = lambda a, b, d2: (b("w") > 0, d2 + a("w") * b("w"), b("w") == 2)
+    for radius, cells in ((0.1, None), (0.1, (0.04, 1)), (1.0, (0.05, 0))):
+        got = {r["l_id"]: r for r in near.best(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), radius, judge, cells).collect()}
+        far = lambda a, b, cells=cells: cells and any(abs(np.floor(p / cells[0]) - np.floor(q / cells[0])) > cells[1] for p, q in zip(a[1:4], b[1:4], strict=True))
+        for a in rows[::2]:
+            found = [b for b in rows[1::2] if d2_of(a, b) <= radius * radius and not far(a, b)]
+            first = min(((d2_of(a, b) + a[4] * b[4], b[0]) for b in found if b[4] > 0), default=(None, None))
+            r = got.pop(a[0])
+            assert (r["candidates"], r["flagged"], r["r_id"]) == (len(found), sum(b[4] == 2 for b in found), first[1])
+            assert first[0] is None or r["score"] == pytest.approx(first[0], abs=1e-12)
+        assert not got
+
+
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
+    for name, value in (("ROWS", 50), ("PAIRS", 200)):
+        monkeypatch.setattr(near, name, value)
+    rows = rows_of(4, 300)[:-2]
+    df = spark.createDataFrame(rows, SCHEMA + "").repartition(3).withColumn("odd", F.col("id") % 2 == 1)
+    out = near.links(df, 0.08, lambda a, b: a("w") == b("w"), counted="odd").collect()
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[4] == b[4] and d2_of(a, b) <= 0.08 * 0.08]
+    edges = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+    assert len(edges) < len(pairs) / 8 and set(edges) <= {(p, q) for p in range(300) for q in range(300)}
+    counts = {r["a"]: r["n"] for r in out if r["b"] is None}
+    assert counts == {a[0]: sum(q % 2 for p, q in pairs if p == a[0]) for a in rows}
+
+    def labels(edges):
+        label = list(range(len(rows)))
+        while True:
+            before = list(label)
+            for p, q in edges:
+                label[p] = label[q] = min(label[p], label[q])
+            if label == before:
+                return label
+
+    assert labels(edges) == labels(pairs)
