@@ -20,8 +20,11 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stru
 from gridwise.operators.graph import settled
 
 BLOCK, SIDE = ["_bx", "_by", "_bz"], "_side"
-#: Rows that a cube should hold, halvings of the margin at most, rows handed to a step together, pairs formed at once.
-MOST, HALVINGS, ROWS, PAIRS = 2_000, 10, 50_000, 1_000_000
+#: Rows that a cube should hold (or EACH for each neighbour sought, if more), halvings of the margin at most, rows handed to a
+#: step together, pairs formed at once; cubes listed to a task at most.
+MOST, EACH, HALVINGS, ROWS, PAIRS, CUBES = 2_000, 500, 10, 50_000, 1_000_000, 100_000
+#: Where cubes begin, in widths: not at 0, where floors and walls tend to lie, whose rows would all be copied across.
+SHIFT = 0.37
 
 Rows = Callable[[str], np.ndarray]
 Fits = Callable[[Rows, Rows], np.ndarray]
@@ -35,15 +38,27 @@ def _margin(radius: float) -> float:
     return radius * 1.000001
 
 
-def _blocked(left: DataFrame, right: DataFrame, width: float, radius: float) -> DataFrame:
-    """left rows (side 0) in their cubes, right rows (side 1) in all whose rows they may be near, cube by cube."""
-    at = lambda a, m=0.0: F.floor((F.col(a) + m) / width)
-    queries = _whole(left).select("*", *(at(a).alias(b) for a, b in zip("xyz", BLOCK, strict=True)), F.lit(0).alias(SIDE))
+def _blocked(left: DataFrame, right: DataFrame, width: float, radius: float, listed: bool = False, shift: float = SHIFT) -> DataFrame:
+    """left rows (side 0) in their cubes, right rows (side 1) in all whose rows they may be near, cube by cube. Where both are
+    the same rows, a row in its own cube is sent once (side 2). listed: left is few rows, and right rows go only to cubes
+    that hold any of them, if these are few enough to be listed to each task."""
+    at = lambda a, m=0.0: F.floor((F.col(a) + m) / width + shift)
+    own = [at(a).alias(b) for a, b in zip("xyz", BLOCK, strict=True)]
     points = _whole(right).select(*left.columns)
     for a, b in zip("xyz", BLOCK, strict=True):
         points = points.withColumn(b, F.explode(F.sequence(at(a, -_margin(radius)), at(a, _margin(radius)))))
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many pairs: partitions are not to be merged
-    return queries.unionByName(points.withColumn(SIDE, F.lit(1))).repartition(n, *BLOCK).sortWithinPartitions(*BLOCK)
+    if left is right:
+        home = [F.col(b) == at(a) for a, b in zip("xyz", BLOCK, strict=True)]
+        rows = points.withColumn(SIDE, F.when(home[0] & home[1] & home[2], 2).otherwise(1))
+    else:
+        queries = _whole(left).select("*", *own, F.lit(0).alias(SIDE))
+        if listed:
+            cubes = settled(queries.select(*BLOCK).distinct())
+            if cubes.limit(CUBES + 1).count() <= CUBES:
+                points = points.join(F.broadcast(cubes), BLOCK, "left_semi").select(*left.columns, *BLOCK)
+        rows = queries.unionByName(points.withColumn(SIDE, F.lit(1)))
+    return rows.repartition(n, *BLOCK).sortWithinPartitions(*BLOCK)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -71,17 +86,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield table.combine_chunks(), numbered(table)
 
 
-def _pairs(table: pa.Table, cube: np.ndarray, width: float, radius: float, cells: tuple[float, int] | None, self_join: bool, most: float | None = None):
+def _pairs(table: pa.Table, cube: np.ndarray, width: float, radius: float, cells: tuple[float, int] | None, self_join: bool, most: float | None = None, shift: float = SHIFT):
     """(queries, pairs' query, pairs' point, d2): row numbers of some queries, and of all pairs of these within the radius (or
     `most`, where the cells of this radius bound them), in the order of the queries."""
     side = table.column(SIDE).to_numpy()
-    q, p = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    q, p = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     xyz = [table.column(a).to_numpy() for a in "xyz"]
     ids = table.column("id").to_numpy()
     cell, n = _margin(radius), int(width / radius) + 5
     key = cube.astype(np.int64)
     for x, b in zip(xyz, BLOCK, strict=True):
-        key = key * n + np.clip(np.floor((x - table.column(b).to_numpy() * width) / cell).astype(np.int64) + 2, 0, n - 1)
+        key = key * n + np.clip(np.floor((x - (table.column(b).to_numpy() - shift) * width) / cell).astype(np.int64) + 2, 0, n - 1)
     coarse = [np.floor(x / cells[0]) for x in xyz] if cells else []
     p = p[np.argsort(key[p], kind="stable")]
     ordered = key[p]
@@ -127,25 +142,29 @@ def _named(prefix: str, rows: DataFrame) -> list[StructField]:
     return [StructField(prefix + f.name, f.dataType, True) for f in rows.schema.fields]
 
 
-def _halvings(right: DataFrame, radius: float) -> int:
-    """How often the radius is halved until no cube of eight such margins holds more than MOST rows."""
+def _halvings(right: DataFrame, radius: float, k: int) -> int:
+    """How often the radius is halved until no cube of eight such margins holds more rows than it should for k neighbours."""
     right = _whole(right)
     for t in range(HALVINGS):
         width = 8 * radius / 2**t
-        most = right.groupBy(*(F.floor(F.col(a) / width) for a in "xyz")).count().agg(F.max("count")).first()[0]
-        if (most or 0) <= MOST:
+        most = right.groupBy(*(F.floor(F.col(a) / width + SHIFT) for a in "xyz")).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= max(MOST, EACH * k):
             return t
     return HALVINGS
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, fits: Fits | None = None, cells: tuple[float, int] | None = None, self_join: bool = True) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, fits: Fits | None = None, cells: tuple[float, int] | None = None, self_join: bool = True, keep: list[str] | None = None, made: dict[str, Callable[[Rows, Rows], np.ndarray]] | None = None) -> DataFrame:
     """left's columns as l_*, and near: the k nearest right rows within radius, as structs of right's columns and d2, in order of
     d2, x, y, z, id. fits(l, r) takes two functions from a column's name to its values in pairs. cells (width, reach): only
-    rows in grid cells of that width at most reach apart. Both sides have the same columns, id among them."""
+    rows in grid cells of that width at most reach apart. Both sides have the same columns, id among them.
+    keep: of right's columns and d2 only these, and made: doubles made of the pairs, as fits does; what near holds is written
+    once to the checkpoint folder where rows lie close."""
     names = left.columns
-    one = StructType([*_named("", left), StructField("d2", DoubleType())])
+    keep, made = [*names, "d2"] if keep is None else keep, made or {}
+    fields = [left.schema[n] if n != "d2" else StructField("d2", DoubleType()) for n in keep]
+    one = StructType([*(StructField(f.name, f.dataType, True) for f in fields), *(StructField(n, DoubleType()) for n in made)])
     schema = StructType([*_named("l_", left), StructField("near", ArrayType(one)), StructField("_done", BooleanType())])
-    halvings = _halvings(right, radius)
+    halvings = _halvings(right, radius, k)
 
     def step(width: float, reach: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +173,10 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, fits: Fits
                     if fits is not None and len(a):
                         fine = fits(_reader(table, a), _reader(table, b))
                         a, b, d2 = a[fine], b[fine], d2[fine]
+                    count = np.bincount(a, minlength=table.num_rows)
+                    done = (count >= k) | (reach >= radius)
+                    fine = done[a]  # rows that go on to a wider margin leave nothing here
+                    a, b, d2 = a[fine], b[fine], d2[fine]
                     order = np.lexsort((d2, a))
                     a, b, d2 = a[order], b[order], d2[order]
                     place = _firsts(a)
@@ -165,16 +188,18 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, k: int, fits: Fits
                     order = order[_firsts(a[order]) < k]
                     a, b, d2 = a[order], b[order], d2[order]
                     found = np.bincount(a, minlength=table.num_rows)[queries]
-                    structs = pa.StructArray.from_arrays([*_columns(table, names, b), pa.array(d2)], [*names, "d2"])
+                    values = {n: pa.array(d2) if n == "d2" else _columns(table, [n], b)[0] for n in keep}
+                    values |= {n: pa.array(np.asarray(f(_reader(table, a), _reader(table, b)), np.float64)) for n, f in made.items()}
+                    structs = pa.StructArray.from_arrays(list(values.values()), list(values))
                     near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found))), pa.int32()), structs)
-                    yield pa.RecordBatch.from_arrays([*_columns(table, names, queries), near, pa.array((found >= k) | (reach >= radius))], schema.names)
+                    yield pa.RecordBatch.from_arrays([*_columns(table, names, queries), near, pa.array(done[queries])], schema.names)
 
         return run
 
     todo, out = left, None
     for t in range(halvings, -1, -1):
         reach, width = radius / 2**t, max(8 * radius / 2**halvings, radius / 2**t)
-        found = _blocked(todo, right, width, reach).mapInArrow(step(width, reach), schema)
+        found = _blocked(todo, right, width, reach, t < halvings).mapInArrow(step(width, reach), schema)
         if t:
             found = settled(found)
             todo = found.filter("not _done").select(*(F.col(f"l_{n}").alias(n) for n in names))
@@ -190,11 +215,13 @@ def best(left: DataFrame, right: DataFrame, radius: float, judge: Callable[[Rows
 
     # cells that far apart bound the margin; rows that have to share a cell need none
     margin = min(radius, cells[0] * (cells[1] + 1)) if cells else radius
+    alone = bool(cells) and not cells[1]
+    shift = 0.0 if alone else SHIFT  # then cubes are cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cube in _groups(batches):
             n = table.num_rows
-            for queries, a, b, d2 in _pairs(table, cube, margin, margin, cells, False, radius):
+            for queries, a, b, d2 in _pairs(table, cube, margin, margin, cells, False, radius, shift):
                 fine, score, flag = judge(_reader(table, a), _reader(table, b), d2)
                 candidates, flagged = np.bincount(a, minlength=n)[queries], np.bincount(a[flag], minlength=n)[queries]
                 a, b, score = a[fine], b[fine], score[fine]
@@ -211,7 +238,7 @@ def best(left: DataFrame, right: DataFrame, radius: float, judge: Callable[[Rows
                 others = pa.array(others.to_numpy(zero_copy_only=False), mask=none)
                 yield pa.RecordBatch.from_arrays([ids, others, pa.array(np.where(none, 0.0, least[queries]), mask=none), pa.array(candidates, pa.int64()), pa.array(flagged, pa.int64())], schema.names)
 
-    return _blocked(left, right, margin, 0.0 if cells and not cells[1] else margin).mapInArrow(run, schema)
+    return _blocked(left, right, margin, 0.0 if alone else margin, shift=shift).mapInArrow(run, schema)
 
 
 def links(rows: DataFrame, radius: float, fits: Fits | None = None, counted: str | None = None) -> DataFrame:

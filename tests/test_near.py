@@ -96,3 +96,25 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch):
                 return label
 
     assert labels(edges) == labels(pairs)
+
+
+def test_a_floor_at_zero_is_sent_about_once(spark):
+    """Rows of a sheet at z = 0, where cubes used to begin, went out as query and up to eight times as point."""
+    df = spark.createDataFrame([(i, 0.01 * (i % 20), 0.01 * (i // 20), 0.0, 0.0) for i in range(400)], SCHEMA)
+    sent = near._blocked(df, df, 0.8, 0.1)
+    assert sent.count() < 1.3 * 400 and sent.filter("_side != 1").count() == 400
+
+
+def test_what_is_kept_and_written(spark, monkeypatch):
+    """near holds what is asked for, and the checkpoints of narrow margins nothing for rows that go on."""
+    monkeypatch.setattr(near, "MOST", 8)
+    written = []
+    monkeypatch.setattr(near, "EACH", 1)
+    settled = near.settled
+    monkeypatch.setattr(near, "settled", lambda df: written.append(settled(df)) or written[-1])
+    df = spark.createDataFrame(rows_of(5)[:-2], SCHEMA)
+    out = {r["l_id"]: r["near"] for r in near.nearest(df, df, 0.1, 5, keep=["id"], made={"dx": lambda a, b: b("x") - a("x")}).collect()}
+    whole = {r["l_id"]: [(q["id"], q["x"] - r["l_x"]) for q in r["near"]] for r in near.nearest(df, df, 0.1, 5).collect()}
+    assert {k: [tuple(q) for q in v] for k, v in out.items()} == whole and set(next(v for v in out.values() if v)[0].asDict()) == {"id", "dx"}
+    assert any("near" in d.columns for d in written)
+    assert all(d.filter("not _done and size(near) > 0").count() == 0 for d in written if "near" in d.columns)
