@@ -1,8 +1,8 @@
 """Local triangulation of oriented samples, and growth over its triangles from a hit.
 
 A sample's neighbours are its nearest compatible ones; on its tangent plane, two of them make a triangle with it where no
-other neighbour lies in their circle. Neighbours are an array of NEIGHBOURS at most, so that the circle's test is an
-expression of a row: neighbours are found cube by cube, and the only join is one of triangles by edge. On a tie,
+other neighbour lies in their circle. Neighbours are an array of NEIGHBOURS at most, so that the circle's test is one of a
+row, made in the task that finds them, cube by cube; the only join is one of triangles by edge. On a tie,
 four samples on a circle, the diagonal between the smaller positions is kept. A triangle that several of its samples make
 counts once. Samples without neighbours, or without a normal, are in no triangle.
 """
@@ -10,8 +10,10 @@ counts once. Samples without neighbours, or without a normal, are in no triangle
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridwise.functions import vector as vm
@@ -20,7 +22,7 @@ from gridwise.operators.graph import grow, settled
 
 #: Metres: reach of neighbours, longest and least edge limit; residual of either plane; edge limit in spacings.
 REACH, LONGEST, SHORTEST, RESIDUAL, SPACINGS = 0.12, 0.1, 0.05, 0.028, 2.5
-NEIGHBOURS, LEAST_DOT, TINY, SINE2 = 8, math.cos(math.radians(42)), 1e-6, 0.01
+NEIGHBOURS, BATCH, LEAST_DOT, TINY, SINE2 = 8, 5_000, math.cos(math.radians(42)), 1e-6, 0.01
 #: Growth from a hit: adjacent normals, normal and residual of the surface, least area in square metres.
 HIT_DOT, SURFACE_DOT, SURFACE_RESIDUAL, LEAST_AREA = math.cos(math.radians(58)), 0.55, 0.12, 0.003
 
@@ -38,77 +40,117 @@ def _fits(left: near.Rows, right: near.Rows) -> np.ndarray:
     return compatible(of(left, ""), of(left, "n"), of(right, ""), of(right, "n"), np.abs)
 
 
-def neighbourhoods(samples: DataFrame) -> DataFrame:
-    """A row for each sample with neighbours: its position and normal, its edge limit, and the neighbours within it with
-    their place (u, v) on its tangents."""
-    columns = ["id", "x", "y", "z", "nx", "ny", "nz"]
-    # unit normals and tangents are computed once a sample, not in each pair
-    rows = settled(samples.filter(vm.length(vm.v("n")) > TINY).select("id", "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n")))
-    found = near.nearest(rows, rows, REACH, NEIGHBOURS, _fits).filter(F.size("near") >= 2)
-    t, s = vm.tangent_basis(vm.v("l_n"))
-    found = found.select(*(F.col(f"l_{c}").alias(c) for c in columns), "near", *vm.columns(t, "t"), *vm.columns(s, "s"))
-    t, s, own = vm.v("t"), vm.v("s"), vm.v()
-
-    def placed(q: Column) -> Column:
-        p = vm.sub((q["x"], q["y"], q["z"]), own)
-        return F.struct(*(q[c].alias(c) for c in (*columns, "d2")), vm.dot(p, t).alias("u"), vm.dot(p, s).alias("v"))
-
-    limit = F.least(F.lit(LONGEST), F.greatest(F.lit(SHORTEST), F.sqrt(F.get("near", F.lit(0))["d2"]) * SPACINGS))
-    found = found.withColumn("limit2", limit * limit)
-    within = F.filter("near", lambda q: q["d2"] <= F.col("limit2"))
-    return found.select(*columns, F.sort_array(F.transform(within, placed)).alias("near"), "limit2").filter(F.size("near") >= 2)
-
-
-def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.least(a, b), F.greatest(a, b)
-
-
-def _occupied(near: Column, a: Column, b: Column, at: Column) -> Column:
-    """Whether another neighbour lies in the circle of the centre (0, 0), a and b, or wins a tie on it."""
-    det = a["u"] * b["v"] - a["v"] * b["u"]
-    a2, b2 = a["u"] * a["u"] + a["v"] * a["v"], b["u"] * b["u"] + b["v"] * b["v"]
-    cu, cv = (a2 * b["v"] - b2 * a["v"]) / (2 * det), (a["u"] * b2 - b["u"] * a2) / (2 * det)
-    r2 = cu * cu + cv * cv
-    place = lambda q: F.struct(q["x"], q["y"], q["z"])
-    corners = ((F.lit(0.0), F.lit(0.0), at), (a["u"], a["v"], place(a)), (b["u"], b["v"], place(b)))
-
-    def taken(q: Column) -> Column:
-        off = (q["u"] - cu) * (q["u"] - cu) + (q["v"] - cv) * (q["v"] - cv) - r2
-        slack = F.greatest(F.lit(1e-14), r2 * 1e-8)
-        loses = F.lit(False)
-        for k in range(3):
-            (pu, pv, p), (qu, qv, other), (ru, rv, r) = corners[k], corners[(k + 1) % 3], corners[(k + 2) % 3]
-            side = lambda u, v, pu=pu, pv=pv, qu=qu, qv=qv: (qu - pu) * (v - pv) - (qv - pv) * (u - pu)
-            mine, theirs = F.struct(*_ordered(p, other)), F.struct(*_ordered(r, place(q)))
-            loses |= (side(ru, rv) * side(q["u"], q["v"]) < 0) & (mine > theirs)
-        return (q["id"] != a["id"]) & (q["id"] != b["id"]) & ((off < -slack) | ((F.abs(off) <= slack) & loses))
-
-    return F.exists(near, taken)
+def _dot(a, b):
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _sub(a, b):
+    return tuple(x - y for x, y in zip(a, b, strict=True))
+
+
+def _tangents(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """vm.tangent_basis() of arrays."""
+    ax, ay, az = abs(n)
+    first, second = (ax <= ay) & (ax <= az), (ay < ax) & (ay <= az)
+    axis = np.stack([first, second & ~first, ~(first | second)]).astype(float)
+    u = np.stack(vm.cross(axis, n))
+    u /= np.sqrt(_dot(u, u))
+    return u, np.stack(vm.cross(n, u))
+
+
+def _least(p: np.ndarray) -> np.ndarray:
+    """Of places (3, rows, slots), the number of others in a row that come before each, by x, y, z."""
+    x, y, z = (c[:, :, None] for c in p)
+    u, v, w = (c[:, None, :] for c in p)
+    return ((u < x) | ((u == x) & ((v < y) | ((v == y) & (w < z))))).sum(2)
+
+
+def _found(ids: np.ndarray, p: np.ndarray, n: np.ndarray, d2: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, a, b, c, against) of the triangles that rows make with two of their neighbours. Arrays are (rows, 1 + NEIGHBOURS)
+    with the row itself first; p and n have the coordinates before that; there: whether there is such a neighbour."""
+    limit = np.minimum(LONGEST, np.maximum(SHORTEST, np.sqrt(d2[:, 1]) * SPACINGS))
+    limit2 = limit * limit
+    with np.errstate(all="ignore"):
+        there = there & (d2 <= limit2[:, None])
+        t, s = _tangents(n[:, :, 0])
+        off = p - p[:, :, :1]
+        u, v = _dot(off, t[:, :, None]), _dot(off, s[:, :, None])
+        u[:, 0] = v[:, 0] = 0.0
+        before = _least(np.where(there | (np.arange(ids.shape[1]) == 0), p, np.inf))
+        size2 = u * u + v * v
+        out = []
+        for i in range(1, ids.shape[1]):
+            for j in range(i + 1, ids.shape[1]):
+                k = np.flatnonzero(there[:, i] & there[:, j])
+                # p and q by ascending id, as they come in the expressions of the SQL
+                turn = ids[k, i] > ids[k, j]
+                a, b = np.where(turn, j, i), np.where(turn, i, j)
+                au, av, bu, bv, a2, b2 = u[k, a], v[k, a], u[k, b], v[k, b], size2[k, a], size2[k, b]
+                det = au * bv - av * bu
+                fine = (det * det > a2 * b2 * SINE2) & (a2 * b2 > 1e-16) & (au * bu + av * bv >= -0.5 * np.sqrt(a2 * b2))
+                at, bt = p[:, k, a], p[:, k, b]
+                across = _sub(bt, at)
+                fine &= compatible(at, n[:, k, a], bt, n[:, k, b], np.abs) & (_dot(across, across) <= limit2[k])
+                e, f = _sub(at, p[:, k, 0]), _sub(bt, p[:, k, 0])
+                cross = vm.cross(e, f)
+                fine &= _dot(cross, cross) > _dot(e, e) * _dot(f, f) * SINE2
+                k, a, b, au, av, bu, bv, a2, b2, det = (x[fine] for x in (k, a, b, au, av, bu, bv, a2, b2, det))
+                against = _dot(cross, n[:, :, 0][:, np.flatnonzero(there[:, i] & there[:, j])])[fine] < 0
+                cu, cv = (a2 * bv - b2 * av) / (2 * det), (au * b2 - bu * a2) / (2 * det)
+                r2 = cu * cu + cv * cv
+                slack = np.maximum(1e-14, r2 * 1e-8)
+                taken = np.zeros(len(k), bool)
+                zero, first, pa, pb = np.zeros(len(k)), before[k, 0], before[k, a], before[k, b]
+                corners = ((zero, zero, first), (au, av, pa), (bu, bv, pb))
+                for o in range(1, ids.shape[1]):
+                    ou, ov, po = u[k, o], v[k, o], before[k, o]
+                    away = (ou - cu) * (ou - cu) + (ov - cv) * (ov - cv) - r2
+                    loses = np.zeros(len(k), bool)
+                    for m in range(3):
+                        (pu, pv, pp), (qu, qv, qq), (ru, rv, rr) = corners[m], corners[(m + 1) % 3], corners[(m + 2) % 3]
+                        mine, theirs = np.minimum(pp, qq) * 64 + np.maximum(pp, qq), np.minimum(rr, po) * 64 + np.maximum(rr, po)
+                        side = lambda x, y, pu=pu, pv=pv, qu=qu, qv=qv: (qu - pu) * (y - pv) - (qv - pv) * (x - pu)
+                        loses |= (side(ru, rv) * side(ou, ov) < 0) & (mine > theirs)
+                    taken |= there[k, o] & (o != a) & (o != b) & ((away < -slack) | ((abs(away) <= slack) & loses))
+                k, a, b, against = (x[~taken] for x in (k, a, b, against))
+                three = np.stack([ids[k, 0], ids[k, a], ids[k, b]], 1)
+                # the order (centre, p, q) turned into ascending ids: an odd number of swaps reverses it
+                swaps = (three[:, 0] > three[:, 1]).astype(int) + (three[:, 0] > three[:, 2]) + (three[:, 1] > three[:, 2])
+                out.append((ids[k, 0], *np.sort(three, 1).T, against != (swaps % 2 == 1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BATCH):
+            part = batch.slice(begin, BATCH)
+            near_, rows = part.column("near"), part.num_rows
+            count = np.diff(near_.offsets.to_numpy())
+            row = np.repeat(np.arange(rows), count)
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + 1
+            flat = near_.flatten()
+
+            def table(name, missing, part=part, flat=flat, rows=rows, row=row, slot=slot, own=True):
+                out = np.full((rows, 1 + NEIGHBOURS), missing)
+                if own:
+                    out[:, 0] = part.column("l_" + name).to_numpy()
+                out[row, slot] = flat.field(name).to_numpy()
+                return out
+
+            there = np.zeros((rows, 1 + NEIGHBOURS), bool)
+            there[row, slot] = True
+            found = _found(table("id", -1), np.stack([table(a, np.nan) for a in "xyz"]), np.stack([table("n" + a, np.nan) for a in "xyz"]), table("d2", np.inf, own=False), there)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "a", "b", "c", "against"])
 
 
 def triangles(samples: DataFrame) -> DataFrame:
     """(a, b, c, turned): triangles of samples(id, position, normal) by ascending id; turned, if their order runs against
     the normal of the smallest sample that makes them."""
-    hoods = settled(neighbourhoods(samples))
-    pairs = hoods.select("*", F.posexplode("near").alias("i", "p")).select("*", F.explode(F.expr("slice(near, i + 2, size(near))")).alias("q"))
-    p, q = F.col("p"), F.col("q")
-    det = p["u"] * q["v"] - p["v"] * q["u"]
-    p2, q2 = p["u"] * p["u"] + p["v"] * p["v"], q["u"] * q["u"] + q["v"] * q["v"]
-    wide = (det * det > p2 * q2 * SINE2) & (p2 * q2 > 1e-16) & (p["u"] * q["u"] + p["v"] * q["v"] >= -0.5 * F.sqrt(p2 * q2))
-    pairs = pairs.filter(wide).filter(~_occupied(F.col("near"), p, q, F.struct("x", "y", "z")))
-    xyz, normal = lambda s: (s["x"], s["y"], s["z"]), lambda s: (s["nx"], s["ny"], s["nz"])
-    across = vm.sub(xyz(q), xyz(p))
-    pairs = pairs.filter(compatible(xyz(p), normal(p), xyz(q), normal(q)) & (vm.dot(across, across) <= F.col("limit2")))
-    e, f = vm.sub(xyz(p), vm.v()), vm.sub(xyz(q), vm.v())
-    cross = vm.cross(e, f)
-    pairs = pairs.filter(vm.dot(cross, cross) > vm.dot(e, e) * vm.dot(f, f) * SINE2)
-    ids = F.array("id", p["id"], q["id"])
-    # the order (centre, p, q) turned into ascending ids: an odd number of swaps reverses it
-    swaps = sum(((F.get(ids, F.lit(i)) > F.get(ids, F.lit(j))).cast("int") for i, j in ((0, 1), (0, 2), (1, 2))), F.lit(0))
-    against = (vm.dot(cross, vm.v("n")) < 0) != (swaps % 2 == 1)
-    found = pairs.select("id", F.sort_array(ids).alias("ids"), against.alias("against"))
-    found = found.groupBy(*(F.get("ids", F.lit(k)).alias(n) for k, n in enumerate("abc"))).agg(F.min_by("against", "id").alias("turned"))
-    return found
+    # unit normals are computed once a sample, not in each pair
+    rows = samples.filter(vm.length(vm.v("n")) > TINY).select(F.col("id").cast("long"), "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n"))
+    hoods = near.nearest(rows, rows, REACH, NEIGHBOURS, _fits).filter(F.size("near") >= 2)
+    found = hoods.mapInArrow(_made, "id long, a long, b long, c long, against boolean")
+    return found.groupBy("a", "b", "c").agg(F.min_by("against", "id").alias("turned"))
 
 
 def with_corners(found: DataFrame, samples: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridwise.operators import triangulation as tri
@@ -89,3 +90,12 @@ def test_growth_equals_plain_search(spark):
     assert got == want and len(want) > 40 and len(want) < len(all_of) - 20
     small = tri.grown_from_hits(cornered.withColumn("area", F.lit(1e-9)), spark.createDataFrame(list(hits.items()), "scan long, triangle string"), surfaces)
     assert small.collect() == []
+
+
+def test_neighbourhoods_are_not_written(spark, monkeypatch):
+    """Where rows lie loosely, only rows on their way to their cubes and triangles leave a task."""
+    monkeypatch.setattr(tri, "settled", lambda df: pytest.fail("written"))
+    monkeypatch.setattr(tri.near, "settled", lambda df: pytest.fail("written"))
+    monkeypatch.setattr(tri, "BATCH", 5)
+    rows = [(k, 0.03 * (k % 7), 0.03 * (k // 7), 0.0, 0.0, 0.0, 2.0, False) for k in range(42)]
+    assert len(found(spark, rows)) == 2 * 6 * 5
