@@ -8,13 +8,18 @@ Lines with a null end or plane are left out; a plane that is not in planes gives
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from gridwise.functions import vector as vm
-from gridwise.functions.numeric import cells, clamp
+from gridwise.functions.numeric import cells
 from gridwise.operators.graph import components, settled
 from gridwise.operators.spatial import KEYS, around
 
@@ -42,22 +47,27 @@ def _connected(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _gather(tolerance: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
-        of = []
-        for r in pdf.sort_values("id").itertuples(index=False):
-            p, planes = (r.x, r.y, r.z), {r.a, r.b}
-            for c in found:
-                if r.edge not in c["edges"] and c["planes"] & planes and all(math.dist(p, q) <= tolerance for q in c["at"]):
-                    break
-            else:
-                c = {"id": r.id, "edges": set(), "planes": set(), "at": []}
-                found.append(c)
-            c["edges"].add(r.edge)
-            c["planes"] |= planes
-            c["at"].append(p)
-            of.append((r.scan, r.id, c["id"]))
-        return pd.DataFrame(of, columns=["scan", "id", "cluster"])
+    """Clusters of rows in the order of scan, component, id; what is held is a component's clusters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, found = None, []
+        for pdf in batches:
+            of = []
+            for r in pdf.itertuples(index=False):
+                if (r.scan, r.component) != at:
+                    at, found = (r.scan, r.component), []
+                p, planes = (r.x, r.y, r.z), {r.a, r.b}
+                for c in found:
+                    if r.edge not in c["edges"] and c["planes"] & planes and all(math.dist(p, q) <= tolerance for q in c["at"]):
+                        break
+                else:
+                    c = {"id": r.id, "edges": set(), "planes": set(), "at": []}
+                    found.append(c)
+                c["edges"].add(r.edge)
+                c["planes"] |= planes
+                c["at"].append(p)
+                of.append((r.scan, r.id, c["id"]))
+            yield pd.DataFrame(of, columns=["scan", "id", "cluster"])
 
     return run
 
@@ -68,63 +78,127 @@ def clusters(edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     points = ends(edges)
     pairs = _near(points, tolerance).filter((F.col("l_edge") != F.col("r_edge")) & F.arrays_overlap(F.array("l_a", "l_b"), F.array("r_a", "r_b")))
     labels = _connected(points, pairs)
-    return points.join(labels, ["scan", "id"]).groupBy("scan", "component").applyInPandas(_gather(tolerance), "scan long, id long, cluster long")
-
-
-def _struct(e: Column, prefix: str) -> vm.Vec:
-    return tuple(e[prefix + a] for a in "xyz")
-
-
-def _judged(p: vm.Vec) -> dict[str, Column]:
-    """How a point fits the lines and planes of its cluster's row."""
-    known = F.filter("planes", lambda s: s["nx"].isNotNull())
-    off = F.transform(known, lambda s: F.abs(vm.dot(_struct(s, "n"), p) - s["k"]))
-    segment = lambda e: vm.point_segment(p, _struct(e, "s"), _struct(e, "e"))
-    worst = lambda a: F.coalesce(F.array_max(a), F.lit(0.0))
-    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda t, x: t + x) / F.size(a)).otherwise(0.0)
-    far, beyond, residual = worst(F.transform("edges", lambda e: segment(e)[0])), worst(F.transform("edges", lambda e: segment(e)[2])), worst(off)
-    quality = [clamp(1 - F.col("gap") / GAP), clamp(1 - far / AWAY), clamp(1 - beyond / BEYOND), mean(F.transform(off, lambda x: clamp(1 - x / RESIDUAL)))]
-    whole = F.forall("edges", lambda e: e["supported"]) & (quality[0] > 0) & (quality[1] > 0) & (quality[2] > 0) & (quality[3] > 0.25)
-    score = mean(F.transform("edges", lambda e: e["confidence"])) * 0.4 + quality[0] * 0.2 + quality[1] * 0.15 + quality[2] * 0.1 + quality[3] * 0.15
-    return {"valid": (far <= AWAY) & (beyond <= BEYOND) & (residual <= RESIDUAL), "supported": whole, "confidence": clamp(score), "extension": beyond, "residual": residual}
+    ordered = points.join(labels, ["scan", "id"]).repartition("scan", "component").sortWithinPartitions("scan", "component", "id")
+    return ordered.mapInPandas(_gather(tolerance), "scan long, id long, cluster long")
+
+
+def _clamped(x: np.ndarray) -> np.ndarray:
+    """clamp() of arrays; what is missing counts as 0, as there."""
+    return np.where(np.isnan(x), 0.0, np.clip(x, 0.0, 1.0))
+
+
+def _worst(x: np.ndarray) -> np.ndarray:
+    """The largest of a row's values, 0 where there is none."""
+    most = np.where(np.isnan(x), -np.inf, x).max(-1, initial=-np.inf)
+    return np.where(most == -np.inf, 0.0, most)
+
+
+def _mean(x: np.ndarray) -> np.ndarray:
+    """Means of rows, summed in order; 0 where there is nothing."""
+    return np.add.accumulate(x, axis=-1)[..., -1] / x.shape[-1] if x.shape[-1] else np.zeros(x.shape[:-1])
+
+
+def _length(d: tuple) -> np.ndarray:
+    return np.sqrt(vm.dot(d, d))
+
+
+def _segment(p, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """vm.point_segment() of arrays: the distance, and how far the foot lies beyond an end."""
+    d = vm.sub(b, a)
+    size2 = vm.dot(d, d)
+    t = np.where(size2 > 1e-12, vm.dot(vm.sub(p, a), d) / size2, 0.0)
+    k = _clamped(t)
+    return _length(vm.sub(p, tuple(x + y * k for x, y in zip(a, d, strict=True)))), np.maximum(0.0, np.maximum(-t, t - 1.0)) * np.sqrt(size2)
+
+
+def _gap(a, b) -> float:
+    """The largest distance between two of the segments, as vm.segment_segment_distance()."""
+    i, j = np.triu_indices(len(a[0]), 1)
+    a, b, p, q = tuple(x[i] for x in a), tuple(x[i] for x in b), tuple(x[j] for x in a), tuple(x[j] for x in b)
+    u, w, r = vm.sub(b, a), vm.sub(q, p), vm.sub(a, p)
+    uu, uw, ww, ur, wr = vm.dot(u, u), vm.dot(u, w), vm.dot(w, w), vm.dot(u, r), vm.dot(w, r)
+    det = uu * ww - uw * uw
+    s, t = (uw * wr - ww * ur) / det, (uu * wr - uw * ur) / det
+    along = lambda o, d, k: tuple(x + y * k for x, y in zip(o, d, strict=True))
+    inner = np.where((det > 1e-12) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1), _length(vm.sub(along(a, u, s), along(p, w, t))), np.nan)
+    least = np.fmin.reduce([inner, _segment(a, p, q)[0], _segment(b, p, q)[0], _segment(p, a, b)[0], _segment(q, a, b)[0]])
+    return float(_worst(least))
+
+
+def _judged(p, gap: float, s, e, confidence, supported: bool, n, k) -> dict[str, np.ndarray]:
+    """How points (each coordinate a column of one) fit the lines (s, e) and known planes (n, k) of their cluster."""
+    away, past = _segment(p, s, e)
+    off = np.abs(vm.dot(n, p) - k)
+    far, beyond, residual = _worst(away), _worst(past), _worst(off)
+    quality = [_clamped(np.full(len(far), 1 - gap / GAP)), _clamped(1 - far / AWAY), _clamped(1 - beyond / BEYOND), _mean(_clamped(1 - off / RESIDUAL))]
+    whole = supported & (quality[0] > 0) & (quality[1] > 0) & (quality[2] > 0) & (quality[3] > 0.25)
+    score = _mean(confidence) * 0.4 + quality[0] * 0.2 + quality[1] * 0.15 + quality[2] * 0.1 + quality[3] * 0.15
+    return {"valid": (far <= AWAY) & (beyond <= BEYOND) & (residual <= RESIDUAL), "supported": whole, "confidence": _clamped(score), "extension": beyond, "residual": residual}
+
+
+def _corner(w: np.ndarray, line: dict[str, np.ndarray], plane: dict[str, np.ndarray]) -> tuple:
+    """(gap, x, y, z, status, confidence, extension, residual, reason) of a cluster's lines and planes."""
+    s, e = (tuple(line[p + a] for a in "xyz") for p in "se")
+    n, k = tuple(plane["n" + a] for a in "xyz"), plane["k"]
+    gap = _gap(s, e)
+    known = ~np.isnan(n[0])
+    facts = (gap, s, e, line["confidence"], bool(np.all(line["supported"] == 1)), tuple(x[known] for x in n), k[known])
+    if len(k) < 3 or len(s[0]) < 2:
+        return (gap, *[None] * 7, "few")
+    i, j, m = np.array(list(itertools.combinations(range(len(k)), 3))).T
+    one, two, three = (tuple(x[at] for x in n) for at in (i, j, m))
+    a, b, c = vm.cross(two, three), vm.cross(three, one), vm.cross(one, two)
+    det = vm.dot(one, a)
+    point = np.stack([(k[i] * x + k[j] * y + k[m] * z) / det for x, y, z in zip(a, b, c, strict=True)])
+    point = point[:, (np.abs(det) > DETERMINANT) & ~np.isnan(point[0])]
+    for place, factor in ((point, 1.0), (w[:, None], 0.85)):
+        found = _judged(tuple(x[:, None] for x in place), *facts)
+        fine = np.flatnonzero(found["valid"])
+        if len(fine):
+            best = fine[np.argmax(found["confidence"][fine])]  # the first of equal ones
+            status = "supported" if factor == 1 and found["supported"][best] else "partial"
+            return (gap, *map(float, place[:, best]), status, float(found["confidence"][best]) * factor, float(found["extension"][best]), float(found["residual"][best]), "solved" if factor == 1 else "fallback")
+    return (gap, *[None] * 7, "rejected")
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["gap", "x", "y", "z", "status", "confidence", "extension", "residual", "reason"]
+    kinds = dict.fromkeys(names, pa.float64()) | dict.fromkeys(["status", "reason"], pa.string())
+
+    def fields(array: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray], pa.Array]:
+        flat = array.flatten()
+        ids = flat.field(0)
+        values = {f.name: pc.struct_field(flat, f.name).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in flat.type if f.name not in ("edge", "plane")}
+        offsets = array.offsets.to_numpy()
+        return offsets - offsets[0], values, pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids)
+
+    for batch in batches:
+        (lines, line, edge_ids), (faces, face, surfaces) = fields(batch.column("edges")), fields(batch.column("planes"))
+        w = np.stack([batch.column("w" + a).to_numpy(zero_copy_only=False) for a in "xyz"])
+        with np.errstate(all="ignore"):
+            out = [_corner(w[:, r], {c: x[lines[r] : lines[r + 1]] for c, x in line.items()}, {c: x[faces[r] : faces[r + 1]] for c, x in face.items()}) for r in range(batch.num_rows)]
+        columns = [pa.array([row[c] for row in out], kinds[name]) for c, name in enumerate(names)]
+        yield pa.RecordBatch.from_arrays([batch.column("scan"), batch.column("cluster"), edge_ids, surfaces, *columns], ["scan", "corner", "edge_ids", "surfaces", *names])
 
 
 def solve(edges: DataFrame, planes: DataFrame, members: DataFrame) -> DataFrame:
     """A row for each cluster of members(scan, id, cluster): corner (its cluster), edge_ids, surfaces, gap, place, status
     (supported, partial or null), confidence, extension, residual and reason: solved, fallback, few (under two lines or
     three planes) or rejected. planes: (scan, plane, nx, ny, nz, k), edges with `supported`. Of equal points the first three
-    planes win."""
+    planes win. A cluster's triples are judged together, in the task that has its row."""
     line = ["edge", "sx", "sy", "sz", "ex", "ey", "ez", "confidence", "supported"]
     full = edges.select("scan", "a", "b", F.struct(*line).alias("_line"), "edge")
+    members = settled(members)  # read for the lines and for the planes
     at = members.join(ends(edges).select("scan", "id", "edge", "x", "y", "z"), ["scan", "id"]).join(full, ["scan", "edge"])
     w = F.greatest(F.lit(0.1), F.col("_line.confidence"))
     per = at.groupBy("scan", "cluster").agg(F.sort_array(F.collect_set("_line")).alias("edges"), *((F.sum(F.col(a) * w) / F.sum(w)).alias(f"w{a}") for a in "xyz"))
     faces = at.select("scan", "cluster", F.explode(F.array("a", "b")).alias("plane")).distinct().join(planes.select("scan", "plane", "nx", "ny", "nz", "k"), ["scan", "plane"], "left")
     faces = faces.groupBy("scan", "cluster").agg(F.sort_array(F.collect_list(F.struct("plane", "nx", "ny", "nz", "k"))).alias("planes"))
-    apart = F.transform("edges", lambda e: F.array_max(F.transform("edges", lambda o: F.when(e["edge"] < o["edge"], vm.segment_segment_distance(_struct(e, "s"), _struct(e, "e"), _struct(o, "s"), _struct(o, "e"))))))
-    rows = settled(per.join(faces, ["scan", "cluster"]).withColumn("gap", F.coalesce(F.array_max(apart), F.lit(0.0))))
-
-    able = (F.size("edges") >= 2) & (F.size("planes") >= 3)
-    three = rows.filter(able)
-    for name in ("p", "q", "s"):
-        three = three.withColumn(name, F.explode("planes"))
-        if name != "p":
-            three = three.filter(F.col("p.plane" if name == "q" else "q.plane") < F.col(f"{name}.plane"))
-    spot = vm.three_plane_point(*(v for c in "pqs" for v in (_struct(F.col(c), "n"), F.col(c)["k"])), least=DETERMINANT)
-    three = three.select("*", *vm.columns(spot, "_")).filter("_x is not null")
-    three = three.withColumns(_judged(vm.v("_"))).filter("valid")
-    facts = F.struct(*(F.col(f"_{a}").alias(a) for a in "xyz"), "supported", "confidence", "extension", "residual")
-    best = three.groupBy("scan", "cluster").agg(F.min_by(facts, F.struct(-F.col("confidence"), "p.plane", "q.plane", "s.plane")).alias("best"))
-
-    out = rows.withColumns(_judged(vm.v("w"))).join(best, ["scan", "cluster"], "left")
-    solved, fallback = F.col("best").isNotNull(), able & F.col("valid")
-    pick = lambda a, b: F.when(solved, F.col(f"best.{a}")).when(fallback, b)
-    return out.select(
-        "scan", F.col("cluster").alias("corner"), F.transform("edges", lambda e: e["edge"]).alias("edge_ids"), F.transform("planes", lambda s: s["plane"]).alias("surfaces"), "gap",
-        *(pick(a, F.col(f"w{a}")).alias(a) for a in "xyz"),
-        F.when(solved & F.col("best.supported"), "supported").when(solved | fallback, "partial").alias("status"),
-        pick("confidence", F.col("confidence") * 0.85).alias("confidence"), pick("extension", F.col("extension")).alias("extension"), pick("residual", F.col("residual")).alias("residual"),
-        F.when(~able, "few").when(solved, "solved").when(fallback, "fallback").otherwise("rejected").alias("reason"))
+    rows = per.join(faces, ["scan", "cluster"]).select("scan", "cluster", "edges", "wx", "wy", "wz", "planes")
+    kind = rows.schema
+    ids = lambda c: kind[c].dataType.elementType.fields[0].dataType.simpleString()
+    schema = f"scan {kind['scan'].dataType.simpleString()}, corner {kind['cluster'].dataType.simpleString()}, edge_ids array<{ids('edges')}>, surfaces array<{ids('planes')}>, gap double, x double, y double, z double, status string, confidence double, extension double, residual double, reason string"
+    return rows.mapInArrow(_solved, schema)
 
 
 def merged(corners: DataFrame, tolerance: float = SAME) -> DataFrame:

@@ -162,3 +162,15 @@ def test_merged_equals_a_plain_union(spark):
             first = min(group, key=lambda r: (r[5] != "supported", -r[6], r[7], r[1]))
             want[scan, first[1]] = (len(group), sorted({x for r in group for x in r[8]}), sorted({x for r in group for x in r[9]}), "supported" if any(r[5] == "supported" for r in group) else "partial")
     assert got == want and any(n > 2 for n, *_ in want.values())
+
+
+def test_clusters_and_corners_take_no_call_a_group(spark):
+    """A call for each component, and expressions over each triple of planes, took minutes for 20,000 planes."""
+    lines = spark.createDataFrame([(1, 5, 1, 2, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.9, True)], "scan long, edge long, a long, b long, sx double, sy double, sz double, ex double, ey double, ez double, confidence double, supported boolean")
+    planes = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0, 0.0)], "scan long, plane long, nx double, ny double, nz double, k double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    members = corners.clusters(lines)
+    assert "FlatMapGroupsInPandas" not in plan(members)
+    out = corners.solve(lines, planes, members)
+    assert "MapInArrow" in plan(out) and "three" not in plan(out) and "Generate explode(planes" not in plan(out)
+    assert {(r["corner"], r["reason"], r["gap"]) for r in out.collect()} == {(10, "few", 0.0), (11, "few", 0.0)}
