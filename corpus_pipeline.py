@@ -7,6 +7,7 @@ mix       what is left is mixed to the sources' target weights; a row is a piece
 tokens    the mix is written as token files; a row is a document's place there
 
 Tables without rows pass through as such. Between stages the rows are a Parquet table in the shared folder.
+quality and leaks, which end in Python, write it themselves: stage() limits the batches that go to the workers.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from gridwise.llm.common import read, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_classifier.accepted(docs, read(spark, sf_dir, "labels"))
+    return stage(quality_classifier.accepted(docs, read(spark, sf_dir, "labels")), "pipeline-quality")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return stage(decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark")), "pipeline-leaks")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("copies", copies), ("leaks", leaks), ("mix", mix), ("tokens", tokens)]
+#: Stages whose result is such a table already.
+WRITTEN = ("quality", "leaks")
 
 #: SQL can express neither the trained classifier nor the token files.
 ORACLE_SQL = None
@@ -46,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage_of in STAGES[:-1]:
-        docs = stage(stage_of(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage_of(spark, docs, sf_dir)
+        docs = docs if name in WRITTEN else stage(docs, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

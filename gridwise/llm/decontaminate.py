@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridwise.llm.common import Words, passes, read, stage, strings
+from gridwise.llm.common import Words, passes, read, stage, strings, tidy
 
 SHINGLE, SIMILARITY = 5, 0.75
 RADIUS, BLOCKS = 31, 8
@@ -249,7 +249,7 @@ def _search(index: Index):
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
 
-    return run
+    return tidy(run)
 
 
 def _clean(index: Index, at: int):
@@ -264,7 +264,7 @@ def _clean(index: Index, at: int):
                 keep[found.column(0).to_numpy()] = False
             yield batch.filter(pa.array(keep))
 
-    return run
+    return tidy(run)
 
 
 def _by_hash(members: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, list[list[int]]]:

@@ -46,7 +46,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from gridwise.llm.common import Words, bucket_count, components, mix, numbered, passes, read, scattered, shingle_sets, stage, strings, unpack_all
+from gridwise.llm.common import Words, bucket_count, components, mix, numbered, passes, read, scattered, shingle_sets, stage, strings, tidy, tidy_group, unpack_all
 
 SHINGLE, PERCENT = 5, 75
 #: Cells of a part; subsets of all but one of them are signatures. (With more cells, a part of few filled cells would have
@@ -151,7 +151,7 @@ def _deal(buckets: int):
         if facts:
             yield send(held, facts)
 
-    return run
+    return tidy(run)
 
 
 _DEALT = "bucket int, sig binary, doc binary, next binary, f_doc binary, f_one binary, f_two binary, f_n binary, f_least0 binary, f_least1 binary"
@@ -208,7 +208,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    return _both_sets(pairs, sets).mapInArrow(_verified, "a long, b long")
+    return _both_sets(pairs, sets).mapInArrow(tidy(_verified), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def _both_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def judge(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with linked, both sizes, and delta, what is in one of the sets only (e: how many)."""
-    return _both_sets(pairs, sets).mapInArrow(_judged, "a long, b long, linked boolean, na int, nb int, e int, delta array<long>")
+    return _both_sets(pairs, sets).mapInArrow(tidy(_judged), "a long, b long, linked boolean, na int, nb int, e int, delta array<long>")
 
 
 def across(judged: DataFrame, found: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def across(judged: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
-    return rows.select("row_id", "text").mapInArrow(_sets, "row_id long, grams binary")
+    return rows.select("row_id", "text").mapInArrow(tidy(_sets), "row_id long, grams binary")
 
 
 def _each_shingle(sets: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     """Of rows(row_id, text): all documents' facts, classes of equal sets, their representatives, and the signatures of
     these that can bring a partner."""
     buckets = bucket_count(rows, 4_000_000)
-    both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(_shared, _ROWS), "signatures")
+    both = stage(rows.select("row_id", "text").mapInArrow(_deal(buckets), _DEALT).groupBy("bucket").applyInPandas(tidy_group(_shared), _ROWS), "signatures")
     facts = both.filter("kind = 1").select("row_id", "a", "b", "n", "least0", "least1")
     # a table of its own: the copies in a large class then only meet a row each, and may be split
     classes = stage(facts.filter("n > 0").groupBy("a", "b", "n").agg(F.min("row_id").alias("rep"), F.count("*").alias("size")), "classes")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from gridwise.llm.common import WORD, Words, free, read, stage
+from gridwise.llm.common import WORD, Words, free, read, stage, tidy
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_WORDS, SHARD_BLOCKS, SEED = 512, 256, 20
@@ -329,7 +329,7 @@ def _mixed(docs: DataFrame, names: list[str], **how) -> DataFrame:
     texts = docs.select(F.struct("*").alias("row")).select("row", *key("row."), row_hash(docs, F.col("row")).alias("row_hash")).dropDuplicates(keys)  # of equal rows one reads for all
     rows = texts.join(pieces, keys).select("row.*", F.col("pieces").alias(free(docs.columns, "pieces")))
     place = StructType().add(names[0], IntegerType()).add(names[1], LongType()).add(names[2], LongType())
-    return rows.mapInArrow(partial(_cut, place=tuple(names)), StructType(docs.schema.fields + place.fields))
+    return rows.mapInArrow(tidy(partial(_cut, place=tuple(names))), StructType(docs.schema.fields + place.fields))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridwise.llm.common import Words, free, mix, passes, read, strings
+from gridwise.llm.common import Words, free, mix, passes, read, strings, tidy, tidy_group
 
 BITS, TRAIN_ROWS, EPOCHS = 18, 6_000, 3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 1e-5, 1e-6
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
         group = group.assign(order=mix(group["doc_id"].to_numpy().astype(np.uint64))).sort_values("order")
         return pd.DataFrame({"model": [train([t or "" for t in group["text"]], group["label"].to_numpy()).tobytes()]})
 
-    made = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").head(1)  # at most rows texts
+    made = texts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(tidy_group(learn), "model binary").head(1)  # at most rows texts
     return np.frombuffer(made[0]["model"], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: np.ndarray, name: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

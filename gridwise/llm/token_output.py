@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridwise.llm.common import Words, filesystem, new_folder, passes, read, stage, strings
+from gridwise.llm.common import Words, filesystem, new_folder, passes, read, stage, strings, tidy
 
 NO_ID = np.iinfo(np.int64).min
 #: Words whose ids a worker remembers; beyond that it begins anew.
@@ -223,7 +223,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = text.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = stage(ranged.mapInArrow(encode, "shard int, n_docs long, n_tokens long, width int"), "token-shards")
+    shards = stage(ranged.mapInArrow(tidy(encode), "shard int, n_docs long, n_tokens long, width int"), "token-shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     shards = stage(shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "token-bases")
 
@@ -270,7 +270,7 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(offsets[lo:hi].astype(np.int64)), pa.array(np.diff(local[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(n, "shard").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(n, "shard").mapInArrow(tidy(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:
