@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridwise.functions import vector as vm
 from gridwise.functions.numeric import cells
+from gridwise.operators import near
 from gridwise.operators.graph import components, settled
 from gridwise.operators.spatial import KEYS, around
 
@@ -261,81 +262,6 @@ def merged(corners: DataFrame, tolerance: float = SAME) -> DataFrame:
     return out.select("scan", "_c.*", "corners", "surfaces", "edge_ids", F.when(F.col("_s"), "supported").otherwise("partial").alias("status"))
 
 
-def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table | None, int | None]]:
-    """Tables of whole scans, about ROWS rows each or one scan; of a scan that proves larger than HELD rows its number only."""
-    held, n, want, past = [], 0, ROWS, None
-    for batch in batches:
-        if past is not None:
-            batch = batch.slice(int(np.searchsorted(batch.column("scan").to_numpy(), past, "right")))
-        held.append(batch)
-        n += batch.num_rows
-        if n < want:
-            continue
-        table = pa.Table.from_batches(held)
-        scan = table.column("scan").to_numpy()
-        end = int(np.searchsorted(scan, scan[-1]))  # the last scan may go on
-        if end:
-            yield table.slice(0, end).combine_chunks(), None
-        held, n, want = table.slice(end).to_batches(), table.num_rows - end, max(ROWS, 2 * (table.num_rows - end))
-        if n > HELD:
-            past = int(scan[-1])
-            yield None, past
-            held, n, want = [], 0, ROWS
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks(), None
-
-
-def _close(scan: np.ndarray, p: np.ndarray, tolerance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row, later row) of a scan at most tolerance apart, some at a time, each at least once. Cells are found by a hash;
-    those that share one cost time only."""
-    fine = np.flatnonzero(np.isfinite(p).all(0))
-    cell = np.clip(np.floor(p[:, fine] / (tolerance * 1.000001)), -(2.0**50), 2.0**50).astype(np.int64)
-    mixed = lambda d: (((scan[fine] * 1_000_003 + cell[0] + d[0]) * 1_000_003 + cell[1] + d[1]) * 1_000_003 + cell[2] + d[2]) * -7_046_029_254_386_353_131
-    with np.errstate(over="ignore"):
-        own = mixed((0, 0, 0))
-        order = np.argsort(own, kind="stable")
-        ordered = own[order]
-        for d in itertools.product((-1, 0, 1), repeat=3):
-            if d < (0, 0, 0):
-                continue
-            there = mixed(d)
-            low, count = np.searchsorted(ordered, there, "left"), np.searchsorted(ordered, there, "right")
-            count -= low
-            begin, total = 0, np.cumsum(count)
-            while begin < len(fine):
-                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + VALUES // 4, "right")))
-                each = count[begin:end]
-                a = np.repeat(np.arange(begin, end), each)
-                b = order[np.arange(each.sum()) + np.repeat(low[begin:end] - np.concatenate(([0], np.cumsum(each)[:-1])), each)]
-                a, b = fine[a], fine[b]
-                at = tuple(x[a] - x[b] for x in p)
-                near = (a != b) & (scan[a] == scan[b]) & (_length(at) <= tolerance)
-                yield np.minimum(a, b)[near], np.maximum(a, b)[near]
-                begin = end
-
-
-def _tied(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Gives rows that u and v connect the least label of any of them."""
-    while True:
-        x, y = label[u], label[v]
-        apart = x != y
-        if not apart.any():
-            return
-        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
-def _members(label: np.ndarray) -> Iterator[np.ndarray]:
-    """The rows of each label that has several, in order."""
-    order = np.argsort(label, kind="stable")
-    begins = np.flatnonzero(np.concatenate(([len(label) > 0], label[order][1:] != label[order][:-1])))
-    for begin, end in zip(begins, np.append(begins, len(label))[1:], strict=True):
-        if end - begin > 1:
-            yield order[begin:end]
-
-
 def _solved_scans(table: pa.Table, tolerance: float) -> pa.RecordBatch | None:
     """solve() of the clusters() of whole scans, whose rows come as found() has them: planes (no a), then lines by id."""
     values = {n: table.column(n).to_numpy() for n in ("scan", "id", "w", "confidence", "supported", *(f"p{i}" for i in range(6)))}
@@ -352,12 +278,12 @@ def _solved_scans(table: pa.Table, tolerance: float) -> pa.RecordBatch | None:
     id_ = values["id"][rows][line] * 2 + ends_ % 2
     scan = values["scan"][rows][line]
     label = np.arange(len(line))
-    for u, v in _close(scan, at, tolerance):
+    for u, v in near.close(scan, at, tolerance):
         i, j = line[u], line[v]
         fine = (i != j) & ((a[i] == a[j]) | (a[i] == b[j]) | (b[i] == a[j]) | (b[i] == b[j]))
-        _tied(label, u[fine], v[fine])
+        near.tied(label, u[fine], v[fine])
     first = np.arange(len(line))  # each end's cluster, as its first end
-    for group in _members(label):
+    for group in near.members(label):
         found: list[dict] = []
         for r, p in zip(group.tolist(), at[:, group].T.tolist(), strict=True):
             i = line[r]
@@ -401,13 +327,13 @@ def _merged_scans(batch: pa.RecordBatch, tolerance: float) -> pa.RecordBatch:
     scan, p = batch.column("scan").to_numpy(), np.stack([batch.column(a).to_numpy() for a in "xyz"])
     surfaces, lines, status = (batch.column(c).to_pylist() for c in ("surfaces", "edge_ids", "status"))
     label = np.arange(batch.num_rows)
-    for u, v in _close(scan, p, tolerance):
+    for u, v in near.close(scan, p, tolerance):
         fine = np.array([_alike(surfaces[i], lines[i], surfaces[j], lines[j]) for i, j in zip(u.tolist(), v.tolist(), strict=True)], bool)
-        _tied(label, u[fine], v[fine])
+        near.tied(label, u[fine], v[fine])
     confidence, extension, corner = (batch.column(c).to_numpy() for c in ("confidence", "extension", "corner"))
     count = np.bincount(label, minlength=batch.num_rows)
     first = np.arange(batch.num_rows)
-    for group in _members(label):
+    for group in near.members(label):
         head = group[0]
         first[head] = min(group.tolist(), key=lambda r: (status[r] != "supported", -confidence[r], extension[r], corner[r]))
         surfaces[head], lines[head] = (sorted(set().union(*(x[r] for r in group))) for x in (surfaces, lines))
@@ -433,7 +359,7 @@ def found(edges: DataFrame, planes: DataFrame, tolerance: float = TOLERANCE, sam
     kinds = pa.schema([(name, as_arrow[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, large in _scans(batches):
+        for table, large in near.scans(batches, ROWS, HELD):
             if table is None:
                 yield pa.RecordBatch.from_pylist([{"scan": large, "_large": True}], kinds)
                 continue

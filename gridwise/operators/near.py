@@ -10,6 +10,7 @@ Rows with a null or NaN coordinate are near nothing.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -280,3 +281,78 @@ def links(rows: DataFrame, radius: float, fits: Fits | None = None, counted: str
 
     schema_arrow = pa.int64() if kind == LongType() else pa.int32()
     return _blocked(rows, rows, radius, radius).mapInArrow(run, schema)
+
+
+def scans(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[pa.Table | None, int | None]]:
+    """Tables of whole scans, about `least` rows each or one scan; of a scan that proves larger than `most` rows its number only."""
+    held, n, want, past = [], 0, least, None
+    for batch in batches:
+        if past is not None:
+            batch = batch.slice(int(np.searchsorted(batch.column("scan").to_numpy(), past, "right")))
+        held.append(batch)
+        n += batch.num_rows
+        if n < want:
+            continue
+        table = pa.Table.from_batches(held)
+        scan = table.column("scan").to_numpy()
+        end = int(np.searchsorted(scan, scan[-1]))  # the last scan may go on
+        if end:
+            yield table.slice(0, end).combine_chunks(), None
+        held, n, want = table.slice(end).to_batches(), table.num_rows - end, max(least, 2 * (table.num_rows - end))
+        if n > most:
+            past = int(scan[-1])
+            yield None, past
+            held, n, want = [], 0, least
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks(), None
+
+
+def close(scan: np.ndarray, p: np.ndarray, tolerance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, later row) of a scan at most tolerance apart, some at a time, each once. Cells are found by a hash; those that
+    share one cost time only."""
+    fine = np.flatnonzero(np.isfinite(p).all(0))
+    cell = np.clip(np.floor(p[:, fine] / (tolerance * 1.000001)), -(2.0**50), 2.0**50).astype(np.int64)
+    mixed = lambda d: (((scan[fine] * 1_000_003 + cell[0] + d[0]) * 1_000_003 + cell[1] + d[1]) * 1_000_003 + cell[2] + d[2]) * -7_046_029_254_386_353_131
+    with np.errstate(over="ignore"):
+        own = mixed((0, 0, 0))
+        order = np.argsort(own, kind="stable")
+        ordered = own[order]
+        for d in itertools.product((-1, 0, 1), repeat=3):
+            if d < (0, 0, 0):
+                continue
+            there = mixed(d)
+            low, count = np.searchsorted(ordered, there, "left"), np.searchsorted(ordered, there, "right")
+            count -= low
+            begin, total = 0, np.cumsum(count)
+            while begin < len(fine):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+                each = count[begin:end]
+                a = np.repeat(np.arange(begin, end), each)
+                b = order[np.arange(each.sum()) + np.repeat(low[begin:end] - np.concatenate(([0], np.cumsum(each)[:-1])), each)]
+                a, b = fine[a], fine[b]
+                at = tuple(x[a] - x[b] for x in p)
+                fine_ = (a < b if d == (0, 0, 0) else a != b) & (scan[a] == scan[b]) & (np.sqrt(at[0] * at[0] + at[1] * at[1] + at[2] * at[2]) <= tolerance)
+                yield np.minimum(a, b)[fine_], np.maximum(a, b)[fine_]
+                begin = end
+
+
+def tied(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Gives rows that u and v connect the least label of any of them."""
+    while True:
+        x, y = label[u], label[v]
+        apart = x != y
+        if not apart.any():
+            return
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def members(label: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each label that has several, in order."""
+    order = np.argsort(label, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([len(label) > 0], label[order][1:] != label[order][:-1])))
+    for begin, end in zip(begins, np.append(begins, len(label))[1:], strict=True):
+        if end - begin > 1:
+            yield order[begin:end]

@@ -4,7 +4,8 @@ A sample's neighbours are its nearest compatible ones; on its tangent plane, two
 other neighbour lies in their circle. Neighbours are an array of NEIGHBOURS at most, so that the circle's test is one of a
 row, made in the task that finds them, cube by cube; the only join is one of triangles by edge. On a tie,
 four samples on a circle, the diagonal between the smaller positions is kept. A triangle that several of its samples make
-counts once. Samples without neighbours, or without a normal, are in no triangle.
+counts once. Samples without neighbours, or without a normal, are in no triangle. growth() does all of it in the task that has
+a scan, after one shuffle of samples; only scans of more than HELD samples go from table to table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridwise.functions import vector as vm
 from gridwise.operators import near
@@ -25,6 +26,8 @@ REACH, LONGEST, SHORTEST, RESIDUAL, SPACINGS = 0.12, 0.1, 0.05, 0.028, 2.5
 NEIGHBOURS, BATCH, LEAST_DOT, TINY, SINE2 = 8, 5_000, math.cos(math.radians(42)), 1e-6, 0.01
 #: Growth from a hit: adjacent normals, normal and residual of the surface, least area in square metres.
 HIT_DOT, SURFACE_DOT, SURFACE_RESIDUAL, LEAST_AREA = math.cos(math.radians(58)), 0.55, 0.12, 0.003
+#: Samples of a scan that growth() holds in a task; samples handed to a step together; pairs kept before the nearest are chosen.
+HELD, ROWS, KEPT = 20_000, 20_000, 2_000_000
 
 
 def compatible(p: vm.Vec, n: vm.Vec, q: vm.Vec, m: vm.Vec, absolute=F.abs) -> Column:
@@ -178,3 +181,125 @@ def grown_from_hits(cornered: DataFrame, hits: DataFrame, surfaces: DataFrame) -
     reached = grow(seeds, steps).join(on.select("scan", F.col("triangle").alias("id"), "area"), "id")
     enough = reached.groupBy("scan").agg(F.sum("area").alias("total")).filter(F.col("total") >= LEAST_AREA)
     return reached.join(enough, "scan").select("scan", F.col("id").alias("triangle"), "step")
+
+
+def first_hits(cornered: DataFrame) -> DataFrame:
+    """(scan, triangle): each scan's first triangle without a barrier."""
+    return cornered.filter("not barrier").groupBy("scan").agg(F.min_by("triangle", F.struct("a", "b", "c")).alias("triangle"))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumn("triangle", F.concat_ws("/", *(F.col(k).cast("string") for k in "abc")))
+
+
+def _hoods(scan: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour, d2): the NEIGHBOURS nearest compatible rows of each, in order, as near.nearest() with _fits."""
+
+    def chosen(parts):
+        a, b, d2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((b, p[2][b], p[1][b], p[0][b], d2, a))
+        order = order[near._firsts(a[order]) < NEIGHBOURS]
+        return a[order], b[order], d2[order]
+
+    none = np.zeros(0, np.int64)
+    kept, count = [(none, none, np.zeros(0))], 0
+    for u, v in near.close(scan, p, REACH * 1.000001):
+        for a, b in ((u, v), (v, u)):
+            at, to = (tuple(x[:, r]) for x, r in ((p, a), (p, b)))
+            fine = compatible(at, tuple(n[:, a]), to, tuple(n[:, b]), np.abs)
+            a, b = a[fine], b[fine]
+            d2 = np.zeros(len(a))
+            for x in p:
+                d = x[b] - x[a]
+                d2 += d * d
+            kept.append((a, b, d2))
+            count += len(a)
+        if count > KEPT:
+            kept, count = [chosen(kept)], 0
+    return chosen(kept)
+
+
+def _grown_scans(table: pa.Table) -> pa.RecordBatch:
+    """(scan, triangle, step) of whole scans, sorted by scan and id."""
+    values = {c: table.column(c).to_numpy() for c in ("scan", "id", *"xyz", "nx", "ny", "nz", "snx", "sny", "snz", "sk")}
+    scan, ids, p, n = values["scan"], values["id"], np.stack([values[c] for c in "xyz"]), np.stack([values["n" + c] for c in "xyz"])
+    barrier = table.column("barrier").to_numpy(zero_copy_only=False).astype(bool)
+    row, other, d2 = _hoods(scan, p, n)
+    several = np.bincount(row, minlength=len(ids))[row] >= 2
+    row, other, d2 = row[several], other[several], d2[several]
+    centres, at = np.unique(row, return_inverse=True)
+    slot, three = near._firsts(row) + 1, [np.zeros((3, 0), np.int64)]
+    for begin in range(0, len(centres), BATCH):
+        part = slice(*np.searchsorted(at, (begin, begin + BATCH)))
+        size, spot = min(BATCH, len(centres) - begin), (at[part] - begin, slot[part])
+        id_, far = np.full((size, 1 + NEIGHBOURS), -1), np.full((size, 1 + NEIGHBOURS), np.inf)
+        id_[:, 0], id_[spot], far[spot] = centres[begin : begin + size], other[part], d2[part]
+        there = np.zeros(id_.shape, bool)
+        there[spot] = True
+        used = id_ >= 0
+        place, normal = (np.where(used, x[:, id_], np.nan) for x in (p, n))
+        three.append(np.stack(_found(id_, place, normal, far, there)[1:4]))  # rows serve as ids: they are in the same order
+    a, b, c = np.unique(np.concatenate(three, 1), axis=1)
+    with np.errstate(all="ignore"):
+        cross = np.stack(vm.cross(_sub(p[:, b], p[:, a]), _sub(p[:, c], p[:, a])))
+        length = np.sqrt(_dot(cross, cross))
+        flat = cross / length
+    blocked = barrier[a] | barrier[b] | barrier[c]
+    of, open_ = scan[a], np.flatnonzero(~blocked)
+    hits = open_[np.unique(of[open_], return_index=True)[1]]  # triangles are in order of their corners, so of scans too
+    sn, sk = np.stack([values["sn" + x][a] for x in "xyz"]), values["sk"][a]
+    far = np.max([np.abs(sn[0] * p[0][k] + sn[1] * p[1][k] + sn[2] * p[2][k] - sk) for k in (a, b, c)], axis=0, initial=0.0)
+    on = ~blocked & (length > TINY) & (far <= SURFACE_RESIDUAL) & (np.abs(_dot(flat, sn)) >= SURFACE_DOT)
+    # triangles of one edge meet each other
+    edges = np.concatenate([x[on] * len(ids) + y[on] for x, y in ((a, b), (b, c), (a, c))])
+    mine = np.tile(np.flatnonzero(on), 3)
+    order = np.argsort(edges, kind="stable")
+    edges, mine = edges[order], mine[order]
+    begins = np.flatnonzero(np.concatenate(([len(edges) > 0], edges[1:] != edges[:-1])))
+    size = np.diff(np.append(begins, len(edges)))
+    each = np.repeat(size, size)
+    u = np.repeat(np.arange(len(edges)), each)
+    v = np.repeat(np.repeat(begins, size), each) + np.arange(len(u)) - np.repeat(np.cumsum(each) - each, each)
+    u, v = mine[u], mine[v]
+    fine = (u != v) & (np.abs(_dot(flat[:, u], flat[:, v])) >= HIT_DOT)
+    u, v = u[fine], v[fine]
+    step = np.full(len(a), -1, np.int32)
+    step[hits[on[hits]]] = 0
+    last = 0
+    while True:
+        new = v[(step[u] == last) & (step[v] < 0)]
+        if not len(new):
+            break
+        last += 1
+        step[new] = last
+    reached = np.flatnonzero(step >= 0)
+    scans, number = np.unique(of[reached], return_inverse=True)
+    reached = reached[(np.bincount(number, length[reached] / 2, len(scans)) >= LEAST_AREA)[number]]
+    names = [f"{x}/{y}/{z}" for x, y, z in zip(*(ids[k[reached]].tolist() for k in (a, b, c)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(of[reached]), pa.array(names, pa.string()), pa.array(step[reached]), pa.array(np.zeros(len(names), bool))], schema=_GROWN)
+
+
+_GROWN = pa.schema([("scan", pa.int64()), ("triangle", pa.string()), ("step", pa.int32()), ("_large", pa.bool_())])
+
+
+def growth(samples: DataFrame) -> DataFrame:
+    """grown_from_hits() of the triangles() of samples(id, scan, position, normal, barrier, and their scan's snx, sny, snz, sk),
+    from each scan's first triangle without a barrier. Triangles are of samples of one scan. ids and scans are longs."""
+    whole = near._whole(samples.filter(vm.length(vm.v("n")) > TINY))
+    rows = whole.select("scan", F.col("id").cast("long").alias("id"), "x", "y", "z", *vm.columns(vm.normalized(vm.v("n")), "n"), F.coalesce("barrier", F.lit(True)).alias("barrier"), "snx", "sny", "snz", "sk").na.drop(subset=["scan", "id"])
+    # a count by scan asks for a scan in one task, without a shuffle where that is so
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("scan")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, large in near.scans(batches, ROWS, HELD):
+            yield _grown_scans(table) if table is not None else pa.RecordBatch.from_pylist([{"scan": large, "_large": True}], _GROWN)
+
+    done = settled(rows.sortWithinPartitions("scan", "id").mapInArrow(run, "scan long, triangle string, step int, _large boolean"))
+    large = [r["scan"] for r in done.filter("_large").select("scan").collect()]  # more than HELD samples each
+    done = done.filter("not _large").drop("_large")
+    for scan in large:  # one by one, so that what lies together is of one scan
+        of = settled(samples.filter(F.col("scan") == scan))
+        found = settled(_named(triangles(of)).withColumn("scan", F.lit(scan)))
+        cornered = settled(with_corners(found, of))
+        done = done.unionByName(grown_from_hits(cornered, first_hits(cornered), of.select("scan", "snx", "sny", "snz", "sk").distinct()))
+    return done
