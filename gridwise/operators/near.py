@@ -4,7 +4,8 @@ Space is cut into cubes. A row is looked up in its own cube, to which the rows w
 row travels about twice where cubes are wide against the margin, and its pairs never leave the task that forms them. Within
 a task, rows lie in cells as wide as the margin and pairs are formed some at a time. nearest() looks at a small margin
 first where rows lie close, so that neither cubes nor candidates grow with the density; only rows with too few neighbours
-there go on to twice the margin. The others look at all within the radius, which is what they count or compare.
+there go on to twice the margin. The others look at all within the radius, which is what they count or compare, but for
+joined(): it forms pairs of what is not connected yet only, cell by cell, so that it does not grow with the square of density.
 Rows with a null or NaN coordinate are near nothing.
 """
 
@@ -24,6 +25,8 @@ BLOCK, SIDE = ["_bx", "_by", "_bz"], "_side"
 #: Rows that a cube should hold (or EACH for each neighbour sought, if more), halvings of the margin at most, rows handed to a
 #: step together, pairs formed at once; cubes listed to a task at most.
 MOST, EACH, HALVINGS, ROWS, PAIRS, CUBES = 2_000, 500, 10, 50_000, 1_000_000, 100_000
+#: Rows of a key that a cube of joined() should hold.
+HELD = 200_000
 #: Where cubes begin, in widths: not at 0, where floors and walls tend to lie, whose rows would all be copied across.
 SHIFT = 0.37
 
@@ -39,10 +42,11 @@ def _margin(radius: float) -> float:
     return radius * 1.000001
 
 
-def _blocked(left: DataFrame, right: DataFrame, width: float, radius: float, listed: bool = False, shift: float = SHIFT) -> DataFrame:
+def _blocked(left: DataFrame, right: DataFrame, width: float, radius: float, listed: bool = False, shift: float = SHIFT, key: str | None = None) -> DataFrame:
     """left rows (side 0) in their cubes, right rows (side 1) in all whose rows they may be near, cube by cube. Where both are
     the same rows, a row in its own cube is sent once (side 2). listed: left is few rows, and right rows go only to cubes
-    that hold any of them, if these are few enough to be listed to each task."""
+    that hold any of them, if these are few enough to be listed to each task. key: a column whose values are cubes of their own."""
+    by = BLOCK if key is None else [*BLOCK, key]
     at = lambda a, m=0.0: F.floor((F.col(a) + m) / width + shift)
     own = [at(a).alias(b) for a, b in zip("xyz", BLOCK, strict=True)]
     points = _whole(right).select(*left.columns)
@@ -59,14 +63,14 @@ def _blocked(left: DataFrame, right: DataFrame, width: float, radius: float, lis
             if cubes.limit(CUBES + 1).count() <= CUBES:
                 points = points.join(F.broadcast(cubes), BLOCK, "left_semi").select(*left.columns, *BLOCK)
         rows = queries.unionByName(points.withColumn(SIDE, F.lit(1)))
-    return rows.repartition(n, *BLOCK).sortWithinPartitions(*BLOCK)
+    return rows.repartition(n, *by).sortWithinPartitions(*by)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str] = BLOCK) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole cubes, about ROWS rows each or one cube, with the number of each row's cube."""
 
     def numbered(table):
-        at = np.stack([table.column(b).to_numpy() for b in BLOCK])
+        at = np.stack([table.column(b).to_numpy() for b in by])
         return np.concatenate(([0], np.cumsum((at[:, 1:] != at[:, :-1]).any(0)))) if table.num_rows else np.zeros(0, np.int64)
 
     held, n, want = [], 0, ROWS
@@ -283,6 +287,119 @@ def links(rows: DataFrame, radius: float, fits: Fits | None = None, counted: str
     return _blocked(rows, rows, radius, radius).mapInArrow(run, schema)
 
 
+def _unite(read: Callable[[str], np.ndarray], n: int, radius: float, fits: Fits, alike: list[str], reach: float) -> np.ndarray:
+    """Labels of n rows: the first row of those that pairs within the radius that fit connect. Pairs of rows that already have
+    one label are not formed, and others only of cells whose bounds allow a pair."""
+    dims = np.stack([read(c) for c in (*"xyz", *alike)])
+    limits = [(slice(0, 3), radius), (slice(3, None), reach)]
+    label = np.arange(n)
+    fine = np.flatnonzero(np.isfinite(dims).all(0))  # others fit nothing
+
+    def tie(a: np.ndarray, b: np.ndarray) -> None:
+        for begin in range(0, len(a), PAIRS):
+            u, v = a[begin : begin + PAIRS], b[begin : begin + PAIRS]
+            apart = label[u] != label[v]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                continue
+            d2 = np.zeros(len(u))
+            for x in dims[:3]:
+                d = x[v] - x[u]
+                d2 += d * d
+            near = d2 <= radius**2
+            u, v = u[near], v[near]
+            good = fits(lambda c: read(c)[u], lambda c: read(c)[v])  # noqa: B023
+            tied(label, u[good], v[good])
+
+    # cells in which most pairs fit
+    cell = np.zeros(len(fine), np.int64)
+    ranks = []
+    for part, most in limits:
+        for x in dims[part][:, fine]:
+            ranks.append(np.unique(np.floor(x / (most / np.sqrt(len(dims[part])))), return_inverse=True)[1])
+            cell = np.unique(cell * (ranks[-1].max(initial=0) + 1) + ranks[-1], return_inverse=True)[1]
+    order = np.argsort(cell, kind="stable")
+    begins = np.searchsorted(cell[order], np.arange(cell.max(initial=-1) + 1))
+    tie(fine, fine[order[begins]][cell])
+    for last in range(len(ranks)):  # rows that follow each other in one direction
+        along = fine[np.lexsort((dims[last][fine], *(r for i, r in enumerate(ranks) if i != last)))]
+        for k in (1, 2, 3):
+            tie(along[:-k], along[k:])
+    # groups: rows of one cell and label, and their bounds
+    if not len(fine):
+        return label
+    roots = np.unique(label[fine], return_inverse=True)[1]
+    group = np.unique(cell * (roots.max() + 1) + roots, return_inverse=True)[1]
+    order = fine[np.argsort(group, kind="stable")]
+    size = np.bincount(group)
+    begins = np.cumsum(size) - size
+    low, high = np.minimum.reduceat(dims[:, order], begins, axis=1), np.maximum.reduceat(dims[:, order], begins, axis=1)
+    head = order[begins]
+    largest = np.bincount(label[order]).argmax()
+    odd = np.flatnonzero(label[head] != largest)
+    odd = odd[np.argsort(size[odd], kind="stable")]
+    begin, each = 0, max(1, PAIRS // len(head))
+    while begin < len(odd):
+        mine = odd[begin : begin + each]
+        begin += each
+        mine = mine[label[head[mine]] != largest]
+        a, b = np.nonzero(label[head[mine]][:, None] != label[head][None, :])
+        a = mine[a]
+        for part, most in limits:
+            gap2 = np.zeros(len(a))
+            for x, y in zip(low[part], high[part], strict=True):
+                d = np.maximum(0.0, np.maximum(x[a] - y[b], x[b] - y[a]))
+                gap2 += d * d
+            near = gap2 <= (most * 1.000001) ** 2
+            a, b = a[near], b[near]
+        many = size[a] * size[b]
+        total, done = np.cumsum(many), 0
+        while done < len(a):
+            end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
+            i, j = a[done:end], b[done:end]
+            done = end
+            apart = label[head[i]] != label[head[j]]
+            i, j = i[apart], j[apart]
+            if len(i) == 1 and size[i[0]] * size[j[0]] > PAIRS:  # two large groups: by rows of one
+                for r in order[begins[i[0]] : begins[i[0]] + size[i[0]]]:
+                    tie(np.full(size[j[0]], r), order[begins[j[0]] : begins[j[0]] + size[j[0]]])
+                continue
+            count = size[i] * size[j]
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            i, j = np.repeat(i, count), np.repeat(j, count)
+            tie(order[begins[i] + place // size[j]], order[begins[j] + place % size[j]])
+    return label
+
+
+def joined(rows: DataFrame, radius: float, fits: Fits, key: str, alike: list[str], reach: float) -> DataFrame:
+    """(a, b): pairs of rows of one key (an integer) within the radius that fit, or rows that such pairs connect, as many as it
+    takes to connect whatever all such pairs connect. Rows that fit differ by at most reach in the columns alike, taken as a
+    point, and a row in which any of these is null or not finite fits none. Cubes are as wide as eight radii, but for those
+    of more than HELD rows."""
+    kind = rows.schema["id"].dataType
+    schema_arrow = pa.int64() if kind == LongType() else pa.int32()
+    rows = _whole(rows).filter(F.col(key).isNotNull())
+    for t in range(4):
+        width = 8 * radius / 2**t
+        most = rows.groupBy(key, *(F.floor(F.col(a) / width + SHIFT) for a in "xyz")).count().agg(F.max("count")).first()[0]
+        if (most or 0) <= HELD:
+            break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cube in _groups(batches, [*BLOCK, key]):
+            values = {c: table.column(c).to_numpy() for c in table.column_names}
+            begins = np.append(np.flatnonzero(np.diff(cube, prepend=-1)), len(cube))
+            for begin, end in zip(begins, begins[1:], strict=False):
+                if end - begin < 2:
+                    continue
+                label = _unite(lambda c: values[c][begin:end], end - begin, radius, fits, alike, reach)  # noqa: B023
+                ids = values["id"][begin:end]
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked], schema_arrow), pa.array(ids[label[linked]], schema_arrow)], ["a", "b"])
+
+    return _blocked(rows, rows, width, radius, key=key).mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
 def scans(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[tuple[pa.Table | None, int | None]]:
     """Tables of whole scans, about `least` rows each or one scan; of a scan that proves larger than `most` rows its number only."""
     held, n, want, past = [], 0, least, None

@@ -1,5 +1,6 @@
 """Growth from hits scan by scan equals growth from table to table, whether a scan is held whole or not."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,19 +32,27 @@ def wanted(sheets):
     return rows(triangulation.grown_from_hits(cornered, triangulation.first_hits(cornered), sheets.select("scan", "snx", "sny", "snz", "sk").distinct()))
 
 
-@pytest.mark.parametrize("held, kept", [(20_000, 2_000_000), (20_000, 50), (300, 2_000_000)])
-def test_growth_equals_that_from_table_to_table(sheets, wanted, monkeypatch, held, kept):
-    """held: some scans have more samples; kept: neighbours are chosen in between."""
-    monkeypatch.setattr(triangulation, "HELD", held)
-    monkeypatch.setattr(triangulation, "KEPT", kept)
-    monkeypatch.setattr(triangulation, "ROWS", 40)
-    sizes = [r["count"] for r in sheets.groupBy("scan").count().collect()]
-    if held == 300:
-        monkeypatch.setattr(triangulation, "HELD", sorted(sizes)[-3])
+@pytest.mark.parametrize("large", [0, 2])
+def test_growth_equals_that_from_table_to_table(sheets, wanted, monkeypatch, large):
+    """large: so many scans have more samples than a task holds."""
+    monkeypatch.setattr(triangulation, "ROWS", 10)
+    if large:
+        sizes = sorted(r["count"] for r in sheets.filter("x is not null").groupBy("scan").count().collect())
+        monkeypatch.setattr(triangulation, "HELD", sizes[-large - 1])
     got = rows(triangulation.growth(sheets))
     assert got == wanted and max(step for _, _, step in got) > 1
 
 
+def test_neighbours_are_chosen_in_between(monkeypatch):
+    rng = np.random.default_rng(1)
+    scan, p = np.sort(rng.integers(0, 3, 400)), rng.integers(0, 9, (3, 400)) * np.array([0.02, 0.02, 0.001])[:, None]
+    n = np.array([[0.0], [0.0], [1.0]]).repeat(400, 1)
+    want = triangulation._hoods(scan, p, n)
+    monkeypatch.setattr(triangulation, "KEPT", 50)
+    got = triangulation._hoods(scan, p, n)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True)) and len(want[0]) > 2000
+
+
 def test_sheets_without_triangles_grow_nothing(sheets):
     assert triangulation.growth(sheets.filter("barrier")).count() == 0
     assert triangulation.growth(sheets.limit(0)).count() == 0
